@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, secrets, simhash, warc
+from tidemark.llm import decontam, html_render, mixing, quality, secrets, simhash, tokens, toxicity, warc
 from tidemark.llm.common import read
 
 
@@ -34,11 +34,28 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first(read(spark, sf_dir, "documents"), clean=False).drop("n_removed_lines")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = mixing.fair_queue(read(spark, sf_dir, "documents"))
     return queue.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(read(spark, sf_dir, "documents"), tokens.load_pieces())
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(read(spark, sf_dir, "pages"))
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,7 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op5_html": op5_html,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
+    "op9_tokens": op9_tokens,
     "op10_warc": op10_warc,
 }
 
