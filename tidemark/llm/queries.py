@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_render, mixing, quality, secrets, simhash, tokens, toxicity, warc
+from tidemark.llm import decontam, html_render, lpf, mixing, quality, secrets, simhash, tokens, toxicity, warc
 from tidemark.llm.common import read
 
 
@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lpf.repeats(read(spark, sf_dir, "documents"), keep="none")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, findings, _ = secrets.scan(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -63,6 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_repeats": op2_repeats,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_html": op5_html,
