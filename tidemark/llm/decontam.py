@@ -142,9 +142,9 @@ def _matcher(items: _Items, coverage: float):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, contaminated, item_ids, coverage, n_tiles) for every row of ``docs``:
-    the items covered to ``coverage`` or more, in order, the largest such share
+def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, contaminated, item_ids, coverage, n_tiles) for every row of ``docs``,
+    or the columns ``keep`` in place of id: the items covered to ``coverage`` or more, in order, the largest such share
     (0 if none) and the number of tiles on them.
 
     Null and empty texts hold nothing; items without a word are never found;
@@ -157,20 +157,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     words = bench.agg(F.coalesce(F.sum(word_count("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-words // block_words))
     row = F.concat(F.md5(body(text)), F.coalesce(F.col(id).cast("string"), F.lit("null")))
-    kind = docs.schema[id].dataType.simpleString()
+    cols = keep or (id,)
+    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(cols)]
+    back = [F.col(f"k{i}").alias(c) for i, c in enumerate(cols)]
+    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols)]
 
-    def one(k: int) -> DataFrame:
+    def one(k: int, carried: list, types: list[str]) -> DataFrame:
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct().collect()
         items = _Items(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), min_match)
-        src = docs.select(F.col(id).alias("id"), (row if blocks > 1 else F.lit("")).alias("row"), body(text).alias("raw"))
-        return src.mapInArrow(_matcher(items, coverage), f"id {kind}, row string, item_ids array<long>, coverage double, n_tiles long")
+        src = docs.select(*carried, body(text).alias("raw"))
+        return src.mapInArrow(_matcher(items, coverage), ", ".join([*types, "item_ids array<long>, coverage double, n_tiles long"]))
 
     if blocks == 1:
-        found = one(0)
+        found = one(0, named, kinds)
     else:
-        hits = reduce(DataFrame.unionByName, (cut(one(k).where("n_tiles > 0"), "hits").dropDuplicates(["row"]) for k in range(blocks)))
+        by_row = ([row.alias("row")], ["row string"])
+        hits = reduce(DataFrame.unionByName, (cut(one(k, *by_row).where("n_tiles > 0"), "hits").dropDuplicates(["row"]) for k in range(blocks)))
         hits = hits.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("coverage").alias("coverage"), F.sum("n_tiles").alias("n_tiles"))
-        every = docs.select(F.col(id).alias("id"), row.alias("row"))
         none = F.lit([]).cast("array<long>")
-        found = every.join(hits, "row", "left").select("id", F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_tiles", F.lit(0)).cast("long").alias("n_tiles"))
-    return found.select(F.col("id").alias(id), (F.col("n_tiles") > 0).alias("contaminated"), "item_ids", "coverage", "n_tiles")
+        found = docs.select(*named, row.alias("row")).join(hits.hint("shuffle_hash"), "row", "left")
+        found = found.withColumns({"item_ids": F.coalesce("item_ids", none), "coverage": F.coalesce("coverage", F.lit(0.0)), "n_tiles": F.coalesce("n_tiles", F.lit(0).cast("long"))})
+    return found.select(*back, (F.col("n_tiles") > 0).alias("contaminated"), "item_ids", "coverage", "n_tiles")
