@@ -99,10 +99,7 @@ def own_anchors(text: np.ndarray, sizes: np.ndarray, least: int, k: int = ANCHOR
     first = np.flatnonzero(change)
     last = np.r_[first[1:] - 1, len(low) - 1]
     first, last = first[good[first]], last[good[first]]
-    # a substring is an anchor's place if it is the least of a window around it, that is, of the one with the largest least
-    edge = np.full(span - 1, np.iinfo(np.uint64).max)
-    chosen = np.cumsum(np.r_[0, grams == ~_window_min(~np.r_[~edge, low, ~edge], span)])
-    recurs = chosen[last + span] - chosen[first] > 1
+    recurs = _places(grams, low, span, first, last) > 1
     pieces = (last - first) // MAX_WINDOWS + 1
     part = np.repeat(np.arange(len(first)), pieces)
     nth = np.arange(len(part)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -111,6 +108,17 @@ def own_anchors(text: np.ndarray, sizes: np.ndarray, least: int, k: int = ANCHOR
     return h, first - starts[own], last - starts[own], recurs, own
 
 
+def _places(grams: np.ndarray, low: np.ndarray, span: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How often each stretch's anchor starts inside the stretch."""
+    # a substring is some window's anchor if it equals the largest of the least hashes of the windows around it
+    edge = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(grams == ~_window_min(~np.r_[edge, low, edge], span))
+    names, number = np.unique(grams[at], return_inverse=True)
+    key = np.sort(number * len(grams) + at)
+    mine = np.searchsorted(names, low[first]) * len(grams)
+    return np.searchsorted(key, mine + last + span) - np.searchsorted(key, mine + first)
+
+
 def _pack(first: np.ndarray, last: np.ndarray, recurs: np.ndarray) -> np.ndarray:
     return (first.astype(np.int64) << 12) | ((last - first).astype(np.int64) << 1) | recurs
 
