@@ -7,7 +7,7 @@ occur once cannot lie in a repeated window; what remains are short segments, the
 bytes of the windows that one repeated anchor owns. Segments of an anchor meet
 in one task, where their windows are put in suffix order; from the order, the
 previous and next smaller positions give each window its longest match before
-and after it.
+and after it, capped at the window's length.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidemark.llm.common import body, cut, drop
 LEAST = 200
 ANCHOR = 32
 #: Anchors with more distinct segments than this are dealt by window instead, so that no task holds them all.
-MAX_SEGMENTS = 512
+MAX_SEGMENTS = 64
 #: A segment has at most this many windows; longer stretches are several segments.
 MAX_WINDOWS = 1024
 _BASE = 0x9E3779B97F4A7C15
@@ -191,43 +191,33 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def longest_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(before, after): for every position, its longest match with an earlier
-    and with a later position. In suffix order the best earlier match of a
-    position is its nearest smaller neighbour on either side; taking positions
-    out from the largest down leaves exactly those as neighbours, with the
-    minimum of the common prefixes between. Later matches the other way round."""
-    n = len(order)
-    return _one_way(order.tolist(), lcp.tolist(), range(n - 1, -1, -1), n), _one_way(order.tolist(), lcp.tolist(), range(n), n)
-
-
-def _one_way(order: list[int], lcp: list[int], turn: range, n: int) -> np.ndarray:
-    rank = [0] * n
-    for r, p in enumerate(order):
-        rank[p] = r
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    shared = lcp + [0]
-    out = [0] * n
-    for p in turn:
-        r = rank[p]
-        a, b = left[r], right[r]
-        x, y = shared[r], shared[b]
-        out[p] = x if x > y else y
-        shared[b] = x if x < y else y
-        right[a] = b
-        if b < n:
-            left[b] = a
-    return np.array(out, np.int64)
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """(start, stop) of the runs of true values."""
-    edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0])).tolist()
-    return list(zip(edge[::2], edge[1::2]))
+def longest_factors(order: np.ndarray, lcp: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) for every position: whether its longest match with an
+    earlier, or a later, position reaches the whole ``width``.
+
+    A position's longest previous factor is the larger common prefix with its
+    nearest smaller neighbours in suffix order, one on either side. Windows end
+    at ``width``, so equal ones are neighbours, and the order is stable, so they
+    stand by rising position: the previous smaller position that shares all
+    ``width`` bytes, if there is one, is the neighbour before, the next larger
+    one the neighbour after.
+    """
+    whole = lcp >= width
+    before, after = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    before[order] = whole
+    after[order[:-1]] = whole[1:]
+    return before, after
+
+
+def runs_of(flags: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, stop) of the runs of true values that share an owner."""
+    same = owner[1:] == owner[:-1]
+    first = np.flatnonzero(flags & np.r_[True, ~(same & flags[:-1])])
+    last = np.flatnonzero(flags & np.r_[~(same & flags[1:]), True])
+    return owner[first], inside[first], inside[last] + 1
 
 
 _VERDICT = "dig binary, runs array<struct<a:int,b:int>>"
-_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _judge(least: int, keep_first: bool):
@@ -238,11 +228,11 @@ def _judge(least: int, keep_first: bool):
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            runs = match_segments([r[0] for r in rows], [r[2] for r in rows], least, keep_first)
-            pick = [i for i, r in enumerate(runs) if r]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][1] for i in pick], pa.binary()), pa.array([[{"a": x, "b": y} for x, y in runs[i]] for i in pick], _RUNS)], names=["dig", "runs"]
-            )
+            seg, start, stop = match_segments([r[2] for r in rows], least, keep_first)
+            pick, at = np.unique(seg, return_index=True)
+            runs = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["a", "b"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(seg)].astype(np.int32)), runs)
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in pick.tolist()], pa.binary()), lists], names=["dig", "runs"])
 
         for b in batches:
             rows = held + list(zip(*(c.to_pylist() for c in b.columns)))
@@ -272,12 +262,11 @@ def _parts(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[tuple]]:
         yield part
 
 
-def match_segments(group: list[int], segs: list[bytes], least: int, keep_first: bool) -> list[list[tuple[int, int]]]:
-    """For each segment the runs (start, stop) of its windows that also
-    occur in another segment given, or with ``keep_first`` in an earlier one.
-    Windows that share no rolling hash with another have no match of that
-    length and are not sorted. A segment's own windows are all different places
-    of a text, so a window that recurs in its own segment counts as repeated."""
+def match_segments(segs: list[bytes], least: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, stop) of the runs of windows that also occur in another
+    segment given, or at another place of their own, or with ``keep_first`` at
+    an earlier one. Windows that share no rolling hash with another have no
+    match of that length and are not sorted."""
     text = np.frombuffer(b"".join(segs), np.uint8)
     sizes = np.array([len(s) for s in segs])
     starts = np.cumsum(sizes) - sizes
@@ -295,10 +284,9 @@ def match_segments(group: list[int], segs: list[bytes], least: int, keep_first:
     cand = np.flatnonzero(twin)
     if len(cand):
         windows = np.lib.stride_tricks.sliding_window_view(text, least)[at[cand]]
-        before, after = longest_factors(*suffix_order(windows))
-        flags[cand] = before >= least if keep_first else (before >= least) | (after >= least)
-    stops = np.cumsum(counts)
-    return [_runs(flags[stop - n : stop]) for stop, n in zip(stops.tolist(), counts.tolist())]
+        before, after = longest_factors(*suffix_order(windows), least)
+        flags[cand] = before if keep_first else before | after
+    return runs_of(flags, owner, inside)
 
 
 def _explode_windows(least: int):
@@ -306,10 +294,14 @@ def _explode_windows(least: int):
         """Rows (dig, i, win) for every window of a segment: win is the digest
         of its bytes."""
         for b in batches:
-            for dig, seg in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = len(seg) - least + 1
-                wins = [_digest(seg[i : i + least]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([dig] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(wins, pa.binary())], names=["dig", "i", "win"])
+            for k in range(0, b.num_rows, 256):
+                digs, places, wins = [], [], []
+                for dig, seg in zip(b.column(0)[k : k + 256].to_pylist(), b.column(1)[k : k + 256].to_pylist()):
+                    n = len(seg) - least + 1
+                    digs += [dig] * n
+                    places += range(n)
+                    wins += [_digest(seg[i : i + least]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(digs, pa.binary()), pa.array(places, pa.int32()), pa.array(wins, pa.binary())], names=["dig", "i", "win"])
 
     return run
 
@@ -399,7 +391,7 @@ def repeats(docs: DataFrame, keep: str = "first", id: str = "doc_id", text: str
     ab = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     some = F.transform("runs", lambda r: ab(F.col("first") + r["a"], F.col("first") + r["b"] - 1 + least))
     covered = F.when(whole, F.array(ab(F.col("first"), F.col("last") + least))).when(F.size("runs") > 0, some)
-    spans = places.select("row", "row2", F.explode(covered).alias("s")).groupBy("row", "row2").agg(F.collect_set("s").alias("spans"))
+    spans = places.select("row", "row2", covered.alias("s")).where("s is not null").groupBy("row", "row2").agg(F.flatten(F.collect_set("s")).alias("spans"))
     final = squeezed.join(spans.hint("shuffle_hash"), ["row", "row2"], "left").select("id", "z", "spans")
     out = final.mapInArrow(_cleaner, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
     return out.withColumnRenamed("id", id)
