@@ -1,4 +1,8 @@
 """Named queries of the library and the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from tidemark.plans import data_queries, search_queries, state_queries, text_queries
+
+_PARTS = (text_queries.R, data_queries.R, search_queries.R, state_queries.R)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.sql.items()}
