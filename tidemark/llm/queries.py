@@ -79,4 +79,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _spans_sql(rule: secrets.Rule) -> str:
+    """(doc_id, start, rank, kind, stop) of one rule: text between matches and
+    matches, measured in turn."""
+    p = rule.pattern.replace("'", "''")
+    rank = secrets.RULES.index(rule)
+    return f"""SELECT row, start, {rank} AS rank, '{rule.kind}' AS kind, start + len AS stop FROM (SELECT row, len, part, sum(gap) OVER w + coalesce(sum(len) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+FROM (SELECT row, i, length(g[i]) AS gap, length(h[i]) AS len, length(q[i]) AS part FROM (SELECT row, g, h, q, unnest(range(1, len(h) + 1)) AS i FROM
+(SELECT row, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {rule.group}) AS q FROM d WHERE regexp_matches(t, '{p}')))) WINDOW w AS (PARTITION BY row ORDER BY i)) WHERE part >= {rule.least}"""
+
+
+_ALL_SPANS = " UNION ALL ".join(map(_spans_sql, secrets.RULES))
+_BASE = ", ".join(f"'{r.kind}'" for r in secrets.RULES if r.base)
+
+OP3_SQL = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents), s AS ({_ALL_SPANS}),
+a AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' ORDER BY start, rank) FILTER (kind IN ({_BASE})) AS base, string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' ORDER BY start, rank) AS spans FROM s GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.row = d.row"""
+
+_SEPARATED = " + ".join(f"(length(l) - length(replace(l, '{s}', '')))" for s in quality.SEPARATORS)
+_CLOSERS = quality.CLOSERS.replace("'", "''").replace("]", "\\]")
+
+OP4_SQL = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+g AS (SELECT row, i, x, count(*) OVER (PARTITION BY row, x) AS c FROM (SELECT row, i, [w[i], w[i + 1], w[i + 2]] AS x FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2))),
+r AS (SELECT row, count(DISTINCT i + k) AS n FROM g, range(3) o(k) WHERE c > 1 GROUP BY row),
+ln AS (SELECT row, k, l, length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS chars, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT row, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)),
+j AS (SELECT row, chars, row_number() OVER (PARTITION BY row, l ORDER BY k) > 1 AS again,
+len(regexp_extract_all(l, '[#*$%&|<>]')) > {quality.MAX_SYMBOLS_PER_WORD} * words OR len(regexp_extract_all(l, '!')) > {quality.MAX_EXCLAMATIONS_PER_WORD} * words OR {_SEPARATED} >= {quality.MIN_SEPARATORS}
+OR (words <= {quality.LABEL_WORDS} AND NOT regexp_matches(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), '[{_CLOSERS}]$')) OR regexp_matches(l, '{quality.BOILERPLATE}') AS bad FROM ln WHERE words > 0),
+s AS (SELECT row, sum(chars) AS total, sum(chars) FILTER (NOT again AND NOT bad) AS kept, count(*) FILTER (again) AS dup FROM j GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(total, 0)::bigint AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+len(w) < {quality.MIN_WORDS} OR 100 * coalesce(r.n, 0) > {quality.MAX_REPEAT_PERCENT} * len(w) AS base_failed,
+NOT (len(w) < {quality.MIN_WORDS} OR 100 * coalesce(r.n, 0) > {quality.MAX_REPEAT_PERCENT} * len(w)) AND coalesce(kept, 0) >= {quality.MIN_KEPT} * total AS kept FROM d LEFT JOIN r ON r.row = d.row LEFT JOIN s ON s.row = d.row"""
+
+OP6_SQL = f"""WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')) AS key FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS k FROM d GROUP BY source),
+c AS (SELECT *, {mixing.MAX_REPEAT} * source_size::double AS cap, {list(map(float, mixing.WEIGHTS))}[1 + (k - 1) % {len(mixing.WEIGHTS)}] AS weight FROM s),
+l AS (SELECT *, cap / weight AS ratio, ({mixing.SHARE} * (SELECT sum(source_size) FROM s)::double - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, round(CASE WHEN level >= ratio THEN cap ELSE least((SELECT max(level) FROM l WHERE level < ratio) * weight, cap) END, 6) AS target FROM l),
+q AS (SELECT d.doc_id, d.size, t.source_size::bigint AS source_size, t.target, floor(t.target)::bigint AS budget, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, greatest(0, least(size, budget - start)) + greatest(0, least(size, budget - source_size - start)) AS taken FROM q"""
+
+OP10_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, from_hex(sha1(coalesce(html, '')))::bit::varchar AS bits, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
+SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5 * i + 1]::int + 8 * bits[5 * i + 2]::int + 4 * bits[5 * i + 3]::int + 2 * bits[5 * i + 4]::int + bits[5 * i + 5]::int]), '') AS payload_digest,
+CASE WHEN f IS NULL OR f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> coalesce(page_id, f - 1) THEN f END AS refers_to FROM p"""
+
+#: The others hash with XXH64, tile, sort suffixes, render or fit, which SQL cannot express.
+ORACLES: dict[str, str] = {"op3_secrets": OP3_SQL, "op4_quality": OP4_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}
