@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import similarity, text
+from tidemark.functions import text
 from tidemark.plans.blocks import by_block
 
 TOP_K = 8
@@ -21,21 +23,64 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: tuple[str,
     the highest cosine, in each group of ``by``. Scores are rounded, ties go to
     the smaller node_id.
 
-    queries: (query_id, query_vec); corpus: (node_id, vec, *by). The stated
-    query set is broadcast in blocks of bounded size, the corpus is scanned
-    where it lies, and only each partition's best k rows a query are shuffled
-    (the window's group limit runs before the exchange).
+    queries: (query_id, query_vec); corpus: (node_id, vec, *by). A zero vector
+    has cosine 0, a null one is left out. The stated query set goes to the tasks
+    in blocks of bounded size; the corpus is scanned where it lies, an Arrow
+    batch at a time by one matrix product, and only a batch's best k rows a
+    query and group are shuffled.
     """
 
     def one(block: DataFrame) -> DataFrame:
-        score = F.round(similarity.cosine(F.col("query_vec"), F.col("vec")), digits)
-        scored = corpus.join(block).select("query_id", "node_id", *by, score.alias("score"))
+        asked = block.select("query_id", "query_vec").where("query_vec is not null").collect()
+        ids, unit = [r[0] for r in asked], _unit(np.array([r[1] for r in asked], np.float64))
+        kinds = ", ".join(f"{c} {t}" for c, t in corpus.select("node_id", *by).dtypes)
+        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
+        rows = corpus.where("vec is not null").select("node_id", *by, "vec").mapInArrow(_best_of_batch(ids, unit, k, len(by), digits), schema)
         w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "node_id")
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     return by_block(queries, "query_id", one)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=-1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _best_of_batch(ids: list, unit: np.ndarray, k: int, n_by: int, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not ids:
+                continue
+            vecs = b.column(n_by + 1)
+            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            scores = np.round(_unit(flat.reshape(b.num_rows, -1)) @ unit.T, digits) + 0.0
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            group = np.zeros(b.num_rows, np.int64)
+            for i in range(n_by):
+                codes = b.column(1 + i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                group = np.unique(group * (b.num_rows + 1) + codes + 1, return_inverse=True)[1]
+            rows, asked = [], []
+            for g in np.unique(group):
+                mine = np.flatnonzero(group == g)
+                part = -scores[mine]
+                least = part if len(mine) <= k else np.partition(part, k - 1, axis=0)[k - 1]
+                r, q = np.nonzero(part <= least)  # ties with the k-th stay in until they are ordered
+                rows.append(mine[r])
+                asked.append(q)
+            row, q = np.concatenate(rows), np.concatenate(asked)
+            order = np.lexsort((node[row], -scores[row, q], group[row], q))
+            row, q = row[order], q[order]
+            start = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (group[row[1:]] != group[row[:-1]])])
+            nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+            row, q = row[nth < k], q[nth < k]
+            kept = [b.column(i).take(pa.array(row)) for i in range(n_by + 1)]
+            names = ["query_id", *b.schema.names[: n_by + 1], "score"]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), *kept, pa.array(scores[row, q])], names=names)
+
+    return run
+
+
 def dual_domain(queries: DataFrame, menu: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """Both domains' k best for each query: (query_id, kind, node_id, score,
     ordinal), menu rows before chunk rows."""
