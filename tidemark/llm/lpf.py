@@ -26,7 +26,7 @@ from tidemark.llm.common import body, cut, drop
 LEAST = 200
 ANCHOR = 32
 #: Anchors with more distinct segments than this are dealt by window instead, so that no task holds them all.
-MAX_SEGMENTS = 32
+MAX_SEGMENTS = 16
 #: A segment has at most this many windows; longer stretches are several segments.
 MAX_WINDOWS = 1024
 _BASE = 0x9E3779B97F4A7C15
