@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +63,79 @@ def test_simhash_of_near_copies(spark):
     assert sorted(got) == sorted(brute_components(rows))
 
 
+def brute_classes(rows, width=5, similarity=0.8):
+    """[(id, smallest id of its class)] by all pairs of shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                root[find(i)] = find(j)
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[find(i)] = min(d, ids.get(find(i), d))
+    return [(d, ids.get(find(i))) for i, (d, _) in enumerate(rows)]
+
+
+def edited(seed, groups=15, copies=12, words=300):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(4000)}" for _ in range(words)]
+        for k in range(copies):
+            w = list(base)
+            for _ in range(2 * k % 15):
+                w[rng.randrange(words)] = f"x{rng.randrange(9000)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [None, 4])
+def test_near_copies_against_all_pairs(spark, monkeypatch, tile):
+    if tile:
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "SET_TILE", tile)
+    rows = edited(11)
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_classes(rows)
+    assert len({c for _, c in want}) < len(rows)
+    assert sorted((r.doc_id, r.component_id) for r in got) == want
+
+
+def test_near_copies_of_odd_rows(odd, empty):
+    got = [tuple(r)[:2] for r in simhash.near_copies(odd).collect()]
+    assert sorted(got, key=key) == sorted(brute_classes([(r.doc_id, r.text) for r in odd.collect()]), key=key)
+    assert simhash.near_copies(empty).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 7), st.integers(0, 2**32), st.integers(2, 30))
+def test_bit_sliced_distances(radius, seed, n):
+    rng = random.Random(seed)
+    base = rng.getrandbits(64)
+    fps = []
+    for _ in range(n):
+        x = base
+        for _ in range(rng.randrange(radius + 4)):
+            x ^= 1 << rng.randrange(64)
+        fps.append(x)
+    planes = simhash._planes(np.array(fps, np.uint64))
+    for shift in range(1, n):
+        near = simhash._within(planes, shift, (1 << (n - shift)) - 1, radius)
+        assert [near >> i & 1 for i in range(n - shift)] == [int((fps[i] ^ fps[i + shift]).bit_count() <= radius) for i in range(n - shift)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 63), max_size=3), st.integers(0, 2**64 - 1), st.integers(2, 40))
 def test_links_of_a_run(flips, base, n):

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from test_dedup import brute_components  # noqa: E402
+from test_dedup import brute_classes  # noqa: E402
 from test_rules import brute_mix  # noqa: E402
 from test_text import brute_coverage  # noqa: E402
 
@@ -25,8 +25,8 @@ def brute_quality(rows):
 
 
 def brute_near(rows):
-    top = brute_components([(r[0], r[1]) for r in rows])
-    return [r for r, t in zip(rows, top) if t[2] == r[0]]
+    top = brute_classes([(r[0], r[1]) for r in rows])
+    return [r for r, t in zip(rows, top) if t[1] == r[0]]
 
 
 def test_run_equals_brute_force(spark):

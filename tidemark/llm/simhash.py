@@ -10,6 +10,7 @@ counters, and the pass ends as soon as every pair exceeds the radius.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -28,6 +29,15 @@ BLOCKS = 8
 RADIUS = 2
 SEED = 42
 SHINGLE = 3
+#: Near copies: words in a shingle, share of shingles in common, bands of minimum hashes and hashes in a band.
+NEAR_WIDTH = 5
+NEAR_SIMILARITY = 0.8
+BANDS, ROWS = 8, 2
+_MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(1, BANDS * ROWS + 1)]
+#: Fingerprints of a crowded bucket that meet in one task, times two.
+TILE = 2048
+#: The same for sets of shingles.
+SET_TILE = 512
 _STEP = 1 << 16
 
 
@@ -71,19 +81,25 @@ def _planes(fps: np.ndarray) -> list[int]:
     return [int.from_bytes(r.tobytes(), "little") for r in rows]
 
 
-def _within(planes: list[int], shift: int, lanes: int) -> int:
-    """The lanes (rows i) at most RADIUS (2) bits from row i + shift. Carry-save
-    counters: ones and twos hold counts 0 to 3, and lanes past the radius leave
-    at once; with none left the block is abandoned."""
-    ones = twos = 0
+def _within(planes: list[int], shift: int, lanes: int, radius: int) -> int:
+    """The lanes (rows i) at most ``radius`` bits from row i + shift. The
+    counters are bit planes themselves, one a binary digit, added to by
+    carry-save steps; they start so high that passing the radius carries out of
+    the last one, and such lanes leave at once. With none left the block is
+    abandoned."""
+    digits = radius.bit_length()
+    start = (1 << digits) - 1 - radius
+    counter = [lanes if start >> k & 1 else 0 for k in range(digits)]
     for p in planes:
-        diff = (p ^ (p >> shift)) & lanes
-        carry = ones & diff
-        ones ^= diff
-        twos ^= carry
-        lanes &= ~(ones & twos)
-        if not lanes:
-            return 0
+        carry = (p ^ (p >> shift)) & lanes
+        for k in range(digits):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+            if not carry:
+                break
+        else:
+            lanes &= ~carry
+            if not lanes:
+                return 0
     return lanes
 
 
@@ -96,7 +112,7 @@ def _mask(flags: np.ndarray) -> int:
     return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
 
-def link_sorted(runs: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def link_sorted(runs: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links (fp, root) inside stretches of equal ``runs``: linked rows of a run
     get one root, the smallest fingerprint of theirs. At most one link a row
     comes out, however many pairs are near."""
@@ -111,7 +127,7 @@ def link_sorted(runs: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
         pair = k[shift:] == k[:-shift]
         if not pair.any():
             break
-        near = _within(planes, shift, _mask(pair))
+        near = _within(planes, shift, _mask(pair), radius)
         if near:
             i = _set_bits(near, len(rows))
             _unite(root, rows[i], rows[i + shift])
@@ -144,28 +160,31 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[max(x, y)] = min(x, y)
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (combo, key, fp) sorted by (combo, key): links in each run. The last
-    run of a batch waits for the next batch; a run agrees on 48 bits, so it has
-    2**16 rows at most."""
-    held_c, held_k, held_f = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _link_batches(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by all columns, the last of them fp, the others naming
+        the run: links in each run. A batch's last run waits for the next batch."""
+        held: list[np.ndarray] | None = None
 
-    def out(runs: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        a, b = link_sorted(runs, f)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+        def out(runs: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            a, b = link_sorted(runs, f.view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
-    for b in batches:
-        c = np.r_[held_c, b.column(0).to_numpy()]
-        k = np.r_[held_k, b.column(1).to_numpy()]
-        f = np.r_[held_f, b.column(2).to_numpy().view(np.uint64)]
-        new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.zeros(0, bool)
-        runs = np.cumsum(new)
-        cut_at = int(np.flatnonzero(new)[-1]) if len(k) else 0
-        if cut_at:
-            yield out(runs[:cut_at], f[:cut_at])
-        held_c, held_k, held_f = c[cut_at:], k[cut_at:], f[cut_at:]
-    if len(held_k):
-        yield out(np.zeros(len(held_k), np.int64), held_f)
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                cols = [np.r_[h, c] for h, c in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            new = np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:-1]], axis=0)]
+            at = int(np.flatnonzero(new)[-1])
+            if at:
+                yield out(np.cumsum(new)[:at], cols[-1][:at])
+            held = [c[at:] for c in cols]
+        if held is not None:
+            yield out(np.zeros(len(held[-1]), np.int64), held[-1])
+
+    return run
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -187,7 +206,7 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.select(fp, F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("combo", "mask"))
     keyed = keyed.select("combo", fp.bitwiseAND(F.col("mask")).alias("key"), fp)
     dealt = keyed.repartition("combo", "key").sortWithinPartitions("combo", "key", "fp")
-    return dealt.mapInArrow(_link_batches, "src long, dst long").distinct()
+    return dealt.mapInArrow(_link_batches(RADIUS), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -210,3 +229,167 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     return rows.join(named, "fp").select(
         F.col("id").alias(id), hexed("fp").alias("fingerprint"), "component_id", hexed("component").alias("component_fp")
     )
+
+
+def radius_for(similarity: float) -> int:
+    """Bits in which fingerprints of two texts with that share of common
+    shingles differ, plus one and a half standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(BITS * p + 1.5 * math.sqrt(BITS * p * (1 - p)) - 0.5)
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of a text's shingles; a text of fewer
+    words is one shingle."""
+    words = raw.lower().split()
+    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))}), np.uint64)
+
+
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def _sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, node, fp, keys): node names the set of shingles; a key is of a
+        pair of the least shingle hashes under two multipliers."""
+        for b in batches:
+            raws = b.column(1).to_pylist()
+            nodes, fps, keys = [], [], []
+            for raw in raws:
+                h = shingle_set(raw, width)
+                least = np.array([(h * m >> np.uint64(11)).min() for m in _MULTIPLIERS], np.uint64)
+                nodes.append(_node(h))
+                fps.append(fingerprint(raw, width))
+                keys += [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, len(least), ROWS)]
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raws) + 1, dtype=np.int32) * BANDS), signed(keys))
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(nodes), signed(fps), lists], names=["id", "node", "fp", "keys"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, fp, shingles) once a task for each set: the upper halves of
+        the hashes, sorted."""
+        seen: set[int] = set()
+        for b in batches:
+            nodes, fps, sets = [], [], []
+            for raw in b.column(0).to_pylist():
+                h = shingle_set(raw, width)
+                node = _node(h)
+                if node in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(node)
+                nodes.append(node)
+                fps.append(fingerprint(raw, width))
+                sets.append((h >> np.uint64(32)).astype("<u4").tobytes())
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([signed(nodes), signed(fps), pa.array(sets, pa.binary())], names=["node", "fp", "shingles"])
+
+    return run
+
+
+def link_similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the number of the first set of its class, classes being
+    joined by pairs of that Jaccard similarity. One set at a time is compared
+    with all; members of the largest class need no turn, since every pair that
+    leaves it is seen from its other end."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    label, done = np.arange(n), np.zeros(n, bool)
+    while True:
+        kinds, counts = np.unique(label, return_counts=True)
+        waiting = np.flatnonzero(~done & (label != kinds[counts.argmax()]))
+        if not len(waiting):
+            return label
+        p = waiting[0]
+        done[p] = True
+        mine = sets[p]
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        common = np.bincount(owner[mine[at] == flat], minlength=n)
+        near = common >= similarity * (sizes + sizes[p] - common)
+        label[np.isin(label, label[near])] = label[near].min()
+
+
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (component, a, b, node, shingles) sorted by all but the last:
+        links inside each group, which has two tiles of sets at most."""
+        now, group = None, {}
+
+        def out() -> pa.RecordBatch:
+            nodes = list(group)
+            label = link_similar([np.frombuffer(group[x], "<u4") for x in nodes], similarity) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
+            pairs = [(x, nodes[k]) for x, k in zip(nodes, label.tolist()) if x != nodes[k]]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            for c, a, b, node, raw in zip(*(x.to_pylist() for x in batch.columns)):
+                if (c, a, b) != now:
+                    if len(group) > 1:
+                        yield out()
+                    now, group = (c, a, b), {}
+                group[node] = raw
+        if len(group) > 1:
+            yield out()
+
+    return run
+
+
+def _tiled(rows: DataFrame, by: list[str], n: str, item: str, tile: int) -> DataFrame:
+    """``rows`` with columns a, b: groups ``by`` of at most ``tile`` items (their
+    number is in column ``n``) stay whole, larger ones are dealt out so that any
+    two items meet under some pair of tiles."""
+    rows = rows.withColumn("_t", F.ceil(F.col(n) / tile).cast("long"))
+    rows = rows.withColumn("_m", F.pmod(F.xxhash64(item), F.col("_t"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1)))
+    return rows.withColumns({"a": F.least("_m", "_o"), "b": F.greatest("_m", "_o")}).drop("_t", "_m", "_o", n)
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """(id, component_id, component): classes of texts joined by pairs whose
+    sets of ``width``-word shingles have a Jaccard similarity of ``similarity``
+    or more; component_id is the smallest id of the class, component its name.
+
+    Texts meet if they agree on one of BANDS pairs of minimum hashes (at 0.8,
+    all but three in ten thousand pairs that similar do). Bit-sliced distances
+    of their fingerprints within the radius for that similarity join them to
+    candidate components, in which the similarity is then checked exactly. Only
+    distinct texts that met another are moved. Crowded buckets and components
+    are dealt out in pairs of tiles: no task holds one, no pair is left out.
+
+    Null and empty texts are alike; null ids stay, and are a component_id only
+    where all ids are null; repeated rows are one text; an empty table gives
+    none; other columns are ignored. Shingle hashes are compared by 32 bits.
+    """
+    kind = docs.schema[id].dataType.simpleString()
+    src = docs.select(F.col(id).alias("id"), body(text).alias("raw"))
+    rows = cut(src.mapInArrow(_sketches(width), f"id {kind}, node long, fp long, keys array<long>"), "sketches")
+
+    band = rows.select("fp", F.posexplode("keys").alias("band", "key")).distinct()
+    met = band.join(band.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"])
+    met = _tiled(met, ["band", "key"], "n", "fp", TILE).select("band", "key", "a", "b", "fp")
+    dealt = met.repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b", "fp")
+    linked = dealt.mapInArrow(_link_batches(radius_for(similarity)), "src long, dst long").distinct()
+    candidates = connected_components(cut(linked, "links")).withColumnRenamed("node", "fp")
+
+    nodes = rows.select("node", "fp").distinct()
+    lone = nodes.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").join(candidates, "fp", "left_anti").select("fp", F.col("fp").alias("component"))
+    placed = candidates.unionByName(lone)
+    sizes = nodes.join(placed, "fp").groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    placed = cut(placed.join(sizes, "component"), "placed")
+    sets = src.select("raw").mapInArrow(_sets(width), "node long, fp long, shingles binary")
+    checked = sets.join(placed.hint("shuffle_hash"), "fp").select("component", "n", "node", "shingles")
+    checked = _tiled(checked, ["component"], "n", "node", SET_TILE).select("component", "a", "b", "node", "shingles")
+    checked = checked.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
+    same = connected_components(cut(checked.mapInArrow(_verify(similarity), "src long, dst long").distinct(), "same"))
+
+    least = rows.groupBy("node").agg(F.min("id").alias("least")).join(same, "node", "left")
+    least = least.select("node", "least", F.coalesce("component", "node").alias("component"))
+    top = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = least.join(top, "component").select("node", "component_id", "component")
+    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id), "component_id", "component")

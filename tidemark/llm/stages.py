@@ -19,12 +19,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id
+    """One document of each group of texts that share 0.8 or more of their
+    five-word shingles: that with the smallest id
     (nulls last); of rows that share it, the one with the least hash."""
     rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("h1"), F.xxhash64(F.lit(1), *COLUMNS).alias("h2"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
-    found = simhash.near_duplicates(rows.select(place.alias("place"), "text"), id="place")
-    first = found.groupBy("component_fp").agg(F.min("place").alias("p")).select("p.h1", "p.h2")
+    found = simhash.near_copies(rows.select(place.alias("place"), "text"), id="place")
+    first = found.groupBy("component").agg(F.min("place").alias("p")).select("p.h1", "p.h2")
     kept = rows.join(first.hint("shuffle_hash"), ["h1", "h2"])
     nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("h1"))  # rows equal in everything share a place
     return kept.withColumn("nth", nth).where("nth = 1").select(*COLUMNS)
