@@ -32,7 +32,7 @@ SHINGLE = 3
 #: Near copies: words in a shingle, share of shingles in common, bands of minimum hashes and hashes in a band.
 NEAR_WIDTH = 5
 NEAR_SIMILARITY = 0.8
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 12, 2
 _MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(1, BANDS * ROWS + 1)]
 #: Fingerprints of a crowded bucket that meet in one task, times two.
 TILE = 2048
@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
 def radius_for(similarity: float) -> int:
     """Bits in which fingerprints of two texts with that share of common
-    shingles differ, plus one and a half standard deviations."""
+    shingles differ, plus four standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(BITS * p + 1.5 * math.sqrt(BITS * p * (1 - p)) - 0.5)
+    return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
 
 
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
@@ -356,7 +356,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     or more; component_id is the smallest id of the class, component its name.
 
     Texts meet if they agree on one of BANDS pairs of minimum hashes (at 0.8,
-    all but three in ten thousand pairs that similar do). Bit-sliced distances
+    all but five in a million pairs that similar do). Bit-sliced distances
     of their fingerprints within the radius for that similarity join them to
     candidate components, in which the similarity is then checked exactly. Only
     distinct texts that met another are moved. Crowded buckets and components
