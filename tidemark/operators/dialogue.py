@@ -62,7 +62,7 @@ def repeat_to(rows: DataFrame, n: int, order: str) -> DataFrame:
     listed = rows.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
     m = max(1, rows.count())
     wanted = rows.sparkSession.range(n).select(F.col("id").alias("i"), (F.col("id") % m).cast("int").alias("_k"))
-    return wanted.join(F.broadcast(listed), "_k").drop("_k")
+    return wanted.join(listed, "_k").drop("_k")
 
 
 def question_set(faq: DataFrame, menu: DataFrame, n: int, seed: str = "42") -> DataFrame:
