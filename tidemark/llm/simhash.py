@@ -35,9 +35,9 @@ NEAR_SIMILARITY = 0.8
 BANDS, ROWS = 12, 2
 _MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(1, BANDS * ROWS + 1)]
 #: Fingerprints of a crowded bucket that meet in one task, times two.
-TILE = 2048
+TILE = 8192
 #: The same for sets of shingles.
-SET_TILE = 512
+SET_TILE = 4096
 _STEP = 1 << 16
 
 
@@ -119,7 +119,7 @@ def link_sorted(runs: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tupl
     root = np.arange(len(fps))
     first = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
     size = np.diff(np.r_[first, len(runs)])
-    size = np.repeat(size, size)
+    count, size = size, np.repeat(size, size)
     shift, rows = 1, np.flatnonzero(size > 1)
     planes = _planes(fps[rows])
     while shift < len(rows):
@@ -132,9 +132,14 @@ def link_sorted(runs: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tupl
             i = _set_bits(near, len(rows))
             _unite(root, rows[i], rows[i + shift])
         shift += 1
-        if shift & (shift - 1) == 0 and (size[rows] <= shift).any():  # drop the runs that are done
-            rows = rows[size[rows] > shift]
-            planes = _planes(fps[rows])
+        if shift & (shift - 1) == 0:  # drop the runs that are done or one class already
+            while (root[root] != root).any():
+                root = root[root]
+            united = np.repeat(np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first), count)
+            left = (size[rows] > shift) & ~united[rows]
+            if not left.all():
+                rows = rows[left]
+                planes = _planes(fps[rows])
     while (root[root] != root).any():
         root = root[root]
     signed = fps.view(np.int64)
