@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     best = counts.where(speaks).orderBy(chi2.desc(), "f").limit(max_features)
     names = [r["f"] for r in best.select("f").collect()]
     vocab = {f: i for i, f in enumerate(dict.fromkeys([*names, *_NEXT]))}
-    coded = rows.mapInArrow(_encode(vocab), "key long, toxic int, given array<int>, swapped array<int>").toPandas()
+    kind = docs.schema[id].dataType.simpleString()
+    coded = rows.mapInArrow(_encode(vocab), f"key {kind}, toxic int, given array<int>, swapped array<int>").toPandas()
     coded["order"] = coded["given"].map(lambda v: tuple(v))
     coded = coded.sort_values(["key", "order"])
     x = _matrix(coded["given"], len(vocab))
