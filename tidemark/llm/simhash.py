@@ -41,24 +41,30 @@ SET_TILE = 4096
 _STEP = 1 << 16
 
 
-def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
-    """The fingerprint of a UTF-8 text: A-Z lowered, words of non-space, shingles
-    of ``width`` words joined by a space, repeats counted."""
+def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text: A-Z lowered, words of non-space,
+    ``width`` words joined by a space, repeats kept; fewer words are one
+    shingle, none give none."""
     words = raw.lower().split()
-    if not words:
-        return 0
+    digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        digest, join = xxhash.xxh64_intdigest, b" ".join
-        hashes = [digest(join(s), SEED) for s in zip(*(islice(words, i, None) for i in range(width)))]
+        return np.array([digest(join(words), SEED)] if words else [], "<u8")
+    return np.array([digest(join(s), SEED) for s in zip(*(islice(words, i, None) for i in range(width)))], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: bits set in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _STEP):
-        part = np.array(hashes[i : i + _STEP], "<u8")
+        part = hashes[i : i + _STEP]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
+    return majority(shingle_hashes(raw, width))
+
+
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = SHINGLE) -> DataFrame:
     """The columns ``keep`` and ``fp`` (the fingerprint as a signed long) of
     every row; null and empty texts have fingerprint zero."""
@@ -243,11 +249,9 @@ def radius_for(similarity: float) -> int:
     return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
 
 
-def shingle_set(raw: bytes, width: int) -> np.ndarray:
-    """The sorted distinct XXH64 hashes of a text's shingles; a text of fewer
-    words is one shingle."""
-    words = raw.lower().split()
-    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))}), np.uint64)
+def _set_of(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes; a text without words has the one hash zero."""
+    return np.unique(hashes) if len(hashes) else np.zeros(1, "<u8")
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -262,10 +266,11 @@ def _sketches(width: int):
             raws = b.column(1).to_pylist()
             nodes, fps, keys = [], [], []
             for raw in raws:
-                h = shingle_set(raw, width)
+                every = shingle_hashes(raw, width)
+                h = _set_of(every)
                 least = np.array([(h * m >> np.uint64(11)).min() for m in _MULTIPLIERS], np.uint64)
                 nodes.append(_node(h))
-                fps.append(fingerprint(raw, width))
+                fps.append(majority(every))
                 keys += [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, len(least), ROWS)]
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raws) + 1, dtype=np.int32) * BANDS), signed(keys))
@@ -282,7 +287,8 @@ def _sets(width: int):
         for b in batches:
             nodes, fps, sets = [], [], []
             for raw in b.column(0).to_pylist():
-                h = shingle_set(raw, width)
+                every = shingle_hashes(raw, width)
+                h = _set_of(every)
                 node = _node(h)
                 if node in seen:
                     continue
@@ -290,7 +296,7 @@ def _sets(width: int):
                     seen.clear()
                 seen.add(node)
                 nodes.append(node)
-                fps.append(fingerprint(raw, width))
+                fps.append(majority(every))
                 sets.append((h >> np.uint64(32)).astype("<u4").tobytes())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([signed(nodes), signed(fps), pa.array(sets, pa.binary())], names=["node", "fp", "shingles"])
