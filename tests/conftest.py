@@ -7,7 +7,6 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-TESTDATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,7 @@
 """Every registered query of the library against its SQL."""
 
 import pytest
-from conftest import TESTDATA
-from oracle import connect, compare
+from oracle import TESTDATA, compare, connect
 
 from tidemark import queries
 
