@@ -113,6 +113,21 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, tile):
     assert sorted((r.doc_id, r.component_id) for r in got) == want
 
 
+def with_line(seed, times, change=0, single=100, line=9):
+    """A text whose last line stands there several times."""
+    rng = random.Random(seed)
+    base, last = [f"w{rng.randrange(10**6)}" for _ in range(single)], [f"l{rng.randrange(10**6)}" for _ in range(line)]
+    return " ".join([*(["changed"] * change), *base[change:], *last * times])
+
+
+def test_near_copies_that_repeat_a_line(spark):
+    rows = [(2 * g + k, with_line(g, (1, 20)[k])) for g in range(20) for k in range(2)]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_classes(rows)
+    assert len({c for _, c in want}) == 20
+    assert sorted((r.doc_id, r.component_id) for r in got) == want
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     got = [tuple(r)[:2] for r in simhash.near_copies(odd).collect()]
     assert sorted(got, key=key) == sorted(brute_classes([(r.doc_id, r.text) for r in odd.collect()]), key=key)

@@ -260,17 +260,17 @@ def _node(shingles: np.ndarray) -> int:
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, node, fp, keys): node names the set of shingles; a key is of a
-        pair of the least shingle hashes under two multipliers."""
+        """(id, node, fp, keys): node names the set of shingles, fp is its
+        fingerprint, repeats not counted, as the similarity is that of sets; a key
+        is of a pair of the least shingle hashes under two multipliers."""
         for b in batches:
             raws = b.column(1).to_pylist()
             nodes, fps, keys = [], [], []
             for raw in raws:
-                every = shingle_hashes(raw, width)
-                h = _set_of(every)
+                h = _set_of(shingle_hashes(raw, width))
                 least = np.array([(h * m >> np.uint64(11)).min() for m in _MULTIPLIERS], np.uint64)
                 nodes.append(_node(h))
-                fps.append(majority(every))
+                fps.append(majority(h))
                 keys += [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, len(least), ROWS)]
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raws) + 1, dtype=np.int32) * BANDS), signed(keys))
@@ -287,8 +287,7 @@ def _sets(width: int):
         for b in batches:
             nodes, fps, sets = [], [], []
             for raw in b.column(0).to_pylist():
-                every = shingle_hashes(raw, width)
-                h = _set_of(every)
+                h = _set_of(shingle_hashes(raw, width))
                 node = _node(h)
                 if node in seen:
                     continue
@@ -296,7 +295,7 @@ def _sets(width: int):
                     seen.clear()
                 seen.add(node)
                 nodes.append(node)
-                fps.append(majority(every))
+                fps.append(majority(h))
                 sets.append((h >> np.uint64(32)).astype("<u4").tobytes())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([signed(nodes), signed(fps), pa.array(sets, pa.binary())], names=["node", "fp", "shingles"])
