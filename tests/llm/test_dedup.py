@@ -128,6 +128,16 @@ def test_near_copies_that_repeat_a_line(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == want
 
 
+def test_near_copies_that_repeat_a_line_in_any_partition(spark):
+    # texts 0 and 1 of a group have one set of shingles, 2 and 3 are near copies of one of them each
+    rows = [(4 * g + k, with_line(g, t, c)) for g in range(10) for k, (t, c) in enumerate([(20, 0), (2, 0), (2, 1), (20, 1)])]
+    want = brute_classes(rows)
+    assert len({c for _, c in want}) == 10
+    for order, parts in ((rows, 1), (rows[::-1], 1), (rows, 8)):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(order, parts), "doc_id long, text string")
+        assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(df).collect()) == want
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     got = [tuple(r)[:2] for r in simhash.near_copies(odd).collect()]
     assert sorted(got, key=key) == sorted(brute_classes([(r.doc_id, r.text) for r in odd.collect()]), key=key)
