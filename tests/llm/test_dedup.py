@@ -240,6 +240,20 @@ def test_repeats_keeping_the_first(spark):
     assert got == brute_keep_first([(d, (t or "").encode()) for d, t in rows], 200)
 
 
+def test_repeats_keeping_the_first_of_copies_in_several_tasks(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    shared = [prose(120) for _ in range(4)]
+    rows = list(enumerate([f"{prose(20)} {s}{prose(20)}" for s in shared for _ in range(6)] + [f"{prose(20)} {s[: k * 150]}{prose(20)}" for s in shared for k in (2, 3)]))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.doc_id: bytes(r.kept) for r in lpf.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep="first").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert got == brute_keep_first([(d, t.encode()) for d, t in rows], 200)
+
+
 def test_repeats_of_odd_rows(odd, empty):
     got = lpf.repeats(odd, keep="none").collect()
     assert len(got) == odd.count()

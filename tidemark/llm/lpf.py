@@ -222,9 +222,10 @@ _VERDICT = "dig binary, runs array<struct<a:int,b:int>>"
 
 def _judge(least: int, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (h, dig, seg, n) sorted by h, at most MAX_SEGMENTS an h: the
-        runs of windows of each segment that occur in another one too. The last
-        anchor of a batch waits for the next batch."""
+        """Rows (h, dig, seg) sorted by h, equal segments together, at most
+        MAX_SEGMENTS different ones an h: the runs of windows of each segment that
+        occur in another one too. A segment comes once from every task that saw
+        it, and counts once. The last anchor of a batch waits for the next batch."""
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -235,7 +236,10 @@ def _judge(least: int, keep_first: bool):
             return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in pick.tolist()], pa.binary()), lists], names=["dig", "runs"])
 
         for b in batches:
-            rows = held + list(zip(*(c.to_pylist() for c in b.columns)))
+            rows = held
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if not rows or r[:2] != rows[-1][:2]:
+                    rows.append(r)
             stop = len(rows)
             while stop and rows[stop - 1][0] == rows[-1][0]:
                 stop -= 1
