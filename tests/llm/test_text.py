@@ -27,6 +27,30 @@ def test_table_is_aligned():
     assert html_render.render(html) == "cap\nname       n\nlong name  1\ntwo        22\n           3\nwide\n\nin  ner\n\nend" or html_render.render(html).startswith("cap\nname       n\nlong name  1\ntwo        22\n           3\nwide")
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<table><colgroup><col><col><tr><td>x<td>y</table>end", "x  y\n\nend"),
+        ("<table><colgroup><col><tbody><tr><td>x</table>", "x"),
+        ("<table><colgroup><td>x</table>", "x"),
+        ("<table><form action=a><tr><td>x</td></tr></form></table>", "x"),
+        ("<table><tr><form><td>x<td>y</form></table>end", "x  y\n\nend"),
+        ("<table>note<tr><td>x</table>", "note\n\nx"),
+        ("a<table><tr>b<td>x</td>c</tr><p>d</table>", "abc\n\nd\n\nx"),
+        ("<table><div>one<tr><td>x<td>y</table>", "one\n\nx  y"),
+        ("<table hidden>note<tr><td>x</table>", "note"),
+        ("<table><tr><td>x</tr><table><tr><td>y</table>z", "x\n\ny\n\nz"),
+        ("<table><tr><td>x<table><tr><td>y</table></table>z", "x\n\ny\n\nz"),
+    ],
+)
+def test_tables_lose_no_text(html, want):
+    assert html_render.render(html) == want
+
+
+def test_raw_end_tags_in_capitals():
+    assert html_render.render("\u0130 <SCRIPT>no</SCRIPT>a<style>no</STYLE>b") == "\u0130 ab"
+
+
 def test_entities_pre_and_broken_markup():
     assert html_render.render("a &amp; b &lt;c&gt; <pre>x\n  y</pre> 1 < 2 <!-- gone --> <![CDATA[z]]> <a href='>'>q</a>") == "a & b <c>\n\nx\n  y\n\n1 < 2 q"
     assert html_render.render("</p></div><td>x<td>y") == "x\n\ny" or "x" in html_render.render("</p></div><td>x<td>y")

@@ -40,6 +40,13 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
+#: Where a start tag of a table's structure belongs: what is open inside of the nearest of these ends first.
+CONTEXT = dict.fromkeys(("caption", "colgroup", "col", "thead", "tbody", "tfoot"), {"table"})
+CONTEXT |= {"tr": {"table", "thead", "tbody", "tfoot"}} | dict.fromkeys(("td", "th"), {"table", "thead", "tbody", "tfoot", "tr"})
+#: Directly in these only a table's structure and INSIDE may stand; a browser shows anything else before the table.
+TABLE = frozenset("table thead tbody tfoot tr".split())
+INSIDE = frozenset(CONTEXT) | frozenset("style script template form".split())
+CELL = frozenset("td th caption template".split())
 #: End tags do not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
 #: Elements nested deeper are hung on the deepest allowed one, their text is kept.
@@ -52,6 +59,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 class Node:
@@ -69,7 +77,6 @@ def parse(html: str) -> Node:
     root = Node("#root")
     stack = [root]
     at, n = 0, len(html)
-    lower = None
     while at < n:
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -83,9 +90,8 @@ def parse(html: str) -> Node:
             tag, attrs = m[2].lower(), m[3]
             _start(stack, tag, attrs)
             if tag in RAW and stack[-1].tag == tag:
-                lower = lower or html.lower()
-                end = lower.find(f"</{tag}", at) if len(lower) == n else html.find(f"</{tag}", at)
-                end = n if end < 0 else end
+                found = _RAW_END[tag].search(html, at)
+                end = found.start() if found else n
                 inner = html[at:end]
                 stack[-1].children.append(unescape(inner) if tag in ("textarea", "title") else inner)
                 close = html.find(">", end)
@@ -95,7 +101,36 @@ def parse(html: str) -> Node:
 
 
 def _text(stack: list[Node], text: str) -> None:
-    stack[-1].children.append(text)
+    if _SPACE.fullmatch(text):
+        stack[-1].children.append(text)
+        return
+    if stack[-1].tag == "colgroup":
+        stack.pop()
+    _add(stack, text)
+
+
+def _add(stack: list[Node], child: Node | str) -> None:
+    """Hangs a child on the open element or, where a table allows none, before
+    the table (foster parenting)."""
+    if stack[-1].tag in TABLE and (isinstance(child, str) or child.tag not in INSIDE):
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "table":
+                around = stack[i - 1].children
+                around.insert(len(around) - 1, child)
+                return
+            if stack[i].tag in CELL:
+                break
+    stack[-1].children.append(child)
+
+
+def _clear(stack: list[Node], context: set) -> None:
+    """Ends what is open inside of the nearest element of ``context``."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in context:
+            del stack[i + 1 :]
+            return
+        if stack[i].tag in CELL:
+            return
 
 
 def _close(stack: list[Node], tags: frozenset | set, barrier: frozenset | set) -> None:
@@ -109,10 +144,20 @@ def _close(stack: list[Node], tags: frozenset | set, barrier: frozenset | set) -
 
 
 def _start(stack: list[Node], tag: str, attrs: str) -> None:
+    if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+        stack.pop()
     if tag in ENDS_P:
         _close(stack, {"p"}, SCOPE)
     if tag in IMPLIED:
         _close(stack, *IMPLIED[tag])
+    if tag in CONTEXT and stack[-1].tag != "colgroup":
+        _clear(stack, CONTEXT[tag])
+    if tag == "table":  # straight in a table it ends that one
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "table":
+                del stack[i:]
+            if i >= len(stack) or stack[i].tag in CELL:
+                break
     if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         stack.pop()
     if tag in ("body", "frameset"):
@@ -122,14 +167,15 @@ def _start(stack: list[Node], tag: str, attrs: str) -> None:
     if tag in BLOCK and stack[-1].tag == "head":
         stack.pop()
     node = Node(tag, attrs)
-    stack[-1].children.append(node)
-    if tag not in VOID and len(stack) < MAX_DEPTH and not (attrs.endswith("/") and tag in ("svg", "path", "g", "use", "rect", "circle", "line")):
+    straight = tag == "form" and stack[-1].tag in TABLE
+    _add(stack, node)
+    if tag not in VOID and not straight and len(stack) < MAX_DEPTH and not (attrs.endswith("/") and tag in ("svg", "path", "g", "use", "rect", "circle", "line")):
         stack.append(node)
 
 
 def _end(stack: list[Node], tag: str) -> None:
     if tag == "br":
-        stack[-1].children.append(Node("br"))
+        _add(stack, Node("br"))
         return
     barrier = frozenset() if tag in SCOPE or tag in ("tr", "thead", "tbody", "tfoot", "body") else SCOPE
     for i in range(len(stack) - 1, 0, -1):
@@ -139,7 +185,7 @@ def _end(stack: list[Node], tag: str) -> None:
         if stack[i].tag in barrier:
             break
     if tag == "p":
-        stack[-1].children.append(Node("p"))
+        _add(stack, Node("p"))
 
 
 class Flow:
