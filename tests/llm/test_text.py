@@ -24,7 +24,7 @@ def test_visibility():
 
 def test_table_is_aligned():
     html = "<table><caption>cap</caption><tr><th>name<th>n<tr><td>long name<td>1<tr><td rowspan=2>two<td>22<tr><td>3<tr><td colspan=2>wide<table><tr><td>in<td>ner</table></table>end"
-    assert html_render.render(html) == "cap\nname       n\nlong name  1\ntwo        22\n           3\nwide\n\nin  ner\n\nend" or html_render.render(html).startswith("cap\nname       n\nlong name  1\ntwo        22\n           3\nwide")
+    assert html_render.render(html) == "cap\nname       n\nlong name  1\ntwo        22\n           3\nwide\n\nin  ner\n\nend"
 
 
 @pytest.mark.parametrize(
@@ -53,7 +53,7 @@ def test_raw_end_tags_in_capitals():
 
 def test_entities_pre_and_broken_markup():
     assert html_render.render("a &amp; b &lt;c&gt; <pre>x\n  y</pre> 1 < 2 <!-- gone --> <![CDATA[z]]> <a href='>'>q</a>") == "a & b <c>\n\nx\n  y\n\n1 < 2 q"
-    assert html_render.render("</p></div><td>x<td>y") == "x\n\ny" or "x" in html_render.render("</p></div><td>x<td>y")
+    assert html_render.render("</p></div><td>x<td>y") == "x\ny"
     assert html_render.render("<div>" * 5000 + "deep") == "deep"
     assert html_render.render("<a title='" + "x" * 50_000) != ""
 

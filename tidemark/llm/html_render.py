@@ -2,13 +2,16 @@
 
 A tree builder with implied tags turns markup into elements; visibility rules
 leave out what a browser would not show; a renderer lays blocks out as lines
-with paragraph spacing, list markers, and table cells in aligned columns.
+with paragraph spacing, list markers, and table cells in aligned columns. Time
+and output grow in proportion to the page, whatever its nesting.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -17,11 +20,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import body
 
-# Fixed values of the HTML standard: element classes by name.
+# Fixed values of the HTML standard: element classes by name, largest spans.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes area base link meta param source track".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre hr figure fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = MARGIN | frozenset(
     "html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li listing main nav option search section summary optgroup tr td th thead tbody tfoot caption".split()
 )
@@ -49,14 +53,16 @@ INSIDE = frozenset(CONTEXT) | frozenset("style script template form".split())
 CELL = frozenset("td th caption template".split())
 #: End tags do not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
-#: Elements nested deeper are hung on the deepest allowed one, their text is kept.
-MAX_DEPTH = 200
+NO_BARRIER = frozenset("table td th caption html template tr thead tbody tfoot body".split())
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+# How the text is laid out; none of these loses any of it. A table that would be wider than so many characters or
+# columns, or lies in so many others, has its cells one below the other; indentation stops at INDENT.
 CELL_GAP = "  "
+WIDTH, COLUMNS, NESTED, INDENT = 240, 1000, 8, 40
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]++|<)",
-    re.S,
-)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
@@ -69,133 +75,179 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def attributes(self) -> dict[str, str]:
-        return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)}
+        found: dict[str, str] = {}
+        for m in _ATTR.finditer(self.attrs):
+            found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+        return found
 
 
-def parse(html: str) -> Node:
-    """The element tree; children are nodes or text. Never fails."""
-    root = Node("#root")
-    stack = [root]
-    at, n = 0, len(html)
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("start", tag, attributes), ("end", tag, "") and
+    ("raw", tag, content) after the start of an element of raw text.
+
+    A quoted attribute may hold ">". Where a quote is never closed, that tag and
+    those after it end at their first ">"; a "<" that no ">" follows is text.
+    So no part of the page is read more than twice.
+    """
+    at, n, quotes = 0, len(html), True
     while at < n:
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        if m[4] is not None:
-            _text(stack, unescape(m[4]))
-        elif m[2] is None:
-            continue
-        elif m[1]:
-            _end(stack, m[2].lower())
-        else:
-            tag, attrs = m[2].lower(), m[3]
-            _start(stack, tag, attrs)
-            if tag in RAW and stack[-1].tag == tag:
-                found = _RAW_END[tag].search(html, at)
-                end = found.start() if found else n
-                inner = html[at:end]
-                stack[-1].children.append(unescape(inner) if tag in ("textarea", "title") else inner)
-                close = html.find(">", end)
-                at = n if close < 0 else close + 1
-                stack.pop()
-    return root
-
-
-def _text(stack: list[Node], text: str) -> None:
-    if _SPACE.fullmatch(text):
-        stack[-1].children.append(text)
-        return
-    if stack[-1].tag == "colgroup":
-        stack.pop()
-    _add(stack, text)
-
-
-def _add(stack: list[Node], child: Node | str) -> None:
-    """Hangs a child on the open element or, where a table allows none, before
-    the table (foster parenting)."""
-    if stack[-1].tag in TABLE and (isinstance(child, str) or child.tag not in INSIDE):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "table":
-                around = stack[i - 1].children
-                around.insert(len(around) - 1, child)
+        lt = html.find("<", at)
+        if lt != at:
+            yield "text", html[at : lt if lt >= 0 else n], ""
+            if lt < 0:
                 return
-            if stack[i].tag in CELL:
-                break
-    stack[-1].children.append(child)
+        if html.startswith("<!--", lt):
+            m = None if html.startswith((">", "->"), lt + 4) else _COMMENT_END.search(html, lt + 4)
+            at = html.index(">", lt) + 1 if html.startswith((">", "->"), lt + 4) else m.end() if m else n
+            continue
+        gt = html.find(">", lt)
+        if gt < 0:
+            yield "text", html[lt:], ""
+            return
+        if html.startswith(("<!", "<?"), lt):
+            at = gt + 1
+            continue
+        tag = _TAG.match(html, lt + 1)
+        if tag is None:
+            yield "text", "<", ""
+            at = lt + 1
+            continue
+        if quotes:
+            m = _QUOTED.match(html, tag.end())
+            quotes = m is not None
+            gt = m.end() - 1 if m else gt
+        name, at = tag[2].lower(), gt + 1
+        if tag[1]:
+            yield "end", name, ""
+            continue
+        yield "start", name, html[tag.end() : gt]
+        if name in RAW:
+            found = _RAW_END[name].search(html, at)
+            end = found.start() if found else n
+            yield "raw", name, html[at:end]
+            close = html.find(">", end)
+            at = n if close < 0 else close + 1
 
 
-def _clear(stack: list[Node], context: set) -> None:
-    """Ends what is open inside of the nearest element of ``context``."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in context:
-            del stack[i + 1 :]
-            return
-        if stack[i].tag in CELL:
-            return
+class Tree:
+    """The element tree while it is built: the open elements, and for each tag
+    where in them it stands, so that no look outwards walks over them."""
 
+    def __init__(self) -> None:
+        self.root = Node("#root")
+        self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        """The innermost open element of ``tags``; 0 if none is open."""
+        found = 0
+        for t in tags:
+            places = self.at.get(t)
+            if places and places[-1] > found:
+                found = places[-1]
+        return found
+
+    def cut(self, i: int) -> None:
+        while len(self.open) > i:
+            self.at[self.open.pop().tag].pop()
+
+    def close(self, tags: Iterable[str], barrier: Iterable[str]) -> None:
+        i = self.nearest(tags)
+        wall = i and self.nearest(barrier)
+        while i > wall:
+            self.cut(i)
+            i = self.nearest(tags)
+
+    def add(self, child: Node | str) -> None:
+        """Hangs a child on the open element or, where a table allows none, before
+        the table (foster parenting)."""
+        if self.open[-1].tag in TABLE and (isinstance(child, str) or child.tag not in INSIDE):
+            i = self.nearest(("table",))
+            if i > self.nearest(CELL):
+                around = self.open[i - 1].children
+                around.insert(len(around) - 1, child)
+                return
+        self.open[-1].children.append(child)
 
-def _close(stack: list[Node], tags: frozenset | set, barrier: frozenset | set) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            _close(stack, tags, barrier)
+    def text(self, text: str) -> None:
+        if _SPACE.fullmatch(text):
+            self.open[-1].children.append(text)
             return
-        if stack[i].tag in barrier:
+        if self.open[-1].tag == "colgroup":
+            self.cut(len(self.open) - 1)
+        self.add(text)
+
+    def start(self, tag: str, attrs: str) -> bool:
+        """Whether the element is open now."""
+        if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.cut(len(self.open) - 1)
+        if tag in ENDS_P:
+            self.close(("p",), SCOPE)
+        if tag in IMPLIED:
+            self.close(*IMPLIED[tag])
+        if tag in CONTEXT and self.open[-1].tag != "colgroup":
+            i = self.nearest(CONTEXT[tag])
+            if i > self.nearest(CELL):
+                self.cut(i + 1)
+        if tag == "table":  # straight in a table it ends that one
+            self.close(("table",), CELL)
+        if tag in HEADINGS and self.open[-1].tag in HEADINGS:
+            self.cut(len(self.open) - 1)
+        if tag in ("body", "frameset"):
+            self.close(("head",), ())
+        if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            self.start("tr", "")
+        if tag in BLOCK and self.open[-1].tag == "head":
+            self.cut(len(self.open) - 1)
+        node = Node(tag, attrs)
+        straight = tag == "form" and self.open[-1].tag in TABLE
+        self.add(node)
+        if tag in VOID or straight or (attrs.endswith("/") and tag in ("svg", "path", "g", "use", "rect", "circle", "line")):
+            return False
+        self.at[tag].append(len(self.open))
+        self.open.append(node)
+        return True
+
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.add(Node("br"))
             return
+        i = self.nearest((tag,))
+        if i > (0 if tag in NO_BARRIER else self.nearest(SCOPE)):
+            self.cut(i)
+        elif tag == "p":
+            self.add(Node("p"))
 
 
-def _start(stack: list[Node], tag: str, attrs: str) -> None:
-    if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
-        stack.pop()
-    if tag in ENDS_P:
-        _close(stack, {"p"}, SCOPE)
-    if tag in IMPLIED:
-        _close(stack, *IMPLIED[tag])
-    if tag in CONTEXT and stack[-1].tag != "colgroup":
-        _clear(stack, CONTEXT[tag])
-    if tag == "table":  # straight in a table it ends that one
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "table":
-                del stack[i:]
-            if i >= len(stack) or stack[i].tag in CELL:
-                break
-    if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        stack.pop()
-    if tag in ("body", "frameset"):
-        _close(stack, {"head"}, set())
-    if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-        _start(stack, "tr", "")
-    if tag in BLOCK and stack[-1].tag == "head":
-        stack.pop()
-    node = Node(tag, attrs)
-    straight = tag == "form" and stack[-1].tag in TABLE
-    _add(stack, node)
-    if tag not in VOID and not straight and len(stack) < MAX_DEPTH and not (attrs.endswith("/") and tag in ("svg", "path", "g", "use", "rect", "circle", "line")):
-        stack.append(node)
-
-
-def _end(stack: list[Node], tag: str) -> None:
-    if tag == "br":
-        _add(stack, Node("br"))
-        return
-    barrier = frozenset() if tag in SCOPE or tag in ("tr", "thead", "tbody", "tfoot", "body") else SCOPE
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in barrier:
-            break
-    if tag == "p":
-        _add(stack, Node("p"))
+def parse(html: str) -> Node:
+    """The element tree; children are nodes or text. Never fails."""
+    tree = Tree()
+    opened = False
+    for kind, a, b in tokens(html):
+        if kind == "text":
+            tree.text(unescape(a))
+        elif kind == "start":
+            opened = tree.start(a, b)
+        elif kind == "end":
+            tree.end(a)
+        elif opened:
+            tree.open[-1].children.append(unescape(b) if a in ("textarea", "title") else b)
+            tree.cut(len(tree.open) - 1)
+    return tree.root
 
 
 class Flow:
-    """Lines of one formatting context, with collapsed white space and margins."""
+    """Lines of one formatting context, with collapsed white space, margins,
+    indentation and the mark that a list item puts before its first line."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.gap = 0  # blank lines due before the next line
         self.space = False
+        self.indent = ""
+        self.mark: str | None = None
+        self.fresh = True  # no line yet in the innermost container, whose first margin falls away
 
     def text(self, s: str) -> None:
         for i, word in enumerate(_SPACE.split(s)):
@@ -223,105 +275,137 @@ class Flow:
 
     def block(self, gap: int) -> None:
         self.newline()
-        self.gap = max(self.gap, gap)
+        if not self.fresh:
+            self.gap = max(self.gap, gap)
 
     def add(self, lines: list[str]) -> None:
-        if lines and self.lines:
-            self.lines.extend([""] * self.gap)
-        self.gap = 0
-        self.lines.extend(lines)
+        if not lines:
+            return
+        self.lines.extend([""] * self.gap)
+        self.gap, self.fresh = 0, False
+        for line in lines:
+            before, self.mark = self.indent if self.mark is None else self.mark, None
+            self.lines.append((before + line).rstrip())
+
+    def enter(self, indent: str, mark: str | None = None) -> tuple:
+        """Begins an indented container; ``leave`` takes what this returns."""
+        state = (self.indent, self.fresh, len(self.lines))
+        if mark is not None:
+            self.mark = (self.indent if self.mark is None else self.mark) + mark
+        elif self.mark is not None:
+            self.mark += indent
+        if len(self.indent) + len(indent) <= INDENT:
+            self.indent += indent
+        self.fresh = True
+        return state
+
+    def leave(self, state: tuple, marked: bool = False) -> None:
+        self.newline()
+        if marked and self.mark is not None:
+            self.add([""])
+        self.indent, fresh, n = state
+        self.gap, self.fresh = 0, fresh and n == len(self.lines)
 
     def close(self) -> list[str]:
         self.newline()
         return self.lines
 
 
+_HIDES = re.compile(r"hidden|style|open|details|dialog", re.I)
+
+
 def visible(node: Node, shown: bool) -> tuple[bool, bool]:
     """(laid out, its text shown): display takes the whole subtree away, while
     a descendant may turn visibility on again."""
     if node.tag in HIDDEN:
         return False, False
-    if not node.attrs:
+    if not node.attrs or not _HIDES.search(node.attrs):
         return node.tag != "dialog", shown
-    low = node.attrs.lower()
-    if node.tag == "dialog" and "open" not in low:
-        return False, False
-    if "hidden" not in low and "style" not in low:
-        return True, shown
     a = node.attributes()
-    style = re.sub(r"\s+", "", a.get("style", "").lower())
-    if "hidden" in a or "display:none" in style or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+    style = {k.strip(): v.partition("!")[0].strip() for k, _, v in (x.partition(":") for x in a.get("style", "").lower().split(";"))}
+    hidden = "hidden" in a or style.get("display") == "none" or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+    if hidden:
         return False, False
-    if "visibility:hidden" in style or "visibility:collapse" in style:
-        return True, False
-    return True, shown or "visibility:visible" in style
-
-
-def _render(node: Node, flow: Flow, shown: bool, pre: bool, depth: int) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            if shown:
-                flow.verbatim(child) if pre else flow.text(child)
+    how = style.get("visibility")
+    return True, False if how in ("hidden", "collapse") else shown or how == "visible"
+
+
+def shown_children(node: Node) -> list:
+    """What of a node's children is laid out: closed details show their summary only."""
+    if node.tag != "details" or "open" in node.attributes():
+        return node.children
+    return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+
+
+def lay(node: Node, flow: Flow, shown: bool = True, tables: int = 0) -> None:
+    """Lays out what is in a node. The elements on the way down are held in a
+    list of frames: their children to come, what holds for them, what is due
+    when they end, and in a list its kind and next number."""
+    frames: list[tuple] = [(iter(shown_children(node)), shown, False, 0, None, None)]
+    while frames:
+        children, shown, pre, depth, leave, listed = frames[-1]
+        child = next(children, None)
+        if child is None:
+            frames.pop()
+            if leave is not None:
+                leave()
             continue
-        laid, show = visible(child, shown)
-        if laid:
-            _element(child, flow, show, pre, depth)
-
-
-def _element(node: Node, flow: Flow, shown: bool, pre: bool, depth: int) -> None:
-    tag = node.tag
-    if tag == "br":
-        flow.newline(True)
-    elif tag == "hr":
-        flow.block(1)
-    elif tag in ("ul", "ol", "menu", "dir"):
-        _list(node, flow, shown, depth)
-    elif tag == "table":
-        flow.block(1)
-        flow.add(_table(node, shown, depth))
-        flow.block(1)
-    elif tag in ("blockquote", "dd"):
-        inner = Flow()
-        _render(node, inner, shown, pre, depth)
-        gap = int(tag == "blockquote")
-        flow.block(gap)
-        flow.add([f"  {x}" if x else x for x in inner.close()])
-        flow.block(gap)
-    elif tag in BLOCK:
-        flow.block(int(tag in MARGIN))
-        _render(node, flow, shown, pre or tag in ("pre", "listing"), depth)
-        flow.block(int(tag in MARGIN))
-    else:
-        if tag in ("td", "th"):
-            flow.text(" ")
-        _render(node, flow, shown, pre or tag == "textarea", depth)
-
-
-def _list(node: Node, flow: Flow, shown: bool, depth: int) -> None:
-    flow.block(int(depth == 0))
-    number = 1
-    if node.tag == "ol" and node.attrs:
-        start = node.attributes().get("start", "")
-        number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    for child in node.children:
         if isinstance(child, str):
             if shown:
-                flow.text(child)
+                flow.verbatim(child) if pre else flow.text(child)
             continue
         laid, show = visible(child, shown)
         if not laid:
             continue
-        if child.tag != "li":
-            _element(child, flow, show, False, depth + 1)
+        tag, leave, list_now = child.tag, None, None
+        if tag == "br":
+            flow.newline(True)
+        elif tag == "hr":
+            flow.block(1)
+        elif tag == "table" and tables < NESTED:
+            flow.block(1)
+            flow.add(_table(child, show, tables + 1))
+            flow.block(1)
             continue
-        mark = f"{number}. " if node.tag == "ol" else "- "
-        number += 1
-        inner = Flow()
-        _render(child, inner, show, False, depth + 1)
-        lines = inner.close() or [""]
-        flow.block(0)
-        flow.add([(mark + lines[0]).rstrip(), *((" " * len(mark) + x) if x else x for x in lines[1:])])
-    flow.block(int(depth == 0))
+        elif tag == "li" and listed is not None:
+            mark = f"{listed[1]}. " if listed[0] else "- "
+            listed[1] += 1
+            flow.block(0)
+            leave = _leaver(flow, flow.enter(" " * len(mark), mark), True, None)
+        elif tag in ("ul", "ol", "menu", "dir"):
+            flow.block(int(depth == 0))
+            start = child.attributes().get("start", "") if tag == "ol" and child.attrs else ""
+            list_now = [tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]
+            leave = _blocker(flow, int(depth == 0))
+            pre, depth = False, depth + 1
+        elif tag in ("blockquote", "dd"):
+            gap = int(tag == "blockquote")
+            flow.block(gap)
+            leave = _leaver(flow, flow.enter("  "), False, gap)
+        elif tag in BLOCK:
+            gap = int(tag in MARGIN)
+            flow.block(gap)
+            leave = _blocker(flow, gap)
+            pre = pre or tag in ("pre", "listing")
+        elif tag == "textarea":
+            pre = True
+        if child.children:
+            frames.append((iter(shown_children(child)), show, pre, depth, leave, list_now))
+        elif leave is not None:
+            leave()
+
+
+def _blocker(flow: Flow, gap: int):
+    return lambda: flow.block(gap)
+
+
+def _leaver(flow: Flow, state: tuple, marked: bool, gap: int | None):
+    def leave() -> None:
+        flow.leave(state, marked)
+        if gap is not None:
+            flow.block(gap)
+
+    return leave
 
 
 def _rows(node: Node, shown: bool) -> Iterator[tuple[Node, bool]]:
@@ -331,67 +415,97 @@ def _rows(node: Node, shown: bool) -> Iterator[tuple[Node, bool]]:
             if laid and child.tag in ("tr", "caption"):
                 yield child, show
             elif laid and child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child, show)
+                yield from ((row, seen) for row, seen in _rows(child, show))
 
 
-def _span(cell: Node, name: str) -> int:
+def _span(cell: Node, name: str, most: int) -> int:
     value = cell.attributes().get(name, "") if cell.attrs else ""
-    return min(100, int(value)) if re.fullmatch(r"[1-9]\d{0,5}", value) else 1
+    return min(most, int(value)) if re.fullmatch(r"[1-9]\d{0,8}", value) else 1
 
 
-def _table(node: Node, shown: bool, depth: int) -> list[str]:
+def _joined(below: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], int | float]:
+    """The columns taken as disjoint stretches, and the row in which the first of them is free."""
+    out: list[tuple[int, int]] = []
+    for first, stop, _ in sorted(below):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((first, stop))
+    return out, min((x[2] for x in below), default=math.inf)
+
+
+def _table(node: Node, shown: bool, tables: int) -> list[str]:
     """Cells in columns: each as wide as its widest line, spanned cells grow the
-    last column they cover, cells below a row span stay in their column."""
+    last column they cover, cells below a row span stay in their column. A
+    table too wide for that has its cells one below the other."""
     head: list[str] = []
     grid: list[list[tuple[int, int, list[str]]]] = []
-    below: dict[int, int] = {}
+    below: list[tuple[int, int, int]] = []  # columns taken by cells of earlier rows: first, stop, first row without
+    taken: list[tuple[int, int]] = []  # the same joined
+    next_free: int | float = math.inf
+    width: dict[int, int] = {}
+    columns = 0
     for row, show in _rows(node, shown):
         if row.tag == "caption":
             inner = Flow()
-            _render(row, inner, show, False, depth + 1)
+            lay(row, inner, show, tables)
             head.extend(inner.close())
             continue
-        cells, col, taken = [], 0, {c: n - 1 for c, n in below.items() if n > 1}
+        n = len(grid)
+        if n >= next_free:
+            below = [x for x in below if x[2] > n]
+            taken, next_free = _joined(below)
+        cells, col, k, grown = [], 0, 0, False
         for cell in row.children:
             if not isinstance(cell, Node) or cell.tag not in ("td", "th"):
                 continue
             laid, seen = visible(cell, show)
             if not laid:
                 continue
-            while below.get(col, 0) > 0:
-                col += 1
+            while k < len(taken) and taken[k][0] <= col:
+                col, k = max(col, taken[k][1]), k + 1
             inner = Flow()
-            _render(cell, inner, seen, False, depth + 1)
-            wide, tall = _span(cell, "colspan"), _span(cell, "rowspan")
-            cells.append((col, wide, inner.close()))
-            if tall > 1:
-                taken.update({c: tall - 1 for c in range(col, col + wide)})
-            col += wide
-        below = taken
-        grid.append(cells)
-    width: dict[int, int] = {}
-    for cells in grid:
-        for col, wide, lines in cells:
+            lay(cell, inner, seen, tables)
+            wide, tall = _span(cell, "colspan", MAX_COLSPAN), _span(cell, "rowspan", MAX_ROWSPAN)
+            lines = inner.close()
+            cells.append((col, wide, lines))
             if wide == 1:
                 width[col] = max(width.get(col, 0), max(map(len, lines), default=0))
-    for cells in grid:
-        for col, wide, lines in cells:
-            if wide > 1:
-                have = sum(width.get(c, 0) for c in range(col, col + wide)) + len(CELL_GAP) * (wide - 1)
-                short = max(map(len, lines), default=0) - have
-                if short > 0:
-                    width[col + wide - 1] = width.get(col + wide - 1, 0) + short
-    starts, x = {}, 0
-    for col in range(max(width, default=-1) + 1):
+            if tall > 1 and col < COLUMNS:
+                below.append((col, col + wide, n + tall))
+                grown = True
+            col += wide
+        columns = max(columns, col)
+        if grown:
+            taken, next_free = _joined(below)
+        grid.append(cells)
+    real = sorted(width)
+    fits = columns <= 2 * COLUMNS and sum(width.values()) + len(CELL_GAP) * len(real) <= WIDTH
+    if fits:
+        for cells in grid:
+            for col, wide, lines in cells:
+                if wide > 1:
+                    over = [c for c in real if col <= c < col + wide]
+                    have = sum(width[c] for c in over) + len(CELL_GAP) * (len(over) - 1)
+                    short = max(map(len, lines), default=0) - have
+                    if short > 0 and over:
+                        width[over[-1]] += short
+        fits = sum(width.values()) + len(CELL_GAP) * len(real) <= WIDTH
+    if not fits:
+        return head + [line for cells in grid for _, _, lines in cells for line in lines]
+    starts, x, at = {}, 0, 0
+    for col in sorted({c for cells in grid for c, _, _ in cells}):
+        while at < len(real) and real[at] < col:
+            x, at = x + width[real[at]] + len(CELL_GAP), at + 1
         starts[col] = x
-        x += width.get(col, 0) + len(CELL_GAP)
     out = list(head)
     for cells in grid:
         for k in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
             for col, _, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(starts.get(col, x)) + lines[k]
+                    line = line.ljust(starts[col])
+                    line += CELL_GAP * bool(line and not line.endswith(" ")) + lines[k]
             out.append(line.rstrip())
     return out
 
@@ -399,13 +513,14 @@ def _table(node: Node, shown: bool, depth: int) -> list[str]:
 def render(html: str) -> str:
     """All visible text of a page."""
     flow = Flow()
-    _render(parse(html), flow, True, False, 0)
+    lay(parse(html), flow)
     return "\n".join(x.rstrip() for x in flow.close()).strip("\n")
 
 
 def extract(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
     """(id, text) for every row of ``pages``. Null and empty pages give an empty
-    text, broken markup whatever text it shows, null ids stay, repeated rows
+    text, broken markup whatever text it shows; a very long page is one row's
+    work, in time and memory in proportion to it; null ids stay, repeated rows
     render alike, an empty table gives none, other columns are ignored. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
