@@ -105,7 +105,7 @@ def edited(seed, groups=15, copies=12, words=300):
 def test_near_copies_against_all_pairs(spark, monkeypatch, tile):
     if tile:
         monkeypatch.setattr(simhash, "TILE", tile)
-        monkeypatch.setattr(simhash, "SET_TILE", tile)
+        monkeypatch.setattr(simhash, "SET_TILE", tile * 2400)
     rows = edited(11)
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_classes(rows)
@@ -113,6 +113,23 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, tile):
     assert sorted((r.doc_id, r.component_id) for r in got) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([0.5, 0.8, 1.0]))
+def test_link_similar_against_all_pairs(seed, similarity):
+    rng = random.Random(seed)
+    bases = [rng.sample(range(400), rng.randrange(1, 40)) for _ in range(4)]
+    sets = [sorted({x if rng.random() < 0.93 else rng.randrange(10**6) for x in rng.choice(bases)}) for _ in range(rng.randrange(2, 40))]
+    label = simhash.link_similar([np.array(x, "<u8") for x in sets], similarity).tolist()
+    want = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(set(a) & set(b))
+            if common >= similarity * (len(a) + len(b) - common) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert label == want
+
+
 def with_line(seed, times, change=0, single=100, line=9):
     """A text whose last line stands there several times."""
     rng = random.Random(seed)
@@ -258,8 +275,8 @@ def test_repeats_of_odd_rows(odd, empty):
     got = lpf.repeats(odd, keep="none").collect()
     assert len(got) == odd.count()
     by = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in got)
-    assert by[(6, 25003, 25000)] == 1 or by[(6, 25003, 24999)] == 1
-    assert by[(3, 0, 0)] == 1 and by[(2, 76, 0)] + by[(2, 75, 0)] == 2
+    assert by[(6, 25003, 25000)] == 1
+    assert by[(3, 0, 0)] == 1 and by[(2, 75, 0)] == 2
     assert lpf.repeats(empty, keep="none").count() == 0
 
 

@@ -36,8 +36,8 @@ BANDS, ROWS = 12, 2
 _MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(1, BANDS * ROWS + 1)]
 #: Fingerprints of a crowded bucket that meet in one task, times two.
 TILE = 8192
-#: The same for sets of shingles.
-SET_TILE = 4096
+#: Bytes of sets of shingles that meet in one task, times two; a larger set is a tile of its own.
+SET_TILE = 16 << 20
 _STEP = 1 << 16
 
 
@@ -228,7 +228,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     Null and empty texts share fingerprint zero and link like any other. Null
     ids stay, and are never a component_id unless all ids of the component are
     null. Repeated rows and exact copies collapse to one fingerprint before any
-    comparison. An empty table gives none; other columns are ignored.
+    comparison. A very long text is one row's work, its hashes in memory at
+    once. An empty table gives none; other columns are ignored. Jobs run while
+    the result is built: fingerprints, links and rounds of components are written
+    to the shared folder.
     """
     rows = cut(fingerprints(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), ("id",), "text", width), "fingerprints")
     least = rows.groupBy("fp").agg(F.min("id").alias("least"))
@@ -260,29 +263,29 @@ def _node(shingles: np.ndarray) -> int:
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, node, fp, keys): node names the set of shingles, fp is its
+        """(id, node, fp, bytes, keys): node names the set of shingles, fp is its
         fingerprint, repeats not counted, as the similarity is that of sets; a key
         is of a pair of the least shingle hashes under two multipliers."""
         for b in batches:
             raws = b.column(1).to_pylist()
-            nodes, fps, keys = [], [], []
+            nodes, fps, sizes, keys = [], [], [], []
             for raw in raws:
                 h = _set_of(shingle_hashes(raw, width))
                 least = np.array([(h * m >> np.uint64(11)).min() for m in _MULTIPLIERS], np.uint64)
                 nodes.append(_node(h))
                 fps.append(majority(h))
+                sizes.append(h.nbytes)
                 keys += [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, len(least), ROWS)]
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raws) + 1, dtype=np.int32) * BANDS), signed(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(nodes), signed(fps), lists], names=["id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(nodes), signed(fps), pa.array(sizes, pa.int64()), lists], names=["id", "node", "fp", "bytes", "keys"])
 
     return run
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, fp, shingles) once a task for each set: the upper halves of
-        the hashes, sorted."""
+        """(node, fp, shingles) once a task for each set: its hashes, sorted."""
         seen: set[int] = set()
         for b in batches:
             nodes, fps, sets = [], [], []
@@ -296,7 +299,7 @@ def _sets(width: int):
                 seen.add(node)
                 nodes.append(node)
                 fps.append(majority(h))
-                sets.append((h >> np.uint64(32)).astype("<u4").tobytes())
+                sets.append(h.tobytes())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([signed(nodes), signed(fps), pa.array(sets, pa.binary())], names=["node", "fp", "shingles"])
 
@@ -305,12 +308,27 @@ def _sets(width: int):
 
 def link_similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set the number of the first set of its class, classes being
-    joined by pairs of that Jaccard similarity. One set at a time is compared
-    with all; members of the largest class need no turn, since every pair that
-    leaves it is seen from its other end."""
+    joined by pairs of that Jaccard similarity.
+
+    Sets that similar share one of their rarest members: all but a share
+    ``similarity`` of a set, and one more (the prefix filter). A set is compared
+    with those of other classes that share such a member and are near enough in
+    size; members of the largest class need no turn, since every pair that
+    leaves it is seen from its other end.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((number, count[number], owner))  # each set's members, rarest first
+    starts = np.cumsum(sizes) - sizes
+    nth = np.arange(len(flat)) - np.repeat(starts, sizes)
+    rare = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    kept = order[nth < np.repeat(rare, sizes)]
+    member, holder = number[kept], owner[kept]
+    by = np.argsort(member, kind="stable")
+    listed, first = holder[by], np.r_[0, np.cumsum(np.bincount(member, minlength=len(count)))]
+    ends = np.cumsum(rare)
     label, done = np.arange(n), np.zeros(n, bool)
     while True:
         kinds, counts = np.unique(label, return_counts=True)
@@ -319,11 +337,20 @@ def link_similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
             return label
         p = waiting[0]
         done[p] = True
-        mine = sets[p]
-        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-        common = np.bincount(owner[mine[at] == flat], minlength=n)
-        near = common >= similarity * (sizes + sizes[p] - common)
-        label[np.isin(label, label[near])] = label[near].min()
+        mine = member[ends[p] - rare[p] : ends[p]]
+        near = np.unique(np.concatenate([listed[first[m] : first[m + 1]] for m in mine.tolist()]))
+        low, high = np.minimum(sizes[near], sizes[p]), np.maximum(sizes[near], sizes[p])
+        near = near[(label[near] != label[p]) & (low >= similarity * high - 1e-9)]
+        if not len(near):
+            continue
+        at = np.concatenate([np.arange(starts[q], starts[q] + sizes[q]) for q in near.tolist()])
+        own = number[starts[p] : starts[p] + sizes[p]]  # sorted, as sets are
+        place = np.minimum(np.searchsorted(own, number[at]), len(own) - 1)
+        common = np.bincount(np.repeat(np.arange(len(near)), sizes[near])[own[place] == number[at]], minlength=len(near))
+        alike = near[common >= similarity * (sizes[near] + sizes[p] - common)]
+        if len(alike):
+            joined = np.r_[label[alike], label[p]]
+            label[np.isin(label, joined)] = joined.min()
 
 
 def _verify(similarity: float):
@@ -334,7 +361,7 @@ def _verify(similarity: float):
 
         def out() -> pa.RecordBatch:
             nodes = list(group)
-            label = link_similar([np.frombuffer(group[x], "<u4") for x in nodes], similarity) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
+            label = link_similar([np.frombuffer(group[x], "<u8") for x in nodes], similarity) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
             pairs = [(x, nodes[k]) for x, k in zip(nodes, label.tolist()) if x != nodes[k]]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["src", "dst"])
 
@@ -352,9 +379,9 @@ def _verify(similarity: float):
 
 
 def _tiled(rows: DataFrame, by: list[str], n: str, item: str, tile: int) -> DataFrame:
-    """``rows`` with columns a, b: groups ``by`` of at most ``tile`` items (their
-    number is in column ``n``) stay whole, larger ones are dealt out so that any
-    two items meet under some pair of tiles."""
+    """``rows`` with columns a, b: groups ``by`` of at most ``tile`` in all (items
+    or bytes, as in column ``n``) stay whole, larger ones are dealt out so that
+    any two items meet under some pair of tiles."""
     rows = rows.withColumn("_t", F.ceil(F.col(n) / tile).cast("long"))
     rows = rows.withColumn("_m", F.pmod(F.xxhash64(item), F.col("_t"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1)))
     return rows.withColumns({"a": F.least("_m", "_o"), "b": F.greatest("_m", "_o")}).drop("_t", "_m", "_o", n)
@@ -367,18 +394,22 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
 
     Texts meet if they agree on one of BANDS pairs of minimum hashes (at 0.8,
     all but five in a million pairs that similar do). Bit-sliced distances
-    of their fingerprints within the radius for that similarity join them to
-    candidate components, in which the similarity is then checked exactly. Only
-    distinct texts that met another are moved. Crowded buckets and components
-    are dealt out in pairs of tiles: no task holds one, no pair is left out.
-
-    Null and empty texts are alike; null ids stay, and are a component_id only
-    where all ids are null; repeated rows are one text; an empty table gives
-    none; other columns are ignored. Shingle hashes are compared by 32 bits.
+    of their fingerprints within the radius for that similarity (four standard
+    deviations: all but one in some thousand) join them to candidate components,
+    in which the similarity of the sets of shingle hashes (64 bits) is then
+    checked in full. Only distinct texts that met another are moved. Crowded
+    buckets and components are dealt out in pairs of tiles, bounded by rows and
+    by bytes: no task holds one, no pair is left out.
+
+    Null and empty texts are alike; a very long text is one row's work, its set
+    a tile of its own; null ids stay, and are a component_id only where all ids
+    are null; repeated rows are one text; an empty table gives none; other
+    columns are ignored. Jobs run while the result is built: the sketches, links
+    and candidate components are written to the shared folder.
     """
     kind = docs.schema[id].dataType.simpleString()
     src = docs.select(F.col(id).alias("id"), body(text).alias("raw"))
-    rows = cut(src.mapInArrow(_sketches(width), f"id {kind}, node long, fp long, keys array<long>"), "sketches")
+    rows = cut(src.mapInArrow(_sketches(width), f"id {kind}, node long, fp long, bytes long, keys array<long>"), "sketches")
 
     band = rows.select("fp", F.posexplode("keys").alias("band", "key")).distinct()
     met = band.join(band.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"])
@@ -387,10 +418,10 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     linked = dealt.mapInArrow(_link_batches(radius_for(similarity)), "src long, dst long").distinct()
     candidates = connected_components(cut(linked, "links")).withColumnRenamed("node", "fp")
 
-    nodes = rows.select("node", "fp").distinct()
+    nodes = rows.select("node", "fp", "bytes").distinct()
     lone = nodes.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").join(candidates, "fp", "left_anti").select("fp", F.col("fp").alias("component"))
     placed = candidates.unionByName(lone)
-    sizes = nodes.join(placed, "fp").groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = nodes.join(placed, "fp").groupBy("component").agg(F.count("*").alias("k"), F.sum("bytes").alias("n")).where("k > 1").drop("k")
     placed = cut(placed.join(sizes, "component"), "placed")
     sets = src.select("raw").mapInArrow(_sets(width), "node long, fp long, shingles binary")
     checked = sets.join(placed.hint("shuffle_hash"), "fp").select("component", "n", "node", "shingles")
