@@ -1,6 +1,7 @@
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -212,12 +213,14 @@ def contaminated_docs():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block", [200_000, 8])
-def test_contamination_against_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 15])
+def test_contamination_against_brute_force(spark, bits, monkeypatch):
+    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
+    monkeypatch.setattr(decontam, "ITEMS_A_ROW", 2)
     rows = contaminated_docs()
     df = spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "doc_id long, text string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = sorted((tuple(r) for r in decontam.contamination(df, bench, block_words=block).select("doc_id", "item_ids", "contaminated", F.round("coverage", 9)).collect()), key=repr)
+    got = sorted((tuple(r) for r in decontam.contamination(df, bench).select("doc_id", "item_ids", "contaminated", F.round("coverage", 9)).collect()), key=repr)
     want = []
     for d, t in [*rows, rows[0], (None, rows[1][1])]:
         cov = {i: brute_coverage(x, t) for i, x in BENCH}
@@ -280,6 +283,31 @@ def test_bundle_is_plain_zstandard(monkeypatch):
     assert struct.unpack("<I", data[-4:])[0] == 0x8F92EAB1
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=25), st.lists(st.integers(0, 3), max_size=60), st.sampled_from([0.0, 0.8]))
+def test_cover_equals_comparing_all_places(item, text, coverage):
+    spell = lambda ids: " ".join("abcd"[i] for i in ids)
+    want = brute_coverage(spell(item), spell(text))
+    hashes = decontam._Hashes()
+    got = decontam.cover(hashes.of(spell(item).encode()), hashes.of(spell(text).encode()), min(5, len(item)), coverage)[0]
+    assert got == pytest.approx(want if want >= coverage else 0.0)
+
+
+def test_tiling_repeated_words_takes_no_time():
+    rng = random.Random(3)
+    for few in (1, 2, 3):
+        item, text = (np.array([rng.randrange(1, few + 1) for _ in range(n)], np.uint64) for n in (200, 4000))
+        began = time.monotonic()
+        assert sum(k for _, _, k in decontam.tiles(item, text, 5)) > 150
+        assert time.monotonic() - began < 1
+    long = np.array([rng.randrange(10**6) for _ in range(100_000)], np.uint64)
+    cut_up = long.copy()
+    cut_up[rng.sample(range(100_000), 2_000)] = 1
+    began = time.monotonic()
+    assert decontam.cover(long, cut_up, 5, 0.8)[0] > 0.9
+    assert time.monotonic() - began < 60
+
+
 def test_rolling_hash_is_local():
     ids = np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 5], np.uint64)
     h = decontam.rolling(ids, 5)

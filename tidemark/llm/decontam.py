@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and benchmark items are sequences of lower-cased words. Rolling
-(Karp-Rabin) hashes of five words find the seeds that a text shares with the
-items. From them the longest match of unmarked words is marked as a tile, again
-and again, until none of five words is left; tiles may lie in any order, so a
+Texts and benchmark items are sequences of lower-cased words. Seeds, the hashes
+of five words, are joined between texts and items; pairs with enough of them are
+tiled: the longest match of unmarked words is marked, again and again, until none
+of five words is left. Running Karp-Rabin hashes find the length of the longest
+match by halving and its places by lookup. Tiles may lie in any order, so a
 passage with its sentences moved is still covered. A text is contaminated when
 tiles cover 0.8 or more of an item's words.
 """
@@ -11,22 +12,28 @@ tiles cover 0.8 or more of an item's words.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import body, cut, word_count
+from tidemark.llm.common import body, cut
 
 MIN_MATCH = 5
 COVERAGE = 0.8
-#: Items are dealt to blocks of about so many words; a block is what one pass over the texts holds in memory.
-BLOCK_WORDS = 200_000
+#: Bits of the seed filter that every task gets (4 MB), whatever the size of the benchmark.
+FILTER_BITS = 1 << 25
+_BUCKET = 1 << 15  # bits of one row of bitmap_construct_agg
+#: A seed's texts are dealt to so many groups, so that a frequent one is no single group.
+SALTS = 16
+#: Items that one text meets in one row; one with more is several rows.
+ITEMS_A_ROW = 64
+_CACHE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = re.compile(r"\w+")
 
 
@@ -34,6 +41,19 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class _Hashes(dict):
+    """word -> XXH64, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode())
+        return h
+
+    def of(self, raw: bytes) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words_of(raw.decode("utf-8", "replace")))), np.uint64)
+
+
 def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     """The Karp-Rabin hash of every k consecutive ids."""
     n = len(ids) - k + 1
@@ -45,136 +65,235 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def tiles(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+class _Windows:
+    """A sequence whose windows of any length have a hash, from running sums
+    that are made once, and that knows which windows hold no marked place."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        n = len(ids)
+        self.ids, self.marked = ids, np.zeros(n, bool)
+        self.total = np.r_[np.uint64(0), np.cumsum(ids * np.cumprod(np.r_[np.uint64(1), np.full(max(0, n - 1), _BASE)])[:n])]
+        self.scale = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)])
+
+    def free(self, k: int) -> np.ndarray:
+        sums = np.r_[0, np.cumsum(self.marked)]
+        return np.flatnonzero(sums[k:] == sums[:-k])
+
+    def hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        return (self.total[at + k] - self.total[at]) * self.scale[at]
+
+
+def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (item start, text start, length), longest first; ties go to
-    the earliest place in the item, then in the text. ``seeds`` are the places
-    where ``least`` words agree."""
-    free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
+    the earliest place in the item, then in the text. A round costs some passes
+    over both sequences, and each has shorter tiles than the one before."""
+    a, b = _Windows(item), _Windows(text)
     out: list[tuple[int, int, int]] = []
-    seeds = sorted(seeds)
-    while seeds:
-        best: list[tuple[int, int]] = []
-        longest, live = least, []
-        for i, j in seeds:
-            k, most = 0, min(len(item) - i, len(text) - j)
-            while k < most and item[i + k] == text[j + k] and free_item[i + k] and free_text[j + k]:
-                k += 1
-            if k < least:
-                continue
-            live.append((i, j))
-            if k > longest:
-                longest, best = k, [(i, j)]
-            elif k == longest:
-                best.append((i, j))
-        for i, j in best:
-            if free_item[i : i + longest].all() and free_text[j : j + longest].all():
-                free_item[i : i + longest] = False
-                free_text[j : j + longest] = False
-                out.append((i, j, longest))
-        seeds = live if best else []
-    return out
-
-
-class _Items:
-    """One block of the benchmark: word ids, items as id arrays, seed hashes."""
-
-    def __init__(self, rows: list[tuple[int, str]], least: int) -> None:
-        self.vocab: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray, int]] = []
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in rows:
-            words = words_of(text)
-            if not words:
-                continue
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.uint64)
-            k = min(least, len(ids))  # a shorter item must be found whole
-            for i, h in enumerate(rolling(ids, k).tolist()):
-                places[k][h].append((len(self.items), i))
-            self.items.append((item_id, ids, k))
-        self.seeds = {k: (np.array(sorted(p), np.uint64), dict(p)) for k, p in places.items()}
-
-    def match(self, text: str, coverage: float) -> list[tuple[int, float, int]]:
-        """(item, share of its words covered, tiles) for the items covered enough."""
-        get = self.vocab.get
-        ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (hashes, places) in self.seeds.items():
-            h = rolling(ids, k)
-            if not len(h):
-                continue
-            known = np.concatenate(([0], np.cumsum(ids != 0)))
-            at = np.flatnonzero(known[k:] - known[:-k] == k)
-            if not len(at):
-                continue
-            slot = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-            for j in at[hashes[slot] == h[at]].tolist():
-                for n, i in places[int(h[j])]:
-                    found[n].append((i, j))
-        out = []
-        for n, seeds in found.items():
-            item_id, item, k = self.items[n]
-            reach = np.zeros(len(item), bool)
-            for i in {i for i, _ in seeds}:
-                reach[i : i + k] = True
-            if reach.sum() < coverage * len(item):  # tiles cannot cover more than the seeds do
-                continue
-            got = tiles(item, ids, seeds, k)
-            share = sum(length for _, _, length in got) / len(item)
-            if share >= coverage:
-                out.append((item_id, share, len(got)))
-        return sorted(out)
-
-
-def _matcher(items: _Items, coverage: float):
+    top = min(len(item), len(text))
+    while True:
+        low, high = least - 1, top  # a match of low words exists, none of over high does
+        while low < high:
+            k = (low + high + 1) // 2
+            if np.isin(a.hashes(a.free(k), k), b.hashes(b.free(k), k)).any():
+                low = k
+            else:
+                high = k - 1
+        if low < least:
+            return out
+        _mark(a, b, low, out)
+        top = low - 1
+
+
+def _mark(a: _Windows, b: _Windows, k: int, out: list[tuple[int, int, int]]) -> None:
+    """Marks the matches of k words in turn. A place once marked stays so: the
+    places of a hash in the text are gone through once in all."""
+    at_a, at_b = a.free(k), b.free(k)
+    ha, hb = a.hashes(at_a, k), b.hashes(at_b, k)
+    by = np.argsort(hb, kind="stable")
+    names, first = np.unique(hb[by], return_index=True)
+    stop = np.r_[first[1:], len(by)]
+    slot = np.minimum(np.searchsorted(names, ha), len(names) - 1)
+    for i, s in zip(at_a[names[slot] == ha].tolist(), slot[names[slot] == ha].tolist()):
+        if a.marked[i] or a.marked[i + k - 1]:  # tiles marked here are no shorter, so one in the way covers an end
+            continue
+        while first[s] < stop[s]:
+            j = int(at_b[by[first[s]]])
+            first[s] += 1
+            if not b.marked[j] and not b.marked[j + k - 1] and np.array_equal(a.ids[i : i + k], b.ids[j : j + k]):
+                a.marked[i : i + k] = b.marked[j : j + k] = True
+                out.append((i, j, k))
+                break
+
+
+def cover(item: np.ndarray, text: np.ndarray, least: int, coverage: float) -> tuple[float, int]:
+    """(share of the item's words in tiles, tiles), or nothing of both below
+    ``coverage``. Words outside of all seeds lie in no tile and are taken out."""
+    ours, theirs = rolling(item, least), rolling(text, least)
+    reach = np.zeros(len(item), bool)
+    for i in np.flatnonzero(np.isin(ours, theirs)).tolist():
+        reach[i : i + least] = True
+    if reach.sum() < coverage * len(item):  # tiles cannot cover more than the seeds do
+        return 0.0, 0
+    hit = np.r_[0, np.cumsum(np.isin(theirs, ours))]
+    n = len(text)
+    ends = np.arange(n)
+    near = hit[np.minimum(ends + 1, n - least + 1)] > hit[np.maximum(ends - least + 1, 0)]
+    at = np.flatnonzero(near)
+    breaks = np.flatnonzero(np.diff(at) > 1) + 1
+    # a word of no item stands where words were taken out
+    short = np.insert(text[at], breaks, np.uint64(0)) if not (item == 0).any() else text
+    got = tiles(item, short, least)
+    share = sum(k for _, _, k in got) / len(item)
+    return (share, len(got)) if share >= coverage else (0.0, 0)
+
+
+def _items(least: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(ikey, item, k, need, spare, words): seeds have k words; a text that
+        covers the item holds ``need + spare`` of its seed places at least."""
+        hashes = _Hashes()
         for b in batches:
-            hits = [items.match(raw.as_py().decode("utf-8", "replace"), coverage) for raw in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *b.columns[:-1],
-                    pa.array([[x[0] for x in h] for h in hits], pa.list_(pa.int64())),
-                    pa.array([max((x[1] for x in h), default=0.0) for h in hits], pa.float64()),
-                    pa.array([sum(x[2] for x in h) for h in hits], pa.int64()),
-                ],
-                names=[*b.schema.names[:-1], "item_ids", "coverage", "n_tiles"],
-            )
+            cols: list[list] = [[] for _ in range(6)]
+            for ikey, item, raw in zip(*(c.to_pylist() for c in b.columns)):
+                words = hashes.of(raw)
+                if not len(words):
+                    continue
+                k = min(least, len(words))
+                places = max(1, int(np.ceil(coverage * len(words) / k - 1e-9)))  # a tile of n words has n - k + 1
+                for c, v in zip(cols, (ikey, item, k, places - places // 2, places // 2, words.tobytes())):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ikey", "item", "k", "need", "spare", "words"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ikey, need, spare, place, seed) for each place of an item."""
+    for b in batches:
+        for ikey, k, need, spare, raw in zip(*(c.to_pylist() for c in b.columns)):
+            h = _named(rolling(np.frombuffer(raw, np.uint64), k), k)
+            same = lambda v, t: pa.array(np.full(len(h), v), t)
+            cols = [same(ikey, pa.int64()), same(need, pa.int32()), same(spare, pa.int32()), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["ikey", "need", "spare", "place", "seed"])
+
+
+def _named(h: np.ndarray, k: int) -> np.ndarray:
+    """Seeds of different lengths are different names."""
+    return h * np.uint64(2 * k + 1) ^ (h >> np.uint64(29))
+
+
+def _touched(bits: np.ndarray, widths: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, words, hits) of the texts that hold a seed in the filter, a
+        text once a task."""
+        hashes, seen = _Hashes(), set()
+        size = np.uint64(len(bits) * 8 - 1)
+        for b in batches:
+            keys, words, hits = [], [], []
+            for key, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if key in seen:
+                    continue
+                ids, found = hashes.of(raw), []
+                for k in widths:
+                    h = _named(rolling(ids, k), k)
+                    slot = h & size
+                    h = h[(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                    found.append(np.unique(h))
+                found = np.concatenate(found) if found else ids[:0]
+                if len(found):
+                    if len(seen) > _CACHE:
+                        seen.clear()
+                    seen.add(key)
+                    keys.append(key)
+                    words.append(ids.tobytes())
+                    hits.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.binary()), pa.array(hits, pa.list_(pa.int64()))], names=["key", "words", "hits"])
+
+    return run
+
+
+def _tiled(least: int, coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, item, share, n_tiles) of the pairs that are covered enough."""
+        for b in batches:
+            rows: list[tuple] = []
+            for key, raw, items in zip(*(c.to_pylist() for c in b.columns)):
+                text = np.frombuffer(raw, np.uint64)
+                for x in items:
+                    item = np.frombuffer(x["words"], np.uint64)
+                    share, n = cover(item, text, min(least, len(item)), coverage)
+                    if n:
+                        rows.append((key, x["item"], share, n))
+            cols = list(zip(*rows)) or [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "item", "share", "n_tiles"])
+
+    return run
+
+
+def covered(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
+    """(key, item_ids, coverage, n_tiles) for every distinct text of ``docs``
+    that covers an item; key is the MD5 of its bytes.
+
+    A text goes on if one of its seeds is in a filter of fixed size made from all
+    seeds of the benchmark; only such texts are written and joined. An item
+    covered to a share c holds c/5 of its seed places in the text at least, so
+    its most frequent places, half that many, need not be joined, and pairs with
+    too few of the others are left out: no pair is lost by either.
+    """
+    bench = benchmark.select(F.col(item_id).cast("long").alias("item"), body(item_text).alias("raw")).distinct()
+    bench = bench.select(F.xxhash64("item", "raw").alias("ikey"), "item", "raw")
+    items = cut(bench.mapInArrow(_items(min_match, coverage), "ikey long, item long, k int, need int, spare int, words binary"), "items")
+    places = cut(items.select("ikey", "k", "need", "spare", "words").mapInArrow(_seeds, "ikey long, need int, spare int, place int, seed long"), "seeds")
+
+    slot = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = places.groupBy(F.shiftright(slot, 15).alias("bucket")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(_BUCKET - 1))).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:  # FILTER_BITS in all
+        bits[r["bucket"] * (_BUCKET // 8) : (r["bucket"] + 1) * (_BUCKET // 8)] = np.frombuffer(r["bits"], np.uint8)
+    widths = sorted(r["k"] for r in items.select("k").distinct().collect())  # min_match at most
+    texts = docs.select(F.md5(body(text)).alias("key"), body(text).alias("raw"))
+    touched = cut(texts.mapInArrow(_touched(bits, widths), "key string, words binary, hits array<long>"), "touched")
+
+    often = places.groupBy("seed").agg(F.count("*").alias("often"))
+    nth = F.row_number().over(Window.partitionBy("ikey").orderBy(F.desc("often"), "place"))
+    rare = places.join(often, "seed").withColumn("nth", nth).where(F.col("nth") > F.col("spare"))
+    rare = rare.select("seed", "ikey", "need", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = touched.select("key", F.explode("hits").alias("seed")).distinct().withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
+    pairs = hits.join(rare, ["seed", "salt"]).groupBy("key", "ikey").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("key", "ikey")
+    pairs = cut(pairs, "pairs")
+    rows_ = pairs.groupBy("key").agg(F.ceil(F.count("*") / ITEMS_A_ROW).alias("rows"))
+    dealt = pairs.join(rows_, "key").join(items.select("ikey", "item", "words"), "ikey")
+    dealt = dealt.groupBy("key", F.pmod(F.xxhash64("ikey"), F.col("rows")).alias("part")).agg(F.collect_list(F.struct("item", "words")).alias("items"))
+    once = touched.select("key", "words").join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    found = once.join(dealt, "key").select("key", "words", "items").mapInArrow(_tiled(min_match, coverage), "key string, item long, share double, n_tiles long")
+    return cut(found, "tiled").groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"), F.max("share").alias("coverage"), F.sum("n_tiles").alias("n_tiles"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, min_match: int = MIN_MATCH, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, contaminated, item_ids, coverage, n_tiles) for every row of ``docs``,
-    or the columns ``keep`` in place of id: the items covered to ``coverage`` or more, in order, the largest such share
-    (0 if none) and the number of tiles on them.
+    or the columns ``keep`` in place of id: the items covered to ``coverage`` or
+    more, in order, the largest such share (0 if none) and the number of tiles on
+    them.
 
     Null and empty texts hold nothing; items without a word are never found;
-    items of fewer than ``min_match`` words must be found whole; repeated rows
-    are judged alike; an empty table of either kind is fine; other columns are
-    ignored. The benchmark is the stated query set: it is dealt to blocks by a
-    hash of the item, and each block meets all texts in one narrow pass.
+    items of fewer than ``min_match`` words must be found whole; null item ids
+    are left out of ``item_ids`` but count; a very long text or item is one
+    row's work, in time about in proportion to its length; repeated rows and
+    copies are judged once and alike; an empty table of either kind is fine;
+    other columns are ignored. Jobs run while the result is built: items, seeds,
+    texts with a seed, pairs and tiles are written to the shared folder.
     """
-    bench = benchmark.select(F.col(item_id).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    words = bench.agg(F.coalesce(F.sum(word_count("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-words // block_words))
-    row = F.concat(F.md5(body(text)), F.coalesce(F.col(id).cast("string"), F.lit("null")))
     cols = keep or (id,)
-    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(cols)]
-    back = [F.col(f"k{i}").alias(c) for i, c in enumerate(cols)]
-    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols)]
-
-    def one(k: int, carried: list, types: list[str]) -> DataFrame:
-        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct().collect()
-        items = _Items(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), min_match)
-        src = docs.select(*carried, body(text).alias("raw"))
-        return src.mapInArrow(_matcher(items, coverage), ", ".join([*types, "item_ids array<long>, coverage double, n_tiles long"]))
-
-    if blocks == 1:
-        found = one(0, named, kinds)
-    else:
-        by_row = ([row.alias("row")], ["row string"])
-        hits = reduce(DataFrame.unionByName, (cut(one(k, *by_row).where("n_tiles > 0"), "hits").dropDuplicates(["row"]) for k in range(blocks)))
-        hits = hits.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("coverage").alias("coverage"), F.sum("n_tiles").alias("n_tiles"))
-        none = F.lit([]).cast("array<long>")
-        found = docs.select(*named, row.alias("row")).join(hits.hint("shuffle_hash"), "row", "left")
-        found = found.withColumns({"item_ids": F.coalesce("item_ids", none), "coverage": F.coalesce("coverage", F.lit(0.0)), "n_tiles": F.coalesce("n_tiles", F.lit(0).cast("long"))})
-    return found.select(*back, (F.col("n_tiles") > 0).alias("contaminated"), "item_ids", "coverage", "n_tiles")
+    found = covered(docs, benchmark, text, item_id, item_text, coverage, min_match)
+    found = found.select(F.col("key").alias("_key"), F.col("item_ids").alias("_ids"), F.col("coverage").alias("_share"), F.col("n_tiles").alias("_tiles"))
+    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(cols)), F.md5(body(text)).alias("key"))
+    rows = rows.join(found, F.col("key") == F.col("_key"), "left")
+    return rows.select(
+        *(F.col(f"k{i}").alias(c) for i, c in enumerate(cols)),
+        F.col("_key").isNotNull().alias("contaminated"),
+        F.coalesce("_ids", F.array().cast("array<long>")).alias("item_ids"),
+        F.coalesce("_share", F.lit(0.0)).alias("coverage"),
+        F.coalesce("_tiles", F.lit(0).cast("long")).alias("n_tiles"),
+    )

@@ -247,9 +247,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
 def radius_for(similarity: float) -> int:
     """Bits in which fingerprints of two texts with that share of common
-    shingles differ, plus four standard deviations."""
+    shingles differ, plus six standard deviations: small sets vary more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
+    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
 
 
 def _set_of(hashes: np.ndarray) -> np.ndarray:
@@ -394,8 +394,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
 
     Texts meet if they agree on one of BANDS pairs of minimum hashes (at 0.8,
     all but five in a million pairs that similar do). Bit-sliced distances
-    of their fingerprints within the radius for that similarity (four standard
-    deviations: all but one in some thousand) join them to candidate components,
+    of their fingerprints within the radius for that similarity (six standard
+    deviations above the mean) join them to candidate components,
     in which the similarity of the sets of shingle hashes (64 bits) is then
     checked in full. Only distinct texts that met another are moved. Crowded
     buckets and components are dealt out in pairs of tiles, bounded by rows and

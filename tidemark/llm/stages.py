@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, mixing, quality, secrets, simhash
-from tidemark.llm.common import read
+from tidemark.llm.common import body, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,9 +32,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item to 0.8 or more."""
-    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"), keep=COLUMNS)
-    return found.where(~F.col("contaminated")).select(*COLUMNS)
+    """Documents that cover no benchmark item to 0.8 or more. Null and empty
+    texts stay; repeated rows go or stay together; without items all stay."""
+    found = decontam.covered(docs, read(spark, sf_dir, "benchmark")).select("key")
+    rows = docs.select(*COLUMNS, F.md5(body("text")).alias("key"))
+    return rows.join(found, "key", "left_anti").select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
