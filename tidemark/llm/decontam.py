@@ -132,7 +132,7 @@ def cover(item: np.ndarray, text: np.ndarray, least: int, coverage: float) -> tu
     reach = np.zeros(len(item), bool)
     for i in np.flatnonzero(np.isin(ours, theirs)).tolist():
         reach[i : i + least] = True
-    if reach.sum() < coverage * len(item):  # tiles cannot cover more than the seeds do
+    if not reach.any() or reach.sum() < coverage * len(item):  # tiles cannot cover more than the seeds do
         return 0.0, 0
     hit = np.r_[0, np.cumsum(np.isin(theirs, ours))]
     n = len(text)
