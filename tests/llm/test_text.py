@@ -305,7 +305,7 @@ def test_tiling_repeated_words_takes_no_time():
     cut_up[rng.sample(range(100_000), 2_000)] = 1
     began = time.monotonic()
     assert decontam.cover(long, cut_up, 5, 0.8)[0] > 0.9
-    assert time.monotonic() - began < 60
+    assert time.monotonic() - began < 20
 
 
 def test_rolling_hash_is_local():

@@ -83,6 +83,26 @@ class _Windows:
         return (self.total[at + k] - self.total[at]) * self.scale[at]
 
 
+def _common(a: _Windows, b: _Windows, k: int) -> tuple[np.ndarray, ...]:
+    """(places in a, their hashes, places in b, their hashes): free windows of k
+    words whose hashes both have. A table of bits leaves out most others first."""
+    at_a, at_b = a.free(k), b.free(k)
+    ha, hb = a.hashes(at_a, k), b.hashes(at_b, k)
+    size = 1 << max(10, (8 * max(len(ha), len(hb))).bit_length())
+    for _ in range(2):  # those of a that b may have, then those of b that a may have
+        table = np.zeros(size, bool)
+        table[_slots(hb, size)] = True
+        kept = table[_slots(ha, size)]
+        at_a, ha, at_b, hb = at_b, hb, at_a[kept], ha[kept]
+    both = np.intersect1d(ha, hb)
+    ours, theirs = np.isin(ha, both), np.isin(hb, both)
+    return at_a[ours], ha[ours], at_b[theirs], hb[theirs]
+
+
+def _slots(h: np.ndarray, size: int) -> np.ndarray:
+    return ((h * _BASE) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (item start, text start, length), longest first; ties go to
     the earliest place in the item, then in the text. A round costs some passes
@@ -90,30 +110,32 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
     a, b = _Windows(item), _Windows(text)
     out: list[tuple[int, int, int]] = []
     top = min(len(item), len(text))
-    while True:
-        low, high = least - 1, top  # a match of low words exists, none of over high does
+    while top >= least:
+        # a match of low words exists, none of over high does: look downwards in growing steps, then halve
+        high, step, low, found = top, 1, least - 1, None
         while low < high:
-            k = (low + high + 1) // 2
-            if np.isin(a.hashes(a.free(k), k), b.hashes(b.free(k), k)).any():
-                low = k
+            k = max(low + 1, high - step + 1) if found is None else (low + high + 1) // 2
+            got = _common(a, b, k)
+            if len(got[0]):
+                low, found = k, got
             else:
                 high = k - 1
-        if low < least:
-            return out
-        _mark(a, b, low, out)
+                step *= 2
+        if found is None:
+            break
+        _mark(a, b, low, found, out)
         top = low - 1
+    return out
 
 
-def _mark(a: _Windows, b: _Windows, k: int, out: list[tuple[int, int, int]]) -> None:
+def _mark(a: _Windows, b: _Windows, k: int, common: tuple[np.ndarray, ...], out: list[tuple[int, int, int]]) -> None:
     """Marks the matches of k words in turn. A place once marked stays so: the
     places of a hash in the text are gone through once in all."""
-    at_a, at_b = a.free(k), b.free(k)
-    ha, hb = a.hashes(at_a, k), b.hashes(at_b, k)
+    at_a, ha, at_b, hb = common
     by = np.argsort(hb, kind="stable")
     names, first = np.unique(hb[by], return_index=True)
     stop = np.r_[first[1:], len(by)]
-    slot = np.minimum(np.searchsorted(names, ha), len(names) - 1)
-    for i, s in zip(at_a[names[slot] == ha].tolist(), slot[names[slot] == ha].tolist()):
+    for i, s in zip(at_a.tolist(), np.searchsorted(names, ha).tolist()):
         if a.marked[i] or a.marked[i + k - 1]:  # tiles marked here are no shorter, so one in the way covers an end
             continue
         while first[s] < stop[s]:
