@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.plans.order import numbered
 
 
 def shuffle_key(id: Column, seed: str) -> Column:
@@ -75,11 +76,11 @@ def stratified_split(rows: DataFrame, strata: list[str], id: str, seed: str = "4
 
 def global_split(rows: DataFrame, id: str, seed: str = "42", share: float = 0.15) -> DataFrame:
     """Column ``split``: the max(1, floor(share n)) rows of the least shuffle
-    keys are test. They are chosen by a sort and limit, then joined back."""
-    n = rows.count()
-    test = rows.select(F.col(id).alias("_id"), shuffle_key(F.col(id), seed).alias("_key")).orderBy("_key", "_id").limit(max(1, int(n * share))).select("_id", F.lit(True).alias("_test"))
-    out = rows.join(test, rows[id] == test["_id"], "left")
-    return out.withColumn("split", F.when(F.coalesce("_test", F.lit(False)), "test").otherwise("train")).drop("_id", "_test")
+    keys are test. Rows are range-sorted by the key and numbered by range, so no
+    task holds the split. They are written in that order while this is built."""
+    most = max(1, int(rows.count() * share))
+    out = numbered(rows.withColumn("_key", shuffle_key(F.col(id), seed)), ["_key", id], "_at")
+    return out.withColumn("split", F.when(F.col("_at") < most, "test").otherwise("train")).drop("_key", "_at")
 
 
 def core_question(rows: DataFrame, group: str, question: str, order: str) -> DataFrame:
