@@ -3,9 +3,11 @@
 Documents of a source are shuffled by a seeded hash and queue in that order, up
 to ``max_repeat`` passes. A copy's virtual finish time is its source's
 cumulative words, its own included, divided by the source's target. All queues
-are served at rates in proportion to their targets, so the total budget (the sum
-of the targets) is spent at virtual time 1: copies that start later are cut off,
-one in service then is truncated. DataFrame functions only.
+are served at rates in proportion to their targets, so the total budget is spent
+at virtual time 1. Copies are range-sorted by finish time over all sources, their
+words summed up in that order, and what comes after the budget is cut off; a copy
+in service at time 1 counts as two, its words before and after. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, word_count
+from tidemark.plans.order import numbered, running
 
 #: The weights that sources take in turn, the share of all words, the most passes.
 WEIGHTS = (3, 1, 2)
@@ -44,36 +47,24 @@ def source_targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Targets share the budget by weight; one above ``max_repeat`` times its
     source stops there and its excess is shared again by weight. Sorted by
     capacity per weight, the capped sources come first, and the level of the
-    rest is what remains divided by the weights that remain. The windows run
-    over one row per source.
+    rest is what remains divided by the weights that remain. Sources are ranked
+    and summed up in ranges, so there may be any number of them.
     """
-    order = Window.orderBy("skey")
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(mix.weights)))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in mix.weights)), (turn + 1).cast("int"))
-    s = sizes.withColumn("weight", weight).withColumn("cap", mix.max_repeat * F.col("source_size").cast("double"))
-    s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
-    every = Window.partitionBy()
-    fill = Window.orderBy("ratio", "skey")
-    before = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    budget = mix.share * F.sum("source_size").over(every).cast("double")
-    s = s.withColumn("level", (budget - before) / rest)
-    level = F.max(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(every)
-    target = F.when(F.col("level") >= F.col("ratio"), F.col("cap")).otherwise(F.least(level * F.col("weight"), F.col("cap")))
+    weights = F.array(*(F.lit(float(w)) for w in mix.weights))
+    s = numbered(sizes, ["skey"], "turn")
+    s = s.withColumn("weight", F.element_at(weights, (F.col("turn") % len(mix.weights) + 1).cast("int")))
+    s = s.withColumn("cap", mix.max_repeat * F.col("source_size").cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    s = running(s.drop("turn"), ["ratio", "skey"], {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    words, every = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    s = s.withColumn("level", (F.lit(mix.share * float(words)) - F.col("cap_before")) / (F.lit(every) - F.col("weight_before")))
+    level = s.agg(F.max(F.when(F.col("level") < F.col("ratio"), F.col("level")))).first()[0]
+    target = F.when(F.col("level") >= F.col("ratio"), F.col("cap")).otherwise(F.least(F.lit(level).cast("double") * F.col("weight"), F.col("cap")))
     return s.select("skey", "source_size", F.round(target, 6).alias("target"))
 
 
-def fair_queue(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, source, size (words), source_size,
-    target, taken, and ``copies``: array of (pass, v_start, v_finish, served).
-
-    Null and empty texts have size 0 and take nothing; null sources form one
-    source, ranked last; repeated rows queue one after another (order among
-    rows equal in key, id and size does not change the result); an empty table
-    gives none; other columns of ``docs`` are ignored. Reruns agree, since the
-    order hangs on the id and the seed alone. Running sums are taken inside
-    (source, hash cell) groups, then offset by the sums of the cells before.
-    """
+def _queued(docs: DataFrame, mix: Mix, id: str, text: str, source: str) -> DataFrame:
+    """Each row with its number, its source's size and target, and ``start``: the
+    words that queue before it in its source."""
     skey = F.when(F.col(source).isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     key = F.md5(F.concat_ws(":", F.lit(mix.seed), F.coalesce(F.col(id).cast("string"), F.lit(""))))
     rows = docs.select(F.col(id).alias("id"), F.col(source).alias("src"), skey.alias("skey"), key.alias("key"), word_count(text).alias("size"))
@@ -82,35 +73,59 @@ def fair_queue(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str
     cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size")), mix)
     earlier = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("skey", "cell", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)).alias("offset"))
-    cells = cells.join(targets, "skey")
+    cells = cells.select("skey", "cell", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)).alias("offset")).join(targets, "skey")
 
     inside = Window.partitionBy("skey", "cell").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    q = rows.join(cells, ["skey", "cell"]).withColumn("start", start)
-    budget = F.floor("target")
-    copies = F.array(*(_copy(n, budget) for n in range(mix.max_repeat)))
-    q = q.withColumn("copies", copies)
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["served"])
-    return q.select(F.col("id").alias(id), F.col("src").alias(source), "size", "source_size", "target", taken.alias("taken"), "copies")
+    queued = rows.join(cells, ["skey", "cell"]).select("id", "src", "size", "source_size", "target", start.alias("start"))
+    return cut(queued.withColumn("row", F.monotonically_increasing_id()), "queued")
 
 
-def _copy(n: int, budget):
+def _parts(n: int):
+    """The words of the n-th copy of a row before and after virtual time 1."""
     at = F.col("start") + n * F.col("source_size")
-    served = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - at))
-    return F.struct(
-        F.lit(n).alias("pass"),
-        F.try_divide(at.cast("double"), F.col("target")).alias("v_start"),
-        F.try_divide((at + F.col("size")).cast("double"), F.col("target")).alias("v_finish"),
-        served.alias("served"),
-    )
+    end, horizon = at + F.col("size"), F.floor("target")
+    part = lambda a, b: F.struct(F.lit(n).alias("pass"), _time(a).alias("v_start"), _time(b).alias("v_finish"), (b - a).alias("words"))
+    return part(at, F.least(end, F.greatest(at, horizon))), part(F.greatest(at, F.least(end, horizon)), end)
+
+
+def _time(words):
+    return F.try_divide(words.cast("double"), F.col("target"))
+
+
+def fair_queue(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per row of ``docs``: id, source, size (words), source_size,
+    target, taken, and ``copies``: array of (pass, v_start, v_finish, served) of
+    the copies that the mix takes.
+
+    Null and empty texts have size 0 and take nothing; null sources form one
+    source, ranked last; a very long text is one row, counted without Python;
+    repeated rows queue one after another (order among rows equal in key, id and
+    size does not change the result); an empty table gives none; other columns
+    of ``docs`` are ignored. Reruns agree, since the order hangs on the id and
+    the seed alone. Running sums are taken inside (source, hash cell) groups and
+    inside ranges of finish times, then offset by the sums of what lies before.
+    Jobs run while the result is built: sizes, queues and the order are written.
+    """
+    rows = _queued(docs, mix, id, text, source)
+    parts = rows.select("row", F.inline(F.array(*(p for n in range(mix.max_repeat) for p in _parts(n))))).where("words > 0")
+    budget = rows.groupBy("src").agg(F.first(F.floor("target")).alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    order = running(parts, ["v_finish", "row", "pass"], {"before": F.col("words")})
+    served = F.least(F.col("words"), F.lit(budget) - F.col("before"))
+    mixed = order.withColumn("served", served).where("served > 0")
+    copies = mixed.groupBy("row").agg(F.sum("served").alias("taken"), F.sort_array(F.collect_list(F.struct("pass", "v_start", "v_finish", "served"))).alias("copies"))
+    none = F.array().cast("array<struct<pass:int,v_start:double,v_finish:double,served:bigint>>")
+    found = rows.join(copies, "row", "left")
+    return found.select(F.col("id").alias(id), F.col("src").alias(source), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("copies", none).alias("copies"))
 
 
 def mix_stream(queue: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The mix itself: every served copy, range-sorted by virtual finish time."""
+    """The mix itself: every served copy of ``queue`` (from fair_queue),
+    range-sorted by virtual finish time, then id, then pass. Rows of size 0 are
+    not in it; null ids come first among equals; repeated rows are copies of
+    their own; an empty queue gives none."""
     return (
         queue.select(*(c for c in queue.columns if c != "copies"), F.explode("copies").alias("c"))
-        .where("c.served > 0")
         .select("*", F.col("c.pass").alias("pass"), F.col("c.v_finish").alias("v_finish"), F.col("c.served").alias("served"))
         .drop("c")
         .orderBy("v_finish", id, "pass")
