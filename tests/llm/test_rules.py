@@ -100,6 +100,18 @@ def test_ledger_skips_what_was_scanned(spark):
     assert secrets.scan(df, ledger, newer)[1].count() == 2
 
 
+def test_increments_equal_one_scan_and_scan_no_pair_twice(spark, empty):
+    rows = [(i, t) for i, t in enumerate(SECRETS * 2)] + [(3, SECRETS[4]), (None, SECRETS[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("commit", F.col("doc_id") % 3)
+    spans = lambda p, f: sorted((r.id, r.s) for r in secrets.by_path(p, f).select("id", secrets.span_list(F.col("spans")).alias("s")).collect() if r.id is not None)
+    paths, findings, ledger = secrets.increments([(df.where("doc_id % 2 = 0"), secrets.BASE_RULES), (empty, secrets.RULES), (df, secrets.RULES)])
+    once = secrets.scan(df)
+    assert spans(paths, findings) == spans(*once[:2])
+    assert ledger.count() == ledger.distinct().count() == once[2].count()
+    versions = secrets.scan(df, version="commit")[0]
+    assert sorted(r.version for r in versions.where("id = 3").collect()) == [0, 0]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
     _, findings, _ = secrets.scan(df)

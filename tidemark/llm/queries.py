@@ -22,7 +22,11 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, findings, _ = secrets.scan(read(spark, sf_dir, "documents"))
+    """The history comes in two steps: half of the documents under the base rules,
+    then all documents under all rules, of which the ledger knows some pairs."""
+    docs = read(spark, sf_dir, "documents")
+    earlier = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    paths, findings, _ = secrets.increments([(earlier, secrets.BASE_RULES), (docs, secrets.RULES)])
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return secrets.by_path(paths, findings).select(

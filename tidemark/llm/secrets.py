@@ -7,10 +7,11 @@ however many paths hold the blob, and findings join back to all paths.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
@@ -41,20 +42,28 @@ RULES = (
 )
 
 
+BASE_RULES = tuple(r for r in RULES if r.base)
+LEDGER = "blob binary, kind string, version int"
+
+
 def blob_of(text: str | Column) -> Column:
-    return F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"), 256)
+    """A text's address: the SHA-256 of its UTF-8 bytes, 32 of them."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"), 256))
+
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], LEDGER)
 
 
-def unseen(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, kinds): the distinct blobs of ``paths`` with the rules that the
-    ledger (blob, kind, version) lacks for them."""
+def unseen(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rep, pairs): the distinct blobs of ``paths`` for which the ledger
+    (blob, kind, version) lacks rules, those rules, and one id that has the blob."""
     blobs = paths.groupBy("blob").agg(F.min("id").alias("rep"))
     listed = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-    if ledger is None:
-        return blobs.withColumn("kinds", F.array(*(F.lit(r.kind) for r in rules)))
-    pairs = blobs.select("*", F.inline(listed))
-    pairs = pairs.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-    return pairs.groupBy("blob", "rep").agg(F.collect_set("kind").alias("kinds"))
+    known = ledger.groupBy(F.col("blob").alias("known")).agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
+    both = blobs.join(known, F.col("blob") == F.col("known"), "left")
+    lacking = F.filter(listed, lambda x: ~F.coalesce(F.array_contains("seen", x), F.lit(False)))
+    return both.select("blob", "rep", lacking.alias("pairs")).where(F.size("pairs") > 0)
 
 
 def _matches(rule: Rule, text: Column) -> Column:
@@ -72,42 +81,66 @@ def _matches(rule: Rule, text: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(paths, findings, ledger): paths is (id, blob) for every row; findings is
-    one row per blob that has any: (blob, spans: array of (start, rank, kind,
-    end, base) in order of start, then rule); ledger is the pairs scanned now,
-    to be appended to the one given.
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text", version: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paths, findings, ledger): paths is (id, version, blob) for every row, a
+    path having as many versions as it has rows; findings is one row per blob in
+    which the rules scanned now found any: (blob, spans: array of (start, rank,
+    kind, end, base) in order of start, then rule); ledger is the (blob, kind,
+    version) pairs scanned now, to be appended to the one given.
 
-    Null texts are the empty blob. A very long text is one row. Repeated rows
-    and copies share a blob and are scanned once. Null ids are kept (a blob
-    whose ids are all null is scanned under the null id). An empty table gives
-    empty results; other columns of ``docs`` are ignored.
+    Each unseen blob is scanned once, by the rules that the ledger lacks for it,
+    after its text was picked out of all rows that hold it. Null texts are the
+    empty blob. A very long text is one row. Null ids are kept (a blob whose ids
+    are all null is scanned under the null id). An empty table gives empty
+    results; other columns of ``docs`` are ignored. Paths are written to the
+    shared folder while the result is built.
     """
-    paths = cut(docs.select(F.col(id).alias("id"), blob_of(text).alias("blob")), "paths")
-    todo = unseen(paths, ledger, rules).withColumnRenamed("blob", "todo_blob")
+    spark = docs.sparkSession
+    which = F.lit(None).cast("string") if version is None else F.col(version)
+    paths = cut(docs.select(F.col(id).alias("id"), which.alias("version"), blob_of(text).alias("blob")), "paths")
+    todo = unseen(paths, empty_ledger(spark) if ledger is None else ledger, rules).withColumnRenamed("blob", "todo_blob")
     named = docs.select(F.col(id).alias("id"), blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # the list of representatives is the built side, so texts are shuffled once and never sorted
+    # the list of representatives is the built side, so texts are shuffled once, copies of a blob by their ids
     fresh = named.join(todo.hint("shuffle_hash"), (named["blob"] == todo["todo_blob"]) & named["id"].eqNullSafe(todo["rep"]))
+    fresh = fresh.select("blob", "id", "text", F.transform("pairs", lambda x: x["kind"]).alias("kinds")).dropDuplicates(["blob", "id"])
     empty = F.lit([]).cast("array<struct<kind:string,i:int,gap:int,len:int,part:int>>")
     found = [F.when(F.array_contains("kinds", r.kind) & F.col("text").rlike(r.pattern), _matches(r, F.col("text"))).otherwise(empty) for r in rules]
-    hits = fresh.select(F.col("todo_blob").alias("blob"), F.concat(*found).alias("m"))
-    hits = hits.where(F.size("m") > 0).select("blob", F.inline("m")).dropDuplicates(["blob", "kind", "i"])
+    hits = fresh.select("blob", F.concat(*found).alias("m")).where(F.size("m") > 0).select("blob", F.inline("m"))
     upto = Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
     least = reduce(lambda a, r: a.when(F.col("kind") == r.kind, F.lit(r.least)), rules[1:], F.when(F.col("kind") == rules[0].kind, F.lit(rules[0].least)))
-    rank = reduce(lambda a, ir: a.when(F.col("kind") == ir[1].kind, F.lit(ir[0])), list(enumerate(rules))[1:], F.when(F.col("kind") == rules[0].kind, F.lit(0)))
+    places = list(enumerate(r.kind for r in RULES)) + [(len(RULES) + i, r.kind) for i, r in enumerate(rules)]
+    rank = reduce(lambda a, ik: a.when(F.col("kind") == ik[1], F.lit(ik[0])), places[1:], F.when(F.col("kind") == places[0][1], F.lit(places[0][0])))
     base = F.col("kind").isin([r.kind for r in rules if r.base])
     span = F.struct("start", rank.alias("rank"), "kind", "end", base.alias("base"))
     findings = hits.where(F.col("part") >= least).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    listed = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-    seen = todo.select(F.col("todo_blob").alias("blob"), "kinds", F.inline(listed)).where(F.expr("array_contains(kinds, kind)")).drop("kinds")
+    seen = todo.select(F.col("todo_blob").alias("blob"), F.inline("pairs"))
     return paths, findings, seen
 
 
+def increments(steps: Iterable[tuple[DataFrame, tuple[Rule, ...]]], id: str = "doc_id", text: str = "text", version: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``scan`` gives for a history of (documents, rules), each scanned with
+    the ledger of those before: the last one's paths, the findings of all, one
+    row per blob, and the whole ledger. A step scans new blobs, and old ones by
+    new rules or rule versions only; ledgers and findings are written after each.
+    Every step's documents may be any table, empty ones included."""
+    ledger = found = paths = None
+    for docs, rules in steps:
+        paths, now, seen = scan(docs, ledger, rules, id, text, version)
+        now, seen = cut(now, "findings"), cut(seen, "ledger")
+        ledger = seen if ledger is None else ledger.unionByName(seen)
+        found = now if found is None else found.unionByName(now)
+    if paths is None:
+        raise ValueError("no steps")
+    merged = found.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return paths, merged, ledger
+
+
 def by_path(paths: DataFrame, findings: DataFrame) -> DataFrame:
-    """(id, blob, spans) for every path; spans is empty where nothing was found."""
+    """(id, version, blob, spans) for every version of a path; spans is empty where
+    nothing was found."""
     none = F.lit([]).cast(findings.schema["spans"].dataType)
-    return paths.join(findings, "blob", "left").select("id", "blob", F.coalesce("spans", none).alias("spans"))
+    return paths.join(findings, "blob", "left").select("id", "version", "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:

@@ -40,7 +40,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found in their texts masked."""
+    """All documents, with every secret found in their texts masked. Null and
+    empty texts stay as they are; copies and repeated rows are scanned once and
+    masked alike; an empty table gives none."""
     paths, findings, _ = secrets.scan(docs)
     rows = docs.select(*COLUMNS, secrets.blob_of("text").alias("blob")).join(findings.hint("shuffle_hash"), "blob", "left")
     spans = F.coalesce("spans", F.lit([]).cast(findings.schema["spans"].dataType))
@@ -50,6 +52,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: one row per served copy, sorted by virtual finish time: doc_id,
-    source, size, target, pass, v_finish, served (its words in the mix)."""
+    source, size, target, pass, v_finish, served (its words in the mix). Null and
+    empty texts take no part; null sources are one source; repeated rows are
+    served one after another; an empty table gives an empty mix."""
     stream = mixing.mix_stream(mixing.fair_queue(docs))
     return stream.select("doc_id", "source", "size", "target", F.col("pass").cast("long").alias("pass"), F.round("v_finish", 9).alias("v_finish"), "served")
