@@ -21,7 +21,8 @@ def rows_of(df):
 
 
 def brute_quality(rows):
-    return [r for r in rows if quality.judge((r[1] or "").encode())[6]]
+    judged = [(r, quality.judge((r[1] or "").encode())) for r in rows]
+    return [(r[0], j[8], *r[2:]) for r, j in judged if j[6]]
 
 
 def brute_near(rows):
@@ -53,6 +54,12 @@ def test_stages_of_odd_rows(spark, odd, empty):
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
 
 
+def test_failed_lines_go(spark):
+    prose = "\n".join(" ".join(f"word{i}x{k}" for k in range(9)) + "." for i in range(8))
+    df = spark.createDataFrame([(1, f"Home | About | Shop\n{prose}\nAll rights reserved.", "en", "s", 9), (2, "Home | About\n" * 40, "en", "s", 9), (3, None, "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows_of(dict(corpus_pipeline.STAGES)["quality"](spark, df, SF)) == [(1, prose, "en", "s", len(prose))]
+
+
 def test_one_of_each_group_stays(spark, odd):
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     got = rows_of(stage(spark, odd, SF).select("doc_id", "text"))

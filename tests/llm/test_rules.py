@@ -44,6 +44,9 @@ def test_line_rules():
     assert quality.line_fails("Home › About › Shop › Cart") == "navigation"
     assert quality.line_fails("Read on") == "navigation"
     assert quality.line_fails("buy!! this!! now!! please!!") == "punctuation"
+    assert quality.line_fails("The club will sign up new members tomorrow evening.") is None
+    assert quality.line_fails("Read more about whales in chapter two of the book.") is None
+    assert quality.line_fails("» Read more about this.") == quality.line_fails("Sign up for our newsletter!") == "boilerplate"
     assert quality.line_fails("All rights reserved by the authors of this page and of its pictures.") == "boilerplate"
 
 

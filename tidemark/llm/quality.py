@@ -1,8 +1,9 @@
 """Quality rules, line first.
 
 Every line is judged by itself: a line that is mostly symbols or shouting
-(punctuation rules), a row of links or a bare label (navigation rules), a stock
-phrase (boilerplate rules) or a copy of an earlier line is taken out. A document
+(punctuation rules), a row of links or a bare label (navigation rules), a legal
+note or an invitation (boilerplate rules) or a copy of an earlier line is taken
+out. A document
 then goes when the lines left hold too little of its text, when it is short, or
 when repeated three-word windows cover most of it.
 """
@@ -33,16 +34,19 @@ MIN_SEPARATORS = 2
 #: A line of so few words without any closing mark is a label, not a sentence.
 LABEL_WORDS = 3
 CLOSERS = ".!?:;,…\"'”’»)]。！？"
-#: Stock phrases, in the syntax that Python, Java and RE2 share.
-BOILERPLATE = (
-    r"(?i)all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies"
-    r"|click here|read more|sign up|log in|subscribe (now|to our)|licensed under the|copyright (\(c\)|©)"
+#: Stock phrases, in the syntax that Python, Java and RE2 share: legal ones anywhere in a line that is no long
+#: paragraph, invitations at the start of a short line. Prose that has such words in passing stays.
+LEGAL = (
+    r"(?i)all rights reserved|terms of (use|service)|privacy policy|cookie policy|licensed under the|copyright (\(c\)|©)"
     r"|tous droits réservés|alle rechte vorbehalten|todos los derechos reservados"
 )
+LEGAL_WORDS = 25
+INVITATION = r"(?i)^[^0-9A-Za-z]*(please )?(accept (all )?cookies|click here|read more|sign (up|in)|log in|subscribe (now|to))"
+INVITATION_WORDS = 8
 #: A document must keep this share of its word characters.
 MIN_KEPT = 0.5
 
-_BOILERPLATE = re.compile(BOILERPLATE)
+_LEGAL, _INVITATION = re.compile(LEGAL), re.compile(INVITATION)
 
 
 def line_fails(line: str) -> str | None:
@@ -58,7 +62,7 @@ def line_fails(line: str) -> str | None:
         return "navigation"
     if words <= LABEL_WORDS and line.rstrip(" \t\n\v\f\r")[-1] not in CLOSERS:
         return "navigation"
-    if _BOILERPLATE.search(line):
+    if (words <= LEGAL_WORDS and _LEGAL.search(line)) or (words <= INVITATION_WORDS and _INVITATION.search(line)):
         return "boilerplate"
     return None
 

@@ -40,7 +40,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.line_first(read(spark, sf_dir, "documents"), clean=False).drop("n_removed_lines")
+    found = quality.line_first(read(spark, sf_dir, "documents"))
+    return found.withColumn("clean_sha256", F.sha2(F.col("clean_text").cast("binary"), 256)).drop("clean_text")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,12 +112,12 @@ OP4_SQL = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(te
 g AS (SELECT row, i, x, count(*) OVER (PARTITION BY row, x) AS c FROM (SELECT row, i, [w[i], w[i + 1], w[i + 2]] AS x FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2))),
 r AS (SELECT row, count(DISTINCT i + k) AS n FROM g, range(3) o(k) WHERE c > 1 GROUP BY row),
 ln AS (SELECT row, k, l, length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS chars, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT row, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)),
-j AS (SELECT row, chars, row_number() OVER (PARTITION BY row, l ORDER BY k) > 1 AS again,
-len(regexp_extract_all(l, '[#*$%&|<>]')) > {quality.MAX_SYMBOLS_PER_WORD} * words OR len(regexp_extract_all(l, '!')) > {quality.MAX_EXCLAMATIONS_PER_WORD} * words OR {_SEPARATED} >= {quality.MIN_SEPARATORS}
-OR (words <= {quality.LABEL_WORDS} AND NOT regexp_matches(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), '[{_CLOSERS}]$')) OR regexp_matches(l, '{quality.BOILERPLATE}') AS bad FROM ln WHERE words > 0),
-s AS (SELECT row, sum(chars) AS total, sum(chars) FILTER (NOT again AND NOT bad) AS kept, count(*) FILTER (again) AS dup FROM j GROUP BY row)
+j AS (SELECT row, k, l, chars, words > 0 AND row_number() OVER (PARTITION BY row, l ORDER BY k) > 1 AS again,
+words > 0 AND (len(regexp_extract_all(l, '[#*$%&|<>]')) > {quality.MAX_SYMBOLS_PER_WORD} * words OR len(regexp_extract_all(l, '!')) > {quality.MAX_EXCLAMATIONS_PER_WORD} * words OR {_SEPARATED} >= {quality.MIN_SEPARATORS}
+OR (words <= {quality.LABEL_WORDS} AND NOT regexp_matches(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), '[{_CLOSERS}]$')) OR (words <= {quality.LEGAL_WORDS} AND regexp_matches(l, '{quality.LEGAL}')) OR (words <= {quality.INVITATION_WORDS} AND regexp_matches(l, '{quality.INVITATION}'))) AS bad FROM ln),
+s AS (SELECT row, sum(chars) AS total, sum(chars) FILTER (NOT again AND NOT bad) AS kept, count(*) FILTER (again) AS dup, count(*) FILTER (again OR bad) AS removed, string_agg(l, chr(10) ORDER BY k) FILTER (NOT again AND NOT bad) AS clean FROM j GROUP BY row)
 SELECT doc_id, len(w) AS n_words, coalesce(total, 0)::bigint AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-len(w) < {quality.MIN_WORDS} OR 100 * coalesce(r.n, 0) > {quality.MAX_REPEAT_PERCENT} * len(w) AS base_failed,
+len(w) < {quality.MIN_WORDS} OR 100 * coalesce(r.n, 0) > {quality.MAX_REPEAT_PERCENT} * len(w) AS base_failed, coalesce(removed, 0) AS n_removed_lines, sha256(coalesce(clean, '')) AS clean_sha256,
 NOT (len(w) < {quality.MIN_WORDS} OR 100 * coalesce(r.n, 0) > {quality.MAX_REPEAT_PERCENT} * len(w)) AND coalesce(kept, 0) >= {quality.MIN_KEPT} * total AS kept FROM d LEFT JOIN r ON r.row = d.row LEFT JOIN s ON s.row = d.row"""
 
 OP6_SQL = f"""WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')) AS key FROM documents),

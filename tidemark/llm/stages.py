@@ -12,10 +12,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, their texts as they came. The
-    verdict is taken where the row is, so nothing is shuffled. Rows with null or
-    empty texts go; repeated rows go or stay together."""
-    return quality.line_first(docs, keep=COLUMNS, clean=False).where("kept").select(*COLUMNS)
+    """Documents that the line-first rules keep, their texts without the failed
+    lines and n_chars counted anew. The verdict is taken where the row is, so
+    nothing is shuffled. Rows with null or empty texts go; a very long text is one
+    row's work; repeated rows go or stay together; an empty table gives none."""
+    clean = quality.line_first(docs, keep=COLUMNS).where("kept").select(*(c for c in COLUMNS if c != "text"), F.col("clean_text").alias("text"))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
