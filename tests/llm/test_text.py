@@ -93,9 +93,12 @@ def brute_count(pieces, word):
 
 def test_trie_counts_equal_word_by_word(pieces):
     rng = random.Random(2)
-    words = sorted({tokens.MARK + "".join(rng.choice("theringsoablé漢😀x") for _ in range(rng.randrange(1, 14))) for _ in range(400)})
-    counter = tokens.TrieCounter(pieces)
-    assert dict(counter.count_sorted(words)) == {w: brute_count(pieces, w) for w in words}
+    words = list({"".join(rng.choice("theringsoablé漢😀x") for _ in range(rng.randrange(1, 14))) for _ in range(400)})
+    trie = tokens.Trie(pieces)
+    for _ in range(2):
+        assert [trie.count(w.encode()) for w in words] == [brute_count(pieces, tokens.MARK + w) for w in words]
+    # one node a distinct prefix, the score of each computed once
+    assert len(trie.best) == len({(tokens.MARK + w)[:i] for w in words for i in range(len(w) + 2)})
 
 
 def test_counts_equal_a_unigram_tokenizer(pieces):
@@ -103,16 +106,15 @@ def test_counts_equal_a_unigram_tokenizer(pieces):
 
     vocab = sorted(pieces.items(), key=lambda kv: -kv[1])
     t = Tokenizer(models.Unigram([("<unk>", min(pieces.values()) - 100.0), *vocab], 0, False))
-    counter = tokens.TrieCounter(pieces)
-    words = [tokens.MARK + w for w in "the quick brown international unbelievable a zebra counting tokens is straightforward".split()]
-    for w, n in counter.count_sorted(sorted(words)):
-        assert len(t.encode(w, add_special_tokens=False).ids) == n
+    trie = tokens.Trie(pieces)
+    for w in "the quick brown international unbelievable a zebra counting tokens is straightforward".split():
+        assert len(t.encode(tokens.MARK + w, add_special_tokens=False).ids) == trie.count(w.encode())
 
 
-def test_token_counts_of_odd_rows(odd, empty, pieces):
-    counter = tokens.TrieCounter(pieces)
-    one = lambda w: next(counter.count_sorted([tokens.MARK + w]))[1]
-    count = lambda t: sum(one(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+def test_token_counts_of_odd_rows(odd, empty, pieces, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_NODES", 20)
+    trie = tokens.Trie(pieces)
+    count = lambda t: sum(trie.count(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     want = sorted(((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), count(r.text)) for r in odd.collect()), key=repr)
     assert sorted((tuple(r) for r in tokens.token_counts(odd, pieces).collect()), key=repr) == want
     assert tokens.token_counts(empty, pieces).count() == 0

@@ -1,16 +1,17 @@
 """Token counts by dynamic programming shared over a trie.
 
-Distinct pre-tokens, taken in order, are walked as a trie: at each of its nodes
-the best unigram score of the prefix that ends there, and its number of pieces,
-are computed once for all pre-tokens below; terminals keep their counts, and a
-text's count is the sum over its pre-tokens.
+Distinct pre-tokens are inserted in a trie: when a node is made, the best unigram
+score of the prefix that ends there, and its number of pieces, follow from those
+of the nodes above, once for all pre-tokens below; terminals keep their counts,
+and a text's count is the sum over the terminals of its pre-tokens.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +22,10 @@ from tidemark.llm.common import body
 #: Default vocabulary: a public one, ordered by rank.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: A task remembers the counts of at most this many pre-tokens, then starts anew.
-CACHE = 1_000_000
+#: A task's trie has at most about this many nodes, then it starts anew: memory only, no count changes.
+MAX_NODES = 1_000_000
 _END = ""
+_CODES = 0x110000
 
 
 def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
@@ -37,81 +39,81 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
     return {p: -math.log(r) - norm for r, p in enumerate(plain, 1)}
 
 
-class TrieCounter:
-    """Counts of the best segmentation into pieces. A character that no piece
-    covers becomes its UTF-8 bytes, at ten below the worst score each. Equal
-    scores go to fewer pieces."""
+class Trie:
+    """Pre-tokens and the counts of their best segmentations into pieces. A
+    character that no piece covers becomes its UTF-8 bytes, at ten below the
+    worst score each. Equal scores go to fewer pieces."""
 
     def __init__(self, pieces: dict[str, float]) -> None:
-        self.back: dict = {}
+        self.back: dict = {}  # the pieces, spelled backwards
         for piece, score in pieces.items():
             node = self.back
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[_END] = score
         self.byte = min(pieces.values(), default=0.0) - 10.0
-
-    def count_sorted(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
-        """(word, pieces) for distinct words in sorted order; the rows of a
-        prefix shared with the word before are not computed again."""
-        best, count, last, byte = [0.0], [0], "", self.byte
-        for word in words:
-            same, most = 0, min(len(word), len(last))
-            while same < most and word[same] == last[same]:
-                same += 1
-            del best[same + 1 :], count[same + 1 :]
-            for i in range(same, len(word)):
-                n_bytes = len(word[i].encode("utf-8", "replace"))
-                top, n = best[i] + byte * n_bytes, count[i] + n_bytes
-                node = self.back
-                j = i
-                while j >= 0:
-                    node = node.get(word[j])
-                    if node is None:
-                        break
-                    score = node.get(_END)
-                    if score is not None:
-                        s = best[j] + score
-                        if s > top or (s == top and count[j] + 1 < n):
-                            top, n = s, count[j] + 1
-                    j -= 1
-                best.append(top)
-                count.append(n)
-            last = word
-            yield word, count[len(word)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.below: dict[int, int] = {}  # a node and a character, as one number, to the node below
+        self.above, self.best, self.pieces, self.char = array("q", [0]), array("d", [0.0]), array("q", [0]), [""]
+        self.terminals: dict[bytes, int] = {}
+
+    def insert(self, word: str) -> int:
+        """The node at which ``word`` ends."""
+        node = 0
+        for c in word:
+            node = self.below.get(node * _CODES + ord(c)) or self._grow(node, c)
+        return node
+
+    def _grow(self, above: int, c: str) -> int:
+        n_bytes = len(c.encode("utf-8", "replace"))
+        top, n = self.best[above] + self.byte * n_bytes, self.pieces[above] + n_bytes
+        piece, at = self.back.get(c), above
+        while piece is not None:
+            score = piece.get(_END)
+            if score is not None:
+                s = self.best[at] + score
+                if s > top or (s == top and self.pieces[at] + 1 < n):
+                    top, n = s, self.pieces[at] + 1
+            if not at:
+                break
+            piece, at = piece.get(self.char[at]), self.above[at]
+        node = self.below[above * _CODES + ord(c)] = len(self.best)
+        for column, v in ((self.above, above), (self.char, c), (self.best, top), (self.pieces, n)):
+            column.append(v)
+        return node
+
+    def count(self, word: bytes) -> int:
+        """The count at the terminal of a pre-token, with its leading mark."""
+        node = self.terminals.get(word)
+        if node is None:
+            node = self.terminals[word] = self.insert(MARK + word.decode("utf-8", "replace"))
+        return self.pieces[node]
 
 
 def token_counts(docs: DataFrame, pieces: dict[str, float], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_pretokens, n_tokens) for every row. Pre-tokens are the words of a
     text (runs of anything but ASCII white space), each with a leading mark.
 
-    Null and empty texts have none; null ids stay; repeated rows count alike; an
-    empty table gives none; other columns are ignored. Each task builds the trie
-    of the pre-tokens in its own batches, so nothing is shuffled and a hot word
-    costs nothing more; ``pieces`` is the fixed vocabulary.
+    Null and empty texts have none; a very long text is one row's work, its
+    distinct pre-tokens in memory at once; null ids stay; repeated rows count
+    alike; an empty table gives none; other columns are ignored. Each task builds
+    the trie of the pre-tokens in its own rows, so nothing is shuffled and a hot
+    word costs nothing more; ``pieces`` is the fixed vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = TrieCounter(pieces), {}
+        trie = Trie(pieces)
         for b in batches:
-            texts = [Counter(raw.as_py().split()) for raw in b.column(1)]
-            new = {w for t in texts for w in t if w not in known}
-            if len(known) + len(new) > CACHE:
-                known = {}
-                new = {w for t in texts for w in t}
-            coded = {MARK + w.decode("utf-8", "replace"): w for w in new}
-            for word, n in counter.count_sorted(sorted(coded)):
-                known[coded[word]] = n
-            for w in new - known.keys():  # invalid bytes that decode alike
-                known[w] = next(counter.count_sorted([MARK + w.decode("utf-8", "replace")]))[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([sum(t.values()) for t in texts], pa.int64()),
-                    pa.array([sum(known[w] * k for w, k in t.items()) for t in texts], pa.int64()),
-                ],
-                names=["id", "n_pretokens", "n_tokens"],
-            )
+            words, counts = [], []
+            for raw in b.column(1):
+                text_ = Counter(raw.as_py().split())
+                words.append(text_.total())
+                counts.append(sum(trie.count(w) * k for w, k in text_.items()))
+                if len(trie.best) > MAX_NODES:
+                    trie.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_pretokens", "n_tokens"])
 
     src = docs.select(F.col(id).alias("id"), body(text).alias("raw"))
     out = src.mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, n_pretokens long, n_tokens long")
