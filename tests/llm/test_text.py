@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import struct
@@ -148,6 +149,46 @@ def test_toxicity_held_out(spark):
     assert toxicity.fit(docs, labels) == model
 
 
+def plain_loss(rows, y, swapped, w, bias, ridge, penalty):
+    """The loss in plain Python: rows and swapped rows as sets of features."""
+    total = 0.0
+    for row, t in zip(rows, y):
+        p = 1 / (1 + math.exp(-(bias + sum(w[c] for c in row))))
+        total -= math.log(p if t else 1 - p) / len(rows)
+    total += ridge / 2 * sum(x * x for x in w)
+    return total + penalty / 2 * sum((sum(w[c] for c in a) - sum(w[c] for c in b)) ** 2 for a, b in swapped) / max(1, len(swapped))
+
+
+def test_loss_gradient_and_optimum():
+    rng = random.Random(4)
+    rows = [sorted(rng.sample(range(6), rng.randrange(5))) for _ in range(60)]
+    y = np.array([float(rng.random() < (0.8 if 0 in r else 0.2)) for r in rows])
+    pairs = [({0, 1}, {2}), ({3}, {4}), ({1, 5}, {1, 4})]
+    x = toxicity.Sparse.of(rows, 6)
+    swap = toxicity.Sparse.of([[*(a - b), *(-1 - c for c in b - a)] for a, b in pairs], 6)
+    w, bias = np.array([rng.uniform(-1, 1) for _ in range(6)]), 0.3
+    loss, grad = toxicity.loss_and_gradient(x, y, swap, w, bias, 0.01, 2.0)
+    assert loss == pytest.approx(plain_loss(rows, y, pairs, w, bias, 0.01, 2.0))
+    for i in range(7):
+        up, down = np.r_[w, bias], np.r_[w, bias]
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        slope = (plain_loss(rows, y, pairs, up[:6], up[6], 0.01, 2.0) - plain_loss(rows, y, pairs, down[:6], down[6], 0.01, 2.0)) / 2e-5
+        assert grad[i] == pytest.approx(slope, abs=1e-6)
+    w, bias = toxicity.fit_logistic(x, y, swap, 0.01, 2.0, 2000)
+    best = plain_loss(rows, y, pairs, w, bias, 0.01, 2.0)
+    for _ in range(200):
+        assert best <= plain_loss(rows, y, pairs, w + np.array([rng.gauss(0, 0.05) for _ in range(6)]), bias + rng.gauss(0, 0.05), 0.01, 2.0) + 1e-9
+
+
+def test_every_swap_of_a_group():
+    got = {(frozenset(a), t) for a, t in toxicity.swaps({"gay", "women", "prose"})}
+    gay = next(g for g in toxicity.IDENTITY if "gay" in g)
+    assert got == {(frozenset({"women"}), "men")} | {(frozenset({"gay"}), t) for t in gay if t != "gay"}
+    both = {t for a, t in toxicity.swaps({"gay", "straight"}) if a == {"gay", "straight"}}
+    assert both == set(gay)
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     docs, labels = labelled(spark)
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
