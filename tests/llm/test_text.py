@@ -304,6 +304,10 @@ def test_warc_round_trip(spark, least):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == brute_warc(PAGES, least)
     texts = {r.page_id: bytes(r.payload).decode() for r in got if r.record_type == "response"}
     assert texts[4] == "é" * 300_000
+    ids = [r.record_id for r in got]
+    assert len(set(ids)) == len(ids) == len(PAGES)
+    refers = [warc.parse_record(rec)[0] for b in bundles.collect() for rec in [zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(bytes(b.bundle))] for rec in re.split(rb"(?=WARC/1\.1\r\n)", rec) if rec]
+    assert {h["WARC-Refers-To"] for h in refers if h["WARC-Type"] == "revisit"} <= {r.record_id for r in got if r.record_type == "response"}
     some = warc.lookup(bundles, bundles.select(F.inline("index")).where("offset > 0").select("record_id")).collect()
     assert {r.record_id for r in some} <= {r.record_id for r in got} and len(some) >= 1
     assert warc.read_bundles(warc.write_bundles(df.limit(0))).count() == 0

@@ -15,10 +15,12 @@ import base64
 import hashlib
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +43,25 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NS, f'{page_id}|{url}|{digest}')}>"
+def record_id(page_id: int | None, url: str | None, digest: str, nth: str = "") -> str:
+    """The id of a page's record; ``nth`` tells repeated rows apart."""
+    return f"<urn:uuid:{uuid.uuid5(_NS, f'{page_id}|{url}|{digest}{nth}')}>"
 
 
 def _one_line(value: str) -> str:
     return "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in value)
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, refers_url: str | None = None, rid: str | None = None) -> bytes:
     """One WARC/1.1 record. A revisit holds no payload; its digest and length
-    are those of the full payload."""
+    are those of the full payload, and it names the record that has it."""
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload if kind == "response" else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
+        f"WARC-Record-ID: {rid or record_id(page_id, url, digest)}",
         f"WARC-Date: {RECORD_DATE}",
         f"WARC-Target-URI: {_one_line(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -68,6 +71,9 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     if kind == "revisit":
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}",
+            f"WARC-Refers-To-Target-URI: {_one_line(refers_url or '')}",
+            f"WARC-Refers-To-Date: {RECORD_DATE}",
             f"WARC-Refers-To-Page-ID: {refers_to}",
         ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -145,10 +151,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [dict(zip(("record_id", "frame", "offset", "length"), x)) for x in index]
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary()), pa.array([rows], _ARROW.field("index").type)], schema=_ARROW)
 
-    now = _Bundle()
+    now, times, task = _Bundle(), Counter(), TaskContext.get()
     for b in batches:
-        for page_id, url, html, digest, size, ref in zip(*(c.to_pylist() for c in b.columns)):
-            now.add(record_id(page_id, url, digest), make_record(page_id, url, html, digest, size, ref))
+        for page_id, url, html, digest, size, ref, ref_url in zip(*(c.to_pylist() for c in b.columns)):
+            rid = record_id(page_id, url, digest)
+            times[rid] += 1
+            if times[rid] > 1:  # a repeated row
+                rid = record_id(page_id, url, digest, f"|{task.partitionId() if task else 0}|{times[rid]}")
+            now.add(rid, make_record(page_id, url, html, digest, size, ref, ref_url, rid))
             if now.done >= BUNDLE_BYTES:
                 yield flush(now)
                 now = _Bundle()
@@ -197,19 +207,22 @@ def write_bundles(pages: DataFrame, min_revisit: int = MIN_REVISIT_BYTES, id: st
     id is the response; the others revisit it and hold no payload. Rows that
     share that id (repeated rows) are responses too. A null payload is empty; a
     null id never is the one referred to unless all of its copies are null,
-    and then each of them is a response. An empty table gives none; other
-    columns are ignored. Payloads are shuffled once, joined to the small table
+    and then each of them is a response. Repeated rows have record ids of their
+    own. A very long payload is one record, held in memory. An empty table gives
+    none; other columns are ignored. The bundles are written while this is
+    called. Payloads are shuffled once, joined to the small table
     of digests; copies of one payload may be any share of all rows, as Spark
     splits a skewed join partition.
     """
     src = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body(html).alias("html"))
     keyed = src.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("size", F.length("html").cast("long"))
-    first = keyed.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.where((F.col("n") > 1) & (F.col("size") >= min_revisit)).select(F.col("sha").alias("f_sha"), "first")
+    place = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = keyed.groupBy("sha", "size").agg(F.min(place).alias("p"), F.count("*").alias("n"))
+    first = first.where((F.col("n") > 1) & (F.col("size") >= min_revisit)).select(F.col("sha").alias("f_sha"), F.col("p.page_id").alias("first"), F.col("p.url").alias("first_url"))
     joined = keyed.join(first.hint("shuffle_hash"), F.col("sha") == F.col("f_sha"), "left")
     ref = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     b32 = _base32(F.hex("sha"))
-    rows = joined.select("page_id", "url", F.when(ref.isNull(), F.col("html")).alias("html"), b32.alias("digest"), "size", ref.alias("refers_to"))
+    rows = joined.select("page_id", "url", F.when(ref.isNull(), F.col("html")).alias("html"), b32.alias("digest"), "size", ref.alias("refers_to"), "first_url")
     return cut(rows.mapInArrow(_pack, _BUNDLE_SCHEMA), "bundles")
 
 
@@ -230,7 +243,8 @@ def read_bundles(bundles: DataFrame, payload: bool = False) -> DataFrame:
 
 def lookup(bundles: DataFrame, record_ids: DataFrame) -> DataFrame:
     """The records named in ``record_ids`` (record_id), decompressing only the
-    frames that hold them."""
+    frames that hold them. Null, unknown and repeated ids add nothing; an empty
+    list or no bundles give none."""
     at = bundles.select("bundle_id", F.inline("index")).join(record_ids.select("record_id").distinct(), "record_id")
     wanted = at.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("frame", "offset", "length", "record_id"))).alias("w"))
     index = F.transform("w", lambda x: F.struct(x["record_id"].alias("record_id"), x["frame"].alias("frame"), x["offset"].alias("offset"), x["length"].alias("length")))
