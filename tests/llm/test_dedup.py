@@ -242,7 +242,9 @@ def passages(seed=3):
     return texts + [shared[2] + prose(1) for _ in range(90)]  # one anchor with many different segments
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("most", [None, 2000])
+def test_repeats_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(lpf, "MAX_BYTES", most or lpf.MAX_BYTES)
     rows = list(enumerate(passages()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: bytes(r.kept) for r in lpf.repeats(df, keep="none").collect()}
@@ -250,7 +252,9 @@ def test_repeats_against_brute_force(spark):
     assert got == dict(enumerate(want))
 
 
-def test_repeats_keeping_the_first(spark):
+@pytest.mark.parametrize("most", [None, 2000])
+def test_repeats_keeping_the_first(spark, monkeypatch, most):
+    monkeypatch.setattr(lpf, "MAX_BYTES", most or lpf.MAX_BYTES)
     rows = list(enumerate(passages(4)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: bytes(r.kept) for r in lpf.repeats(df, keep="first").collect()}
@@ -281,7 +285,7 @@ def test_repeats_of_odd_rows(odd, empty):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(min_size=4, max_size=40), min_size=1, max_size=8), st.integers(2, 4))
+@given(st.lists(st.one_of(st.binary(min_size=4, max_size=40), st.text("ab", min_size=4, max_size=40).map(str.encode)), min_size=1, max_size=8), st.integers(2, 9))
 def test_windows_in_suffix_order(parts, width):
     data = np.frombuffer(b"".join(parts), np.uint8)
     if len(data) < width:
@@ -290,6 +294,19 @@ def test_windows_in_suffix_order(parts, width):
     order, lcp = lpf.suffix_order(wins)
     as_bytes = [bytes(w) for w in wins]
     assert [as_bytes[i] for i in order] == sorted(as_bytes)
-    before, after = lpf.longest_factors(order, lcp, width)
-    assert before.tolist() == [w in as_bytes[:i] for i, w in enumerate(as_bytes)]
-    assert after.tolist() == [w in as_bytes[i + 1 :] for i, w in enumerate(as_bytes)]
+    common = lambda a, b: next((k for k in range(width) if a[k] != b[k]), width)
+    before, after = lpf.longest_factors(order, lcp)
+    assert before.tolist() == [max((common(w, v) for v in as_bytes[:i]), default=0) for i, w in enumerate(as_bytes)]
+    assert after.tolist() == [max((common(w, v) for v in as_bytes[i + 1 :]), default=0) for i, w in enumerate(as_bytes)]
+
+
+def test_factors_of_one_letter_and_of_random_bytes():
+    for data in (bytes(3000), random.Random(1).randbytes(3000), b"ab" * 1500):
+        wins = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 200)
+        before, after = lpf.longest_factors(*lpf.suffix_order(wins))
+        first, last = {}, {}
+        for i in range(len(wins)):
+            first.setdefault(data[i : i + 200], i)
+            last[data[i : i + 200]] = i
+        assert (before == 200).tolist() == [first[data[i : i + 200]] < i for i in range(len(wins))]
+        assert (after == 200).tolist() == [last[data[i : i + 200]] > i for i in range(len(wins))]

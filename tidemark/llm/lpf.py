@@ -6,8 +6,9 @@ anchor at the same place, and each window is owned by one anchor. Anchors that
 occur once cannot lie in a repeated window; what remains are short segments, the
 bytes of the windows that one repeated anchor owns. Segments of an anchor meet
 in one task, where their windows are put in suffix order; from the order, the
-previous and next smaller positions give each window its longest match before
-and after it, capped at the window's length.
+previous and next smaller positions give each window its longest previous factor,
+those for the reverse order of places its longest next one, both capped at the
+window's length. A window whose factor has that length is a repeat.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from tidemark.llm.common import body, cut, drop
 
 LEAST = 200
 ANCHOR = 32
-#: Anchors with more distinct segments than this are dealt by window instead, so that no task holds them all.
-MAX_SEGMENTS = 16
+#: What a task sorts at once: anchors whose distinct segments have more bytes than this are dealt by window instead.
+MAX_BYTES = 512 << 10
 #: A segment has at most this many windows; longer stretches are several segments.
 MAX_WINDOWS = 1024
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
+_ROWS = 1 << 14
 #: Texts are scanned together up to this many bytes.
 _CHUNK = 4 << 20
 
@@ -185,28 +187,45 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # S strings compare as bytes; their trailing zeros weigh nothing, which equal widths make up for
     order = np.argsort(flat.view(f"S{width}").ravel(), kind="stable")
     lcp = np.zeros(len(order), np.int64)
-    if len(order) > 1:
-        differ = flat[order[1:]] != flat[order[:-1]]
-        lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    for i in range(1, len(order), _ROWS):
+        differ = flat[order[i : i + _ROWS]] != flat[order[i - 1 : min(i + _ROWS, len(order)) - 1]]
+        lcp[i : i + _ROWS] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     return order, lcp
 
 
-def longest_factors(order: np.ndarray, lcp: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(before, after) for every position: whether its longest match with an
-    earlier, or a later, position reaches the whole ``width``.
-
-    A position's longest previous factor is the larger common prefix with its
-    nearest smaller neighbours in suffix order, one on either side. Windows end
-    at ``width``, so equal ones are neighbours, and the order is stable, so they
-    stand by rising position: the previous smaller position that shares all
-    ``width`` bytes, if there is one, is the neighbour before, the next larger
-    one the neighbour after.
+def _nearest_smaller(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For every entry of a suffix order the common prefix with the nearest one
+    before it that has a smaller place, 0 if none has. All entries look one
+    step back, then leap over what the entry found has leapt over itself."""
+    n = len(place)
+    at, low = np.arange(n) - 1, lcp.copy()
+    left = np.flatnonzero(at >= 0)
+    while True:
+        left = left[at[left] >= 0]
+        left = left[place[at[left]] > place[left]]
+        if not len(left):
+            return np.where(at >= 0, low, 0)
+        over = at[left]
+        low[left] = np.minimum(low[left], low[over])
+        at[left] = at[over]
+
+
+def longest_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after): for every position its longest previous factor, the
+    longest match with an earlier position, and its longest next factor, that
+    with a later one, both as far as ``lcp`` measures.
+
+    Of the positions that are earlier, the two nearest in suffix order, one on
+    either side, have the longest prefix in common (previous and next smaller
+    positions); of the later ones the two nearest likewise.
     """
-    whole = lcp >= width
-    before, after = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    before[order] = whole
-    after[order[:-1]] = whole[1:]
-    return before, after
+    turned = np.r_[0, lcp[:0:-1]] if len(lcp) else lcp  # the common prefix with the one after, from the end
+    out = []
+    for place in (order, -order):
+        found = np.zeros(len(order), np.int64)
+        found[order] = np.maximum(_nearest_smaller(place, lcp), _nearest_smaller(place[::-1], turned)[::-1])
+        out.append(found)
+    return out[0], out[1]
 
 
 def runs_of(flags: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +242,7 @@ _VERDICT = "dig binary, runs array<struct<a:int,b:int>>"
 def _judge(least: int, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (h, dig, seg) sorted by h, equal segments together, at most
-        MAX_SEGMENTS different ones an h: the runs of windows of each segment that
+        MAX_BYTES of different ones an h: the runs of windows of each segment that
         occur in another one too. A segment comes once from every task that saw
         it, and counts once. The last anchor of a batch waits for the next batch."""
         held: list[tuple] = []
@@ -253,7 +272,7 @@ def _judge(least: int, keep_first: bool):
     return run
 
 
-def _parts(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[tuple]]:
+def _parts(rows: list[tuple], most: int = 1 << 18) -> Iterator[list[tuple]]:
     """Whole anchors, about ``most`` bytes at a time."""
     part, size = [], 0
     for i, r in enumerate(rows):
@@ -269,28 +288,16 @@ def _parts(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[tuple]]:
 def match_segments(segs: list[bytes], least: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, start, stop) of the runs of windows that also occur in another
     segment given, or at another place of their own, or with ``keep_first`` at
-    an earlier one. Windows that share no rolling hash with another have no
-    match of that length and are not sorted."""
+    an earlier one: those whose longest factors reach the whole window."""
     text = np.frombuffer(b"".join(segs), np.uint8)
     sizes = np.array([len(s) for s in segs])
     starts = np.cumsum(sizes) - sizes
     counts = sizes - least + 1
     owner = np.repeat(np.arange(len(segs)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[owner] + inside
-    h = _rolling(text, least)[at]
-    by = np.argsort(h, kind="stable")
-    same = h[by][1:] == h[by][:-1]
-    twin = np.zeros(len(h), bool)
-    twin[by[1:][same]] = True
-    twin[by[:-1][same]] = True
-    flags = np.zeros(len(h), bool)
-    cand = np.flatnonzero(twin)
-    if len(cand):
-        windows = np.lib.stride_tricks.sliding_window_view(text, least)[at[cand]]
-        before, after = longest_factors(*suffix_order(windows), least)
-        flags[cand] = before if keep_first else before | after
-    return runs_of(flags, owner, inside)
+    windows = np.lib.stride_tricks.sliding_window_view(text, least)[starts[owner] + inside]
+    before, after = longest_factors(*suffix_order(windows))
+    return runs_of((before if keep_first else np.maximum(before, after)) >= least, owner, inside)
 
 
 def _explode_windows(least: int):
@@ -356,9 +363,14 @@ def repeats(docs: DataFrame, keep: str = "first", id: str = "doc_id", text: str
     window that starts anywhere twice. Matches may lie in one text, overlap
     included, and never cross texts.
 
+    Segments of one anchor that have over MAX_BYTES in all, more than one task
+    should sort, are dealt by window: equal windows meet by a digest of their
+    bytes and are counted where they are made. Both ways are exact.
+
     Null and empty texts, and those shorter than ``least``, lose nothing; long
     texts are cut into segments; null ids stay; repeated rows are judged alike;
-    an empty table gives none; other columns are ignored.
+    an empty table gives none; other columns are ignored. Jobs run while the
+    result is built: anchors, segments and verdicts are written.
     """
     kind = docs.schema[id].dataType.simpleString()
     src = docs.select(F.col(id).alias("id"), body(text).alias("raw"))
@@ -375,15 +387,16 @@ def repeats(docs: DataFrame, keep: str = "first", id: str = "doc_id", text: str
     drop(found)
 
     place = F.struct("id", "row", "row2", "first")
-    known = cut(segs.groupBy("h", "dig").agg(F.count("*").alias("n"), F.min(place).alias("place")), "known")
-    many = known.groupBy("h").agg(F.count("*").alias("n_segs"))
+    size = F.max(F.col("last") - F.col("first") + least).alias("size")
+    known = cut(segs.groupBy("h", "dig").agg(F.count("*").alias("n"), F.min(place).alias("place"), size), "known")
+    many = known.groupBy("h").agg(F.count("*").alias("n_segs"), F.sum("size").alias("n_bytes"))
     # one segment alone needs no comparison unless it has one place only, where it may repeat itself
-    many = many.where("n_segs > 1").unionByName(known.join(many.where("n_segs = 1"), "h").where("n = 1").select("h", "n_segs"))
+    many = many.where("n_segs > 1").unionByName(known.join(many.where("n_segs = 1"), "h").where("n = 1").select("h", "n_segs", "n_bytes")).drop("n_segs")
     bytes_ = segs.where("seg is not null").select("h", "dig", "seg").join(many, "h")
-    crowded = F.col("n_segs") > MAX_SEGMENTS
+    crowded = F.col("n_bytes") > MAX_BYTES
     # in the order of their first places, so that "first" is the least rank
-    placed = lambda d: d.drop("n_segs").join(known.select(F.col("dig").alias("kd"), "place"), F.col("dig") == F.col("kd")).select("h", "dig", "seg", "place")
-    few = bytes_.where(~crowded).drop("n_segs")
+    placed = lambda d: d.drop("n_bytes").join(known.select(F.col("dig").alias("kd"), "place"), F.col("dig") == F.col("kd")).select("h", "dig", "seg", "place")
+    few = bytes_.where(~crowded).drop("n_bytes")
     few = (placed(bytes_.where(~crowded)) if keep == "first" else few.withColumn("place", F.lit(0))).repartition("h").sortWithinPartitions("h", "place", "dig")
     judged = few.select("h", "dig", "seg").mapInArrow(_judge(least, keep == "first"), _VERDICT)
     crowd = bytes_.where(crowded).select("dig", "seg").distinct()
