@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators.components import connected_components
-from tidemark.plans.blocks import by_block
+from tidemark.operators.matching import containing, first_names
+from tidemark.plans.order import previous
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -40,9 +41,12 @@ def sections(docs: DataFrame, body: str = "text") -> DataFrame:
 
 
 def next_edges(nodes: DataFrame, group: list[str], order: list[str], id: str = "chunk_id") -> DataFrame:
-    """(src, dst) between neighbours of a group in order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return nodes.select(F.lag(id).over(w).alias("src"), F.col(id).alias("dst")).where("src is not null")
+    """(src, dst) between neighbours of a group in order. All nodes are sorted by
+    group and order in ranges, so a group may be any share of them."""
+    before = F.struct(F.struct(*group).alias("g"), F.col(id).alias("i"))
+    rows = previous(nodes.select(*dict.fromkeys([*group, *order, id])), [*group, *order], before, "_before")
+    same = F.struct(*group).eqNullSafe(F.col("_before.g")) & F.col("_before").isNotNull()
+    return rows.where(same).select(F.col("_before.i").alias("src"), F.col(id).alias("dst"))
 
 
 def mentions(nodes: DataFrame, entities: Column, canonical: DataFrame | None = None, id: str = "chunk_id") -> DataFrame:
@@ -126,8 +130,24 @@ def expansion(seeds: DataFrame, edges: DataFrame, links: DataFrame, per_seed: in
 def lookup_by_name(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, query, name): the first name, by length then alphabet, that
     contains the query or lies in it, letter case aside. ``queries`` is the
-    stated set, dealt out to every task."""
-    q, n = F.lower("query"), F.lower("name")
-    hit = by_block(queries, "query_id", lambda block: names.select("name").distinct().join(block, n.contains(q) | q.contains(n)))
-    w = Window.partitionBy("query_id").orderBy(F.length("name"), "name")
-    return hit.withColumn("k", F.row_number().over(w)).where("k = 1").select("query_id", "query", "name")
+    stated set, dealt out to every task; a task sends its first name a query."""
+    hit = first_names(queries.select("query_id", F.lower("query").alias("low")), names.select("name", F.lower("name").alias("low")))
+    best = hit.groupBy("query_id").agg(F.min(F.struct(F.length("name").alias("n"), "name")).alias("best"))
+    return queries.join(best, "query_id").select("query_id", "query", F.col("best.name").alias("name"))
+
+
+def list_items(items: DataFrame, category: str | None = None) -> DataFrame:
+    """(name, price, category, description) of all items or of one category; a
+    missing description is empty."""
+    kept = items if category is None else items.where(F.col("category") == category)
+    return kept.select("name", "price", "category", F.coalesce("description", F.lit("")).alias("description"))
+
+
+def first_answers(keywords: DataFrame, faq: DataFrame, default: str) -> DataFrame:
+    """(keyword_id, answer): that of the first question, by its ``ordinal``, which
+    has the keyword in it, letter case aside, else ``default``. keywords:
+    (keyword_id, keyword), faq: (ordinal, question, answer)."""
+    found = containing(faq.select(F.col("ordinal").alias("text_id"), F.lower("question").alias("text")), keywords.select(F.col("keyword_id").alias("pattern_id"), F.lower("keyword").alias("pattern")))
+    first = found.groupBy(F.col("pattern_id").alias("keyword_id")).agg(F.min("text_id").alias("ordinal"))
+    known = first.join(faq.select("ordinal", text.strip(F.col("answer")).alias("answer")), "ordinal").select("keyword_id", "answer")
+    return keywords.select("keyword_id").join(known, "keyword_id", "left").select("keyword_id", F.coalesce("answer", F.lit(default)).alias("answer"))

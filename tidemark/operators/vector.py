@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators.matching import overlaps
 from tidemark.plans.blocks import by_block
 
 TOP_K = 8
@@ -24,7 +26,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: tuple[str,
     the smaller node_id.
 
     queries: (query_id, query_vec); corpus: (node_id, vec, *by). A zero vector
-    has cosine 0, a null one is left out. The stated query set goes to the tasks
+    has cosine 0, a null one is left out, one of another length raises. The stated query set goes to the tasks
     in blocks of bounded size; the corpus is scanned where it lies, an Arrow
     batch at a time by one matrix product, and only a batch's best k rows a
     query and group are shuffled.
@@ -39,7 +41,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: tuple[str,
         w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "node_id")
         return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    return by_block(queries, "query_id", one)
+    return by_block(queries, "query_id", one, weight=8 * F.coalesce(F.size("query_vec"), F.lit(0)))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -53,6 +55,8 @@ def _best_of_batch(ids: list, unit: np.ndarray, k: int, n_by: int, digits: int):
             if not b.num_rows or not ids:
                 continue
             vecs = b.column(n_by + 1)
+            if vecs.flatten().null_count or set(np.asarray(pc.list_value_length(vecs)).tolist()) != {unit.shape[1]}:
+                raise ValueError(f"vectors must have {unit.shape[1]} elements, none of them null")
             flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             scores = np.round(_unit(flat.reshape(b.num_rows, -1)) @ unit.T, digits) + 0.0
             node = b.column(0).to_numpy(zero_copy_only=False)
@@ -111,19 +115,24 @@ def overlap_search(queries: DataFrame, facts: DataFrame, menu: DataFrame, k: int
     the query; the k best, or one stand-in row for a query without any.
 
     queries: (query_id, query); facts: (fact_id, fact); menu: (name, price,
-    description). Facts meet queries on shared words, so only pairs that share
-    one are made.
+    description). Rows are counted where they lie against blocks of queries; only
+    a batch's k best are shuffled, and texts are joined to the final ones.
     """
-    q = queries.select("query_id", F.lower("query").alias("q"), F.explode(text.words(F.col("query"))).alias("word"))
-    f = facts.select(F.col("fact_id").cast("string").alias("id"), F.col("fact").alias("text"), F.explode(text.words(F.col("fact"))).alias("word"))
-    facts_hit = q.join(f, "word").groupBy("query_id", "id", "text").agg(F.count("*").alias("overlap")).withColumns({"source": F.lit("faq"), "named": F.lit(0)})
-    m = menu.select("name", F.concat(F.col("name"), F.lit(" ("), F.format_number("price", 0), F.lit("đ) - "), F.col("description")).alias("text"), "description")
-    words = m.select(F.col("name").alias("id"), "text", F.explode(text.words(F.col("description"))).alias("word"))
-    shared = q.join(words, "word").groupBy("query_id", "id", "text").agg(F.count("*").alias("overlap")).withColumn("named", F.lit(0))
-    names = by_block(queries, "query_id", lambda block: m.join(block, F.lower("query").contains(F.lower("name")))).select("query_id", F.col("name").alias("id"), "text", F.lit(0).cast("long").alias("overlap"), F.lit(2).alias("named"))
-    menu_hit = shared.unionByName(names).groupBy("query_id", "id", "text").agg(F.max("overlap").alias("overlap"), F.max("named").alias("named")).withColumn("source", F.lit("menu"))
-    every = facts_hit.unionByName(menu_hit).withColumn("score", (F.col("overlap") + F.col("named")) / F.lit(10.0))
+    asked = queries.select("query_id", F.lower("query").alias("low"), text.words(F.col("query")).alias("words"))
+    known = facts.select(F.col("fact_id").cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("bonus"), text.words(F.col("fact")).alias("words"))
+    items = menu.select(F.col("name").alias("id"), F.lower("name").alias("name"), F.lit(2).alias("bonus"), text.words(F.col("description")).alias("words"))
+    every = overlaps(asked, known, k).withColumn("source", F.lit("faq")).unionByName(overlaps(asked, items, k).withColumn("source", F.lit("menu")))
+    every = every.groupBy("query_id", "source", "id").agg((F.max("overlap") / F.lit(10.0)).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "source", "id")
-    best = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "text", "score", "source", "rank")
-    none = queries.join(every, "query_id", "left_anti").select("query_id", F.lit("(Không tìm thấy thông tin liên quan trong dữ liệu quán.)").alias("text"), F.lit(0.0).alias("score"), F.lit("none").alias("source"), F.lit(1).alias("rank"))
-    return best.unionByName(none)
+    best = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    said = F.concat(F.col("name"), F.lit(" ("), F.format_number("price", 0), F.lit("đ) - "), F.col("description"))
+    texts = facts.select(F.lit("faq").alias("source"), F.col("fact_id").cast("string").alias("id"), F.col("fact").alias("text"))
+    texts = texts.unionByName(menu.select(F.lit("menu").alias("source"), F.col("name").alias("id"), said.alias("text")).distinct())
+    # one row for every query, whether anything was found or not
+    return queries.select("query_id").join(best.join(texts, ["source", "id"]), "query_id", "left").select(
+        "query_id",
+        F.coalesce("text", F.lit("(Không tìm thấy thông tin liên quan trong dữ liệu quán.)")).alias("text"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("source", F.lit("none")).alias("source"),
+        F.coalesce("rank", F.lit(1)).alias("rank"),
+    )

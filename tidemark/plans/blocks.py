@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a query set that are broadcast at once.
+#: Rows, and bytes or elements of what is weighed, of a query set that go to the tasks at once.
 QUERY_BLOCK = 2_000
+BLOCK_WEIGHT = 16 << 20
 
 
-def by_block(queries: DataFrame, key: str, one: Callable[[DataFrame], DataFrame], size: int = QUERY_BLOCK) -> DataFrame:
-    """The union of ``one(block)`` over blocks of about ``size`` rows, each
-    marked for broadcast; a row falls into one block by the hash of ``key``."""
-    blocks = max(1, -(-queries.count() // size))
+def by_block(queries: DataFrame, key: str, one: Callable[[DataFrame], DataFrame], size: int = QUERY_BLOCK, weight: Column | None = None, most: int = BLOCK_WEIGHT) -> DataFrame:
+    """The union of ``one(block)`` over blocks of about ``size`` rows, and of
+    about ``most`` in all of ``weight`` (a row's length), each marked for
+    broadcast; a row falls into one block by the hash of ``key``."""
+    rows, total = queries.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if weight is None else weight), F.lit(0))).first()
+    blocks = max(1, -(-rows // size), -(-int(total) // most))
     at = F.pmod(F.xxhash64(key), F.lit(blocks))
     return reduce(DataFrame.unionByName, (one(F.broadcast(queries.where(at == i) if blocks > 1 else queries)) for i in range(blocks)))

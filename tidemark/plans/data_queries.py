@@ -204,11 +204,13 @@ def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    """SELECT user_id, CASE WHEN bool_and(s = 'up') THEN 'up' WHEN bool_and(s = 'down') THEN 'down' ELSE 'degraded' END AS status FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 'down' ELSE 'up' END AS s FROM events WHERE event_id % 7 = 0) GROUP BY user_id"""
+    """SELECT user_id, day, CASE WHEN bool_and(s = 'up') THEN 'up' WHEN bool_and(s = 'down') THEN 'down' ELSE 'degraded' END AS status FROM (SELECT user_id, date_trunc('day', ts)::date AS day, CASE WHEN event_type IN ('error', 'view') THEN 'down' ELSE 'up' END AS s FROM events) GROUP BY user_id, day"""
 )
 def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 7 = 0")
-    return metrics.rollup_status(e.select("user_id", F.when(F.col("event_type") == "error", "down").otherwise("up").alias("status")), ["user_id"])
+    """A user's events of a day as the parts of one service."""
+    status = F.when(F.col("event_type").isin("error", "view"), "down").otherwise("up")
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), status.alias("status"))
+    return metrics.rollup_status(e, ["user_id", "day"])
 
 
 @R.add(

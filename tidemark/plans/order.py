@@ -44,3 +44,14 @@ def running(rows: DataFrame, order: list[Column | str], sums: dict[str, Column])
     found = ranged.join(_offsets(ranged, sums), "_part")
     found = found.withColumns({n: F.col(f"_off_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
     return found.drop("_part", "_nth", *(f"_off_{n}" for n in sums))
+
+
+def previous(rows: DataFrame, order: list[Column | str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``value`` of the row before in the global order, null for
+    the first: a range's first row takes it from the last of the range before."""
+    ranged = in_order(rows.withColumn("_value", value), order)
+    inside = Window.partitionBy("_part").orderBy("_nth")
+    last = ranged.groupBy("_part").agg(F.max_by("_value", "_nth").alias("_last"))
+    last = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_prior"))
+    found = ranged.join(last, "_part").withColumn(name, F.when(F.col("_nth") == 0, F.col("_prior")).otherwise(F.lag("_value").over(inside)))
+    return found.drop("_part", "_nth", "_value", "_prior")

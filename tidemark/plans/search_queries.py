@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import similarity
-from tidemark.operators import graph, vector
-from tidemark.plans.blocks import by_block
+from tidemark.operators import graph, matching, metrics, vector
 from tidemark.plans.registry import Registry, table
 
 R = Registry()
@@ -206,23 +205,86 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark), c AS (SELECT item_id, w, count(*)::double AS n FROM w GROUP BY ALL), v AS (SELECT item_id, w, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS x FROM c)
-SELECT q.item_id AS query_id, b.item_id AS node_id, round(coalesce(sum(v.x * u.x), 0.0), 6) AS score FROM benchmark q CROSS JOIN benchmark b LEFT JOIN v ON v.item_id = q.item_id LEFT JOIN v u ON u.item_id = b.item_id AND u.w = v.w WHERE q.item_id % 20 = 0 GROUP BY 1, 2"""
+SELECT v.item_id AS query_id, u.item_id AS node_id, round(sum(v.x * u.x), 6) AS score FROM v JOIN v u ON u.w = v.w WHERE v.item_id % 20 = 0 GROUP BY 1, 2"""
 )
 def bag_of_words_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", similarity.bag(F.col("text")).alias("v"))
-    asked = b.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("v").alias("qv"))
-    score = F.round(similarity.sparse_cosine(F.col("qv"), F.col("v")), 6)
-    return by_block(asked, "query_id", lambda block: b.join(block).select("query_id", F.col("item_id").alias("node_id"), score.alias("score")))
+    """Every twentieth item against all that share a word with it."""
+    each = table(spark, sf_dir, "benchmark").select("item_id", F.explode(similarity.bag(F.col("text"))).alias("word", "x"))
+    asked = each.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "word", F.col("x").alias("y"))
+    found = each.join(asked, "word").groupBy("query_id", F.col("item_id").alias("node_id"))
+    return found.agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
+
+
+@R.add("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40))")
+def answer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit predicate: the first 40 characters of an item inside a document."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.substring("text", 1, 40).alias("pattern"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return matching.containing(docs, items).select(F.col("pattern_id").alias("item_id"), F.col("text_id").alias("doc_id"))
+
+
+def _recall_sql() -> str:
+    return (
+        _expansion_sql(_SEEDS, NEXT_SQL, LINKS_SQL)
+        + f""", pairs AS (SELECT src AS query_id, dst AS target FROM edges WHERE src % 20 = 0), plain AS (SELECT query_id, node_id FROM ({DUAL_SQL})), wide AS (SELECT query_id, node_id FROM plain UNION SELECT query_id, node_id FROM expanded),
+r AS (SELECT count(*) AS n, round(avg((p.node_id IS NOT NULL)::int), 9) AS recall_without, round(avg((w.node_id IS NOT NULL)::int), 9) AS recall_with FROM pairs q LEFT JOIN plain p ON p.query_id = q.query_id AND p.node_id = target LEFT JOIN wide w ON w.query_id = q.query_id AND w.node_id = target)
+SELECT n, recall_without, recall_with, round(CASE WHEN recall_without > 0 THEN (recall_with - recall_without) / recall_without WHEN recall_with > 0 THEN 'inf'::double ELSE 0.0 END, 6) AS lift, recall_without > 0 AND (recall_with - recall_without) / recall_without >= 0.15 OR recall_without = 0 AND recall_with > 0 AS passed FROM r"""
+    )
+
+
+@R.add(_recall_sql())
+def expansion_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the chunk after a query chunk is found, by vectors alone and with
+    what the graph adds to them, and the lift of the latter."""
+    found = dual_domain(spark, sf_dir).select("query_id", "node_id")
+    edges = _edges(spark, sf_dir)
+    wide = found.unionByName(graph_expansion(spark, sf_dir).select("query_id", "node_id")).distinct()
+    pairs = edges.where("src % 20 = 0").select(F.col("src").alias("query_id"), F.col("dst").alias("target"))
+    hit = lambda ids, name: ids.select("query_id", F.col("node_id").alias("target"), F.lit(1).alias(name))
+    both = pairs.join(hit(found, "without"), ["query_id", "target"], "left").join(hit(wide, "with"), ["query_id", "target"], "left")
+    share = lambda c: F.round(F.avg(F.coalesce(F.col(c), F.lit(0))), 9)
+    r = both.agg(F.count("*").alias("n"), share("without").alias("recall_without"), share("with").alias("recall_with"))
+    lift = metrics.lift(F.col("recall_without"), F.col("recall_with"))
+    return r.select("n", "recall_without", "recall_with", F.round(lift, 6).alias("lift"), (lift >= 0.15).alias("passed"))
 
 
 @R.add(
-    r"""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"""
+    f"""WITH t AS (SELECT vec_id + 1 AS target, vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0) SELECT query_id, target FROM t WHERE EXISTS (SELECT 1 FROM ({DUAL_SQL}) d WHERE d.query_id = t.query_id AND d.node_id = t.target)"""
 )
-def answer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hit predicate: an item's whole text inside a document."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return by_block(items, "item_id", lambda block: docs.join(block, F.col("text").contains(F.col("answer"))).select("item_id", "doc_id"))
+def targets_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries whose target is among the candidates (semi join)."""
+    targets = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("target"))
+    found = dual_domain(spark, sf_dir).select("query_id", F.col("node_id").alias("target"))
+    return targets.join(found, ["query_id", "target"], "left_semi")
+
+
+_MENU_SQL = "SELECT p_name AS name, p_retailprice AS price, p_type AS category, coalesce(p_brand, '') AS description FROM part"
+
+
+def _menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_type").alias("category"), F.col("p_brand").alias("description"))
+
+
+@R.add(_MENU_SQL)
+def menu_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.list_items(_menu(spark, sf_dir))
+
+
+@R.add(f"SELECT * FROM ({_MENU_SQL}) WHERE category = (SELECT min(p_type) FROM part)")
+def menu_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    menu = _menu(spark, sf_dir)
+    return graph.list_items(menu, menu.agg(F.min("category")).first()[0])
+
+
+@R.add(
+    """WITH k AS (SELECT n_nationkey AS keyword_id, CASE WHEN n_nationkey % 2 = 0 THEN upper(substr(n_name, 1, 2)) ELSE n_name END AS keyword FROM nation), f AS (SELECT p_partkey, p_name || ' ' || p_type AS q, p_brand FROM part)
+SELECT keyword_id, coalesce((SELECT arg_min(p_brand, p_partkey) FROM f WHERE contains(lower(q), lower(keyword))), 'no answer') AS answer FROM k"""
+)
+def first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.upper(F.substring("n_name", 1, 2))).otherwise(F.col("n_name"))
+    keywords = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("keyword_id"), name.alias("keyword"))
+    faq = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat_ws(" ", "p_name", "p_type").alias("question"), F.col("p_brand").alias("answer"))
+    return graph.first_answers(keywords, faq, "no answer")
 
 
 @R.add(
