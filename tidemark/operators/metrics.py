@@ -93,3 +93,27 @@ def throughput(rows: DataFrame, amount: str, start: str, end: str, by: list[str]
     second = lambda c: F.col(c).cast("timestamp").cast("double")
     wall = F.max(second(end)) - F.min(second(start))
     return rows.groupBy(*by).agg(F.sum(amount).alias("total"), wall.alias("wall")).withColumn("throughput", ratio(F.col("total"), F.col("wall")))
+
+
+def speedup(first: Column, second: Column) -> Column:
+    """By how many percent the second is less than the first; 0 from nothing."""
+    return F.when(first > 0, (first - second) / first * 100).otherwise(F.lit(0.0))
+
+
+def soak(rows: DataFrame, by: list[str], outcome: str, level: str, order: Column, most: float) -> DataFrame:
+    """Verdicts on a long run: (by, ok, errors, timeouts, peak, no_deadlock,
+    no_leak). ``outcome`` is ok, error or timeout; the run hangs if anything timed
+    out, and leaks if ``level`` grew by ``most`` or more from its first value to
+    its last by ``order``. Fewer than two values leak nothing."""
+    has = F.when(F.col(level).isNotNull(), order)
+    grown = F.max_by(level, has) - F.min_by(level, has)
+    n = lambda kind: F.count_if(F.col(outcome) == kind)
+    return rows.groupBy(*by).agg(
+        n("ok").alias("ok"), n("error").alias("errors"), n("timeout").alias("timeouts"), F.max(level).alias("peak"),
+        (n("timeout") == 0).alias("no_deadlock"), ((F.count(level) < 2) | (grown < most)).alias("no_leak"),
+    )
+
+
+def baseline(scores: DataFrame, label: str, score: str) -> DataFrame:
+    """(label, baseline): a label's mean score over all calibration rows."""
+    return scores.groupBy(label).agg(F.avg(score).alias("baseline"))

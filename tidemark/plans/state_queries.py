@@ -92,32 +92,62 @@ def lru_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "hit", "size")
 
 
-@R.add()
+def _cache_sql(threshold: float, start: float, ttl: float | None, size: int | None, t: str, clear: str = "false") -> str:
+    """(label, vec_id, hit, leader, similarity, hits, misses): one request after
+    another, the leaders as a list."""
+    until = "NULL::double" if ttl is None else f"t + {ttl}"
+    live = "held" if ttl is None else "list_filter(held, lambda x: x.until >= t)"
+    grown = "list_append(live, {'until': fresh, 'id': vec_id, 'v': v})"
+    grown = grown if size is None else f"list_slice({grown}, greatest(1, len(live) + 2 - {size}), len(live) + 1)"
+    return f"""WITH RECURSIVE e AS (SELECT label, vec_id, embedding::double[] AS v, {t} AS t, {until.replace("t +", t + " +")} AS fresh, {clear} AS clear, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+r AS (SELECT label, 0::bigint AS rn, 0::bigint AS vec_id, []::STRUCT(until DOUBLE, id BIGINT, v DOUBLE[])[] AS c, false AS hit, 0::bigint AS leader, 0.0::double AS similarity, 0::bigint AS hits, 0::bigint AS misses FROM (SELECT DISTINCT label FROM e) UNION ALL
+SELECT label, rn, vec_id, CASE WHEN hit THEN live ELSE {grown} END, hit, CASE WHEN hit THEN live[spot].id ELSE vec_id END, best, n_hits + hit::int, n_misses + (NOT hit)::int FROM
+(SELECT *, coalesce(best >= {threshold} AND best > {start}, false) AS hit, list_position(sims, best) AS spot FROM (SELECT *, greatest({start}, coalesce(list_max(sims), {start})) AS best FROM
+(SELECT *, list_transform(live, lambda x: list_cosine_similarity(x.v, v)) AS sims FROM (SELECT *, {live} AS live FROM
+(SELECT e.label, e.rn, e.vec_id, e.v, e.t, e.fresh, CASE WHEN e.clear THEN [] ELSE r.c END AS held, CASE WHEN e.clear THEN 0 ELSE r.hits END AS n_hits, CASE WHEN e.clear THEN 0 ELSE r.misses END AS n_misses FROM r JOIN e ON e.label = r.label AND e.rn = r.rn + 1))))))"""
+
+
+_SEMANTIC = "hit boolean, leader long, similarity double"
+
+
+@R.add(_cache_sql(0.35, -1.0, 600.0, 50, "vec_id::double") + " SELECT label, vec_id, hit, leader, round(similarity, 6) AS similarity FROM r WHERE rn > 0")
 def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as requests a second apart, one cache a label."""
     e = table(spark, sf_dir, "embeddings").withColumn("t", F.col("vec_id").cast("double"))
-    return state.replay(e, ["label"], ["t", "vec_id"], ["t", "vec_id", "embedding"], partial(state.SemanticCache, 0.35, 600.0, 50), "hit boolean, leader long, similarity double").select(
+    return state.replay(e, ["label"], ["t", "vec_id"], ["t", "vec_id", "embedding"], partial(state.SemanticCache, 0.35, 600.0, 50), _SEMANTIC).select(
         "label", "vec_id", "hit", "leader", F.round("similarity", 6).alias("similarity")
     )
 
 
-@R.add()
+@R.add(_cache_sql(0.35, -1.0, None, None, "0.0", "vec_id % 100 = 0") + " SELECT label, vec_id, hit, leader FROM r WHERE rn > 0")
+def cleared_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without limits, emptied at every hundredth request."""
+    e = table(spark, sf_dir, "embeddings").withColumns({"t": F.lit(0.0), "clear": F.col("vec_id") % 100 == 0})
+    out = state.replay(e, ["label"], ["vec_id"], ["t", "vec_id", "embedding", "clear"], partial(state.SemanticCache, 0.35, None, None), _SEMANTIC)
+    return out.select("label", "vec_id", "hit", "leader")
+
+
+_ACTION_SQL = _cache_sql(0.3, 0.0, None, None, "0.0")
+
+
+def agent_template(leader: F.Column) -> F.Column:
+    """The stand-in agent: what it answers to the request that leads a class."""
+    return F.concat(F.lit("Answer "), leader.cast("string"))
+
+
+@R.add(_ACTION_SQL + " SELECT label, vec_id, hit, 'Answer ' || leader || CASE WHEN vec_id % 2 = 0 THEN ' (Lưu ý: ' || vec_id || ' ly, hôm nay)' ELSE '' END AS response FROM r WHERE rn > 0")
 def action_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action-keyed cache: no expiry, no bound; hits answer with the leader's
     template and the request's own context."""
     e = table(spark, sf_dir, "embeddings").withColumn("t", F.lit(0.0))
-    out = state.replay(e, ["label"], ["vec_id"], ["t", "vec_id", "embedding"], partial(state.SemanticCache, 0.3, None, None, 0.0), "hit boolean, leader long, similarity double")
-    template = F.concat(F.lit("Answer "), F.col("leader").cast("string"))
+    out = state.replay(e, ["label"], ["vec_id"], ["t", "vec_id", "embedding"], partial(state.SemanticCache, 0.3, None, None, 0.0), _SEMANTIC)
     ctx = F.when(F.col("vec_id") % 2 == 0, text.context(F.concat(F.col("vec_id").cast("string"), F.lit(" ly hôm nay")))).otherwise("")
-    return out.select("label", "vec_id", "hit", text.paraphrase(template, ctx).alias("response"))
+    return out.select("label", "vec_id", "hit", text.paraphrase(agent_template(F.col("leader")), ctx).alias("response"))
 
 
-@R.add("SELECT label, count(*) AS requests, true AS consistent FROM embeddings GROUP BY label")
+@R.add(_ACTION_SQL + " SELECT label, max(hits) AS hits, max(misses) AS misses, round(max(hits) / (max(hits) + max(misses)), 3) AS hit_rate FROM r GROUP BY label")
 def action_cache_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits and misses of each cache add up to its requests."""
-    out = metrics.hit_rate(action_cache(spark, sf_dir), F.col("hit"), ["label"])
-    rows = F.col("hits") + F.col("misses")
-    return out.select("label", rows.alias("requests"), F.col("hit_rate").between(0, 1).alias("consistent"))
+    return metrics.hit_rate(action_cache(spark, sf_dir), F.col("hit"), ["label"])
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +157,36 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", F.col("seq").cast("long").alias("seq"), F.concat("word", F.lit(" ")).alias("token"))
 
 
-@R.add()
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_WORDS = "w AS (SELECT conv_id || ':' || turn AS request_id, string_split(text, ' ') AS l FROM conversations), t AS (SELECT request_id, unnest(range(len(l))) AS seq, l[1 + seq] || ' ' AS token, len(l) AS n FROM w)"
+_CLAUSES = rf"""WITH RECURSIVE {_WORDS}, r AS (SELECT request_id, -1::bigint AS seq, '' AS buf, '' AS clause FROM w UNION ALL
+SELECT request_id, seq, CASE WHEN k < length(b) THEN substr(b, k + 2) ELSE b END, CASE WHEN k < length(b) THEN {_TRIM.format("substr(b, 1, k + 1)")} ELSE '' END FROM
+(SELECT *, length(regexp_extract(b, '^[^.!?;\n]*')) AS k FROM (SELECT t.request_id, t.seq, r.buf || t.token AS b FROM r JOIN t ON t.request_id = r.request_id AND t.seq = r.seq + 1))),
+z AS (SELECT r.request_id, r.seq, {_TRIM.format("buf")} AS rest FROM r JOIN t ON t.request_id = r.request_id AND t.seq = r.seq AND t.seq = t.n - 1),
+events AS (SELECT request_id, seq, 0::bigint AS sub, 'token' AS event, token AS data FROM t UNION ALL SELECT request_id, seq, 1, 'clause', clause FROM r WHERE clause <> ''
+UNION ALL SELECT request_id, seq + 1, 0, 'clause', rest FROM z WHERE rest <> '' UNION ALL SELECT request_id, seq + 2, 0, NULL, '[DONE]' FROM z)"""
+
+
+@R.add(_CLAUSES + " SELECT * FROM events")
 def clause_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.clauses(_tokens(spark, sf_dir))
 
 
-@R.add("SELECT conv_id || ':' || turn AS request_id, true AS same FROM conversations")
+@R.add(
+    _CLAUSES
+    + """, stop AS (SELECT DISTINCT request_id, 3 AS brk FROM t WHERE n > 3 AND length(request_id) % 2 = 1)
+SELECT request_id, seq, sub, event, data FROM events LEFT JOIN stop USING (request_id) WHERE brk IS NULL OR seq < brk UNION ALL SELECT request_id, brk, 0, 'error', 'gone' FROM stop UNION ALL SELECT request_id, brk + 2, 0, NULL, '[DONE]' FROM stop"""
+)
+def failing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other request breaks off at its fourth token."""
+    bad = F.when((F.col("seq") == 3) & (F.length("request_id") % 2 == 1), "gone")
+    return state.clauses(_tokens(spark, sf_dir).withColumn("error", bad), error="error")
+
+
+@R.add(
+    _CLAUSES
+    + r""" SELECT request_id, regexp_replace(coalesce(string_agg(data, '' ORDER BY seq, sub) FILTER (event = 'token'), ''), '\s+', '', 'g') = regexp_replace(coalesce(string_agg(data, '' ORDER BY seq, sub) FILTER (event = 'clause'), ''), '\s+', '', 'g') AS same FROM events GROUP BY request_id"""
+)
 def clause_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sse.consistent(clause_stream(spark, sf_dir))
 
@@ -155,13 +209,25 @@ def _fold(summary: str, turns: list) -> str:
     return f"{summary}[{len(turns)}]"
 
 
-@R.add()
+@R.add(
+    """WITH RECURSIVE e AS (SELECT conv_id, turn, greatest(1, length(text) // 3) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+r AS (SELECT DISTINCT conv_id, 0::bigint AS turn, 0::bigint AS rn, []::bigint[] AS l, '' AS s, 0::bigint AS held, 0::bigint AS tokens, 0::bigint AS folded FROM e UNION ALL
+SELECT conv_id, turn, rn, kept, said, len(kept), list_sum(kept)::bigint + greatest(1, length(said) // 3), f FROM (SELECT *, CASE WHEN f > 0 THEN list_slice(l, -2, -1) ELSE l END AS kept, CASE WHEN f > 0 THEN s || '[' || f || ']' ELSE s END AS said FROM
+(SELECT *, CASE WHEN list_sum(l) + greatest(1, length(s) // 3) > 210 AND len(l) > 2 THEN len(l) - 2 ELSE 0 END AS f FROM (SELECT e.conv_id, e.turn, e.rn, list_slice(list_append(r.l, e.n), -4, -1) AS l, r.s FROM r JOIN e ON e.conv_id = r.conv_id AND e.rn = r.rn + 1))))
+SELECT conv_id, turn, held, tokens, folded FROM r WHERE rn > 0"""
+)
 def auto_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return state.replay(rows, ["conv_id"], ["turn"], ["role", "text"], partial(state.History, _fold, 2, 300), "held long, tokens long, folded long")
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, coalesce(value, 0.0) * 3600 AS service, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT DISTINCT user_id, 0::bigint AS event_id, 0::bigint AS rn, ['-infinity'::double, '-infinity'::double, '-infinity'::double] AS free, true AS served, 0.0::double AS wait FROM e UNION ALL
+SELECT user_id, event_id, rn, CASE WHEN start - t > 36000 THEN free ELSE list_transform([1, 2, 3], lambda i: CASE WHEN i = slot THEN start + service ELSE free[i] END) END, start - t <= 36000, CASE WHEN start - t > 36000 THEN 36000 ELSE start - t END FROM
+(SELECT *, greatest(t, free[slot]) AS start FROM (SELECT *, list_position(free, list_min(free)) AS slot FROM (SELECT e.user_id, e.event_id, e.rn, e.t, e.service, r.free FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))))
+SELECT user_id, event_id, served, round(wait, 3) AS wait FROM r WHERE rn > 0"""
+)
 def bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as jobs on three servers, a job's value its hours."""
     rows = _events(spark, sf_dir).withColumn("service", F.coalesce(F.col("value"), F.lit(0.0)) * 3600)
@@ -169,6 +235,34 @@ def bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "served", F.round("wait", 3).alias("wait"))
 
 
+_BREAKER = R.sql["circuit_breaker"]
+
+
+@R.add(
+    f"""SELECT b.user_id, b.event_id, b.state, CASE WHEN b.outcome = 'ok' THEN 'reply ' || b.event_id ELSE CASE CASE e.event_type WHEN 'error' THEN 'faq' WHEN 'view' THEN 'order' ELSE e.event_type END
+{' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in text.FALLBACKS.items())} ELSE '{text.DEFAULT_FALLBACK}' END END AS reply FROM ({_BREAKER}) b JOIN events e ON e.event_id = b.event_id"""
+)
+def fallback_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a caller gets behind the breaker: the reply, or, where the call failed
+    or was not made, the canned text of its intent."""
+    kinds = F.when(F.col("event_type") == "error", "faq").when(F.col("event_type") == "view", "order").otherwise(F.col("event_type"))
+    intents = table(spark, sf_dir, "events").select("event_id", kinds.alias("intent"))
+    calls = circuit_breaker(spark, sf_dir).join(intents, "event_id")
+    reply = F.when(F.col("outcome") == "ok", F.concat(F.lit("reply "), F.col("event_id").cast("string"))).otherwise(text.fallback(F.col("intent")))
+    return calls.select("user_id", "event_id", "state", reply.alias("reply"))
+
+
+@R.add(
+    """SELECT user_id, count(*) FILTER (event_type NOT IN ('error', 'view')) AS ok, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS timeouts, max(value) AS peak,
+count(*) FILTER (event_type = 'view') = 0 AS no_deadlock, count(value) < 2 OR arg_max(value, {'t': ts, 'i': event_id}) - arg_min(value, {'t': ts, 'i': event_id}) < 50 AS no_leak FROM events GROUP BY user_id"""
+)
+def soak_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a long run: errors by name, views as hangs, values as memory."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "timeout").otherwise("ok")
+    return metrics.soak(e.withColumn("outcome", kind), ["user_id"], "outcome", "value", F.struct("ts", "event_id"), 50.0)
+
+
 @R.add(
     """WITH m AS (SELECT user_id, date_trunc('day', ts) AS day, value, ts FROM events WHERE value IS NOT NULL) SELECT user_id, round(arg_max(value, {'t': ts, 'v': value}) - arg_min(value, {'t': ts, 'v': value}), 6) AS growth, max(value) AS peak FROM m GROUP BY user_id"""
 )
