@@ -217,14 +217,43 @@ def gibberish(c: Column) -> Column:
     return c.rlike("[中国日本한국]") | few
 
 
+def embedding_text(head: Column, rest: Column, stop: str = ". ") -> Column:
+    """What a row is embedded as: a menu item's name and description with a stop
+    between, or with a space a question and its answer. A missing part is empty."""
+    return F.concat(F.coalesce(head, F.lit("")), F.lit(stop), F.coalesce(rest, F.lit("")))
+
+
+def has_any(c: Column, keywords: Column) -> Column:
+    """Whether some of an array of keywords lies in the text, both lowered and
+    with white space squeezed; false for no keywords."""
+    low = squeeze(F.lower(c))
+    return F.exists(keywords, lambda k: F.contains(low, squeeze(F.lower(k))))
+
+
+def has_all(c: Column, keywords: Column) -> Column:
+    """The same for all of them; true for no keywords."""
+    low = squeeze(F.lower(c))
+    return F.forall(keywords, lambda k: F.contains(low, squeeze(F.lower(k))))
+
+
+def has_price(c: Column, price: Column) -> Column:
+    """Whether a price's leading digits stand in the text, points and commas aside."""
+    return F.contains(F.translate(c, ".,", ""), price)
+
+
 def name_price_line(name: Column, price: Column, category: Column) -> Column:
     return F.concat(F.lit("- "), menu_text(name, F.lit(""), price, category))
 
 
+def _bare(c: Column) -> Column:
+    """An answer without code fences around it."""
+    return strip(F.regexp_replace(F.regexp_replace(strip(c), "^```(json)?", ""), "```$", ""))
+
+
 def json_array(c: Column) -> Column:
     """Strings of a JSON array in a model's answer: code fences off, the whole
     text, else its widest bracketed part, else empty; blanks dropped."""
-    bare = strip(F.regexp_replace(F.regexp_replace(strip(c), "^```(json)?", ""), "```$", ""))
+    bare = _bare(c)
     whole = F.from_json(bare, "array<string>", {"mode": "PERMISSIVE"})
     inner = F.from_json(F.regexp_extract(bare, r"(?s)\[.*\]", 0), "array<string>", {"mode": "PERMISSIVE"})
     some = F.when(bare.startswith("["), F.coalesce(whole, inner)).otherwise(inner)
@@ -232,6 +261,27 @@ def json_array(c: Column) -> Column:
     return F.coalesce(clean, F.lit([]).cast("array<string>"))
 
 
+def _elements(c: Column) -> Column:
+    """The widest bracketed part of an answer as JSON values, null if it is none."""
+    bare = _bare(c)
+    inner = F.regexp_extract(bare, r"(?s)\[.*\]", 0)
+    return F.try_variant_get(F.try_parse_json(F.when(inner != "", inner).otherwise(bare)), "$", "array<variant>")
+
+
+def json_array_strict(c: Column) -> Column:
+    """The JSON values of the array in an answer as JSON texts; an answer without
+    a well-formed array fails the query."""
+    found = _elements(c)
+    return F.when(c.isNull(), F.lit(None).cast("array<string>")).when(found.isNull(), F.raise_error(F.concat(F.lit("no JSON array in: "), F.substring(c, 1, 100))).cast("array<string>")).otherwise(F.transform(found, lambda x: F.to_json(x)))
+
+
+def json_strings(c: Column) -> Column:
+    """The strings of the array in an answer, stripped, blanks and all that is no
+    string left out; empty for an answer without a well-formed array."""
+    texts = F.transform(F.filter(_elements(c), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: strip(F.try_variant_get(x, "$", "string")))
+    return F.coalesce(F.filter(texts, lambda x: x != ""), F.array().cast("array<string>"))
+
+
 def json_intent(c: Column) -> Column:
     """(subject, action, context) of a JSON object in an answer, with defaults:
     the default subject, the text itself, nothing."""

@@ -88,24 +88,68 @@ def core_question(rows: DataFrame, group: str, question: str, order: str) -> Dat
     return rows.groupBy(group).agg(F.min_by(question, F.struct(F.length(question), order)).alias("core"))
 
 
-def utterances(cores: DataFrame, n: int, wrappers: list[tuple[str, str]], subjects: list[str], seed: str = "42") -> DataFrame:
-    """(core_id, i, text, subject, action, context): ``n`` wordings of each core
-    (core_id, core). Wrapper and form of address are chosen by hashes; the
-    subject is the default in four of ten."""
-    rows = cores.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+# How orders and bookings are worded.
+ORDER_SUBJECTS = ("anh", "chị", "em")
+QUANTITIES = ("1", "2", "3")
+ORDER_CONTEXTS = ("", "", "", "mang đi", "uống tại chỗ", "ít đá", "không đường")
+ORDER_SUFFIXES = ("", " nhé", " giúp em với", " ạ")
+BOOKINGS = ("đặt bàn tiệc sinh nhật", "đặt bàn cho nhóm 5 người", "đặt bàn trước")
+BOOKING_SUFFIXES = (" em nhé", " giúp em với", " nhé")
+
+
+class _Picks:
+    """Choices by hashes of a row's id, its number and what is chosen."""
 
-    def pick(what: str, k: int) -> Column:
-        of = F.md5(F.concat_ws("|", F.col("core_id").cast("string"), F.col("i").cast("string"), F.lit(what), F.lit(seed)))
+    def __init__(self, id: str, seed: str) -> None:
+        self.id, self.seed = id, seed
+
+    def number(self, what: str, k: int) -> Column:
+        """1 to k."""
+        of = F.md5(F.concat_ws("|", F.col(self.id).cast("string"), F.col("i").cast("string"), F.lit(what), F.lit(self.seed)))
         return (F.pmod(F.conv(F.substring(of, 1, 7), 16, 10).cast("long"), F.lit(k)) + 1).cast("int")
 
-    arr = lambda xs: F.array(*(F.lit(x) for x in xs))
-    said = F.element_at(arr(subjects), pick("s", len(subjects)))
-    before, after = (F.element_at(arr([w[k] for w in wrappers]), pick("w", len(wrappers))) for k in (0, 1))
+    def of(self, what: str, choices) -> Column:
+        return F.element_at(F.array(*(F.lit(x) for x in choices)), self.number(what, len(choices)))
+
+
+def _numbered(rows: DataFrame, n: int) -> DataFrame:
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def utterances(cores: DataFrame, n: int, wrappers: list[tuple[str, str]], subjects: list[str], seed: str = "42") -> DataFrame:
+    """(core_id, i, text, subject, action, context): ``n`` wordings of each core
+    (core_id, core), a question or a request for advice. Wrapper and form of
+    address are chosen by hashes; the subject is the default in four of ten."""
+    rows, pick = _numbered(cores, n), _Picks("core_id", seed)
+    said = pick.of("s", subjects)
+    before, after = (pick.of("w", [w[k] for w in wrappers]) for k in (0, 1))
     body = F.concat(F.replace(before, F.lit("{subj}"), said), F.col("core"), after)
-    subject = F.when(pick("d", 10) > 4, said).otherwise(text.DEFAULT_SUBJECT)
+    subject = F.when(pick.number("d", 10) > 4, said).otherwise(text.DEFAULT_SUBJECT)
     return rows.select("core_id", "i", text.capitalised(body).alias("text"), subject.alias("subject"), text.strip(F.regexp_replace("core", r"\?+$", "")).alias("action"), F.lit("").alias("context"))
 
 
+def order_utterances(items: DataFrame, n: int, seed: str = "42") -> DataFrame:
+    """(item_id, i, text, subject, action, context): ``n`` orders of each item
+    (item_id, item, size). The size is said if there is one and it is not the
+    free one; the context is labelled only where it is said."""
+    rows, pick = _numbered(items, n), _Picks("item_id", seed)
+    sized = F.when((F.coalesce("size", F.lit("")) != "") & (F.col("size") != "Freesize"), F.concat(F.lit(" size "), "size")).otherwise("")
+    action = F.concat(F.lit("đặt "), pick.of("q", QUANTITIES), F.lit(" ly "), F.lower("item"), sized)
+    said, context, after = pick.of("s", ORDER_SUBJECTS), pick.of("c", ORDER_CONTEXTS), pick.of("x", ORDER_SUFFIXES)
+    told = F.when(context != "", F.concat(F.lit(", "), context)).otherwise("")
+    body = F.concat(F.lit("Cho "), said, F.lit(" "), action, told, after, F.lit("."))
+    return rows.select("item_id", "i", body.alias("text"), said.alias("subject"), action.alias("action"), context.alias("context"))
+
+
+def booking_utterances(ids: DataFrame, times: list[str], seed: str = "42") -> DataFrame:
+    """(booking_id, text, subject, action, context): one request for a table for
+    each booking_id, its context one of ``times``."""
+    rows, pick = ids.select("booking_id", F.lit(0).alias("i")), _Picks("booking_id", seed)
+    said, action, when = pick.of("s", ORDER_SUBJECTS), pick.of("a", BOOKINGS), pick.of("t", times)
+    body = F.concat(F.lit("Cho "), said, F.lit(" "), action, F.lit(" vào "), when, pick.of("x", BOOKING_SUFFIXES))
+    return rows.select("booking_id", text.capitalised(body).alias("text"), said.alias("subject"), action.alias("action"), when.alias("context"))
+
+
 def size_grid(items: DataFrame, sizes: dict[str, int], base: dict[str, int]) -> DataFrame:
     """Menu rows for every item (name, category, description) in every size:
     base price of the category, the size's surcharge, and a thousand for each

@@ -124,6 +124,69 @@ def utterance_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.utterances(cores, 5, _WRAP, _SUBJ)
 
 
+def _sql_choice(what: str, choices, id: str, i: str = "i") -> str:
+    return f"[{', '.join(repr(x) for x in choices)}][1 + ('0x' || substr(md5({id} || '|' || {i} || '|{what}|42'), 1, 7))::bigint % {len(choices)}]"
+
+
+@R.add(
+    f"""SELECT item_id, i, 'Cho ' || s || ' ' || action || CASE WHEN c <> '' THEN ', ' || c ELSE '' END || x || '.' AS text, s AS subject, action, c AS context FROM (SELECT p_partkey AS item_id, i::int AS i, 'đặt ' || {_sql_choice('q', datasets.QUANTITIES, 'p_partkey')} || ' ly ' || lower(p_name) ||
+CASE p_partkey % 3 WHEN 0 THEN ' size M' ELSE '' END AS action, {_sql_choice('s', datasets.ORDER_SUBJECTS, 'p_partkey')} AS s, {_sql_choice('c', datasets.ORDER_CONTEXTS, 'p_partkey')} AS c, {_sql_choice('x', datasets.ORDER_SUFFIXES, 'p_partkey')} AS x FROM part, range(3) r(i))"""
+)
+def order_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.element_at(F.array(F.lit("M"), F.lit("Freesize"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return datasets.order_utterances(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item"), size.alias("size")), 3)
+
+
+_TIMES = ["15 giờ chiều nay", "tối nay", "cuối tuần"]
+
+
+@R.add(
+    f"""SELECT booking_id, upper(t[1]) || t[2:] AS text, subject, action, context FROM (SELECT *, 'Cho ' || subject || ' ' || action || ' vào ' || context || x AS t FROM (SELECT o_orderkey AS booking_id, {_sql_choice('s', datasets.ORDER_SUBJECTS, 'o_orderkey', '0')} AS subject,
+{_sql_choice('a', datasets.BOOKINGS, 'o_orderkey', '0')} AS action, {_sql_choice('t', _TIMES, 'o_orderkey', '0')} AS context, {_sql_choice('x', datasets.BOOKING_SUFFIXES, 'o_orderkey', '0')} AS x FROM orders))"""
+)
+def booking_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.booking_utterances(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("booking_id")), _TIMES)
+
+
+@R.add(
+    """SELECT p_name AS item, CASE WHEN c.canonical IS NULL THEN p_type ELSE c.canonical END AS entity FROM part LEFT JOIN (SELECT DISTINCT p_type AS name, 'tin' AS canonical FROM part WHERE p_type LIKE '%TIN' OR p_type LIKE '%tin%') c ON c.name = p_type GROUP BY 1, 2"""
+)
+def canonical_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions with the names of a lookup table put in, others as they are."""
+    p = table(spark, sf_dir, "part")
+    known = p.where(F.col("p_type").like("%TIN") | F.col("p_type").like("%tin%")).select(F.col("p_type").alias("name"), F.lit("tin").alias("canonical")).distinct()
+    return graph.mentions(p, F.array("p_type"), known, id="p_name").withColumnRenamed("chunk_id", "item")
+
+
+@R.add(
+    """SELECT p_name AS item, list_sort(list_distinct(list(p_type))) AS categories, count(*) AS n FROM part GROUP BY p_name"""
+)
+def categories_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("item")).agg(F.array_sort(F.collect_set("p_type")).alias("categories"), F.count("*").alias("n"))
+
+
+@R.add("SELECT intent, language, is_hard, count(*) AS n FROM (" + ROUTER_SQL + ") GROUP BY ALL")
+def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return router(spark, sf_dir).groupBy("intent", "language", "is_hard").agg(F.count("*").alias("n"))
+
+
+@R.add(
+    """SELECT user_id, round(a, 6) AS first, round(b, 6) AS second, round(CASE WHEN a > 0 THEN (a - b) / a * 100 ELSE 0.0 END, 6) AS percent, b < a * 0.7 AS passed FROM (SELECT user_id, arg_min(value, {'t': ts, 'i': event_id}) AS a, arg_max(value, {'t': ts, 'i': event_id}) AS b FROM events WHERE value IS NOT NULL GROUP BY user_id)"""
+)
+def cache_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's first value against the last, as a call before and after caching."""
+    at = F.struct("ts", "event_id")
+    both = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.min_by("value", at).alias("a"), F.max_by("value", at).alias("b"))
+    return both.select("user_id", F.round("a", 6).alias("first"), F.round("b", 6).alias("second"), F.round(metrics.speedup(F.col("a"), F.col("b")), 6).alias("percent"), (F.col("b") < F.col("a") * 0.7).alias("passed"))
+
+
+@R.add(f"SELECT {_L}[i] AS label, round(avg(embedding[i]::double), 6) AS baseline FROM embeddings, range(1, 5) r(i) GROUP BY i")
+def label_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four elements of a vector as its scores by label."""
+    scores = table(spark, sf_dir, "embeddings").select(F.posexplode(F.slice("embedding", 1, 4)).alias("at", "score"))
+    return metrics.baseline(scores.select(_pick(F.col("at")).alias("label"), F.col("score").cast("double").alias("score")), "label", "score").withColumn("baseline", F.round("baseline", 6))
+
+
 @R.add(
     """SELECT p_name || ' (Size ' || s.size || ')' AS name, (CASE p_size % 3 WHEN 0 THEN 39000 WHEN 1 THEN 45000 ELSE 49000 END + extra + length(p_name) % 5 * 1000)::int AS price_vnd,
 ['coffee', 'tea', 'freeze'][1 + p_size % 3] AS category, s.size, p_type AS description FROM part, (VALUES ('S', -4000), ('M', 0), ('L', 6000)) s(size, extra)"""
@@ -198,11 +261,6 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"avg": F.round("avg", 9), "median": F.round("median", 9)})
 
 
-@R.add("SELECT user_id, count(*) FILTER (value > 50) AS hits, count(*) FILTER (NOT value > 50) AS misses, round(count(*) FILTER (value > 50) / count(*), 3) AS hit_rate FROM events WHERE value IS NOT NULL GROUP BY user_id")
-def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.hit_rate(table(spark, sf_dir, "events").where("value is not null"), F.col("value") > 50, ["user_id"])
-
-
 @R.add(
     """SELECT user_id, day, CASE WHEN bool_and(s = 'up') THEN 'up' WHEN bool_and(s = 'down') THEN 'down' ELSE 'degraded' END AS status FROM (SELECT user_id, date_trunc('day', ts)::date AS day, CASE WHEN event_type IN ('error', 'view') THEN 'down' ELSE 'up' END AS s FROM events) GROUP BY user_id, day"""
 )

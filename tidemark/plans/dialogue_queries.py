@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +71,14 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", attempt.alias("attempt"), wait.alias("wait"))
 
 
-@R.add("SELECT 1 AS up")
+_PROBED = ("region", "nation", "customer", "supplier", "part", "orders", "events")
+
+
+@R.add(" UNION ALL ".join(f"SELECT '{t}' AS component, CASE WHEN EXISTS (SELECT 1 FROM {t}) THEN 'up' ELSE 'down' END AS status" for t in _PROBED))
 def health_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.lit(1).alias("up"))
+    """Each table as a component: up if a row can be read from it."""
+    one = lambda t: table(spark, sf_dir, t).limit(1).agg(F.count("*").alias("n")).select(F.lit(t).alias("component"), F.when(F.col("n") > 0, "up").otherwise("down").alias("status"))
+    return reduce(DataFrame.unionByName, map(one, _PROBED))
 
 
 @R.add("SELECT vec_id, CASE WHEN label < 5 THEN 'menu' WHEN label < 8 THEN 'faq' ELSE 'document' END AS source FROM embeddings")

@@ -92,6 +92,11 @@ def lru_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "hit", "size")
 
 
+@R.add(f"SELECT user_id, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 3) AS hit_rate FROM ({R.sql['lru_ttl_cache']}) GROUP BY user_id")
+def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.hit_rate(lru_ttl_cache(spark, sf_dir), F.col("hit"), ["user_id"])
+
+
 def _cache_sql(threshold: float, start: float, ttl: float | None, size: int | None, t: str, clear: str = "false") -> str:
     """(label, vec_id, hit, leader, similarity, hits, misses): one request after
     another, the leaders as a list."""

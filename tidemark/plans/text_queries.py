@@ -157,25 +157,82 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sections(table(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))).select("doc_id", "pos", "title", "section_text")
 
 
+#: Answers by event number modulo their number: fenced, loose, malformed, empty, of other types.
+ANSWERS = ('["{} ", 7, "  "]', '```json\n["{} ", 7, "  "]\n```', 'Sure: ["{} ", 7, "  "] done', '["{} ", 7, "  "', "no array, {}", "", '[]', '[["{}"], null, true, " {}"]', '{{"a": ["{}"]}}')
+_SQL_ANSWERS = "[" + ", ".join("'" + a.replace("{}", "@").replace("{{", "{").replace("}}", "}") + "'" for a in ANSWERS) + "]"
+_ANSWERED = f"SELECT event_id, event_type, event_id % {len(ANSWERS)} AS k, replace(({_SQL_ANSWERS})[1 + event_id % {len(ANSWERS)}], '@', event_type) AS answer FROM events"
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*(F.lit(a.replace("{}", "@").replace("{{", "{").replace("}}", "}")) for a in ANSWERS)), (F.col("event_id") % len(ANSWERS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.replace(said, F.lit("@"), F.col("event_type")).alias("answer"))
+
+
+_INNER = r"regexp_extract(regexp_replace(regexp_replace(answer, '^```(json)?', ''), '```$', ''), '\[.*\]', 0, 's')"
+
+
 @R.add(
-    """SELECT event_id, [x for x in [trim(event_type), user_id::varchar] if x <> ''] AS items FROM events"""
+    f"""WITH a AS ({_ANSWERED}), j AS (SELECT event_id, CASE WHEN json_valid(nullif({_INNER}, '')) THEN {_INNER}::json END AS j FROM a)
+SELECT event_id, coalesce(list_filter(list_transform(json_extract(j, '$[*]'), lambda x: regexp_replace(CASE json_type(x) WHEN 'VARCHAR' THEN json_extract_string(x, '$') WHEN 'NULL' THEN '' ELSE x::varchar END, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), []) AS items FROM j"""
 )
 def tolerant_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    array = F.concat(F.lit('["'), "event_type", F.lit(' ", '), F.col("user_id").cast("string"), F.lit(', "  "]'))
-    fenced = F.concat(F.lit("```json\n"), array, F.lit("\n```"))
-    loose = F.concat(F.lit("Sure: "), array, F.lit(" done"))
-    answer = F.when(F.col("event_id") % 3 == 0, array).when(F.col("event_id") % 3 == 1, fenced).otherwise(loose)
-    return e.select("event_id", text.json_array(answer).alias("items"))
+    return answers(spark, sf_dir).select("event_id", text.json_array(F.col("answer")).alias("items"))
+
+
+@R.add(
+    f"""WITH a AS ({_ANSWERED}), j AS (SELECT event_id, CASE WHEN json_valid(nullif({_INNER}, '')) THEN {_INNER}::json END AS j FROM a)
+SELECT event_id, coalesce(list_filter(list_transform(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: regexp_replace(json_extract_string(x, '$'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), []) AS items FROM j"""
+)
+def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers(spark, sf_dir).select("event_id", text.json_strings(F.col("answer")).alias("items"))
+
+
+@R.add(f"""WITH a AS ({_ANSWERED}) SELECT event_id, len({_INNER}::json->'$[*]') AS n FROM a WHERE k IN (0, 1, 2, 6, 7, 8)""")
+def strict_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the answers that have an array; one without would fail the query."""
+    good = answers(spark, sf_dir).where((F.col("event_id") % len(ANSWERS)).isin(0, 1, 2, 6, 7, 8))
+    return good.select("event_id", F.size(text.json_array_strict(F.col("answer"))).cast("long").alias("n"))
 
 
-@R.add("""SELECT event_id, coalesce(event_type, 'khách') AS subject, 'buy ' || user_id AS action, '' AS context FROM events""")
+@R.add(
+    """SELECT event_id, CASE event_id % 4 WHEN 3 THEN 'khách' ELSE event_type END AS subject, CASE event_id % 4 WHEN 0 THEN 'buy ' || user_id WHEN 1 THEN 'Answer: {"subject": "' || event_type || '"}' WHEN 2 THEN 'a {b}' ELSE 'no object' END AS action, CASE event_id % 4 WHEN 2 THEN 'now' ELSE '' END AS context FROM events"""
+)
 def json_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    answer = F.concat(F.lit('Answer: {"subject": "'), "event_type", F.lit('", "action": "buy '), F.col("user_id").cast("string"), F.lit('"} ok'))
+    """Whole objects, ones that lack parts, and none."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    whole = F.concat(F.lit('Answer: {"subject": "'), "event_type", F.lit('", "action": "buy '), F.col("user_id").cast("string"), F.lit('"} ok'))
+    part = F.concat(F.lit('Answer: {"subject": "'), "event_type", F.lit('"}'))
+    nested = F.concat(F.lit('{"subject": "'), "event_type", F.lit('", "action": "a {b}", "context": "now", "more": [1]}'))
+    answer = F.when(k == 0, whole).when(k == 1, part).when(k == 2, nested).otherwise("no object")
     return e.select("event_id", text.json_intent(answer).alias("i")).select("event_id", "i.*")
 
 
+@R.add("SELECT p_partkey, p_name || '. ' || p_type AS menu, coalesce(p_name, '') || ' ' || p_brand AS faq FROM part")
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", text.embedding_text(F.col("p_name"), F.col("p_type")).alias("menu"), text.embedding_text(F.col("p_name"), F.col("p_brand"), " ").alias("faq"))
+
+
+@R.add(
+    """WITH k AS (SELECT p_partkey, lower(p_name) AS low, lower(split_part(p_name, ' ', 1)) AS a, CASE WHEN p_partkey % 2 = 0 THEN 'ring' ELSE lower(split_part(p_name, ' ', 2)) END AS b, floor(p_retailprice)::bigint AS price FROM part)
+SELECT p_partkey, contains(low, a) OR contains(low, b) AS found, contains(low, a) AND contains(low, b) AS grounded, p_partkey % 3 > 0 AS priced FROM k"""
+)
+def grounding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies held against their keywords and prices; every third names another price."""
+    p = table(spark, sf_dir, "part")
+    words_ = F.array(F.upper(F.substring_index("p_name", " ", 1)), F.when(F.col("p_partkey") % 2 == 0, F.lit("Ring")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(2))))
+    price = F.floor("p_retailprice").cast("long")
+    reply = F.concat(F.lit("Price: "), F.format_number(F.when(F.col("p_partkey") % 3 > 0, price).otherwise(F.lit(7)), 0), F.lit(" now"))
+    return p.select("p_partkey", text.has_any(F.col("p_name"), words_).alias("found"), text.has_all(F.col("p_name"), words_).alias("grounded"), text.has_price(reply, price.cast("string")).alias("priced"))
+
+
+@R.add(r"SELECT p_partkey, len(list_distinct(list_filter(string_split(s, ''), lambda x: x <> ''))) <= 2 OR contains(s, '한') AS odd FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'aaa' WHEN 1 THEN p_name WHEN 2 THEN 'xin 한 chào' ELSE 'ab' END AS s FROM part)")
+def gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    said = F.when(k == 0, "aaa").when(k == 1, F.col("p_name")).when(k == 2, "xin 한 chào").otherwise(" ab ")
+    return table(spark, sf_dir, "part").select("p_partkey", text.gibberish(said).alias("odd"))
+
+
 @R.add(
     """SELECT p_partkey, p_name || ': ' || p_brand || ' (' || floor(p_retailprice)::bigint || 'đ, ' || p_type || ')' AS shown, upper(p_name[1]) || p_name[2:] AS titled, trim(split_part(p_name || ' (Size ' || p_size || ')', '(', 1)) AS head FROM part"""
 )
