@@ -20,17 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder under the shared one, gone when the application ends."""
+    root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return f"{root}/{name}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there,
     a lost executor costs no recomputation, and later plans know its size. The
     table goes when the application ends."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    path = f"{root}/{name}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(table: DataFrame) -> None:
