@@ -111,10 +111,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def strip_wrappers(c: Column) -> Column:
     """The core of a question: three rounds of prefixes, then suffixes, each
-    followed by a strip; what is left empty falls back to the question. A round
-    that changes nothing leaves a fixed point, so all three may always run."""
-    steps = [p for _ in range(3) for p in (*PREFIXES, *SUFFIXES)]
-    out = reduce(lambda x, p: strip(F.regexp_replace(x, "(?iuU)" + p, "")), steps, strip(F.coalesce(c, F.lit(""))))
+    with the white space next to it; what is left empty falls back to the
+    question. A round that changes nothing leaves a fixed point, so all three may
+    always run."""
+    steps = [p for _ in range(3) for p in (*(x + r"\s*" for x in PREFIXES), *(r"\s*" + x for x in SUFFIXES))]
+    out = reduce(lambda x, p: F.regexp_replace(x, "(?iuU)" + p, ""), steps, strip(F.coalesce(c, F.lit(""))))
     out = F.btrim(out, F.lit(" ,."))
     return F.when(c.isNull(), F.lit(None).cast("string")).when(out == "", strip(c)).otherwise(out)
 

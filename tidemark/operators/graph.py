@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,24 +60,42 @@ def mentions(nodes: DataFrame, entities: Column, canonical: DataFrame | None = N
     return found.distinct()
 
 
+#: Tokens that two similar names must share in their prefixes.
+SHARED = 3
+
+
+def _triples(p: Column) -> Column:
+    """A hash of every three elements of an array, in order."""
+    after = lambda i: F.slice(p, i + 2, F.size(p))
+    three = lambda x, y: lambda z: F.xxhash64(x, y, z)
+    two = lambda x, i: lambda y, j: F.transform(F.slice(p, i + j + 3, F.size(p)), three(x, y))
+    return F.flatten(F.transform(p, lambda x, i: F.flatten(F.transform(after(i), two(x, i)))))
+
+
 def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, score) for pairs of ``names`` (rank, name) with token Jaccard at
     least ``threshold``, a before b.
 
     Prefix filtering: with tokens sorted from rare to common, two sets that
-    similar share one of their first |s| - ceil(t |s|) + 1 tokens, and their
+    similar share three of their first |s| - ceil(t |s|) + 3 tokens, and their
     sizes differ by the factor t at most; pairs are made only where both hold.
+    Sets of so few tokens that three need not be common meet by one token.
     """
     sets = names.select("rank", "name", text.tokens(F.col("name")).alias("tokens")).where(F.size("tokens") > 0)
     each = sets.select("rank", F.explode("tokens").alias("token"))
     freq = each.groupBy("token").agg(F.count("*").alias("df"))
     ordered = each.join(freq, "token").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     size = F.size("o")
-    prefix = ordered.select("rank", size.alias("n"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(F.lit(threshold) * size) + 1).cast("int"))).alias("t"))
-    p = prefix.select("rank", "n", F.col("t.token").alias("token"))
+    first = lambda k: F.transform(F.slice("o", F.lit(1), (size - F.ceil(F.lit(threshold) * size) + k).cast("int")), lambda x: x["token"])
+    small = max(n for n in range(64) if math.ceil(threshold * n) < SHARED)
+    keys = F.concat(
+        F.when(F.ceil(F.lit(threshold) * size) >= SHARED, _triples(first(SHARED))).otherwise(F.array().cast("array<bigint>")),
+        F.when(threshold * size <= small, F.transform(first(1), lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")),
+    )
+    p = ordered.select("rank", size.alias("n"), F.explode(keys).alias("key"))
     a, b = p.alias("a"), p.alias("b")
     near = (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.col("b.rank")) & near).select(F.col("a.rank").alias("a"), F.col("b.rank").alias("b")).distinct()
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rank") < F.col("b.rank")) & near).select(F.col("a.rank").alias("a"), F.col("b.rank").alias("b")).distinct()
     s = sets.select("rank", "tokens")
     both = pairs.join(s.select(F.col("rank").alias("a"), F.col("tokens").alias("ta")), "a").join(s.select(F.col("rank").alias("b"), F.col("tokens").alias("tb")), "b")
     return both.select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= threshold)
