@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_render, tokens, toxicity, warc
+from tidemark.llm import common, decontam, html_render, tokens, toxicity, warc
 
 
 def test_blocks_and_lists():
@@ -258,7 +258,7 @@ def contaminated_docs():
 
 @pytest.mark.parametrize("bits", [1 << 25, 1 << 15])
 def test_contamination_against_brute_force(spark, bits, monkeypatch):
-    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     monkeypatch.setattr(decontam, "ITEMS_A_ROW", 2)
     rows = contaminated_docs()
     df = spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "doc_id long, text string")

@@ -20,15 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import body, cut
+from tidemark.llm.common import bit_filter, body, cut, may_hold
 
 MIN_MATCH = 5
 COVERAGE = 0.8
-#: Bits of the seed filter that every task gets (4 MB), whatever the size of the benchmark.
-FILTER_BITS = 1 << 25
-_BUCKET = 1 << 15  # bits of one row of bitmap_construct_agg
-#: The bits of a seed are those that its hash names from each of these places on.
-SHIFTS = (0, 31)
 #: A seed's texts are dealt to so many groups, so that a frequent one is no single group.
 SALTS = 16
 #: Items that one text meets in one row; one with more is several rows.
@@ -212,7 +207,6 @@ def _touched(bits: np.ndarray, widths: list[int]):
         """(key, words, hits) of the texts that hold a seed in the filter, a
         text once a task."""
         hashes, seen = _Hashes(), set()
-        size = np.uint64(len(bits) * 8 - 1)
         for b in batches:
             keys, words, hits = [], [], []
             for key, raw in zip(*(c.to_pylist() for c in b.columns)):
@@ -221,9 +215,7 @@ def _touched(bits: np.ndarray, widths: list[int]):
                 ids, found = hashes.of(raw), []
                 for k in widths:
                     h = _named(rolling(ids, k), k)
-                    for shift in SHIFTS:
-                        slot = (h >> np.uint64(shift)) & size
-                        h = h[(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                    h = h[may_hold(bits, h)]
                     found.append(np.unique(h))
                 found = np.concatenate(found) if found else ids[:0]
                 if len(found):
@@ -272,12 +264,7 @@ def covered(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     items = cut(bench.mapInArrow(_items(min_match, coverage), "ikey long, item long, k int, need int, spare int, words binary"), "items")
     places = cut(items.select("ikey", "k", "need", "spare", "words").mapInArrow(_seeds, "ikey long, need int, spare int, place int, seed long"), "seeds")
 
-    slots = F.explode(F.array(*(F.shiftright("seed", n).bitwiseAND(F.lit(FILTER_BITS - 1)) for n in SHIFTS)))
-    slot = F.col("slot")
-    rows = places.select(slots.alias("slot")).groupBy(F.shiftright(slot, 15).alias("bucket")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(_BUCKET - 1))).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:  # FILTER_BITS in all
-        bits[r["bucket"] * (_BUCKET // 8) : (r["bucket"] + 1) * (_BUCKET // 8)] = np.frombuffer(r["bits"], np.uint8)
+    bits = bit_filter(places, "seed")
     widths = sorted(r["k"] for r in items.select("k").distinct().collect())  # min_match at most
     texts = docs.select(F.md5(body(text)).alias("key"), body(text).alias("raw"))
     touched = cut(texts.mapInArrow(_touched(bits, widths), "key string, words binary, hits array<long>"), "touched")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import body, cut
+from tidemark.llm.common import bit_filter, body, cut, may_hold
 from tidemark.operators.components import connected_components
 
 BITS = 64
@@ -263,39 +263,49 @@ def _node(shingles: np.ndarray) -> int:
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, node, fp, bytes, keys): node names the set of shingles, fp is its
-        fingerprint, repeats not counted, as the similarity is that of sets; a key
-        is of a pair of the least shingle hashes under two multipliers."""
+        """(id, text, node, fp, bytes, keys): text and node are hashes of the text
+        and of its set of shingles, fp is the set's fingerprint, repeats not
+        counted, as the similarity is that of sets; a key is of a pair of the
+        least shingle hashes under two multipliers."""
         for b in batches:
             raws = b.column(1).to_pylist()
-            nodes, fps, sizes, keys = [], [], [], []
+            texts, nodes, fps, sizes, keys = [], [], [], [], []
             for raw in raws:
                 h = _set_of(shingle_hashes(raw, width))
                 least = np.array([(h * m >> np.uint64(11)).min() for m in _MULTIPLIERS], np.uint64)
+                texts.append(xxhash.xxh64_intdigest(raw, SEED))
                 nodes.append(_node(h))
                 fps.append(majority(h))
                 sizes.append(h.nbytes)
                 keys += [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, len(least), ROWS)]
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raws) + 1, dtype=np.int32) * BANDS), signed(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(nodes), signed(fps), pa.array(sizes, pa.int64()), lists], names=["id", "node", "fp", "bytes", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(texts), signed(nodes), signed(fps), pa.array(sizes, pa.int64()), lists], names=["id", "text", "node", "fp", "bytes", "keys"])
 
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, fp, shingles) once a task for each set: its hashes, sorted."""
+        """(node, fp, shingles) once a task for each set whose text is in the
+        filter: its hashes, sorted. Other texts are not cut into shingles again."""
+        texts: set[int] = set()
         seen: set[int] = set()
         for b in batches:
             nodes, fps, sets = [], [], []
-            for raw in b.column(0).to_pylist():
-                h = _set_of(shingle_hashes(raw, width))
+            raws = b.column(0).to_pylist()
+            hashes = np.array([xxhash.xxh64_intdigest(raw, SEED) for raw in raws], np.uint64)
+            for n in np.flatnonzero(may_hold(bits, hashes)).tolist():
+                if int(hashes[n]) in texts:
+                    continue
+                if len(texts) > 1_000_000:
+                    texts.clear()
+                    seen.clear()
+                texts.add(int(hashes[n]))
+                h = _set_of(shingle_hashes(raws[n], width))
                 node = _node(h)
                 if node in seen:
                     continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
                 seen.add(node)
                 nodes.append(node)
                 fps.append(majority(h))
@@ -397,7 +407,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     of their fingerprints within the radius for that similarity (six standard
     deviations above the mean) join them to candidate components,
     in which the similarity of the sets of shingle hashes (64 bits) is then
-    checked in full. Only distinct texts that met another are moved. Crowded
+    checked in full. Only texts in a filter of those that met another are cut
+    into shingles again and moved, copies once a task. Crowded
     buckets and components are dealt out in pairs of tiles, bounded by rows and
     by bytes: no task holds one, no pair is left out.
 
@@ -409,7 +420,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     """
     kind = docs.schema[id].dataType.simpleString()
     src = docs.select(F.col(id).alias("id"), body(text).alias("raw"))
-    rows = cut(src.mapInArrow(_sketches(width), f"id {kind}, node long, fp long, bytes long, keys array<long>"), "sketches")
+    rows = cut(src.mapInArrow(_sketches(width), f"id {kind}, text long, node long, fp long, bytes long, keys array<long>"), "sketches")
 
     band = rows.select("fp", F.posexplode("keys").alias("band", "key")).distinct()
     met = band.join(band.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"])
@@ -423,7 +434,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     placed = candidates.unionByName(lone)
     sizes = nodes.join(placed, "fp").groupBy("component").agg(F.count("*").alias("k"), F.sum("bytes").alias("n")).where("k > 1").drop("k")
     placed = cut(placed.join(sizes, "component"), "placed")
-    sets = src.select("raw").mapInArrow(_sets(width), "node long, fp long, shingles binary")
+    bits = bit_filter(rows.join(placed.select("fp"), "fp", "left_semi"), "text")
+    sets = src.select("raw").mapInArrow(_sets(width, bits), "node long, fp long, shingles binary")
     checked = sets.join(placed.hint("shuffle_hash"), "fp").select("component", "n", "node", "shingles")
     checked = _tiled(checked, ["component"], "n", "node", SET_TILE).select("component", "a", "b", "node", "shingles")
     checked = checked.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
