@@ -59,19 +59,21 @@ def quota_fill(have: DataFrame, new: DataFrame, cell: list[str], target: int, or
     fresh = fresh.join(have.select(text.dedup_key(F.col(body)).alias("norm")).distinct(), "norm", "left_anti")
     fresh = first_seen(fresh, F.col("norm"), order).join(n, cell, "left")
     w = Window.partitionBy(*cell).orderBy(*order)
-    return fresh.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= target - F.coalesce("have", F.lit(0))).drop("norm", "nth", "have")
+    # a cell never takes more than target, so tasks send no more of it than that
+    first = fresh.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= target)
+    return first.where(F.col("nth") <= target - F.coalesce("have", F.lit(0))).drop("norm", "nth", "have")
 
 
 def stratified_split(rows: DataFrame, strata: list[str], id: str, seed: str = "42", train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Column ``split``: in each stratum, shuffled, floor(train n) rows, then
-    floor(val n), the rest test."""
-    w = Window.partitionBy(*strata).orderBy("_key", id)
-    n = F.count("*").over(Window.partitionBy(*strata))
-    r = F.row_number().over(w)
-    a, b = F.floor(n * F.lit(train)), F.floor(n * F.lit(val))
-    out = rows.withColumn("_key", shuffle_key(F.col(id), seed)).withColumns({"_r": r, "_a": a, "_b": b})
-    split = F.when(F.col("_r") <= F.col("_a"), "train").when(F.col("_r") <= F.col("_a") + F.col("_b"), "val").otherwise("test")
-    return out.withColumn("split", split).drop("_key", "_r", "_a", "_b")
+    floor(val n), the rest test. Rows are numbered over all strata in ranges, so
+    a stratum may be any share of them; one row a stratum says where it begins."""
+    at = numbered(rows.withColumn("_key", shuffle_key(F.col(id), seed)), [*strata, "_key", id], "_at")
+    sizes = at.groupBy(F.struct(*strata).alias("_s")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    r = F.col("_at") - F.col("_first")
+    a, b = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(val))
+    out = at.join(sizes, F.struct(*strata).eqNullSafe(F.col("_s")))
+    return out.withColumn("split", F.when(r < a, "train").when(r < a + b, "val").otherwise("test")).drop("_key", "_at", "_s", "_n", "_first")
 
 
 def global_split(rows: DataFrame, id: str, seed: str = "42", share: float = 0.15) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.order import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -42,34 +44,35 @@ def accuracy(rows: DataFrame, by: str | None = None, truth: str = "truth", pred:
 
 
 def ranked(rows: DataFrame, value: str, at: dict[str, Column], by: list[str]) -> DataFrame:
-    """For each group the sorted value at zero-based positions given as columns
-    of n, the group's size: index rules that no percentile function has.
+    """(by, n, *at): for each group the sorted value at zero-based positions given
+    as columns of n, the group's size: index rules that no percentile function has.
 
-    Values are counted first (partial aggregation), so what a window orders is
-    distinct values, and a position is found by cumulative counts.
+    Values are counted first (partial aggregation); the counts are summed up over
+    all groups and values in ranges, and a position is found by those sums, so no
+    task holds a group.
     """
-    from pyspark.sql import Window
-
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    pick = {k: F.min(F.when(F.col("upto") > pos, F.col(value))).alias(k) for k, pos in at.items()}
-    return upto.groupBy(*by).agg(F.max("n").alias("n"), *pick.values())
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    summed = running(counts, [*by, value], {"_before": F.col("_c")})
+    groups = summed.groupBy(F.struct(*by).alias("_g")).agg(F.sum("_c").alias("n"), F.min("_before").alias("_base"))
+    both = summed.join(groups, F.struct(*by).eqNullSafe(F.col("_g"))).withColumn("_upto", F.col("_before") - F.col("_base") + F.col("_c"))
+    pick = {k: F.min(F.when(F.col("_upto") > pos, F.col(value))).alias(k) for k, pos in at.items()}
+    return both.groupBy(*by).agg(F.max("n").alias("n"), *pick.values())
 
 
 def latency(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, average, p50 at n // 2, p95 at min(int(0.95 n), n - 1), the two other
     p95 rules in use (int(0.95 n) - 1; the first only from 20 values on, else
-    the largest), minimum and maximum."""
+    the largest), minimum, maximum and true median."""
     n = F.col("n")
     at = F.floor(n * F.lit(0.95)).cast("long")
-    usual = F.least(at, n - 1)
+    usual, middle = F.least(at, n - 1), F.floor(n / 2).cast("long")
     found = ranked(
         rows, value,
-        {"p50": F.floor(n / 2).cast("long"), "p95": usual, "p95_below": F.greatest(at - 1, F.lit(0)), "p95_or_max": F.when(n >= 20, usual).otherwise(n - 1)}, by,
+        {"p50": middle, "p95": usual, "p95_below": F.greatest(at - 1, F.lit(0)), "p95_or_max": F.when(n >= 20, usual).otherwise(n - 1), "_low": F.floor((n - 1) / 2).cast("long")}, by,
     )
-    plain = rows.groupBy(*by).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.median(value).alias("median"))
-    return found.join(plain, by)
+    plain = rows.groupBy(*by).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
+    # the upper middle is what p50 takes
+    return found.join(plain, by).withColumn("median", (F.col("_low") + F.col("p50")) / 2).drop("_low")
 
 
 def hit_rate(rows: DataFrame, hit: Column, by: list[str], digits: int = 3) -> DataFrame:
