@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +22,7 @@ from tidemark.llm.common import body
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A task's trie has at most about this many nodes, then it starts anew: memory only, no count changes.
-MAX_NODES = 1_000_000
+MAX_NODES = 1_500_000
 _END = ""
 _CODES = 0x110000
 
@@ -56,40 +55,43 @@ class Trie:
 
     def clear(self) -> None:
         self.below: dict[int, int] = {}  # a node and a character, as one number, to the node below
-        self.above, self.best, self.pieces, self.char = array("q", [0]), array("d", [0.0]), array("q", [0]), [""]
+        self.best, self.pieces = array("d", [0.0]), array("q", [0])
         self.terminals: dict[bytes, int] = {}
 
     def insert(self, word: str) -> int:
-        """The node at which ``word`` ends."""
-        node = 0
-        for c in word:
-            node = self.below.get(node * _CODES + ord(c)) or self._grow(node, c)
-        return node
-
-    def _grow(self, above: int, c: str) -> int:
-        n_bytes = len(c.encode("utf-8", "replace"))
-        top, n = self.best[above] + self.byte * n_bytes, self.pieces[above] + n_bytes
-        piece, at = self.back.get(c), above
-        while piece is not None:
-            score = piece.get(_END)
-            if score is not None:
-                s = self.best[at] + score
-                if s > top or (s == top and self.pieces[at] + 1 < n):
-                    top, n = s, self.pieces[at] + 1
-            if not at:
-                break
-            piece, at = piece.get(self.char[at]), self.above[at]
-        node = self.below[above * _CODES + ord(c)] = len(self.best)
-        for column, v in ((self.above, above), (self.char, c), (self.best, top), (self.pieces, n)):
-            column.append(v)
-        return node
+        """The node at which ``word`` ends; nodes that are missing are made, each
+        from those on the way to it."""
+        below, best, pieces, back = self.below, self.best, self.pieces, self.back
+        path = [0]
+        for i, c in enumerate(word):
+            key = path[i] * _CODES + ord(c)
+            node = below.get(key)
+            if node is None:
+                n_bytes = 1 if c < "\x80" else len(c.encode("utf-8", "replace"))
+                top, n = best[path[i]] + self.byte * n_bytes, pieces[path[i]] + n_bytes
+                piece, j = back.get(c), i
+                while piece is not None:
+                    score = piece.get(_END)
+                    if score is not None:
+                        s = best[path[j]] + score
+                        if s > top or (s == top and pieces[path[j]] + 1 < n):
+                            top, n = s, pieces[path[j]] + 1
+                    if not j:
+                        break
+                    j -= 1
+                    piece = piece.get(word[j])
+                node = below[key] = len(best)
+                best.append(top)
+                pieces.append(n)
+            path.append(node)
+        return path[-1]
 
     def count(self, word: bytes) -> int:
         """The count at the terminal of a pre-token, with its leading mark."""
-        node = self.terminals.get(word)
-        if node is None:
-            node = self.terminals[word] = self.insert(MARK + word.decode("utf-8", "replace"))
-        return self.pieces[node]
+        n = self.terminals.get(word)
+        if n is None:
+            n = self.terminals[word] = self.pieces[self.insert(MARK + word.decode("utf-8", "replace"))]
+        return n
 
 
 def token_counts(docs: DataFrame, pieces: dict[str, float], id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,9 +110,10 @@ def token_counts(docs: DataFrame, pieces: dict[str, float], id: str = "doc_id",
         for b in batches:
             words, counts = [], []
             for raw in b.column(1):
-                text_ = Counter(raw.as_py().split())
-                words.append(text_.total())
-                counts.append(sum(trie.count(w) * k for w, k in text_.items()))
+                text_ = raw.as_py().split()
+                words.append(len(text_))
+                known = list(map(trie.terminals.get, text_))
+                counts.append(sum(trie.count(w) if n is None else n for w, n in zip(text_, known)) if None in known else sum(known))
                 if len(trie.best) > MAX_NODES:
                     trie.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_pretokens", "n_tokens"])
