@@ -33,7 +33,8 @@ SHINGLE = 3
 NEAR_WIDTH = 5
 NEAR_SIMILARITY = 0.8
 BANDS, ROWS = 12, 2
-_MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(1, BANDS * ROWS + 1)]
+# odd, and unrelated to each other: under multiples of one number the same members would be least again and again
+_MULTIPLIERS = [np.uint64(xxhash.xxh64_intdigest(b"min-%d" % k, SEED) | 1) for k in range(BANDS * ROWS)]
 #: Fingerprints of a crowded bucket that meet in one task, times two.
 TILE = 8192
 #: Bytes of sets of shingles that meet in one task, times two; a larger set is a tile of its own.
