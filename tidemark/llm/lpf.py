@@ -28,6 +28,8 @@ LEAST = 200
 ANCHOR = 32
 #: What a task sorts at once: anchors whose distinct segments have more bytes than this are dealt by window instead.
 MAX_BYTES = 512 << 10
+#: Groups that the places of one window are dealt to.
+SALTS = 16
 #: A segment has at most this many windows; longer stretches are several segments.
 MAX_WINDOWS = 1024
 _BASE = 0x9E3779B97F4A7C15
@@ -421,11 +423,13 @@ def _by_window(crowd: DataFrame, known: DataFrame, least: int, keep: str) -> Dat
     wins = crowd.select("dig", "seg").mapInArrow(_explode_windows(least), "dig binary, i int, win binary")
     if keep == "first":
         wins = wins.join(known.select(F.col("dig").alias("kd"), "place"), F.col("dig") == F.col("kd")).select("dig", "i", "win", F.struct("place", "i").alias("at"))
-        lead = wins.groupBy("win").agg(F.min("at").alias("lead")).withColumnRenamed("win", "lw")
-        hit = wins.join(lead, F.col("win") == F.col("lw")).where(~F.col("at").eqNullSafe(F.col("lead")))
+        lead = wins.groupBy("win").agg(F.min("at").alias("lead"), F.count("*").alias("c")).where("c > 1")
+        lead = lead.select(F.col("win").alias("lw"), "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        hit = wins.join(lead, (F.col("win") == F.col("lw")) & (F.pmod(F.hash("dig"), F.lit(SALTS)) == F.col("salt"))).where(~F.col("at").eqNullSafe(F.col("lead")))
     else:
-        twice = wins.groupBy("win").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("win", "lw")
-        hit = wins.join(twice, F.col("win") == F.col("lw"))
+        # a window may be in any share of the segments, so its places are dealt to SALTS groups
+        twice = wins.groupBy("win").agg(F.count("*").alias("c")).where("c > 1").select(F.col("win").alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        hit = wins.join(twice, (F.col("win") == F.col("lw")) & (F.pmod(F.hash("dig"), F.lit(SALTS)) == F.col("salt")))
     marks = hit.groupBy("dig").agg(F.array_sort(F.collect_set("i")).alias("i"))
     starts = F.filter("i", lambda x: ~F.array_contains("i", x - 1))
     stops = F.transform(F.filter("i", lambda x: ~F.array_contains("i", x + 1)), lambda x: x + 1)
