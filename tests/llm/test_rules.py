@@ -3,11 +3,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, queries, secrets
+from tidemark.llm import common, mixing, quality, queries, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -184,3 +185,15 @@ def test_mix_with_a_hot_source(spark):
     stream = mixing.mix_stream(queue).collect()
     assert [r.v_finish for r in stream] == sorted(r.v_finish for r in stream)
     assert sum(r.served for r in stream) == sum(r.taken for r in got)
+
+
+def test_filter_holds_what_it_was_made_from(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    inside, outside = (rng.integers(-(2**63), 2**63, n, np.int64) for n in (300, 20_000))
+    df = spark.createDataFrame([(int(x),) for x in inside], "h long")
+    for bits, least in ((1 << 25, 0.999), (1 << 15, 0.9)):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        made = common.bit_filter(df, "h")
+        assert common.may_hold(made, inside.view(np.uint64)).all()
+        assert (~common.may_hold(made, outside.view(np.uint64))).mean() > least
+    assert not common.may_hold(common.bit_filter(df.limit(0), "h"), inside.view(np.uint64)).any()
