@@ -292,10 +292,15 @@ def _sets(width: int, bits: np.ndarray):
         filter: its hashes, sorted. Other texts are not cut into shingles again."""
         texts: set[int] = set()
         seen: set[int] = set()
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            signed = lambda k: pa.array(np.array([x[k] for x in found], np.uint64).view(np.int64))
+            return pa.RecordBatch.from_arrays([signed(0), signed(1), pa.array([x[2] for x in found], pa.binary())], names=["node", "fp", "shingles"])
+
         for b in batches:
-            nodes, fps, sets = [], [], []
             raws = b.column(0).to_pylist()
             hashes = np.array([xxhash.xxh64_intdigest(raw, SEED) for raw in raws], np.uint64)
+            found, size = [], 0
             for n in np.flatnonzero(may_hold(bits, hashes)).tolist():
                 if int(hashes[n]) in texts:
                     continue
@@ -308,11 +313,12 @@ def _sets(width: int, bits: np.ndarray):
                 if node in seen:
                     continue
                 seen.add(node)
-                nodes.append(node)
-                fps.append(majority(h))
-                sets.append(h.tobytes())
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([signed(nodes), signed(fps), pa.array(sets, pa.binary())], names=["node", "fp", "shingles"])
+                found.append((node, majority(h), h.tobytes()))
+                size += h.nbytes
+                if size > SET_TILE // 2:
+                    yield out(found)
+                    found, size = [], 0
+            yield out(found)
 
     return run
 
