@@ -29,7 +29,7 @@ SALTS = 16
 #: Items that one text meets in one row; one with more is several rows.
 ITEMS_A_ROW = 64
 #: Words, and texts, that a task remembers.
-_CACHE = 300_000
+_CACHE = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = re.compile(r"\w+")

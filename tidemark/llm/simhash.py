@@ -38,8 +38,10 @@ _MULTIPLIERS = [np.uint64(xxhash.xxh64_intdigest(b"min-%d" % k, SEED) | 1) for k
 #: Fingerprints of a crowded bucket that meet in one task, times two.
 TILE = 8192
 #: Bytes of sets of shingles that meet in one task, times two; a larger set is a tile of its own.
-SET_TILE = 16 << 20
+SET_TILE = 4 << 20
 _STEP = 1 << 16
+#: Texts that a task remembers so as not to send their sets twice.
+_SEEN = 200_000
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -304,7 +306,7 @@ def _sets(width: int, bits: np.ndarray):
             for n in np.flatnonzero(may_hold(bits, hashes)).tolist():
                 if int(hashes[n]) in texts:
                     continue
-                if len(texts) > 1_000_000:
+                if len(texts) > _SEEN:
                     texts.clear()
                     seen.clear()
                 texts.add(int(hashes[n]))
@@ -315,7 +317,7 @@ def _sets(width: int, bits: np.ndarray):
                 seen.add(node)
                 found.append((node, majority(h), h.tobytes()))
                 size += h.nbytes
-                if size > SET_TILE // 2:
+                if size > SET_TILE:
                     yield out(found)
                     found, size = [], 0
             yield out(found)
