@@ -99,10 +99,13 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     which = F.lit(None).cast("string") if version is None else F.col(version)
     paths = cut(docs.select(F.col(id).alias("id"), which.alias("version"), blob_of(text).alias("blob")), "paths")
     todo = unseen(paths, empty_ledger(spark) if ledger is None else ledger, rules).withColumnRenamed("blob", "todo_blob")
-    named = docs.select(F.col(id).alias("id"), blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # the list of representatives is the built side, so texts are shuffled once, copies of a blob by their ids
-    fresh = named.join(todo.hint("shuffle_hash"), (named["blob"] == todo["todo_blob"]) & named["id"].eqNullSafe(todo["rep"]))
-    fresh = fresh.select("blob", "id", "text", F.transform("pairs", lambda x: x["kind"]).alias("kinds")).dropDuplicates(["blob", "id"])
+    name = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
+    named = docs.select(name(id).alias("name"), blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # the list of representatives is the built side, so texts are shuffled once, copies of a blob by their ids;
+    # rows equal in both lie together already
+    reps = todo.select("todo_blob", name("rep").alias("rep"), "pairs")
+    fresh = named.join(reps.hint("shuffle_hash"), (named["blob"] == reps["todo_blob"]) & (named["name"] == reps["rep"]))
+    fresh = fresh.select("blob", "name", "text", F.transform("pairs", lambda x: x["kind"]).alias("kinds")).dropDuplicates(["blob", "name"])
     empty = F.lit([]).cast("array<struct<kind:string,i:int,gap:int,len:int,part:int>>")
     found = [F.when(F.array_contains("kinds", r.kind) & F.col("text").rlike(r.pattern), _matches(r, F.col("text"))).otherwise(empty) for r in rules]
     hits = fresh.select("blob", F.concat(*found).alias("m")).where(F.size("m") > 0).select("blob", F.inline("m"))
