@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_render, lpf, mixing, quality, secrets, simhash, tokens, toxicity, warc
+from tidemark.llm import covertree, decontam, html_render, lexical, lpf, merkle, mixing, quality, secrets, simhash, tokens, toxicity, warc
 from tidemark.llm.common import read
 
 
@@ -71,6 +71,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering lower-cases A-Z in a fifth of the texts."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(read(spark, sf_dir, "documents"), now={"text": F.translate("text", _UPPER, _LOWER)}, when=tampered)
+    return found.drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_repeats": op2_repeats,
@@ -82,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_tokens": op9_tokens,
     "op10_warc": op10_warc,
+    "op11_lexical": op11_lexical,
+    "op12_topk": op12_topk,
+    "op13_merkle": op13_merkle,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -132,5 +153,46 @@ OP10_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, from_hex(sha1(
 SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5 * i + 1]::int + 8 * bits[5 * i + 2]::int + 4 * bits[5 * i + 3]::int + 2 * bits[5 * i + 4]::int + bits[5 * i + 5]::int]), '') AS payload_digest,
 CASE WHEN f IS NULL OR f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> coalesce(page_id, f - 1) THEN f END AS refers_to FROM p"""
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::bigint AS terms FROM d WHERE len(w) > 0),
+f AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+p AS (SELECT row, doc_id, t, floor({lexical.WEIGHT_SCALE} * ln((2 * docs + 2) / (2 * count(*) OVER (PARTITION BY t) + 1)))::bigint
+* (({lexical.TF_SCALE} * tf) // (1000 * tf + {lexical.K_LENGTH} * ({100 - lexical.B_PERCENT} + (({lexical.B_PERCENT} * n * docs) // terms)))) AS v FROM f, s),
+q AS (SELECT item, item_id, t, count(*) AS c FROM (SELECT row_number() OVER () AS item, item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+r AS (SELECT item, item_id, row, doc_id, sum(c * v)::bigint AS score FROM q JOIN p USING (t) GROUP BY ALL HAVING sum(c * v) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row)::integer AS rank FROM r) WHERE rank <= {lexical.TOP_K}"""
+
+OP12_SQL = f"""WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({covertree.SCALE} * x::double)) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.row AS q, q.vec_id AS query_id, c.row, c.vec_id, CASE WHEN len(q.v) = len(c.v) THEN list_dot_product(q.v, c.v)::bigint END AS score FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST, row)::integer AS rank FROM p WHERE score IS NOT NULL) WHERE rank <= {covertree.TOP_K}"""
+
+
+def _levels_sql(tree: str, path: str, levels: int) -> str:
+    """CTEs from ``tree``0 (src, p, d) and ``path``0 (row, src, p, proof, folded) to those of level ``levels``."""
+    out = []
+    for i in range(levels):
+        out.append(f"""{tree}{i}s AS MATERIALIZED (SELECT src, p, d, count(*) OVER (PARTITION BY src) AS n, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {tree}{i} WINDOW w AS (PARTITION BY src, p // {merkle.FANOUT} ORDER BY p)),
+{path}{i + 1} AS MATERIALIZED (SELECT row, t.src, t.p // {merkle.FANOUT} AS p, CASE WHEN n > 1 THEN proof || l || r ELSE proof END AS proof, CASE WHEN n > 1 THEN sha256(l || folded || r) ELSE folded END AS folded FROM {path}{i} t JOIN {tree}{i}s s ON t.src = s.src AND t.p = s.p),
+{tree}{i + 1} AS MATERIALIZED (SELECT src, p // {merkle.FANOUT} AS p, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE any_value(d) END AS d FROM {tree}{i}s GROUP BY src, p // {merkle.FANOUT})""")
+    return ", ".join(out)
+
+
+_FIELD = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+_LEAF = lambda text: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+#: CRC-32 by its table of 256 entries, over the digits of an id; levels enough for 16^6 leaves a source and 16^4 sources.
+_CRC = "xor(4294967295, list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295))"
+
+OP13_SQL = f"""WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i)) AS t),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src, {_LEAF('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS now FROM documents, c),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+a0 AS (SELECT src, p, leaf AS d FROM o), b0 AS (SELECT row, src, p, '' AS proof, coalesce(now, leaf) AS folded FROM o), {_levels_sql("a", "b", 6)},
+u AS MATERIALIZED (SELECT src AS own, row_number() OVER (ORDER BY encode(src)) - 1 AS p, d FROM a6),
+x0 AS (SELECT '' AS src, p, d FROM u), y0 AS (SELECT row, '' AS src, u.p, proof, folded FROM b6 JOIN u ON b6.src = u.own), {_levels_sql("x", "y", 4)}
+SELECT doc_id, leaf, u.d AS subroot, x4.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = x4.d AS verified FROM o JOIN y4 ON o.row = y4.row JOIN u ON o.src = u.own, x4"""
+
 #: The others hash with XXH64, tile, sort suffixes, render or fit, which SQL cannot express.
-ORACLES: dict[str, str] = {"op3_secrets": OP3_SQL, "op4_quality": OP4_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_secrets": OP3_SQL, "op4_quality": OP4_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL, "op11_lexical": OP11_SQL, "op12_topk": OP12_SQL, "op13_merkle": OP13_SQL}
