@@ -21,7 +21,10 @@ from tidemark.llm.common import cut
 class Rule:
     """A pattern without empty matches. Matches are leftmost and do not
     overlap; then those are dropped whose group ``group`` is shorter than
-    ``least``."""
+    ``least``. Where ``lead`` is not 0, that group (what must stand before) is
+    matched but is no part of the span. Patterns are for Java and RE2 alike and
+    take time in proportion to the text: no match can start inside a run that an
+    earlier start has read to its end."""
 
     kind: str
     version: int
@@ -29,6 +32,7 @@ class Rule:
     group: int
     least: int
     base: bool = True
+    lead: int = 0
 
 
 #: The base kinds in their listed order, then added ones.
@@ -37,7 +41,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 60, False),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 30, False),
+    Rule("jwt", 2, r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 2, 30, False, 1),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, False),
 )
 
@@ -73,10 +77,13 @@ def _matches(rule: Rule, text: Column) -> Column:
     hits = F.regexp_extract_all(text, re_, F.lit(0))
     part = F.regexp_extract_all(text, re_, F.lit(rule.group))
     gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(hits))
+    lead = F.regexp_extract_all(text, re_, F.lit(rule.lead)) if rule.lead else None
+    zipped = F.arrays_zip(hits.alias("h"), part.alias("p"), gaps.alias("g"), *([] if lead is None else [lead.alias("b")]))
+    before = lambda m: F.lit(0) if lead is None else F.length(m["b"])
     return F.transform(
-        F.arrays_zip(hits.alias("h"), part.alias("p"), gaps.alias("g")),
+        zipped,
         lambda m, i: F.struct(
-            F.lit(rule.kind).alias("kind"), i.alias("i"), F.length(m["g"]).alias("gap"), F.length(m["h"]).alias("len"), F.length(m["p"]).alias("part")
+            F.lit(rule.kind).alias("kind"), i.alias("i"), (F.length(m["g"]) + before(m)).alias("gap"), (F.length(m["h"]) - before(m)).alias("len"), F.length(m["p"]).alias("part")
         ),
     )
 
