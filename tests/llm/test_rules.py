@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -157,13 +158,16 @@ def brute_mix(rows, mix):
             left -= target[s]
         open_ -= full
     queue = sorted(rows, key=lambda r: (hashlib.md5(f"{mix.seed}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0, size(r[1])))
-    left = {s: int(t + 1e-7) for s, t in target.items()}
-    taken = [0] * len(queue)
+    at, copies = dict.fromkeys(target, 0), []
     for _ in range(mix.max_repeat):
         for i, (_, t, s) in enumerate(queue):
-            n = min(size(t), left[s])
-            taken[i] += n
-            left[s] -= n
+            at[s] += size(t)
+            copies.append((at[s] / round(target[s], 6) if target[s] else 0.0, s is not None, s or "", at[s], i, size(t)))
+    left, taken = sum(int(round(t, 6)) for t in target.values()), [0] * len(queue)
+    for *_, i, n in sorted(c for c in copies if c[-1]):
+        n = min(n, left)
+        taken[i] += n
+        left -= n
     return sorted(((d, size(t), total[s], round(target[s], 4), k) for (d, t, s), k in zip(queue, taken)), key=repr)
 
 
@@ -182,6 +186,9 @@ def test_mix_with_a_hot_source(spark):
     got = queue.collect()
     assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 4), r.taken) for r in got), key=repr) == brute_mix(rows, mixing.Mix())
     assert all(r.taken <= 2 * r.size for r in got)
+    for source in {r.source for r in got}:
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
     stream = mixing.mix_stream(queue).collect()
     assert [r.v_finish for r in stream] == sorted(r.v_finish for r in stream)
     assert sum(r.served for r in stream) == sum(r.taken for r in got)
@@ -197,3 +204,25 @@ def test_filter_holds_what_it_was_made_from(spark, monkeypatch):
         assert common.may_hold(made, inside.view(np.uint64)).all()
         assert (~common.may_hold(made, outside.view(np.uint64))).mean() > least
     assert not common.may_hold(common.bit_filter(df.limit(0), "h"), inside.view(np.uint64)).any()
+
+
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJ-", "eyJaaaaaaaaaa.", "ghp_", "ghp_a", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN ", "PRIVATE KEY", "token", "token ", "token: ", 'token"', "AKIA", "0123456789abcdef012345 ", "-", "password="])
+def test_rules_take_time_in_proportion_to_the_text(spark, piece):
+    df = spark.createDataFrame([(1, piece * (LONG // len(piece)))], "doc_id long, text string")
+    began = time.monotonic()
+    secrets.scan(df)[1].collect()
+    assert time.monotonic() - began < 20
+
+
+def test_jwt_needs_a_boundary_and_keeps_its_span(spark):
+    jwt = "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12
+    texts = [jwt, f"x {jwt}", f"x{jwt}", f"é{jwt}.{jwt}", f"-{jwt}", f"{jwt} {jwt}\n{jwt}"]
+    want = [re.finditer(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", t) for t in texts]
+    want = [[("jwt", m.start(), m.end()) for m in x] for x in want]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    paths, findings, _ = secrets.scan(df)
+    got = {r.id: [(s.kind, s.start, s.end) for s in r.spans if s.kind == "jwt"] for r in secrets.by_path(paths, findings).collect()}
+    assert [got[i] for i in range(len(texts))] == want

@@ -2,12 +2,11 @@
 
 Documents of a source are shuffled by a seeded hash and queue in that order, up
 to ``max_repeat`` passes. A copy's virtual finish time is its source's
-cumulative words, its own included, divided by the source's target. All queues
-are served at rates in proportion to their targets, so the total budget is spent
-at virtual time 1. Copies are range-sorted by finish time over all sources, their
-words summed up in that order, and what comes after the budget is cut off; a copy
-in service at time 1 counts as two, its words before and after. DataFrame
-functions only.
+cumulative words, its own included, divided by the source's target. Copies are
+range-sorted by finish time over all sources, their words summed up in that order,
+and what comes after the total budget is cut off; the copy at the cut is served in
+part. So each source gets its target but for what is in service at the cut, less
+than a document. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -81,16 +80,12 @@ def _queued(docs: DataFrame, mix: Mix, id: str, text: str, source: str) -> DataF
     return cut(queued.withColumn("row", F.monotonically_increasing_id()), "queued")
 
 
-def _parts(n: int):
-    """The words of the n-th copy of a row before and after virtual time 1."""
+def _copy(n: int):
+    """The n-th pass of a row: the words its source has queued before it, when it
+    starts and finishes, and its words."""
     at = F.col("start") + n * F.col("source_size")
-    end, horizon = at + F.col("size"), F.floor("target")
-    part = lambda a, b: F.struct(F.lit(n).alias("pass"), _time(a).alias("v_start"), _time(b).alias("v_finish"), (b - a).alias("words"))
-    return part(at, F.least(end, F.greatest(at, horizon))), part(F.greatest(at, F.least(end, horizon)), end)
-
-
-def _time(words):
-    return F.try_divide(words.cast("double"), F.col("target"))
+    time = lambda words: F.try_divide(words.cast("double"), F.col("target"))
+    return F.struct(F.lit(n).alias("pass"), at.alias("at"), time(at).alias("v_start"), time(at + F.col("size")).alias("v_finish"), F.col("size").alias("words"))
 
 
 def fair_queue(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -108,9 +103,9 @@ def fair_queue(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str
     Jobs run while the result is built: sizes, queues and the order are written.
     """
     rows = _queued(docs, mix, id, text, source)
-    parts = rows.select("row", F.inline(F.array(*(p for n in range(mix.max_repeat) for p in _parts(n))))).where("words > 0")
+    passes = rows.where("size > 0").select("row", "src", F.inline(F.array(*map(_copy, range(mix.max_repeat)))))
     budget = rows.groupBy("src").agg(F.first(F.floor("target")).alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
-    order = running(parts, ["v_finish", "row", "pass"], {"before": F.col("words")})
+    order = running(passes, ["v_finish", "src", "at"], {"before": F.col("words")})
     served = F.least(F.col("words"), F.lit(budget) - F.col("before"))
     mixed = order.withColumn("served", served).where("served > 0")
     copies = mixed.groupBy("row").agg(F.sum("served").alias("taken"), F.sort_array(F.collect_list(F.struct("pass", "v_start", "v_finish", "served"))).alias("copies"))

@@ -113,9 +113,10 @@ def _spans_sql(rule: secrets.Rule) -> str:
     matches, measured in turn."""
     p = rule.pattern.replace("'", "''")
     rank = secrets.RULES.index(rule)
+    lead = f"length(regexp_extract_all(t, '{p}', {rule.lead})[i])" if rule.lead else "0"
     return f"""SELECT row, start, {rank} AS rank, '{rule.kind}' AS kind, start + len AS stop FROM (SELECT row, len, part, sum(gap) OVER w + coalesce(sum(len) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-FROM (SELECT row, i, length(g[i]) AS gap, length(h[i]) AS len, length(q[i]) AS part FROM (SELECT row, g, h, q, unnest(range(1, len(h) + 1)) AS i FROM
-(SELECT row, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {rule.group}) AS q FROM d WHERE regexp_matches(t, '{p}')))) WINDOW w AS (PARTITION BY row ORDER BY i)) WHERE part >= {rule.least}"""
+FROM (SELECT row, i, length(g[i]) + {lead} AS gap, length(h[i]) - {lead} AS len, length(q[i]) AS part FROM (SELECT row, t, g, h, q, unnest(range(1, len(h) + 1)) AS i FROM
+(SELECT row, t, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {rule.group}) AS q FROM d WHERE regexp_matches(t, '{p}')))) WINDOW w AS (PARTITION BY row ORDER BY i)) WHERE part >= {rule.least}"""
 
 
 _ALL_SPANS = " UNION ALL ".join(map(_spans_sql, secrets.RULES))
@@ -146,8 +147,10 @@ s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY sourc
 c AS (SELECT *, {mixing.MAX_REPEAT} * source_size::double AS cap, {list(map(float, mixing.WEIGHTS))}[1 + (k - 1) % {len(mixing.WEIGHTS)}] AS weight FROM s),
 l AS (SELECT *, cap / weight AS ratio, ({mixing.SHARE} * (SELECT sum(source_size) FROM s)::double - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, round(CASE WHEN level >= ratio THEN cap ELSE least((SELECT max(level) FROM l WHERE level < ratio) * weight, cap) END, 6) AS target FROM l),
-q AS (SELECT d.doc_id, d.size, t.source_size::bigint AS source_size, t.target, floor(t.target)::bigint AS budget, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, greatest(0, least(size, budget - start)) + greatest(0, least(size, budget - source_size - start)) AS taken FROM q"""
+q AS (SELECT row_number() OVER () AS row, d.doc_id, d.source, d.size, t.source_size::bigint AS source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT row, source, size, start + n * source_size AS reached, (start + n * source_size + size)::double / target AS v FROM q, range({mixing.MAX_REPEAT}) r(n) WHERE size > 0),
+m AS (SELECT row, least(size, (SELECT sum(floor(target))::bigint FROM t) - coalesce(sum(size) OVER (ORDER BY v, source NULLS FIRST, reached ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS served FROM p)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::bigint AS taken FROM q LEFT JOIN (SELECT row, sum(greatest(0, served)) AS taken FROM m GROUP BY row) x ON x.row = q.row"""
 
 OP10_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, from_hex(sha1(coalesce(html, '')))::bit::varchar AS bits, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
 SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5 * i + 1]::int + 8 * bits[5 * i + 2]::int + 4 * bits[5 * i + 3]::int + 2 * bits[5 * i + 4]::int + bits[5 * i + 5]::int]), '') AS payload_digest,
