@@ -124,7 +124,7 @@ def test_watch_reads_new_files_once(spark, tmp_path):
     folder.mkdir()
     seen = []
 
-    def load(df, kind):
+    def load(df, kind, batch):
         seen.extend((kind, r.path.rsplit("/", 1)[1]) for r in df.collect())
 
     (folder / "menu_1.csv").write_text("x")

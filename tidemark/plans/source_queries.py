@@ -50,13 +50,17 @@ def intent_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_jsonl(spark, path, files.INTENT)
 
 
-@R.add("SELECT n_nationkey AS index, n_name AS text, 'judged' AS judged_label FROM nation")
+@R.add("SELECT p_partkey::int AS index, p_name AS text, CASE WHEN p_partkey % 3 = 0 THEN 'third' WHEN p_partkey % 2 = 0 THEN 'again' ELSE 'first' END AS judged_label FROM part")
 def reviews_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file that was appended to after a restart: the last record of a key counts."""
-    n, path = table(spark, sf_dir, "nation"), scratch(spark, "reviews.jsonl")
-    rows = lambda label: n.select(F.col("n_nationkey").alias("index"), F.col("n_name").alias("text"), F.lit(label).alias("judged_label"))
-    both = rows("first").withColumn("k", F.lit(0)).unionByName(rows("judged").withColumn("k", F.lit(1)))
-    files.write_jsonl(both.coalesce(1).sortWithinPartitions("k").drop("k"), path)
+    """A folder that was appended to after restarts, by many tasks each time: the
+    last record of a key counts. One append has two records of each key, one is
+    run twice."""
+    p, path = table(spark, sf_dir, "part"), scratch(spark, "reviews.jsonl")
+    rows = lambda label, where: p.where(where).select(F.col("p_partkey").cast("int").alias("index"), F.col("p_name").alias("text"), F.lit(label).alias("judged_label"))
+    files.write_jsonl(rows("early", "true").unionByName(rows("first", "true")).repartition(4, "index").sortWithinPartitions("index", "judged_label"), path)
+    files.write_jsonl(rows("again", "p_partkey % 2 = 0"), path, append=True, batch="second")
+    files.write_jsonl(rows("third", "p_partkey % 3 = 0"), path, append=True, batch="third")
+    files.write_jsonl(rows("again", "p_partkey % 2 = 0"), path, append=True, batch="second")
     return files.read_latest(spark, path, files.REVIEW, "index").select("index", "text", "judged_label")
 
 
@@ -70,19 +74,19 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("region long, name string, nations array<string>").json(path)
 
 
-_FILES = "SELECT n_nationkey::int AS id, '## ' || n_name || chr(10) || coalesce(n_regionkey::varchar, '') || chr(10) AS text FROM nation"
+_FILES = "SELECT doc_id AS id, '## ' || coalesce(source, '') || chr(10) || coalesce(text, '') || chr(10) AS text FROM documents"
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with one text file a nation."""
+    """A folder with one text file a document."""
     path = scratch(spark, "texts")
-    body = F.concat(F.lit("## "), "n_name", F.lit("\n"), F.coalesce(F.col("n_regionkey").cast("string"), F.lit("")))
-    table(spark, sf_dir, "nation").select("n_nationkey", body.alias("value")).write.partitionBy("n_nationkey").text(path)
+    body = F.concat(F.lit("## "), F.coalesce("source", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    table(spark, sf_dir, "documents").select("doc_id", body.alias("value")).write.partitionBy("doc_id").text(path)
     return path
 
 
 def _id(path: str) -> F.Column:
-    return F.regexp_extract(path, r"n_nationkey=(\d+)", 1).cast("int").alias("id")
+    return F.regexp_extract(path, r"doc_id=(\d+)", 1).cast("long").alias("id")
 
 
 @R.add(_FILES)
@@ -93,12 +97,13 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(_FILES)
 def watched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files through a stream that watches their folder, started twice:
-    a file is loaded once."""
+    a file is loaded once, and so is a batch that is run again."""
     folder, out, progress = f"{_texts(spark, sf_dir)}/*", scratch(spark, "loaded"), scratch(spark, "progress")
 
-    def load(found: DataFrame, kind: str) -> None:
-        files.document_texts(found).write.mode("append").parquet(f"{out}/{kind}")
+    def load(found: DataFrame, kind: str, batch: str) -> None:
+        for _ in range(2):
+            files.append_parquet(files.document_texts(found), f"{out}/{kind}", batch)
 
     for _ in range(2):
         watch.watch(spark, folder, progress, load).awaitTermination()
-    return spark.read.parquet(f"{out}/document").select(_id("path"), "text")
+    return files.read_appended(spark, f"{out}/document").select(_id("path"), "text")

@@ -6,9 +6,11 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.commits import PLACE, Folder
+
 MENU = "name string, price_vnd int, category string, size string, ingredients string, description string"
 FAQ = "question string, answer string, category string"
 ROUTER = "text string, label int, intent string, is_noise boolean, language string, is_hard boolean"
@@ -23,18 +25,31 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = True) -> DataFrame:
     """One JSON object a line; blank lines are skipped, bad ones skipped or, if
-    not ``tolerant``, fatal."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED" if tolerant else "FAILFAST")
+    not ``tolerant``, fatal. Of a folder with a log, what it names is read and
+    plain files."""
+    folder = None if set(path) & set("*?[{") else Folder(spark, path)
+    paths = [p for _, ps in folder.sources() for p in ps] if folder and folder.commits() else path
+    return spark.read.schema(schema).json(paths, mode="DROPMALFORMED" if tolerant else "FAILFAST")
 
 
 def read_latest(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """A JSON-lines file that was appended to: the last record of each key. Lines
-    carry their place through the reader's row index where the format has one;
-    JSON has none, so the file's text is numbered in order."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"))
-    rows = lines.where(F.trim("value") != "").select("file", "line_no", F.from_json("value", schema).alias("r")).where(f"r.{key} is not null")
-    w = Window.partitionBy(f"r.{key}").orderBy(F.desc("file"), F.desc("line_no"))
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("r.*")
+    """A JSON-lines file or folder that was appended to: the last record of each
+    key. Appends of ``write_jsonl`` come in the order of their commits, rows of
+    one append in the order in which they were given. What was written by others
+    comes before them, in order of the files' modification times, then names; rows
+    of a file in the order of its lines. Bad lines and null keys are skipped. Only
+    the last record of a key and task is shuffled, so a key may have any number."""
+    folder = Folder(spark, path)
+    paths = [p for _, ps in folder.sources() for p in ps]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    meta = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_path", "file_modification_time", "file_block_start")]
+    lines = spark.read.text(paths).select("value", *meta, F.monotonically_increasing_id().alias("_line"))
+    rows = folder.numbered(lines, "_file_path").withColumn("r", F.from_json("value", f"{schema}, {PLACE} long"))
+    own = F.col("_seq") > 0
+    plain = [F.when(~own, F.col(c)).alias(c) for c in ("_file_modification_time", "_file_path", "_file_block_start", "_line")]
+    last = F.max_by("r", F.struct("_seq", *plain, F.col(f"r.{PLACE}")))
+    return rows.where(F.col(f"r.{key}").isNotNull()).groupBy(F.col(f"r.{key}").alias("_key")).agg(last.alias("r")).select("r.*").drop(PLACE)
 
 
 def _pdf(raw: bytes) -> str:
@@ -76,8 +91,24 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return document_texts(spark.read.format("binaryFile").load(path))
 
 
-def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
-    rows.write.mode("append" if append else "overwrite").json(path)
+def write_jsonl(rows: DataFrame, path: str, append: bool = False, batch: str | None = None) -> int | None:
+    """One JSON object a row, as a commit of the folder's log; without ``append``
+    the folder is emptied first. The commit's number, or None where ``batch`` is
+    in the log already."""
+    folder = Folder(rows.sparkSession, path)
+    if not append:
+        folder.clear()
+    return folder.append(rows, lambda df, at: df.write.json(at), batch)
+
+
+def append_parquet(rows: DataFrame, path: str, batch: str | None = None) -> int | None:
+    """As ``write_jsonl`` with ``append``, in Parquet."""
+    return Folder(rows.sparkSession, path).append(rows, lambda df, at: df.write.parquet(at), batch)
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that ``append_parquet`` has committed."""
+    return spark.read.parquet(*(p for _, ps in Folder(spark, path).sources() for p in ps)).drop(PLACE)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

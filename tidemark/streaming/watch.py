@@ -21,18 +21,20 @@ def route(path: Column) -> Column:
     )
 
 
-def watch(spark: SparkSession, folder: str, checkpoint: str, load: Callable[[DataFrame, str], None], once: bool = True) -> StreamingQuery:
-    """Start a stream over ``folder``: each micro-batch calls ``load(files,
-    kind)`` for each kind it holds, files being (path, content). Progress is in
-    ``checkpoint``, so a restart goes on after the last batch."""
+def watch(spark: SparkSession, folder: str, checkpoint: str, load: Callable[[DataFrame, str, str], object], once: bool = True) -> StreamingQuery:
+    """Start a stream over ``folder``: each micro-batch calls ``load(files, kind,
+    batch)`` for each kind it holds, files being (path, content). Progress is in
+    ``checkpoint``, so a restart goes on after the last batch; one that was loaded
+    but not yet marked as done is run again under the same name ``batch``, by
+    which a sink with a log (``sources.commits``) knows it."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, n: int) -> None:
         routed = df.select("path", "content", route(F.col("path")).alias("kind")).where("kind <> 'skip'")
         for kind in ("menu", "faq", "document"):
             part = routed.where(F.col("kind") == kind)
             if not part.isEmpty():
-                load(part.select("path", "content"), kind)
+                load(part.select("path", "content"), kind, f"{checkpoint}/{n}/{kind}")
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
