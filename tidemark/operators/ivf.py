@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.vector import TOP_K
+from tidemark.operators.vector import TOP_K, top_k
 
 #: Rows on which centroids are fitted: those of the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -29,8 +29,9 @@ MOST_LISTS = 4096
 #: Rows of a part of a list, and queries that meet it at once.
 PART_ROWS = 8_192
 TILE_QUERIES = 1_024
-#: Lists that a query probes, as a share of all of them. High-dimensional vectors without structure need many.
-PROBE_SHARE = 0.35
+#: Rows that are asked for once at the building, and the recall among their neighbours that sets the number of probes.
+CALIBRATION = 256
+RECALL = 0.94
 SEED = 42
 #: Angles are rounded; a bound is widened by this much.
 _SLACK = 1e-6
@@ -38,8 +39,7 @@ _SLACK = 1e-6
 
 @dataclass(frozen=True)
 class Index:
-    """Where an index lies, and its centroids: (list, centre as a unit vector,
-    the widest angle of its rows). Bounded by MOST_LISTS."""
+    """Where an index lies: its rows, and a table of at most MOST_LISTS centroids."""
 
     spark: SparkSession
     path: str
@@ -48,6 +48,10 @@ class Index:
         """(node_id, vec, *by, part, list)"""
         return self.spark.read.parquet(f"{self.path}/rows")
 
+    def probes(self) -> int:
+        """The lists that a search probes unless told otherwise."""
+        return self.spark.read.parquet(f"{self.path}/probes").first()[0]
+
     def centres(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lists, unit centres, widest angles, and numbers of parts."""
         found = sorted(self.spark.read.parquet(f"{self.path}/centres").collect(), key=lambda r: r["list"])
@@ -77,7 +81,7 @@ def _assigned(centres: np.ndarray):
     return run
 
 
-def build(corpus: DataFrame, path: str, lists: int | None = None, by: tuple[str, ...] = (), sample: int = SAMPLE, seed: int = SEED, part_rows: int = PART_ROWS) -> Index:
+def build(corpus: DataFrame, path: str, lists: int | None = None, by: tuple[str, ...] = (), sample: int = SAMPLE, seed: int = SEED, part_rows: int = PART_ROWS, target: float = RECALL) -> Index:
     """Write the index of ``corpus`` (node_id, vec, *by) to ``path``. ``lists``:
     their number, else the root of the rows' number, MOST_LISTS at most.
 
@@ -86,6 +90,8 @@ def build(corpus: DataFrame, path: str, lists: int | None = None, by: tuple[str,
     dealt to parts by a hash of their id, so that a list may hold any share of all
     rows; repeated rows are rows of their own. ValueError where no vector is left
     to fit centroids on. The sample is the only thing that one fit has to hold.
+    How many lists a search probes is measured: the exact neighbours of 256 rows
+    (one scan) must lie in the nearest lists at the rate ``target``.
     """
     spark = corpus.sparkSession
     kept = corpus.where("vec is not null").select("node_id", F.col("vec").cast("array<double>").alias("vec"), *by)
@@ -112,7 +118,22 @@ def build(corpus: DataFrame, path: str, lists: int | None = None, by: tuple[str,
     part = F.pmod(F.xxhash64("node_id"), F.greatest(F.lit(1), F.element_at(dealt, F.col("list") + 1))).cast("int")
     rows = placed.drop("angle").withColumn("part", part)
     rows.repartition("list", "part").sortWithinPartitions("list", "part").write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows")
-    return Index(spark, path)
+    index = Index(spark, path)
+    spark.createDataFrame([(_enough(index, kept, target),)], "probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/probes")
+    return index
+
+
+def _enough(index: Index, kept: DataFrame, target: float) -> int:
+    """The least number of probes at which the neighbours of a bounded sample of
+    rows are found at the rate ``target``."""
+    asked = kept.select(F.col("node_id").alias("query_id"), F.col("vec").alias("query_vec")).orderBy(F.xxhash64("query_id", F.lit(1)), "query_id").limit(CALIBRATION)
+    truth = top_k(asked, kept).select("query_id", "node_id")
+    near = truth.join(index.rows().select("node_id", "list"), "node_id").join(asked, "query_id").select("query_vec", "list").collect()
+    lists, centres, _, _ = index.centres()
+    alike = _unit(np.array([r["query_vec"] for r in near], np.float64)) @ centres.T
+    own = alike[np.arange(len(near)), np.searchsorted(lists, [r["list"] for r in near])]
+    needed = np.sort((alike > own[:, None]).sum(1) + 1)
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)])
 
 
 def _probing(lists: np.ndarray, centres: np.ndarray, angles: np.ndarray, parts: np.ndarray, probes: int, after: bool):
@@ -188,7 +209,7 @@ def search(queries: DataFrame, index: Index, k: int = TOP_K, by: tuple[str, ...]
     if exact and by:
         raise ValueError("an exact search has no groups")
     lists, centres, angles, parts = index.centres()
-    probes = probes or max(1, int(np.ceil(PROBE_SHARE * len(lists))))
+    probes = probes or index.probes()
     asked = queries.where("query_vec is not null").select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
     kind = asked.schema["query_id"].dataType.simpleString()
     probed = f"query_id {kind}, query_vec array<double>, list int, part int"

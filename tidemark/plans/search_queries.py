@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import similarity
-from tidemark.operators import graph, matching, metrics, vector
+from tidemark.operators import graph, ivf, matching, metrics, vector
+from tidemark.plans.lineage import scratch
 from tidemark.plans.registry import Registry, table
 
 R = Registry()
@@ -33,6 +34,29 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_k(_queries(e), _nodes(e))
 
 
+_DENSE_SQL = f"SELECT query_id, node_id, score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS k FROM (SELECT q.query_id, e.vec_id AS node_id, {_COS} AS score FROM embeddings e, {_QV})) WHERE k <= 8"
+
+
+@R.add(_DENSE_SQL)
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dense_topk through an inverted-file index: the lists that a query probes,
+    then those that may still hold a better row."""
+    e = table(spark, sf_dir, "embeddings")
+    found = ivf.search(_queries(e), ivf.build(_nodes(e), scratch(spark, "ivf")), exact=True)
+    return found.select("query_id", "node_id", "score", "rank")
+
+
+@R.add(f"SELECT count(*) AS pairs, true AS passed FROM ({_DENSE_SQL})")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index alone, by the probes measured at its building, finds nine
+    in ten of the exact neighbours."""
+    e = table(spark, sf_dir, "embeddings")
+    found = ivf.search(_queries(e), ivf.build(_nodes(e), scratch(spark, "ivf"))).select("query_id", "node_id", F.lit(1).alias("hit"))
+    truth = vector.top_k(_queries(e), _nodes(e)).select("query_id", "node_id")
+    both = truth.join(found, ["query_id", "node_id"], "left")
+    return both.agg(F.count("*").alias("pairs"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("passed"))
+
+
 @R.add(DUAL_SQL)
 def dual_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
