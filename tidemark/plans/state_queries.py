@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import metrics, sessions, state
+from tidemark.plans.lineage import scratch
 from tidemark.plans.registry import Registry, table
 from tidemark.sources import sse
+from tidemark.streaming import processors
 
 R = Registry()
 
@@ -275,3 +277,45 @@ def soak_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("value is not null")
     at = F.struct("ts", "value")
     return e.groupBy("user_id").agg(F.round(F.max_by("value", at) - F.min_by("value", at), 6).alias("growth"), F.max("value").alias("peak"))
+
+
+#: Days of events that a micro-batch has, and how late its rows may come.
+_BATCH_DAYS = 8
+_LATE = "12 hours"
+
+
+def _as_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The events as files that a stream takes one after another, and a new folder:
+    a seventh of the rows comes up to 10 hours late, so that some are in the file
+    after the one of their day; the last file only moves the watermark on."""
+    e, folder = table(spark, sf_dir, "events"), scratch(spark, "events")
+    t = F.col("ts").cast("timestamp")
+    rows = e.select("user_id", "event_id", t.alias("ts"), t.cast("double").alias("t"), (F.col("event_type") == "error").alias("failed"))
+    came = F.col("t") + F.when(F.col("event_id") % 7 == 0, 36_000).otherwise(0)
+    start, end = rows.agg(F.min("t"), F.max("t")).first()
+    width = _BATCH_DAYS * 86_400
+    for k in range(int((end - start + 36_000) // width) + 1):
+        mine = (came >= start + k * width) & (came < start + (k + 1) * width)
+        rows.where(mine).write.mode("append").parquet(f"{folder}/in")
+    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(end + 10 * width)).alias("ts"), F.lit(end + 10 * width).alias("t"), F.lit(False).alias("failed")).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+def _streamed(spark: SparkSession, sf_dir: str, processor, args: list[str], out: str, **settings) -> DataFrame:
+    source, folder = _as_stream(spark, sf_dir)
+    made = processors.run_in_order(source, processor, "user_id", ["ts", "event_id"], args, f"ts timestamp, event_id long, {out}", _LATE, **settings)
+    with processors.with_store(spark):
+        made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").where("user_id is not null").select("user_id", "event_id", *(x.split()[0] for x in out.split(", ")))
+
+
+@R.add(R.sql["circuit_breaker"])
+def breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As circuit_breaker on a stream whose rows come out of order."""
+    return _streamed(spark, sf_dir, processors.BreakerStream, ["t", "failed"], "state string, outcome string", threshold=2, seconds=172_800.0)
+
+
+@R.add(R.sql["rate_limiter"])
+def limiter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As rate_limiter on a stream whose rows come out of order."""
+    return _streamed(spark, sf_dir, processors.LimiterStream, ["t"], "allowed boolean, remaining long", most=3, window=86_400.0)

@@ -95,9 +95,9 @@ class InOrder(StatefulProcessor):
         for frame in rows:
             for order, args in zip(frame[self.order].itertuples(index=False, name=None), frame[self.args].itertuples(index=False, name=None), strict=True):
                 at = self._ms(order[0])
-                if at > passed:
+                if at > passed or not passed:  # 0: no watermark yet
                     self.waiting.updateValue(order, tuple(None if a is None or a is pd.NaT or a != a else a for a in args))
-                    first = at if first is None else min(first, at)
+                    first = max(1, at if first is None else min(first, at))
         if first is not None:
             held = self.timers.get()
             due = held[0] if held else None
