@@ -1,4 +1,4 @@
-"""Vectors as arrays and maps: dot products, cosines, bags of words."""
+"""Vectors as arrays and maps: dot products and cosines."""
 
 from __future__ import annotations
 
@@ -16,15 +16,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def bag(text: Column) -> Column:
-    """Map of word to count over the norm of all counts; empty for no words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    kinds = F.array_distinct(found)
-    counts = F.transform(kinds, lambda w: F.size(F.filter(found, lambda x: x == w)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.map_from_arrays(kinds, F.transform(counts, lambda x: x / norm))
-
-
 def sparse_cosine(a: Column, b: Column) -> Column:
     """Of two unit maps: the sum over their common keys."""
     keys = F.array_intersect(F.map_keys(a), F.map_keys(b))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,16 +121,84 @@ def adjacent(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return after.unionByName(before)
 
 
-def sharing(seeds: DataFrame, links: DataFrame, per_seed: int = 3) -> DataFrame:
+#: Chunks that mention an entity beyond which it is not joined but counted where chunks lie; chunks and queries that
+#: meet at once.
+HEAVY = 512
+PART_CHUNKS = 4_096
+TILE_QUERIES = 256
+
+
+def _best_sharing():
+    """Of a part of the chunks the best of each query: how many of a query's
+    entities each chunk has, by one count matrix, queries by chunks."""
+
+    def run(asked: pa.Table, links: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if asked.num_rows and links.num_rows:
+            queries, chunks = (t[c].combine_chunks().dictionary_encode() for t, c in ((asked, "query_id"), (links, "node_id")))
+            entities = pa.concat_tables([asked.select(["entity"]), links.select(["entity"])])["entity"].combine_chunks().dictionary_encode().indices.to_numpy()
+            mine, theirs = entities[: asked.num_rows], entities[asked.num_rows :]
+            shared = np.zeros((len(queries.dictionary), len(chunks.dictionary)), np.int32)
+            order, at = np.argsort(theirs, kind="stable"), chunks.indices.to_numpy()
+            lo, hi = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
+            for q, a, b in zip(queries.indices.to_pylist(), lo.tolist(), hi.tolist(), strict=True):
+                shared[q, at[order[a:b]]] += 1
+            # an entity that only one seed has is not shared with that seed
+            place = {c: i for i, c in enumerate(chunks.dictionary.to_pylist())}
+            has = set(zip(at.tolist(), theirs.tolist(), strict=True))
+            for q, e, only in zip(queries.indices.to_pylist(), mine.tolist(), asked["only_seed"].to_pylist(), strict=True):
+                if only is not None and (place.get(only), e) in has:
+                    shared[q, place[only]] -= 1
+            ids = chunks.dictionary.to_numpy(zero_copy_only=False)
+            rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            most = dict(zip(queries.indices.to_pylist(), asked["most"].to_pylist(), strict=True))
+            for q in range(len(shared)):
+                some = np.flatnonzero(shared[q])
+                some = some[np.lexsort((rank[some], -shared[q, some]))[: most[q]]]
+                out[0].extend([queries.dictionary[q].as_py()] * len(some))
+                out[1].extend(ids[some].tolist())
+                out[2].extend(shared[q, some].tolist())
+        kinds = (asked.schema.field("query_id").type, links.schema.field("node_id").type, pa.int64())
+        return pa.table([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "node_id", "shared"])
+
+    return run
+
+
+def sharing(seeds: DataFrame, links: DataFrame, per_seed: int = 3, heavy: int = HEAVY) -> DataFrame:
     """(query_id, node_id, shared, n): chunks that mention what a query's seeds
-    mention, by the number of such entities, ``per_seed`` for each seed."""
+    mention, by the number of such entities, ``per_seed`` for each seed.
+
+    Chunks that mention none of the asked entities of over ``heavy`` chunks are
+    found by a join on the entity. The others, a hub's chunks, stay in parts of
+    bounded size that meet tiles of queries, and a part sends on only as many
+    chunks of a query as its limit, so a hub gives no pairs of all its chunks.
+    """
     s = seeds.select("query_id", F.col("node_id").alias("seed"))
-    mine = s.join(links, s["seed"] == links["chunk_id"]).select("query_id", "seed", "entity")
-    other = links.select(F.col("chunk_id").alias("node_id"), "entity")
-    met = mine.join(other, "entity").where("seed <> node_id").groupBy("query_id", "node_id").agg(F.countDistinct("entity").alias("shared"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("shared"), "node_id")
     limits = s.groupBy("query_id").agg((F.count("*") * per_seed).alias("most"))
-    return met.withColumn("n", F.row_number().over(w)).join(limits, "query_id").where("n <= most").select("query_id", "node_id", "shared", "n")
+    other = links.select(F.col("chunk_id").alias("node_id"), "entity").where("entity is not null").distinct()
+    mine = s.join(other.withColumnRenamed("node_id", "seed"), "seed").groupBy("query_id", "entity")
+    mine = mine.agg(F.count_distinct("seed").alias("seeds"), F.min("seed").alias("seed"))
+    mine = mine.select("query_id", "entity", F.when(F.col("seeds") == 1, F.col("seed")).alias("only_seed"))
+
+    hubs = other.groupBy("entity").agg(F.count("*").alias("chunks")).where(F.col("chunks") > heavy).select("entity")
+    asked_hubs = hubs.join(mine.select("entity").distinct(), "entity", "left_semi")
+    crowd = other.join(asked_hubs, "entity", "left_semi").select("node_id").distinct()
+    rare = other.join(crowd, "node_id", "left_anti").join(hubs, "entity", "left_anti")
+    met = mine.join(rare, "entity").where("only_seed is null or only_seed <> node_id").groupBy("query_id", "node_id").agg(F.count("*").alias("shared"))
+
+    parts = max(1, -(-crowd.count() // PART_CHUNKS))
+    tiles = max(1, -(-limits.count() // TILE_QUERIES))
+    dealt = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = mine.join(limits, "query_id").select("query_id", "entity", "only_seed", "most", dealt("query_id", tiles, "tile"), every(parts, "part"))
+    held = other.join(crowd, "node_id", "left_semi").select("node_id", "entity", dealt("node_id", parts, "part"), every(tiles, "tile"))
+    kinds = [f"query_id {seeds.schema['query_id'].dataType.simpleString()}", f"node_id {links.schema['chunk_id'].dataType.simpleString()}"]
+    asked, held = (df.toDF(*df.columns) for df in (asked, held))  # both come from the links: columns of their own
+    best = asked.groupBy("part", "tile").cogroup(held.groupBy("part", "tile")).applyInArrow(_best_sharing(), f"{', '.join(kinds)}, shared long")
+
+    w = Window.partitionBy("query_id").orderBy(F.desc("shared"), "node_id")
+    found = met.unionByName(best).withColumn("n", F.row_number().over(w))
+    return found.join(limits, "query_id").where("n <= most").select("query_id", "node_id", "shared", "n")
 
 
 def expansion(seeds: DataFrame, edges: DataFrame, links: DataFrame, per_seed: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import similarity
-from tidemark.operators import graph, ivf, matching, metrics, vector
+from tidemark.operators import graph, ivf, matching, metrics, sparse, vector
 from tidemark.plans.lineage import scratch
 from tidemark.plans.registry import Registry, table
 
@@ -233,12 +233,26 @@ SELECT v.item_id AS query_id, u.item_id AS node_id, round(sum(v.x * u.x), 6) AS
 )
 def bag_of_words_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth item against all that share a word with it."""
-    each = table(spark, sf_dir, "benchmark").select("item_id", F.explode(similarity.bag(F.col("text"))).alias("word", "x"))
+    each = sparse.bags(table(spark, sf_dir, "benchmark"), "item_id", "text")
     asked = each.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "word", F.col("x").alias("y"))
     found = each.join(asked, "word").groupBy("query_id", F.col("item_id").alias("node_id"))
     return found.agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
 
 
+_BAG_SQL = r"SELECT {id} AS id, w, n / sqrt(sum(n * n) OVER (PARTITION BY {id})) AS x FROM (SELECT {id}, w, count(*)::double AS n FROM (SELECT {id}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM {table}) GROUP BY ALL)"
+
+
+@R.add(
+    f"""WITH q AS ({_BAG_SQL.format(id="item_id", table="benchmark")}), d AS ({_BAG_SQL.format(id="doc_id", table="documents")}), s AS (SELECT q.id AS query_id, d.id AS node_id, round(sum(q.x * d.x), 6) AS score FROM q JOIN d ON q.w = d.w GROUP BY 1, 2)
+SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::int AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""
+)
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents nearest to each item by their words."""
+    asked = sparse.bags(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
+    held = sparse.bags(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "node_id")
+    return sparse.top_k(asked, held, 5)
+
+
 @R.add("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40))")
 def answer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit predicate: the first 40 characters of an item inside a document."""
