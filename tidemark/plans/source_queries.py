@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.lineage import scratch
 from tidemark.plans.registry import Registry, table
-from tidemark.sources import files
+from tidemark.sources import files, keyed
 from tidemark.streaming import watch
 
 R = Registry()
@@ -107,3 +107,27 @@ def watched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         watch.watch(spark, folder, progress, load).awaitTermination()
     return files.read_appended(spark, f"{out}/document").select(_id("path"), "text")
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> tuple[keyed.KeyedTable, keyed.KeyedTable]:
+    """Three loads of items, the second the first one run again, the last with
+    other prices and groups for a third of the items."""
+    path = scratch(spark, "graph")
+    nodes, edges = keyed.KeyedTable(spark, f"{path}/nodes", ["item"]), keyed.KeyedTable(spark, f"{path}/edges", ["src", "dst"])
+    p = table(spark, sf_dir, "part")
+    first = p.select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_type").alias("category"))
+    moved = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item"), (F.col("p_retailprice") * 2).alias("price"), F.lit("moved").alias("category"))
+    for rows, batch in ((first, "1"), (first, "1"), (moved, "2")):
+        keyed.merge_graph(nodes, edges, rows, "item", "category", batch)
+    return nodes, edges
+
+
+@R.add("SELECT p_partkey AS item, p_name AS name, p_retailprice * CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS price FROM part")
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir)[0].read().select("item", "name", "price")
+
+
+@R.add("SELECT p_partkey AS src, p_type AS dst FROM part UNION SELECT p_partkey, 'moved' FROM part WHERE p_partkey % 3 = 0")
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to earlier groups stay."""
+    return _loaded(spark, sf_dir)[1].read().select("src", "dst")
