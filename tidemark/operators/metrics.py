@@ -120,3 +120,14 @@ def soak(rows: DataFrame, by: list[str], outcome: str, level: str, order: Column
 def baseline(scores: DataFrame, label: str, score: str) -> DataFrame:
     """(label, baseline): a label's mean score over all calibration rows."""
     return scores.groupBy(label).agg(F.avg(score).alias("baseline"))
+
+
+def field_accuracies(rows: DataFrame, fields: dict[str, tuple[Column, Column]], latency: Column | None = None) -> DataFrame:
+    """One row: n, for each field the share of rows in which what was extracted
+    equals the truth (null equals null), ``all_fields`` for all of them together,
+    and the mean latency. Shares are 0 where there are no rows."""
+    same = {name: truth.eqNullSafe(found).cast("int") for name, (truth, found) in fields.items()}
+    share = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    every = F.least(*same.values()) if len(same) > 1 else next(iter(same.values()))
+    out = [F.count("*").alias("n"), *(share(c).alias(name) for name, c in same.items()), share(every).alias("all_fields")]
+    return rows.agg(*out, *([F.avg(latency).alias("avg_latency")] if latency is not None else []))

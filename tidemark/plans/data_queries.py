@@ -288,3 +288,19 @@ def recall_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg(((F.col("value") > 90) & (F.col("user_id") % 2 == 0)).cast("int")), 9).alias("b"), F.round(F.avg((F.col("value") > 80).cast("int")), 9).alias("e")
     )
     return by.select("b", "e", F.round(metrics.lift(F.col("b"), F.col("e")), 9).alias("lift"))
+
+
+@R.add(
+    """SELECT count(*) AS n, round(avg((lang = 'en')::int), 9) AS language, round(avg((n_chars IS NOT DISTINCT FROM length(text))::int), 9) AS length, round(avg((source IS NOT DISTINCT FROM 'src' || doc_id % 3)::int), 9) AS origin,
+round(avg((lang = 'en' AND n_chars IS NOT DISTINCT FROM length(text) AND source IS NOT DISTINCT FROM 'src' || doc_id % 3)::int), 9) AS all_fields, round(avg(n_chars), 6) AS avg_latency FROM documents"""
+)
+def field_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fields guessed for each document against those that it has."""
+    d = table(spark, sf_dir, "documents")
+    fields = {
+        "language": (F.col("lang"), F.lit("en")),
+        "length": (F.col("n_chars"), F.length("text")),
+        "origin": (F.col("source"), F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string"))),
+    }
+    out = metrics.field_accuracies(d, fields, F.col("n_chars"))
+    return out.withColumns({c: F.round(c, 6 if c == "avg_latency" else 9) for c in out.columns if c != "n"})
