@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -325,3 +326,25 @@ def test_factors_of_one_letter_and_of_random_bytes():
             last[data[i : i + 200]] = i
         assert (before == 200).tolist() == [first[data[i : i + 200]] < i for i in range(len(wins))]
         assert (after == 200).tolist() == [last[data[i : i + 200]] > i for i in range(len(wins))]
+
+
+def test_op2_query_against_brute_force(spark):
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    seen = {}
+    for _, raw in docs:
+        for i in range(len(raw) - 199):
+            h = hashlib.blake2b(raw[i : i + 200], digest_size=16).digest()
+            seen[h] = seen.get(h, 0) + 1
+    want = {}
+    for doc, raw in docs:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 199):
+            if seen[hashlib.blake2b(raw[i : i + 200], digest_size=16).digest()] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        spans = sum(bool(g) and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        want[doc] = (len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op2_repeats(spark, sf).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 0

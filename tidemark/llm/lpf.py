@@ -245,8 +245,7 @@ def _judge(least: int, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (h, dig, seg) sorted by h, equal segments together, at most
         MAX_BYTES of different ones an h: the runs of windows of each segment that
-        occur in another one too. A segment comes once from every task that saw
-        it, and counts once. The last anchor of a batch waits for the next batch."""
+        occur in another one too. A segment counts once. The last anchor of a batch waits for the next batch."""
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -394,14 +393,18 @@ def repeats(docs: DataFrame, keep: str = "first", id: str = "doc_id", text: str
     many = known.groupBy("h").agg(F.count("*").alias("n_segs"), F.sum("size").alias("n_bytes"))
     # one segment alone needs no comparison unless it has one place only, where it may repeat itself
     many = many.where("n_segs > 1").unionByName(known.join(many.where("n_segs = 1"), "h").where("n = 1").select("h", "n_segs", "n_bytes")).drop("n_segs")
-    bytes_ = segs.where("seg is not null").select("h", "dig", "seg").join(many, "h")
+    # every task that saw a segment has its bytes; those of one place go on
+    made = segs.where("seg is not null").select("h", "dig", "row", "row2", "first", "seg")
+    pick = made.groupBy("h", "dig").agg(F.min(F.struct("row", "row2", "first")).alias("pick")).join(many, "h").select("h", "dig", "pick.*", "n_bytes")
+    at = ["h", "dig", "row", "row2", "first"]
+    bytes_ = made.join(pick.hint("shuffle_hash"), at).dropDuplicates(at).select("h", "dig", "seg", "n_bytes")
     crowded = F.col("n_bytes") > MAX_BYTES
     # in the order of their first places, so that "first" is the least rank
     placed = lambda d: d.drop("n_bytes").join(known.select(F.col("dig").alias("kd"), "place"), F.col("dig") == F.col("kd")).select("h", "dig", "seg", "place")
     few = bytes_.where(~crowded).drop("n_bytes")
     few = (placed(bytes_.where(~crowded)) if keep == "first" else few.withColumn("place", F.lit(0))).repartition("h").sortWithinPartitions("h", "place", "dig")
     judged = few.select("h", "dig", "seg").mapInArrow(_judge(least, keep == "first"), _VERDICT)
-    crowd = bytes_.where(crowded).select("dig", "seg").distinct()
+    crowd = bytes_.where(crowded).select("dig", "seg")
     verdicts = cut(judged.unionByName(_by_window(crowd, known, least, keep)), "verdicts")
 
     places = segs.select("row", "row2", "id", "first", "last", "dig").join(known.select(F.col("dig").alias("kd"), "n", "place"), F.col("dig") == F.col("kd"))
