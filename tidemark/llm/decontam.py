@@ -259,6 +259,10 @@ def covered(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     covered to a share c holds c/5 of its seed places in the text at least, so
     its most frequent places, half that many, need not be joined, and pairs with
     too few of the others are left out: no pair is lost by either.
+
+    Null and empty texts cover nothing, null and empty items are covered by none;
+    a very long text is one row's work; copies and repeated rows are one text;
+    empty tables give none; other columns are ignored.
     """
     bench = benchmark.select(F.col(item_id).cast("long").alias("item"), body(item_text).alias("raw")).distinct()
     bench = bench.select(F.xxhash64("item", "raw").alias("ikey"), "item", "raw")

@@ -117,7 +117,7 @@ def fair_queue(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str
 def mix_stream(queue: DataFrame, id: str = "doc_id") -> DataFrame:
     """The mix itself: every served copy of ``queue`` (from fair_queue),
     range-sorted by virtual finish time, then id, then pass. Rows of size 0 are
-    not in it; null ids come first among equals; repeated rows are copies of
+    not in it; a very long text is one copy like others; null ids come first among equals; repeated rows are copies of
     their own; an empty queue gives none."""
     return (
         queue.select(*(c for c in queue.columns if c != "copies"), F.explode("copies").alias("c"))

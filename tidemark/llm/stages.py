@@ -22,8 +22,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share 0.8 or more of their
-    five-word shingles: that with the smallest id
-    (nulls last); of rows that share it, the one with the least hash."""
+    five-word shingles: that with the smallest id (nulls last); of rows that share
+    it, the one with the least hash. Null and empty texts are one group; a very
+    long text is one row's work; repeated rows leave one; an empty table gives none."""
     rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("h1"), F.xxhash64(F.lit(1), *COLUMNS).alias("h2"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
     found = simhash.near_copies(rows.select(place.alias("place"), "text"), id="place")
@@ -43,8 +44,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret found in their texts masked. Null and
-    empty texts stay as they are; copies and repeated rows are scanned once and
-    masked alike; an empty table gives none."""
+    empty texts stay as they are; a very long text takes time in proportion to its
+    length; copies and repeated rows are scanned once and masked alike; an empty
+    table gives none."""
     paths, findings, _ = secrets.scan(docs)
     rows = docs.select(*COLUMNS, secrets.blob_of("text").alias("blob")).join(findings.hint("shuffle_hash"), "blob", "left")
     spans = F.coalesce("spans", F.lit([]).cast(findings.schema["spans"].dataType))

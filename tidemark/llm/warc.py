@@ -243,8 +243,8 @@ def read_bundles(bundles: DataFrame, payload: bool = False) -> DataFrame:
 
 def lookup(bundles: DataFrame, record_ids: DataFrame) -> DataFrame:
     """The records named in ``record_ids`` (record_id), decompressing only the
-    frames that hold them. Null, unknown and repeated ids add nothing; an empty
-    list or no bundles give none."""
+    frames that hold them. Null, unknown and repeated ids add nothing; a very
+    long record ends its frame; an empty list or no bundles give none."""
     at = bundles.select("bundle_id", F.inline("index")).join(record_ids.select("record_id").distinct(), "record_id")
     wanted = at.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("frame", "offset", "length", "record_id"))).alias("w"))
     index = F.transform("w", lambda x: F.struct(x["record_id"].alias("record_id"), x["frame"].alias("frame"), x["offset"].alias("offset"), x["length"].alias("length")))
