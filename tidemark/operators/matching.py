@@ -1,6 +1,6 @@
 """A stated set of strings against all rows: which contain which, and which
-share most words. The set goes to the tasks in blocks, rows stay where they lie,
-and an Arrow batch sends on what it found, or only its best."""
+share most words. Rows meet the set in blocks of bounded size, and an Arrow batch
+sends on what it found, or only its best."""
 
 from __future__ import annotations
 
@@ -42,9 +42,8 @@ def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     together in one pass over each text."""
     kinds = f"pattern_id {patterns.schema['pattern_id'].dataType.simpleString()}, text_id {texts.schema['text_id'].dataType.simpleString()}"
 
-    def one(block: DataFrame) -> DataFrame:
-        rows = block.where("pattern is not null").select("pattern_id", "pattern").collect()  # a block is bounded
-        ids, strings = [r[0] for r in rows], [r[1] for r in rows]
+    def meet(block: pa.Table):
+        ids, strings = block["pattern_id"].to_pylist(), block["pattern"].to_pylist()
         everywhere = [i for i, s in enumerate(strings) if not s]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,9 +57,10 @@ def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hits, b_type), b.column(0).take(pa.array(at, pa.int64()))], names=["pattern_id", "text_id"])
 
         b_type = pa.string() if kinds.startswith("pattern_id string") else pa.int64()
-        return texts.where("text is not null").select("text_id", "text").mapInArrow(run, kinds)
+        return run
 
-    return by_block(patterns, "pattern_id", one, weight=F.coalesce(F.length("pattern"), F.lit(0)))
+    asked = patterns.where("pattern is not null").select("pattern_id", "pattern")
+    return by_block(asked, texts.where("text is not null").select("text_id", "text"), meet, kinds, weight=F.length("pattern"))
 
 
 def first_names(queries: DataFrame, names: DataFrame) -> DataFrame:
@@ -69,9 +69,8 @@ def first_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     queries: (query_id, low)."""
     kind = queries.schema["query_id"].dataType.simpleString()
 
-    def one(block: DataFrame) -> DataFrame:
-        rows = block.where("low is not null").select("query_id", "low").collect()
-        ids, asked = [r[0] for r in rows], [r[1] for r in rows]
+    def meet(block: pa.Table):
+        ids, asked = block["query_id"].to_pylist(), block["low"].to_pylist()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             queries_ = _automaton(asked)
@@ -90,9 +89,10 @@ def first_names(queries: DataFrame, names: DataFrame) -> DataFrame:
                         best[q] = min(found, best.get(q, found))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in best]), pa.array([given[n][0] for n in best.values()], pa.string())], names=["query_id", "name"])
 
-        return names.where("low is not null").select("name", "low").mapInArrow(run, f"query_id {kind}, name string")
+        return run
 
-    return by_block(queries, "query_id", one, weight=F.coalesce(F.length("low"), F.lit(0)))
+    asked = queries.where("low is not null").select("query_id", "low")
+    return by_block(asked, names.where("low is not null").select("name", "low"), meet, f"query_id {kind}, name string", weight=F.length("low"))
 
 
 def overlaps(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -103,14 +103,13 @@ def overlaps(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     lies in none. Words are distinct."""
     kind = queries.schema["query_id"].dataType.simpleString()
 
-    def one(block: DataFrame) -> DataFrame:
-        asked = block.select("query_id", F.coalesce("low", F.lit("")).alias("low"), F.coalesce("words", F.array().cast("array<string>")).alias("words")).collect()
-        ids, low = [r[0] for r in asked], [r[1] for r in asked]
-        vocabulary = sorted({w for r in asked for w in r[2]})
+    def meet(block: pa.Table):
+        ids, low, sets = (block[c].to_pylist() for c in ("query_id", "low", "words"))
+        vocabulary = sorted({w for s in sets for w in s})
         number = {w: i for i, w in enumerate(vocabulary)}
         has = np.zeros((len(vocabulary) + 1, len(ids)), np.int32)
-        for q, r in enumerate(asked):
-            has[[number[w] for w in r[2]], q] = 1
+        for q, s in enumerate(sets):
+            has[[number[w] for w in s], q] = 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = pa.array(vocabulary, pa.string())
@@ -150,6 +149,7 @@ def overlaps(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                     out[2] += score[at, q].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32())], names=["query_id", "id", "overlap"])
 
-        return rows.select("id", "name", "bonus", "words").mapInArrow(run, f"query_id {kind}, id string, overlap int")
+        return run
 
-    return by_block(queries, "query_id", one, weight=F.coalesce(F.length("low"), F.lit(0)))
+    asked = queries.select("query_id", F.coalesce("low", F.lit("")).alias("low"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    return by_block(asked, rows.select("id", "name", "bonus", "words"), meet, f"query_id {kind}, id string, overlap int", weight=F.length("low"))

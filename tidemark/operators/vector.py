@@ -26,22 +26,21 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: tuple[str,
     the smaller node_id.
 
     queries: (query_id, query_vec); corpus: (node_id, vec, *by). A zero vector
-    has cosine 0, a null one is left out, one of another length raises. The stated query set goes to the tasks
-    in blocks of bounded size; the corpus is scanned where it lies, an Arrow
-    batch at a time by one matrix product, and only a batch's best k rows a
-    query and group are shuffled.
+    has cosine 0, a null one is left out, one of another length raises. Corpus
+    rows meet blocks of queries of bounded size, an Arrow batch at a time by one
+    matrix product, and only a batch's best k rows a query and group are shuffled.
     """
+    kinds = ", ".join(f"{c} {t}" for c, t in corpus.select("node_id", *by).dtypes)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
 
-    def one(block: DataFrame) -> DataFrame:
-        asked = block.select("query_id", "query_vec").where("query_vec is not null").collect()
-        ids, unit = [r[0] for r in asked], _unit(np.array([r[1] for r in asked], np.float64))
-        kinds = ", ".join(f"{c} {t}" for c, t in corpus.select("node_id", *by).dtypes)
-        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
-        rows = corpus.where("vec is not null").select("node_id", *by, "vec").mapInArrow(_best_of_batch(ids, unit, k, len(by), digits), schema)
-        w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "node_id")
-        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def meet(block: pa.Table):
+        unit = _unit(np.array(block["query_vec"].to_pylist(), np.float64))
+        return _best_of_batch(block["query_id"].to_pylist(), unit, k, len(by), digits)
 
-    return by_block(queries, "query_id", one, weight=8 * F.coalesce(F.size("query_vec"), F.lit(0)))
+    asked = queries.select("query_id", "query_vec").where("query_vec is not null")
+    rows = by_block(asked, corpus.where("vec is not null").select("node_id", *by, "vec"), meet, schema, weight=8 * F.size("query_vec"))
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "node_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
