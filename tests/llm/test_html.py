@@ -1,11 +1,13 @@
 """Visible text by brute force, closed details, and pages made to be slow."""
 
 import random
+import re
 import time
 from collections import Counter
 
 import pytest
 
+from tidemark.llm import html_render
 from tidemark.llm.html_render import render
 
 FLOW = "div p span b i ul ol blockquote section h2 pre a details table".split()
@@ -85,7 +87,76 @@ def test_wide_tables_are_not_padded():
     assert render(tall).split("\n")[298:] == ["   y", "   y", "z"]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_cells_wrap_to_their_columns(seed):
+    """Words name their row and column: each lies within its column, rows follow one another, and a cell reads in order."""
+    rng = random.Random(seed)
+    columns, rows = rng.randrange(2, 7), rng.randrange(1, 6)
+    cells = [[[f"r{r}c{c}w{k}" for k in range(rng.choice([0, 1, 3, 60, 200]))] for c in range(columns)] for r in range(rows)]
+    cells[0] = [[f"r0c{c}w{k}" for k in range(70)] for c in range(columns)]  # wider than a line, no column empty
+    lines = render("<table>" + "".join("<tr>" + "".join(f"<td>{' '.join(w)}" for w in row) for row in cells) + "</table>").split("\n")
+    assert max(map(len, lines)) <= html_render.WIDTH
+    found = [(n, m.start(), m.end(), *map(int, re.findall(r"\d+", m[0]))) for n, line in enumerate(lines) for m in re.finditer(r"\S+", line)]
+    assert sorted(x[3:] for x in found) == sorted((r, c, k) for r, row in enumerate(cells) for c, w in enumerate(row) for k in range(len(w)))
+    left = [min(a for _, a, _, _, c, _ in found if c == col) for col in range(columns)] + [html_render.WIDTH + 2]
+    assert all(left[c] <= a and b + 2 <= left[c + 1] for _, a, b, _, c, _ in found)
+    firsts = {(n, c): a for n, a, _, _, c, _ in reversed(found)}  # the first word of each line of a cell
+    assert all(a == left[c] for (_, c), a in firsts.items())
+    for r, row in enumerate(cells):
+        for c, w in enumerate(row):
+            assert [k for _, _, _, rr, cc, k in found if (rr, cc) == (r, c)] == list(range(len(w)))
+        assert max((n for n, _, _, rr, *_ in found if rr == r), default=-1) < min((n for n, _, _, rr, *_ in found if rr > r), default=10**9)
+
+
+def test_one_cell_of_prose_leaves_the_table_aligned():
+    prose = " ".join(f"word{k}" for k in range(60))
+    lines = render(f"<table><tr><td>a<td>b<tr><td>{prose}<td>x<tr><td>c<td>d</table>").split("\n")
+    at = lines[0].index("b")
+    assert lines[0] == "a".ljust(at) + "b" and lines[1][at] == "x" and lines[-1] == "c".ljust(at) + "d"
+    assert " ".join(line[:at].strip() for line in lines[1:-1]) == prose
+
+
+def test_what_is_not_wrapped():
+    code = "x = 1  # " + "y" * 30 + "   " + "z " * 120
+    lines = render(f"<table><tr><td>a<td><pre>{code}</pre><tr><td>c<td>d</table>").split("\n")
+    assert code.rstrip() in "\n".join(lines) and lines[-1] == "c" + " " * (len(lines[-1]) - 2) + "d"
+    inner = "<table>" + "<tr><td>" + "k " * 50 + "<td>v</table>"
+    lines = render(f"<table><tr><td>{'p ' * 200}<td>{inner}</table>").split("\n")
+    assert any(("k " * 50 + " v") in line for line in lines)
+    assert render(f"<table><tr><td>{'q ' * 300}</table>") == ("q " * 300).strip()  # one column needs no share
+    long = "u" * 300
+    lines = render(f"<table><tr><td>{long} after<td>b<tr><td>c<td>d</table>").split("\n")
+    assert lines[0] == long and lines[1].split() == ["b"] and lines[2] == "after" and lines[1].index("b") == lines[3].index("d")
+
+
+def test_more_columns_than_a_line_holds():
+    head = "".join(f"<td>head{c}" for c in range(100))
+    lines = render(f"<table><tr>{head}<tr>{''.join(f'<td>v{c}' for c in range(100))}</table>").split("\n")
+    half = len(lines) // 2
+    assert max(map(len, lines)) <= html_render.WIDTH and len(lines) == 2 * half
+    for a, b in zip(lines[:half], lines[half:], strict=True):
+        assert [m.start() for m in re.finditer(r"\S+", a)] == [m.start() for m in re.finditer(r"\S+", b)]
+    assert " ".join(lines).split() == [f"head{c}" for c in range(100)] + [f"v{c}" for c in range(100)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_spans_of_wide_tables_keep_every_word(seed):
+    rng = random.Random(seed)
+    page, want = ["<table>"], []
+    for r in range(8):
+        page.append("<tr>")
+        for c in range(rng.randrange(1, 12)):
+            words = [f"r{r}c{c}w{k}" + "l" * rng.choice([0, 0, 0, 50, 250]) for k in range(rng.choice([0, 1, 2, 40]))]
+            page.append(f"<td colspan={rng.choice([1, 1, 2, 5])} rowspan={rng.choice([1, 1, 3])}>{' '.join(words)}")
+            want += words
+    assert sorted(render("".join(page)).split()) == sorted(want)
+
+
 SLOW = {
+    "a cell of a megabyte": "<table><tr><td>" + "word " * 150_000 + "<td>b<tr><td>" + "w" * 300_000 + "<td>c",
+    "indented prose": "<table><tr><td><ul><li>" + "word " * 150_000 + "</ul><td>b<td>c",
+    "prose in nested tables": ("<table><tr><td>a<td>" + "word " * 2_000) * 80,
+    "many wide columns": "<table>" + ("<tr>" + "<td>some words to wrap in a cell" * 200) * 150,
     "unclosed tags": "<a " * 300_000,
     "unclosed quotes": '<x y="' * 150_000,
     "closed after open quotes": "<a b=\"" + "<i>x" * 200_000,

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,10 +57,12 @@ CELL = frozenset("td th caption template".split())
 SCOPE = frozenset("table td th caption html template".split())
 NO_BARRIER = frozenset("table td th caption html template tr thead tbody tfoot body".split())
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
-# How the text is laid out; none of these loses any of it. A table that would be wider than so many characters or
-# columns, or lies in so many others, has its cells one below the other; indentation stops at INDENT.
+# How the text is laid out; none of these loses any of it. The columns of a table share so many characters, and its
+# cells are wrapped to their share: no less than their longest word, or LONG where a word is longer, and no less than
+# LEAST where they have as much. A table in so many others has its cells one below the other; row spans are followed in
+# the first COLUMNS columns; indentation stops at INDENT.
 CELL_GAP = "  "
-WIDTH, COLUMNS, NESTED, INDENT = 240, 1000, 8, 40
+WIDTH, LEAST, LONG, COLUMNS, NESTED, INDENT = 240, 16, 40, 1000, 8, 40
 
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -236,6 +240,12 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+class Fixed(str):
+    """A line that is not wrapped: of a table, or of preformatted text."""
+
+    __slots__ = ()
+
+
 class Flow:
     """Lines of one formatting context, with collapsed white space, margins,
     indentation and the mark that a list item puts before its first line."""
@@ -245,6 +255,7 @@ class Flow:
         self.parts: list[str] = []
         self.gap = 0  # blank lines due before the next line
         self.space = False
+        self.line: type[str] = str  # or Fixed, of the line at hand
         self.indent = ""
         self.mark: str | None = None
         self.fresh = True  # no line yet in the innermost container, whose first margin falls away
@@ -261,17 +272,19 @@ class Flow:
 
     def verbatim(self, s: str) -> None:
         first, *rest = s.split("\n")
+        self.line = Fixed
         if first:
             self.parts.append(first.rstrip("\r"))
         for line in rest:
             self.newline(True)
+            self.line = Fixed
             if line:
                 self.parts.append(line.rstrip("\r"))
 
     def newline(self, force: bool = False) -> None:
         if self.parts or force:
-            self.add(["".join(self.parts)])
-        self.parts, self.space = [], False
+            self.add([self.line("".join(self.parts))])
+        self.parts, self.space, self.line = [], False, str
 
     def block(self, gap: int) -> None:
         self.newline()
@@ -285,7 +298,7 @@ class Flow:
         self.gap, self.fresh = 0, False
         for line in lines:
             before, self.mark = self.indent if self.mark is None else self.mark, None
-            self.lines.append((before + line).rstrip())
+            self.lines.append(type(line)((before + line).rstrip()))
 
     def enter(self, indent: str, mark: str | None = None) -> tuple:
         """Begins an indented container; ``leave`` takes what this returns."""
@@ -434,17 +447,62 @@ def _joined(below: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], i
     return out, min((x[2] for x in below), default=math.inf)
 
 
+def _wrapped(line: str, width: int) -> list[str]:
+    """``line`` broken at its spaces into lines of at most ``width`` characters;
+    a longer word has a line of its own, inner spaces and indentation stay."""
+    if len(line) <= width or isinstance(line, Fixed):
+        return [line]
+    body = len(line) - len(line.lstrip(" "))
+    out, at, before, later = [], 0, "", " " * min(body, width // 2)
+    while len(before) + len(line) - at > width:
+        full = at + width - len(before)
+        cut = line.rfind(" ", body + 1, full + 1)
+        cut = cut if cut >= 0 else line.find(" ", max(full, body))
+        if cut < 0:
+            break
+        out.append((before + line[at:cut]).rstrip())
+        while line[cut] == " ":  # lines have no space at their end
+            cut += 1
+        at, body, before = cut, cut, later
+    return [*out, before + line[at:]]
+
+
+def _needs(line: str) -> tuple[int, int]:
+    """The least width that a line should have, and the most that it can use."""
+    if isinstance(line, Fixed):  # it may reach beyond its column, cells beside it then begin below
+        return min(len(line), WIDTH // 2), min(len(line), WIDTH)
+    longest = max(map(len, line.split(" ")))
+    return max(min(longest, LONG), min(len(line), LEAST)), min(len(line), WIDTH) if longest <= WIDTH // 2 else LONG
+
+
+def _bands(least: list[int], most: list[int]) -> tuple[list[int], list[int]]:
+    """Columns that go side by side: the band and the width of each. A band takes
+    columns while their least widths fit; what is left goes to those that can use
+    it, in equal shares."""
+    band, width, first, used = [], list(least), 0, 0
+    for c, n in enumerate([*least, WIDTH]):
+        if c > first and used + n + len(CELL_GAP) * (c - first) > WIDTH or c == len(least):
+            left = WIDTH - used - len(CELL_GAP) * (c - first - 1)
+            for i, k in enumerate(sorted(range(first, c), key=lambda k: most[k] - least[k])):
+                more = max(0, min(most[k] - least[k], left // (c - first - i)))
+                width[k], left = width[k] + more, left - more
+            band += [band[-1] + 1 if band else 0] * (c - first)
+            first, used = c, 0
+        used += n
+    return band, width
+
+
 def _table(node: Node, shown: bool, tables: int) -> list[str]:
     """Cells in columns: each as wide as its widest line, spanned cells grow the
-    last column they cover, cells below a row span stay in their column. A
-    table too wide for that has its cells one below the other."""
+    last column they cover, cells below a row span stay in their column. Where
+    that would be wider than WIDTH, cells are wrapped to their column's share of
+    it; columns that do not fit side by side even so go on in a further band
+    below, row by row."""
     head: list[str] = []
     grid: list[list[tuple[int, int, list[str]]]] = []
     below: list[tuple[int, int, int]] = []  # columns taken by cells of earlier rows: first, stop, first row without
     taken: list[tuple[int, int]] = []  # the same joined
     next_free: int | float = math.inf
-    width: dict[int, int] = {}
-    columns = 0
     for row, show in _rows(node, shown):
         if row.tag == "caption":
             inner = Flow()
@@ -467,46 +525,68 @@ def _table(node: Node, shown: bool, tables: int) -> list[str]:
             inner = Flow()
             lay(cell, inner, seen, tables)
             wide, tall = _span(cell, "colspan", MAX_COLSPAN), _span(cell, "rowspan", MAX_ROWSPAN)
-            lines = inner.close()
-            cells.append((col, wide, lines))
-            if wide == 1:
-                width[col] = max(width.get(col, 0), max(map(len, lines), default=0))
+            cells.append((col, col + wide, inner.close()))
             if tall > 1 and col < COLUMNS:
                 below.append((col, col + wide, n + tall))
                 grown = True
             col += wide
-        columns = max(columns, col)
         if grown:
             taken, next_free = _joined(below)
         grid.append(cells)
-    real = sorted(width)
-    fits = columns <= 2 * COLUMNS and sum(width.values()) + len(CELL_GAP) * len(real) <= WIDTH
+
+    # columns are where cells start; a cell covers those up to its end
+    starts = sorted({col for cells in grid for col, _, _ in cells})
+    if len(starts) == 1:
+        return head + [line for cells in grid for _, _, lines in cells for line in lines]
+    place = {col: i for i, col in enumerate(starts)}
+    grid = [[(place[col], bisect_left(starts, stop), lines) for col, stop, lines in cells] for cells in grid]
+    width = [0] * len(starts)
+    for cells in grid:
+        for i, j, lines in cells:
+            if j == i + 1:
+                width[i] = max(width[i], max(map(len, lines), default=0))
+    fits = sum(width) + len(CELL_GAP) * len(width) <= WIDTH
     if fits:
         for cells in grid:
-            for col, wide, lines in cells:
-                if wide > 1:
-                    over = [c for c in real if col <= c < col + wide]
-                    have = sum(width[c] for c in over) + len(CELL_GAP) * (len(over) - 1)
-                    short = max(map(len, lines), default=0) - have
-                    if short > 0 and over:
-                        width[over[-1]] += short
-        fits = sum(width.values()) + len(CELL_GAP) * len(real) <= WIDTH
+            for i, j, lines in cells:
+                if j > i + 1:
+                    have = sum(width[i:j]) + len(CELL_GAP) * (j - i - 1)
+                    width[j - 1] += max(0, max(map(len, lines), default=0) - have)
+        fits = sum(width) + len(CELL_GAP) * len(width) <= WIDTH
+    band = [0] * len(starts)
     if not fits:
-        return head + [line for cells in grid for _, _, lines in cells for line in lines]
-    starts, x, at = {}, 0, 0
-    for col in sorted({c for cells in grid for c, _, _ in cells}):
-        while at < len(real) and real[at] < col:
-            x, at = x + width[real[at]] + len(CELL_GAP), at + 1
-        starts[col] = x
+        least, most = [0] * len(starts), [0] * len(starts)
+        for cells in grid:
+            for i, j, lines in cells:
+                for line in lines if j == i + 1 else ():
+                    a, b = _needs(line)
+                    least[i], most[i] = max(least[i], a), max(most[i], a, b)
+        band, width = _bands(least, most)
+    x = [0] * len(starts)
+    for i in range(1, len(starts)):
+        x[i] = x[i - 1] + width[i - 1] + len(CELL_GAP) if band[i] == band[i - 1] else 0
+
     out = list(head)
     for cells in grid:
-        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
-            line = ""
-            for col, _, lines in cells:
-                if k < len(lines) and lines[k]:
-                    line = line.ljust(starts[col])
-                    line += CELL_GAP * bool(line and not line.endswith(" ")) + lines[k]
-            out.append(line.rstrip())
+        for _, side in groupby(cells, key=lambda c: band[c[0]]):
+            side, row = list(side), []
+            for n, (i, j, lines) in enumerate(side):
+                if not fits:
+                    stop = side[n + 1][0] if n + 1 < len(side) else bisect_right(band, band[i])
+                    room = width[i] if j == i + 1 else x[min(j, stop) - 1] + width[min(j, stop) - 1] - x[i]
+                    if j > i + 1 and n + 1 == len(side):  # nothing beside it
+                        room = max(room, WIDTH - x[i])
+                    lines = [part for line in lines for part in _wrapped(line, max(1, room))]
+                row.append((x[i], lines))
+            for k in range(max((len(lines) for _, lines in row), default=0)):
+                line = ""
+                for start, lines in row:
+                    if k < len(lines) and lines[k]:
+                        if line and len(line) + len(CELL_GAP) > start:  # a word wider than its column
+                            out.append(Fixed(line.rstrip()))
+                            line = ""
+                        line = line.ljust(start) + lines[k]
+                out.append(Fixed(line.rstrip()))
     return out
 
 
