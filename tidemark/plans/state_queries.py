@@ -212,6 +212,21 @@ def sse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("request_id", F.col("seq").cast("long").alias("seq"), "token")
 
 
+@R.add(R.sql["sse_round_trip"])
+def sse_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens sent as a stream of server-sent events and received as another."""
+    folder = scratch(spark, "sse")
+    t = _tokens(spark, sf_dir)
+    data = F.to_json(F.struct(F.col("request_id").alias("id"), F.struct(F.col("token").alias("content")).alias("delta")))
+    rows = t.select("request_id", F.col("seq").cast("long").alias("seq"), F.lit("token").alias("event"), data.alias("data"))
+    rows.write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    sse.send(source, f"{folder}/sent", f"{folder}/sender").awaitTermination()
+    back = sse.deltas(sse.receive(spark, f"{folder}/sent"))
+    back.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/receiver").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(back.schema).parquet(f"{folder}/out").select("request_id", "seq", "token")
+
+
 def _fold(summary: str, turns: list) -> str:
     return f"{summary}[{len(turns)}]"
 
