@@ -102,6 +102,34 @@ def test_trie_counts_equal_word_by_word(pieces):
     assert len(trie.best) == len({(tokens.MARK + w)[:i] for w in words for i in range(len(w) + 2)})
 
 
+@pytest.mark.parametrize("deep", [1, 2, 7, 20])
+def test_counts_beyond_the_depth_of_the_trie(pieces, monkeypatch, deep):
+    monkeypatch.setattr(tokens, "DEEP", deep)
+    rng = random.Random(deep)
+    words = ["".join(rng.choice(["the", "ing", "a", "ü", "字", "x", "😀", "tion"]) for _ in range(rng.randrange(1, 30))) for _ in range(150)]
+    trie = tokens.Trie(pieces)
+    assert [trie.count(w.encode()) for w in words * 2] == [brute_count(pieces, tokens.MARK + w) for w in words * 2]
+
+
+def test_a_megabyte_without_white_space(pieces):
+    trie = tokens.Trie(pieces)
+    word = "字tokenization的数据" * 60_000
+    began = time.monotonic()
+    n = trie.count(word.encode())
+    assert time.monotonic() - began < 30 and len(trie.best) <= tokens.DEEP + 1 and not trie.terminals
+    assert n == trie.count(word.encode()) and 60_000 * 3 < n < len(word.encode())
+
+
+def test_nodes_are_bounded_inside_a_row(spark, pieces, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_NODES", 300)
+    most = []
+    insert = tokens.Trie.insert
+    monkeypatch.setattr(tokens.Trie, "insert", lambda self, w: (insert(self, w), most.append(len(self.best)))[0])
+    trie, words = tokens.Trie(pieces), [f"word{i}" for i in range(2000)]
+    assert [trie.count(w.encode()) for w in words] == [brute_count(pieces, tokens.MARK + w) for w in words]
+    assert max(most) < 400
+
+
 def test_counts_equal_a_unigram_tokenizer(pieces):
     from tokenizers import Tokenizer, models
 
