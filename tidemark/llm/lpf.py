@@ -8,7 +8,9 @@ bytes of the windows that one repeated anchor owns. Segments of an anchor meet
 in one task, where their windows are put in suffix order; from the order, the
 previous and next smaller positions give each window its longest previous factor,
 those for the reverse order of places its longest next one, both capped at the
-window's length. A window whose factor has that length is a repeat.
+window's length. A window whose factor has that length is a repeat. Segments
+with equal bytes come as two, the first one and another that stands for all
+later ones.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from tidemark.llm.common import body, cut, drop
 
 LEAST = 200
 ANCHOR = 32
-#: What a task sorts at once: anchors whose distinct segments have more bytes than this are dealt by window instead.
-MAX_BYTES = 512 << 10
+#: What a task sorts at once: anchors whose segments have more bytes than this are dealt by window instead.
+MAX_BYTES = 1 << 20
 #: Groups that the places of one window are dealt to.
 SALTS = 16
 #: A segment has at most this many windows; longer stretches are several segments.
@@ -238,29 +240,37 @@ def runs_of(flags: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> tuple[n
     return owner[first], inside[first], inside[last] + 1
 
 
-_VERDICT = "dig binary, runs array<struct<a:int,b:int>>"
+_VERDICT = "dig binary, later boolean, runs array<struct<a:int,b:int>>"
 
 
 def _judge(least: int, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (h, dig, seg) sorted by h, equal segments together, at most
-        MAX_BYTES of different ones an h: the runs of windows of each segment that
-        occur in another one too. A segment comes once from every task that saw
-        it, and counts once. The last anchor of a batch waits for the next batch."""
-        held: list[tuple] = []
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            seg, start, stop = match_segments([r[2] for r in rows], least, keep_first)
+        """Rows (h, dig, seg, n, place) sorted by h and dig, for each segment one
+        with its number of places and the first of them, then one with its bytes
+        from every task that saw it; at most MAX_BYTES an h. Gives the runs of
+        windows of each segment that occur at another place, or with
+        ``keep_first`` at an earlier one, for its first place and for the later
+        ones. The last anchor of a batch waits for the next batch."""
+        held: list[list] = []
+
+        def out(rows: list[list]) -> pa.RecordBatch:
+            if keep_first:
+                rows = sorted(rows, key=lambda r: (r[0], [(x is not None, x) for x in r[3].values()]))
+            entries = [(r, later) for r in rows for later in ((False, True) if r[2] > 1 else (False,))]
+            seg, start, stop = match_segments([r[4] for r, _ in entries], least, keep_first)
             pick, at = np.unique(seg, return_index=True)
             runs = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["a", "b"])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(seg)].astype(np.int32)), runs)
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in pick.tolist()], pa.binary()), lists], names=["dig", "runs"])
+            digs, later = pa.array([entries[i][0][1] for i in pick.tolist()], pa.binary()), pa.array([entries[i][1] for i in pick.tolist()], pa.bool_())
+            return pa.RecordBatch.from_arrays([digs, later, lists], names=["dig", "later", "runs"])
 
         for b in batches:
             rows = held
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if not rows or r[:2] != rows[-1][:2]:
-                    rows.append(r)
+            for h, dig, seg, n, place in zip(*(c.to_pylist() for c in b.columns)):
+                if n is not None:
+                    rows.append([h, dig, n, place, None])
+                elif rows[-1][4] is None:
+                    rows[-1][4] = seg
             stop = len(rows)
             while stop and rows[stop - 1][0] == rows[-1][0]:
                 stop -= 1
@@ -274,7 +284,7 @@ def _judge(least: int, keep_first: bool):
     return run
 
 
-def _parts(rows: list[tuple], most: int = 1 << 18) -> Iterator[list[tuple]]:
+def _parts(rows: list[list], most: int = 1 << 18) -> Iterator[list[list]]:
     """Whole anchors, about ``most`` bytes at a time."""
     part, size = [], 0
     for i, r in enumerate(rows):
@@ -282,7 +292,7 @@ def _parts(rows: list[tuple], most: int = 1 << 18) -> Iterator[list[tuple]]:
             yield part
             part, size = [], 0
         part.append(r)
-        size += len(r[2])
+        size += len(r[4]) * min(r[2], 2)
     if part:
         yield part
 
@@ -391,46 +401,49 @@ def repeats(docs: DataFrame, keep: str = "first", id: str = "doc_id", text: str
     place = F.struct("id", "row", "row2", "first")
     size = F.max(F.col("last") - F.col("first") + least).alias("size")
     known = cut(segs.groupBy("h", "dig").agg(F.count("*").alias("n"), F.min(place).alias("place"), size), "known")
-    many = known.groupBy("h").agg(F.count("*").alias("n_segs"), F.sum("size").alias("n_bytes"))
-    # one segment alone needs no comparison unless it has one place only, where it may repeat itself
-    many = many.where("n_segs > 1").unionByName(known.join(many.where("n_segs = 1"), "h").where("n = 1").select("h", "n_segs", "n_bytes")).drop("n_segs")
-    bytes_ = segs.where("seg is not null").select("h", "dig", "seg").join(many, "h")
-    crowded = F.col("n_bytes") > MAX_BYTES
-    # in the order of their first places, so that "first" is the least rank
-    placed = lambda d: d.drop("n_bytes").join(known.select(F.col("dig").alias("kd"), "place"), F.col("dig") == F.col("kd")).select("h", "dig", "seg", "place")
-    few = bytes_.where(~crowded).drop("n_bytes")
-    few = (placed(bytes_.where(~crowded)) if keep == "first" else few.withColumn("place", F.lit(0))).repartition("h").sortWithinPartitions("h", "place", "dig")
-    judged = few.select("h", "dig", "seg").mapInArrow(_judge(least, keep == "first"), _VERDICT)
-    crowd = bytes_.where(crowded).select("dig", "seg").distinct()
-    verdicts = cut(judged.unionByName(_by_window(crowd, known, least, keep)), "verdicts")
-
-    places = segs.select("row", "row2", "id", "first", "last", "dig").join(known.select(F.col("dig").alias("kd"), "n", "place"), F.col("dig") == F.col("kd"))
-    places = places.join(verdicts.withColumnRenamed("dig", "vd"), F.col("dig") == F.col("vd"), "left")
-    whole = (F.col("n") > 1) if keep == "none" else ~F.col("place").eqNullSafe(place)
-    ab = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-    some = F.transform("runs", lambda r: ab(F.col("first") + r["a"], F.col("first") + r["b"] - 1 + least))
-    covered = F.when(whole, F.array(ab(F.col("first"), F.col("last") + least))).when(F.size("runs") > 0, some)
-    spans = places.select("row", "row2", covered.alias("s")).where("s is not null").groupBy("row", "row2").agg(F.flatten(F.collect_set("s")).alias("spans"))
+    # written, so that Spark knows its size when it plans the joins: the bytes of segments are then moved once
+    crowded = cut(known.groupBy("h").agg(F.sum(F.col("size") * F.least("n", F.lit(2))).alias("n_bytes")).where(F.col("n_bytes") > MAX_BYTES).select("h"), "crowded")
+    bytes_ = segs.where("seg is not null").select("h", "dig", "seg")
+    where = F.col("place") if keep == "first" else F.lit(None).cast(known.schema["place"].dataType)
+    few = known.select("h", "dig", F.lit(None).cast("binary").alias("seg"), "n", where.alias("place"))
+    few = few.unionByName(bytes_, allowMissingColumns=True).join(crowded, "h", "left_anti")
+    few = few.repartition("h").sortWithinPartitions("h", "dig", F.col("n").isNull()).select("h", "dig", "seg", "n", "place")
+    crowd = bytes_.join(crowded, "h", "left_semi").select("dig", "seg").distinct().join(known.select("dig", "n", "place"), "dig")
+    verdicts = cut(few.mapInArrow(_judge(least, keep == "first"), _VERDICT).unionByName(_by_window(crowd, least, keep)), "verdicts")
+
+    places = segs.select("row", "row2", "id", "first", "dig")
+    if keep == "first":
+        first = known.select(F.col("dig").alias("kd"), "place")
+        places = places.join(first, F.col("dig") == F.col("kd")).withColumn("late", ~F.col("place").eqNullSafe(place)).drop("place")
+        judged = verdicts.withColumnRenamed("dig", "vd")
+        places = places.join(judged, (F.col("dig") == F.col("vd")) & (F.col("late") == F.col("later")))
+    else:
+        places = places.join(verdicts.where("not later").select(F.col("dig").alias("vd"), "runs"), F.col("dig") == F.col("vd"))
+    covered = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).cast("long").alias("a"), (F.col("first") + r["b"] - 1 + least).cast("long").alias("b")))
+    spans = places.select("row", "row2", covered.alias("s")).groupBy("row", "row2").agg(F.flatten(F.collect_set("s")).alias("spans"))
     final = squeezed.join(spans.hint("shuffle_hash"), ["row", "row2"], "left").select("id", "z", "spans")
     out = final.mapInArrow(_cleaner, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
     return out.withColumnRenamed("id", id)
 
 
-def _by_window(crowd: DataFrame, known: DataFrame, least: int, keep: str) -> DataFrame:
-    """(dig, runs) for segments of crowded anchors: each window by itself, dealt
-    by a digest of its bytes, so no task gathers an anchor's segments and equal
-    windows are counted where they are made."""
+def _by_window(crowd: DataFrame, least: int, keep: str) -> DataFrame:
+    """(dig, later, runs) for segments of crowded anchors, (dig, seg, n, place):
+    each window by itself, dealt by a digest of its bytes, so no task gathers an
+    anchor's segments and equal windows are counted where they are made."""
     wins = crowd.select("dig", "seg").mapInArrow(_explode_windows(least), "dig binary, i int, win binary")
+    wins = wins.join(crowd.select(F.col("dig").alias("kd"), "n", "place"), F.col("dig") == F.col("kd"))
+    # a window may be in any share of the segments, so its places are dealt to SALTS groups
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    dealt = (F.col("win") == F.col("lw")) & (F.pmod(F.hash("dig"), F.lit(SALTS)) == F.col("salt"))
     if keep == "first":
-        wins = wins.join(known.select(F.col("dig").alias("kd"), "place"), F.col("dig") == F.col("kd")).select("dig", "i", "win", F.struct("place", "i").alias("at"))
-        lead = wins.groupBy("win").agg(F.min("at").alias("lead"), F.count("*").alias("c")).where("c > 1")
-        lead = lead.select(F.col("win").alias("lw"), "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        hit = wins.join(lead, (F.col("win") == F.col("lw")) & (F.pmod(F.hash("dig"), F.lit(SALTS)) == F.col("salt"))).where(~F.col("at").eqNullSafe(F.col("lead")))
+        times = F.explode(F.when(F.col("n") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+        wins = wins.withColumn("later", times).select("dig", "later", "i", "win", F.struct("place", "later", "i").alias("at"))
+        lead = wins.groupBy("win").agg(F.min("at").alias("lead"), F.count("*").alias("c")).where("c > 1").select(F.col("win").alias("lw"), "lead", salts)
+        hit = wins.join(lead, dealt).where(~F.col("at").eqNullSafe(F.col("lead")))
     else:
-        # a window may be in any share of the segments, so its places are dealt to SALTS groups
-        twice = wins.groupBy("win").agg(F.count("*").alias("c")).where("c > 1").select(F.col("win").alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        hit = wins.join(twice, (F.col("win") == F.col("lw")) & (F.pmod(F.hash("dig"), F.lit(SALTS)) == F.col("salt")))
-    marks = hit.groupBy("dig").agg(F.array_sort(F.collect_set("i")).alias("i"))
+        twice = wins.groupBy("win").agg(F.sum("n").alias("c")).where("c > 1").select(F.col("win").alias("lw"), salts)
+        hit = wins.join(twice, dealt).withColumn("later", F.lit(False))
+    marks = hit.groupBy("dig", "later").agg(F.array_sort(F.collect_set("i")).alias("i"))
     starts = F.filter("i", lambda x: ~F.array_contains("i", x - 1))
     stops = F.transform(F.filter("i", lambda x: ~F.array_contains("i", x + 1)), lambda x: x + 1)
-    return marks.select("dig", F.arrays_zip(starts.alias("a"), stops.alias("b")).alias("runs"))
+    return marks.select("dig", "later", F.arrays_zip(starts.alias("a"), stops.alias("b")).alias("runs"))
