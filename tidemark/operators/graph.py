@@ -34,6 +34,16 @@ def chunk_table(docs: DataFrame, id: str = "doc_id", body: str = "text", max_cha
     return cut.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("ordinal").cast("string")).alias("chunk_id"), "doc_id", "ordinal", "text")
 
 
+def faq_chunks(faq: DataFrame, order: str) -> DataFrame:
+    """(chunk_id, ordinal, text, source, category, question, answer): a chunk for
+    every question, whose text, question and answer, is what gets embedded. Ids
+    are made of the column ``order``, which is also the ordinal; a null question
+    or answer counts as empty."""
+    said = text.embedding_text(F.col("question"), F.col("answer"), " ")
+    id = F.concat(F.lit("faq:"), F.col(order).cast("string"))
+    return faq.select(id.alias("chunk_id"), F.col(order).alias("ordinal"), said.alias("text"), F.lit("faq").alias("source"), "category", "question", "answer")
+
+
 def sections(docs: DataFrame, body: str = "text") -> DataFrame:
     """Rows of ``docs`` by '## ' section: columns pos, title, section_text."""
     parts = F.filter(F.transform(F.split(F.col(body), r"\n?## "), text.strip), lambda x: x != "")

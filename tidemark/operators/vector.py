@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators import state
 from tidemark.operators.matching import overlaps
 from tidemark.plans.blocks import by_block
 
@@ -109,6 +111,23 @@ def hybrid_search(queries: DataFrame, menu: DataFrame, chunks: DataFrame, expand
     return rerank(found, F.coalesce(F.col("score"), F.lit(0.0)) if scorer is None else scorer, threshold, k)
 
 
+def cached_search(requests: DataFrame, search: Callable[[DataFrame], DataFrame], ttl: float, k: int = 3) -> DataFrame:
+    """``search``'s rows for every request, (request_id, t, hit, *rows), as behind
+    a cache: requests that are equal after lowering and squeezing of white space
+    are searched once, by the first of them, and share what it finds.
+
+    requests: (request_id, query, t in seconds). ``search`` takes (query_id,
+    query) and gives rows with a query_id. A request is a hit while what an
+    earlier one found is no older than ``ttl``; a hit does not renew it. What is
+    found empty is kept like anything else: such a request has one row of nulls.
+    """
+    keyed = requests.select("request_id", "query", F.col("t").cast("double").alias("t"), text.cache_key(F.col("query"), k).alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min_by("query", F.struct("t", "request_id")).alias("query"))
+    found = search(first.select(F.col("_key").alias("query_id"), "query")).withColumnRenamed("query_id", "_key")
+    hits = state.replay(keyed, ["_key"], ["t", "request_id"], ["t", "_key"], partial(state.LruTtlCache, 1, ttl), "hit boolean, size long")
+    return hits.drop("size").join(found, "_key", "left").drop("_key")
+
+
 def overlap_search(queries: DataFrame, facts: DataFrame, menu: DataFrame, k: int = 3) -> DataFrame:
     """Keyword retrieval: shared words over ten, two more for a menu name inside
     the query; the k best, or one stand-in row for a query without any.

@@ -32,11 +32,11 @@ def dialogue_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    """SELECT vec_id, ['order', 'consultant', 'faq', 'ignore'][list_position(g, list_max(g))] AS label FROM (SELECT vec_id, list_transform([1, 2, 3, 4], lambda i: round((e[4 * i - 3] + e[4 * i - 2] + e[4 * i - 1] + e[4 * i]) / 4 - 0.01 * i, 6)) AS g FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings))"""
+    """SELECT vec_id, ['order', 'consultant', 'faq', 'ignore'][list_position(g, list_max(g))] AS label FROM (SELECT vec_id, list_transform([1, 2, 3, 4], lambda i: round(list_sum(e[16 * i - 15:16 * i]) / 16 - 0.01 * i, 6)) AS g FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings))"""
 )
 def label_by_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
-    parts = F.array(*(F.slice(e, 4 * i + 1, 4) for i in range(4)))
+    parts = F.array(*(F.slice(e, 16 * i + 1, 16) for i in range(4)))
     base = F.array(*(F.lit(0.01 * (i + 1)) for i in range(4)))
     return table(spark, sf_dir, "embeddings").select("vec_id", dialogue.best_label(parts, base, list(text.LABELS)).alias("label"))
 
@@ -71,7 +71,7 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", attempt.alias("attempt"), wait.alias("wait"))
 
 
-_PROBED = ("region", "nation", "customer", "supplier", "part", "orders", "events")
+_PROBED = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 
 @R.add(" UNION ALL ".join(f"SELECT '{t}' AS component, CASE WHEN EXISTS (SELECT 1 FROM {t}) THEN 'up' ELSE 'down' END AS status" for t in _PROBED))

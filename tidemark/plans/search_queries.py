@@ -331,3 +331,41 @@ def first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     menu, chunk = F.count_if(F.col("label") < 5), F.count_if(F.col("label") >= 5)
     return table(spark, sf_dir, "embeddings").agg(menu.alias("n_menu"), chunk.alias("n_chunk"), ((menu >= 100) & (chunk >= 50)).alias("enough"))
+
+
+_FAQ_CHUNKS = "SELECT 'faq:' || p_partkey AS chunk_id, p_partkey AS ordinal, p_name || ' ' || p_type AS text, 'faq' AS source, p_brand AS category, p_name AS question, p_type AS answer FROM part"
+
+
+def _faq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return graph.faq_chunks(p.select("p_partkey", F.col("p_name").alias("question"), F.col("p_type").alias("answer"), F.col("p_brand").alias("category")), "p_partkey")
+
+
+@R.add(_FAQ_CHUNKS)
+def faq_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _faq(spark, sf_dir)
+
+
+@R.add(f"WITH n AS (SELECT lag(chunk_id) OVER (PARTITION BY category ORDER BY ordinal) AS src, chunk_id AS dst FROM ({_FAQ_CHUNKS})) SELECT * FROM n WHERE src IS NOT NULL")
+def faq_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of a category in the order of the file."""
+    return graph.next_edges(_faq(spark, sf_dir), ["category"], ["ordinal"])
+
+
+@R.add(
+    f"""WITH RECURSIVE e AS (SELECT p_partkey AS request_id, p_partkey::double AS t, lower(p_name) AS k, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn FROM part),
+r AS (SELECT request_id, t, k, rn, t + 50 AS until, false AS hit FROM e WHERE rn = 1 UNION ALL SELECT e.request_id, e.t, e.k, e.rn, CASE WHEN r.until >= e.t THEN r.until ELSE e.t + 50 END, r.until >= e.t FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1),
+i AS (SELECT DISTINCT p_name AS name, p_name || ' (' || format('{{:,}}', length(p_name) * 1000) || 'đ) - ' || p_name AS text, p_name AS description FROM part), q AS (SELECT DISTINCT k FROM e),
+f AS (SELECT k, text, len(list_intersect({_W.format('k')}, {_W.format('text')})) / 10.0 AS score, 'faq' AS source, ordinal::varchar AS id FROM q, ({_FAQ_CHUNKS})),
+m AS (SELECT k, text, (len(list_intersect({_W.format('k')}, {_W.format('description')})) + CASE WHEN contains(k, lower(name)) THEN 2 ELSE 0 END) / 10.0 AS score, 'menu' AS source, name AS id FROM q, i),
+b AS (SELECT k, text, score, source, id FROM (SELECT * FROM f UNION ALL SELECT * FROM m) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, source, id) <= 3)
+SELECT request_id, t, hit, text, source, score FROM r JOIN b USING (k)"""
+)
+def cached_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names asked for a second apart, in capitals every other time, searched once each."""
+    p = table(spark, sf_dir, "part")
+    asked = p.select(F.col("p_partkey").alias("request_id"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("query"), F.col("p_partkey").alias("t"))
+    facts = _faq(spark, sf_dir).select(F.col("ordinal").alias("fact_id"), F.col("text").alias("fact"))
+    menu = p.select(F.col("p_name").alias("name"), (F.length("p_name") * 1000).alias("price"), F.col("p_name").alias("description")).distinct()
+    found = vector.cached_search(asked, lambda q: vector.overlap_search(q, facts, menu), 50.0)
+    return found.select("request_id", "t", "hit", "text", "source", "score")
