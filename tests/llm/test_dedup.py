@@ -348,3 +348,20 @@ def test_op2_query_against_brute_force(spark):
         want[doc] = (len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op2_repeats(spark, sf).collect()}
     assert got == want and sum(w[1] for w in want.values()) > 0
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_factors_judge_segments_of_equal_bytes(keep_first):
+    """A segment at three places and one that holds half of it at an earlier place."""
+    rng = random.Random(2)
+    one, other = rng.randbytes(260), rng.randbytes(40)
+    two = other + one[:220]
+    place = lambda i: {"id": i, "row": i, "row2": None, "first": 0}
+    known = [(7, b"one", None, 3, place(5)), (7, b"one", one, None, None), (7, b"one", one, None, None), (7, b"two", None, 1, place(None)), (7, b"two", two, None, None)]
+    cols = [pa.array(c) for c in zip(*known)]
+    batches = [pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in cols], names=["h", "dig", "seg", "n", "place"]) for a, b in ((0, 2), (2, 5))]
+    got = {(d, later): [(r["a"], r["b"]) for r in runs] for b in lpf._judge(200, keep_first)(iter(batches)) for d, later, runs in zip(*(c.to_pylist() for c in b.columns))}
+    if keep_first:  # two comes first, so what it shares with one goes at one's first place, all of one at the later ones
+        assert got == {(b"one", False): [(0, 21)], (b"one", True): [(0, 61)]}
+    else:
+        assert got == {(b"one", False): [(0, 61)], (b"one", True): [(0, 61)], (b"two", False): [(40, 61)]}

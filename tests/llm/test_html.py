@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from tidemark.llm import html_render
-from tidemark.llm.html_render import render
+from tidemark.llm.html_render import numbered, render
 
 FLOW = "div p span b i ul ol blockquote section h2 pre a details table".split()
 HIDES = ("hidden", "style='display:none'", "style='color:red; display: none !important'", 'HIDDEN=""')
@@ -179,3 +179,21 @@ def test_pages_of_a_megabyte_take_seconds(name):
     began = time.monotonic()
     out = render(SLOW[name])
     assert time.monotonic() - began < 20 and len(out) < 6 * len(SLOW[name])
+
+
+def test_numbers_of_lists():
+    items = "".join(f"<li>{c}" for c in "xyz")
+    assert render(f"<ol type=a start=26>{items}</ol>") == "z. x\naa. y\nab. z"
+    assert render(f"<ol type=I start=8>{items}</ol>") == "VIII. x\nIX. y\nX. z"
+    assert render(f"<ol reversed>{items}</ol>") == "3. x\n2. y\n1. z"
+    assert render(f"<ol reversed start=1 type=i>{items}</ol>") == "i. x\n0. y\n-1. z"
+    assert render("<ol><li>x<li value=7>y<li>z<li value=no>w</ol>") == "1. x\n7. y\n8. z\n9. w"
+    assert render(f"<ul type=a>{items}</ul>") == "- x\n- y\n- z"
+    assert [numbered(n, "A") for n in (1, 26, 27, 702, 703, 0)] == ["A", "Z", "AA", "ZZ", "AAA", "0"]
+    assert [numbered(n, "i") for n in (1, 4, 9, 1994, 3999, 4000)] == ["i", "iv", "ix", "mcmxciv", "mmmcmxcix", "4000"]
+
+
+def test_buttons_and_ruby():
+    assert render("a <input type=submit value='Send &amp; go'> b <input type=hidden value=h> <input value=typed>") == "a Send & go b"
+    assert render("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>") == "漢kan"
+    assert render("<p style='visibility:hidden'><input type=button value=x>") == ""

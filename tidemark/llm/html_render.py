@@ -25,7 +25,7 @@ from tidemark.llm.common import body
 # Fixed values of the HTML standard: element classes by name, largest spans.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes area base link meta param source track".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes area base link meta param source track rp".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre hr figure fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = MARGIN | frozenset(
@@ -324,6 +324,48 @@ class Flow:
         return self.lines
 
 
+_INTEGER = re.compile(r"-?\d{1,9}")
+_ROMAN = tuple(zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split()))
+
+
+def numbered(n: int, kind: str) -> str:
+    """A list item's number as ``type`` asks for it: 1, a, A, i or I; what the
+    letters cannot write is written in digits."""
+    low = ""
+    if kind in ("a", "A"):
+        left = n
+        while left > 0:
+            left, digit = divmod(left - 1, 26)
+            low = chr(97 + digit) + low
+    elif kind in ("i", "I") and 0 < n < 4000:
+        left = n
+        for value, letters in _ROMAN:
+            low += letters * (left // value)
+            left %= value
+    return (low.upper() if kind.isupper() else low) or str(n)
+
+
+def _numbering(node: Node) -> list:
+    """[type, next number, step] of a list; the type of one without numbers is empty."""
+    if node.tag != "ol":
+        return ["", 1, 1]
+    a = node.attributes() if node.attrs else {}
+    step = -1 if "reversed" in a else 1
+    start = a.get("start", "")
+    first = 1 if step == 1 else sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+    kind = a.get("type", "1")
+    return [kind if kind in ("a", "A", "i", "I") else "1", int(start) if _INTEGER.fullmatch(start) else first, step]
+
+
+def _mark(item: Node, numbering: list) -> str:
+    """What stands before a list item; counts on."""
+    kind, n, step = numbering
+    value = item.attributes().get("value", "") if kind and item.attrs else ""
+    n = int(value) if _INTEGER.fullmatch(value) else n
+    numbering[1] = n + step
+    return f"{numbered(n, kind)}. " if kind else "- "
+
+
 _HIDES = re.compile(r"hidden|style|open|details|dialog", re.I)
 
 
@@ -353,7 +395,7 @@ def shown_children(node: Node) -> list:
 def lay(node: Node, flow: Flow, shown: bool = True, tables: int = 0) -> None:
     """Lays out what is in a node. The elements on the way down are held in a
     list of frames: their children to come, what holds for them, what is due
-    when they end, and in a list its kind and next number."""
+    when they end, and in a list its numbering."""
     frames: list[tuple] = [(iter(shown_children(node)), shown, False, 0, None, None)]
     while frames:
         children, shown, pre, depth, leave, listed = frames[-1]
@@ -381,14 +423,12 @@ def lay(node: Node, flow: Flow, shown: bool = True, tables: int = 0) -> None:
             flow.block(1)
             continue
         elif tag == "li" and listed is not None:
-            mark = f"{listed[1]}. " if listed[0] else "- "
-            listed[1] += 1
+            mark = _mark(child, listed)
             flow.block(0)
             leave = _leaver(flow, flow.enter(" " * len(mark), mark), True, None)
         elif tag in ("ul", "ol", "menu", "dir"):
             flow.block(int(depth == 0))
-            start = child.attributes().get("start", "") if tag == "ol" and child.attrs else ""
-            list_now = [tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]
+            list_now = _numbering(child)
             leave = _blocker(flow, int(depth == 0))
             pre, depth = False, depth + 1
         elif tag in ("blockquote", "dd"):
@@ -402,6 +442,10 @@ def lay(node: Node, flow: Flow, shown: bool = True, tables: int = 0) -> None:
             pre = pre or tag in ("pre", "listing")
         elif tag == "textarea":
             pre = True
+        elif tag == "input" and show and child.attrs:
+            a = child.attributes()
+            if a.get("type", "").lower() in ("button", "submit", "reset"):
+                flow.text(a.get("value", ""))
         if child.children:
             frames.append((iter(shown_children(child)), show, pre, depth, leave, list_now))
         elif leave is not None:
