@@ -106,3 +106,16 @@ def test_clauses_are_flushed(spark, tmp_path, narrow):
     for batch in (rows[:18], rows[18:], [(3000.0, 0, "z", "x")], [(9000.0, 0, "zz", "y")]):
         feed.put(batch)
     same(feed.run().where("request_id not like 'z%'"), state.clauses(spark.createDataFrame(rows, schema)), "request_id", "seq", "sub", "event", "data")
+
+
+@pytest.mark.parametrize("name", ["breaker", "limiter"])
+def test_events_of_many_files(spark, tmp_path, narrow, name):
+    """What comes in at once is one micro-batch, whatever number of files it has."""
+    from tidemark import queries
+
+    spark.range(600).select(
+        F.col("id").alias("event_id"), (F.col("id") % 3).alias("user_id"), F.timestamp_seconds(1_700_000_000 + (F.col("id") * 7919) % 1_500_000).alias("ts"),
+        F.when(F.col("id") % 5 < 3, "error").otherwise("click").alias("event_type"), F.lit(1.0).alias("value"),
+    ).repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    found = queries.QUERIES[f"{name}_stream"](spark, str(tmp_path))
+    same(found, queries.QUERIES[{"breaker": "circuit_breaker", "limiter": "rate_limiter"}[name]](spark, str(tmp_path)), *found.columns)

@@ -299,28 +299,32 @@ _BATCH_DAYS = 8
 _LATE = "12 hours"
 
 
-def _as_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """The events as files that a stream takes one after another, and a new folder:
-    a seventh of the rows comes up to 10 hours late, so that some are in the file
-    after the one of their day; the last file only moves the watermark on."""
-    e, folder = table(spark, sf_dir, "events"), scratch(spark, "events")
+def _arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events as they come in, one table a micro-batch: a seventh of the rows
+    comes up to 10 hours late, so that some come with the rows of the next one;
+    the last table only moves the watermark on."""
+    e = table(spark, sf_dir, "events")
     t = F.col("ts").cast("timestamp")
     rows = e.select("user_id", "event_id", t.alias("ts"), t.cast("double").alias("t"), (F.col("event_type") == "error").alias("failed"))
     came = F.col("t") + F.when(F.col("event_id") % 7 == 0, 36_000).otherwise(0)
     start, end = rows.agg(F.min("t"), F.max("t")).first()
     width = _BATCH_DAYS * 86_400
-    for k in range(int((end - start + 36_000) // width) + 1):
-        mine = (came >= start + k * width) & (came < start + (k + 1) * width)
-        rows.where(mine).write.mode("append").parquet(f"{folder}/in")
-    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(end + 10 * width)).alias("ts"), F.lit(end + 10 * width).alias("t"), F.lit(False).alias("failed")).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+    parts = [rows.where((came >= start + k * width) & (came < start + (k + 1) * width)) for k in range(int((end - start + 36_000) // width) + 1)]
+    last = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(end + 10 * width)).alias("ts"), F.lit(end + 10 * width).alias("t"), F.lit(False).alias("failed"))
+    return [*parts, last]
 
 
 def _streamed(spark: SparkSession, sf_dir: str, processor, args: list[str], out: str, **settings) -> DataFrame:
-    source, folder = _as_stream(spark, sf_dir)
-    made = processors.run_in_order(source, processor, "user_id", ["ts", "event_id"], args, f"ts timestamp, event_id long, {out}", _LATE, **settings)
-    with processors.with_store(spark):
-        made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    """A table of any number of files comes in, then the stream is started again
+    and takes all of them as one micro-batch: a file by itself would move the
+    watermark past rows of the files beside it."""
+    folder = scratch(spark, "events")
+    for rows in _arrivals(spark, sf_dir):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        made = processors.run_in_order(source, processor, "user_id", ["ts", "event_id"], args, f"ts timestamp, event_id long, {out}", _LATE, **settings)
+        with processors.with_store(spark):
+            made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").where("user_id is not null").select("user_id", "event_id", *(x.split()[0] for x in out.split(", ")))
 
 
