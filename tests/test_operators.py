@@ -134,3 +134,16 @@ def test_watch_reads_new_files_once(spark, tmp_path):
     (folder / "faq.csv").write_text("w")
     watch.watch(spark, str(folder), str(tmp_path / "cp"), load).awaitTermination(120)
     assert sorted(seen) == [("document", "notes.md"), ("faq", "faq.csv"), ("menu", "menu_1.csv")]
+
+
+def test_many_documents_a_file(spark, tmp_path, monkeypatch):
+    """Bundles: few files for many documents, which come back as they were."""
+    monkeypatch.setattr(files, "BUNDLE_BYTES", 4_000)
+    hard = ["", None, "a\nb\n", "\x1e", "\x1edocument x\ny", "a\n\x1edocument x\ny\x1e\x1e\n", "é\r\nü", "\n"]
+    rows = [(f"n {i}/=\n#%+é", hard[i % len(hard)]) for i in range(400)] + [("", "one"), (None, "two")]
+    files.write_documents(spark.createDataFrame(rows, "name string, text string").repartition(3), str(tmp_path / "in"))
+    assert 2 <= len(list((tmp_path / "in").glob("*.txt"))) <= 12
+    (tmp_path / "in" / "plain.md").write_bytes("x\x1edocument y\n".encode())
+    got = [(r.path, r.text) for r in files.read_documents(spark, str(tmp_path / "in")).collect()]
+    assert sorted((p.partition("#")[2], t) for p, t in got if "#" in p) == sorted((n or "", (t or "") + "\n") for n, t in rows)
+    assert [t for p, t in got if "#" not in p] == ["x\x1edocument y\n"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,23 +72,66 @@ def _docx(raw: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in tree.iter(f"{w}p"))
 
 
+#: What a document of a bundle begins with, at the start of a line; its name and a line end follow. A record
+#: separator (U+001E) of the document itself is doubled, so no line of it looks like that.
+_MARK = "\x1edocument "
+#: Bytes that a bundle has on the average.
+BUNDLE_BYTES = 4 << 20
+_TEXT_BYTES = 4 << 20
+
+
+def write_documents(rows: DataFrame, path: str) -> None:
+    """(name, text) as text files of many documents each, so that there are as many
+    files as the bytes need, not as there are documents. A line end is put
+    after each document, null texts are empty; read back by ``read_documents``."""
+    text = F.coalesce("text", F.lit(""))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0]
+    record = F.concat(F.lit(_MARK), F.url_encode(F.coalesce("name", F.lit(""))), F.lit("\n"), F.replace(text, F.lit("\x1e"), F.lit("\x1e\x1e")))
+    rows.select(record.alias("value")).repartition(max(1, -(-int(total) // BUNDLE_BYTES))).write.text(path)
+
+
+def _texts_of(path: str, raw: bytes) -> Iterator[tuple[str, str]]:
+    """(path, text) of a file, or of each document of a bundle as path#name."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    mark = _MARK.encode()
+    if kind in ("pdf", "docx"):
+        yield path, (_pdf if kind == "pdf" else _docx)(raw)
+    elif raw.startswith(mark):
+        at = len(mark)
+        while at >= len(mark):
+            stop = raw.find(b"\n" + mark, at)
+            name, _, body = raw[at : stop + 1 or None].partition(b"\n")
+            yield f"{path}#{unquote_plus(name.decode())}", body.replace(b"\x1e\x1e", b"\x1e").decode("utf-8", "replace")
+            at = stop + 1 + len(mark) if stop >= 0 else 0
+    else:
+        yield path, raw.decode("utf-8", "replace")
+
+
 def document_texts(files: DataFrame) -> DataFrame:
     """(path, text) from (path, content): by what follows the path's last dot,
-    pdf and docx are unpacked, anything else is UTF-8 text."""
+    pdf and docx are unpacked, anything else is UTF-8 text. A text file that
+    begins like a bundle of ``write_documents`` gives a row a document, whose path
+    ends in # and its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "text"])
         for b in batches:
-            out = []
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kind = path.rsplit(".", 1)[-1].lower()
-                read = {"pdf": _pdf, "docx": _docx}.get(kind, lambda x: x.decode("utf-8", "replace"))
-                out.append(read(raw or b""))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["path", "text"])
+            out, size = [], 0
+            for path, raw in zip(b.column(0), b.column(1), strict=True):
+                for row in _texts_of(path.as_py(), raw.as_py() or b""):
+                    out.append(row)
+                    size += len(row[1])
+                    if size >= _TEXT_BYTES:
+                        yield made(out)
+                        out, size = [], 0
+            if out:
+                yield made(out)
 
     return files.select("path", "content").mapInArrow(run, "path string, text string")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``document_texts`` of all files below ``path``."""
     return document_texts(spark.read.format("binaryFile").load(path))
 
 
