@@ -83,3 +83,23 @@ def test_overlaps_in_tiles_as_in_one_block(spark, tiled, monkeypatch):
     many = top(matching.overlaps(asked, rows, 3))
     monkeypatch.setattr(matching, "by_block", blocks.by_block)
     assert many == top(matching.overlaps(asked, rows, 3))
+
+
+@pytest.mark.parametrize("by", [(), ("kind",)])
+def test_scores_at_once_are_bounded(by):
+    """A full batch against a full block: never all of their scores in memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows, unit = rng.standard_normal((blocks.BATCH_ROWS, 8)), vector._unit(rng.standard_normal((blocks.QUERY_BLOCK, 8)))
+    columns = {"node_id": np.arange(len(rows)), **({"kind": np.arange(len(rows)) % 2} if by else {}), "vec": rows.tolist()}
+    batch = pa.table(columns).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    found = [(q, s) for b in vector._best_of_batch(list(range(len(unit))), unit, 1, len(by), 6)(iter([batch])) for q, s in zip(b["query_id"].to_pylist(), b["score"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20
+    best = np.round((vector._unit(rows) @ unit.T).max(axis=0), 6)
+    assert all(max(s for s in (t for p, t in found if p == q)) == pytest.approx(best[q]) for q in (0, 777, len(unit) - 1))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators.components import connected_components
 from tidemark.operators.matching import containing, first_names
+from tidemark.plans.lineage import cut
 from tidemark.plans.order import previous
 
 
@@ -125,7 +126,7 @@ def canonical_names(raw: DataFrame, threshold: float = 0.85) -> DataFrame:
 def adjacent(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, node_id, seed_ordinal, way): neighbours of seed chunks
     (query_id, node_id, ordinal), those after (0) and before (1)."""
-    s = seeds.select("query_id", F.col("node_id").alias("seed"), F.col("ordinal").alias("seed_ordinal"))
+    s = cut(seeds.select("query_id", F.col("node_id").alias("seed"), F.col("ordinal").alias("seed_ordinal")), "seeds")
     after = s.join(edges, s["seed"] == edges["src"]).select("query_id", F.col("dst").alias("node_id"), "seed_ordinal", F.lit(0).alias("way"))
     before = s.join(edges, s["seed"] == edges["dst"]).select("query_id", F.col("src").alias("node_id"), "seed_ordinal", F.lit(1).alias("way"))
     return after.unionByName(before)
@@ -182,13 +183,15 @@ def sharing(seeds: DataFrame, links: DataFrame, per_seed: int = 3, heavy: int =
     found by a join on the entity. The others, a hub's chunks, stay in parts of
     bounded size that meet tiles of queries, and a part sends on only as many
     chunks of a query as its limit, so a hub gives no pairs of all its chunks.
+    Seeds and links are read several times, so they are written once, by jobs that
+    run while the result is built.
     """
-    s = seeds.select("query_id", F.col("node_id").alias("seed"))
+    s = cut(seeds.select("query_id", F.col("node_id").alias("seed")), "seeds")
     limits = s.groupBy("query_id").agg((F.count("*") * per_seed).alias("most"))
-    other = links.select(F.col("chunk_id").alias("node_id"), "entity").where("entity is not null").distinct()
+    other = cut(links.select(F.col("chunk_id").alias("node_id"), "entity").where("entity is not null").distinct(), "links")
     mine = s.join(other.withColumnRenamed("node_id", "seed"), "seed").groupBy("query_id", "entity")
     mine = mine.agg(F.count_distinct("seed").alias("seeds"), F.min("seed").alias("seed"))
-    mine = mine.select("query_id", "entity", F.when(F.col("seeds") == 1, F.col("seed")).alias("only_seed"))
+    mine = cut(mine.select("query_id", "entity", F.when(F.col("seeds") == 1, F.col("seed")).alias("only_seed")), "asked")
 
     hubs = other.groupBy("entity").agg(F.count("*").alias("chunks")).where(F.col("chunks") > heavy).select("entity")
     asked_hubs = hubs.join(mine.select("entity").distinct(), "entity", "left_semi")
@@ -215,7 +218,8 @@ def expansion(seeds: DataFrame, edges: DataFrame, links: DataFrame, per_seed: in
     """(query_id, node_id, expansion_type, shared, ordinal): chunks next to the
     seeds, then chunks that share entities; a chunk found twice counts once, as
     first found, and seeds are left out. The limit on shared ones comes before
-    what was seen is left out, so fewer may come back."""
+    what was seen is left out, so fewer may come back. Seeds are written first."""
+    seeds = cut(seeds.select("query_id", "node_id", "ordinal"), "seeds")
     step1 = adjacent(seeds, edges).withColumns({"stage": F.lit(0), "shared": F.lit(None).cast("long")})
     step1 = step1.select("query_id", "node_id", "stage", "seed_ordinal", "way", "shared")
     step2 = sharing(seeds, links, per_seed).select("query_id", "node_id", F.lit(1).alias("stage"), F.col("n").alias("seed_ordinal"), F.lit(0).alias("way"), "shared")

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.vector import TOP_K, top_k
+from tidemark.operators.vector import CELLS, TOP_K, top_k
 
 #: Rows on which centroids are fitted: those of the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -173,8 +173,9 @@ def _scored(k: int, by: tuple[str, ...], digits: int):
             for c in by:
                 codes = rows[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 group = np.unique(group * (rows.num_rows + 1) + codes + 1, return_inverse=True)[1]
-            for lo in range(0, asked.num_rows, TILE_QUERIES):
-                some = asked.slice(lo, TILE_QUERIES)
+            most = max(1, min(TILE_QUERIES, CELLS // rows.num_rows))
+            for lo in range(0, asked.num_rows, most):
+                some = asked.slice(lo, most)
                 scores = np.round(_unit(_matrix(some["query_vec"].combine_chunks())) @ unit.T, digits) + 0.0
                 for g in np.unique(group):
                     mine = np.flatnonzero(group == g)

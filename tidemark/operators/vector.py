@@ -15,11 +15,14 @@ from tidemark.functions import text
 from tidemark.operators import state
 from tidemark.operators.matching import overlaps
 from tidemark.plans.blocks import by_block
+from tidemark.plans.lineage import cut
 
 TOP_K = 8
 FINAL_K = 5
 RERANK_THRESHOLD = 0.7
 ENTITY_K = 3
+#: Scores, rows by queries, that a task has in memory at once.
+CELLS = 1 << 20
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
@@ -30,7 +33,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: tuple[str,
     queries: (query_id, query_vec); corpus: (node_id, vec, *by). A zero vector
     has cosine 0, a null one is left out, one of another length raises. Corpus
     rows meet blocks of queries of bounded size, an Arrow batch at a time by one
-    matrix product, and only a batch's best k rows a query and group are shuffled.
+    matrix product, of at most CELLS scores at once, and only a batch's best k
+    rows a query and group are shuffled.
     """
     kinds = ", ".join(f"{c} {t}" for c, t in corpus.select("node_id", *by).dtypes)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
@@ -51,6 +55,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _best_of_batch(ids: list, unit: np.ndarray, k: int, n_by: int, digits: int):
+    kind = pa.array(ids).type
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows or not ids:
@@ -59,29 +65,33 @@ def _best_of_batch(ids: list, unit: np.ndarray, k: int, n_by: int, digits: int):
             if vecs.flatten().null_count or set(np.asarray(pc.list_value_length(vecs)).tolist()) != {unit.shape[1]}:
                 raise ValueError(f"vectors must have {unit.shape[1]} elements, none of them null")
             flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(_unit(flat.reshape(b.num_rows, -1)) @ unit.T, digits) + 0.0
+            rows_ = _unit(flat.reshape(b.num_rows, -1))
             node = b.column(0).to_numpy(zero_copy_only=False)
             group = np.zeros(b.num_rows, np.int64)
             for i in range(n_by):
                 codes = b.column(1 + i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 group = np.unique(group * (b.num_rows + 1) + codes + 1, return_inverse=True)[1]
-            rows, asked = [], []
-            for g in np.unique(group):
-                mine = np.flatnonzero(group == g)
-                part = -scores[mine]
-                least = part if len(mine) <= k else np.partition(part, k - 1, axis=0)[k - 1]
-                r, q = np.nonzero(part <= least)  # ties with the k-th stay in until they are ordered
-                rows.append(mine[r])
-                asked.append(q)
-            row, q = np.concatenate(rows), np.concatenate(asked)
-            order = np.lexsort((node[row], -scores[row, q], group[row], q))
-            row, q = row[order], q[order]
-            start = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (group[row[1:]] != group[row[:-1]])])
-            nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-            row, q = row[nth < k], q[nth < k]
-            kept = [b.column(i).take(pa.array(row)) for i in range(n_by + 1)]
+            groups = [np.flatnonzero(group == g) for g in np.unique(group)]
             names = ["query_id", *b.schema.names[: n_by + 1], "score"]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), *kept, pa.array(scores[row, q])], names=names)
+            some = max(1, CELLS // b.num_rows)  # queries at once
+            for lo in range(0, len(ids), some):
+                scores = np.round(rows_ @ unit[lo : lo + some].T, digits)
+                scores += 0.0
+                rows, asked = [], []
+                for mine in groups:
+                    part = -scores[mine]
+                    least = part if len(mine) <= k else np.partition(part, k - 1, axis=0)[k - 1]
+                    r, q = np.nonzero(part <= least)  # ties with the k-th stay in until they are ordered
+                    rows.append(mine[r])
+                    asked.append(q)
+                row, q = np.concatenate(rows), np.concatenate(asked)
+                order = np.lexsort((node[row], -scores[row, q], group[row], q))
+                row, q = row[order], q[order]
+                start = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (group[row[1:]] != group[row[:-1]])])
+                nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+                row, q = row[nth < k], q[nth < k]
+                kept = [b.column(i).take(pa.array(row)) for i in range(n_by + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + i] for i in q.tolist()], kind), *kept, pa.array(scores[row, q])], names=names)
 
     return run
 
@@ -107,6 +117,7 @@ def hybrid_search(queries: DataFrame, menu: DataFrame, chunks: DataFrame, expand
     """Dual-domain search, expansion over the graph, reranking and top k."""
     found = dual_domain(queries, menu, chunks).withColumn("via_expansion", F.lit(False))
     if expand is not None:
+        found = cut(found, "found")  # read twice, searched once
         found = found.unionByName(expand(found), allowMissingColumns=True)
     return rerank(found, F.coalesce(F.col("score"), F.lit(0.0)) if scorer is None else scorer, threshold, k)
 

@@ -58,7 +58,7 @@ def _pair(meet: Callable[[pa.Table], Run], asked_columns: list[str], held_column
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not asked.num_rows or not held.num_rows:
             return kinds.empty_table()
-        batches = held.select(held_columns).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
+        batches = held.select(held_columns).to_batches(max_chunksize=BATCH_ROWS)
         found = [pa.Table.from_batches([b]).cast(kinds) for b in meet(asked.select(asked_columns))(iter(batches))]
         return pa.concat_tables([kinds.empty_table(), *found])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import similarity
 from tidemark.operators import graph, ivf, matching, metrics, sparse, vector
-from tidemark.plans.lineage import scratch
+from tidemark.plans.lineage import cut, scratch
 from tidemark.plans.registry import Registry, table
 
 R = Registry()
@@ -132,6 +132,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         return got.select("query_id", F.lit("chunk").alias("kind"), "node_id", (F.col("ordinal") + 16).alias("ordinal"), F.lit(True).alias("via_expansion"))
 
     first = vector.dual_domain(queries, _nodes(e, "label < 5"), _nodes(e, "label >= 5")).drop("score").withColumn("via_expansion", F.lit(False))
+    first = cut(first, "found")  # read twice, searched once
     every = first.unionByName(expand(first)).join(_nodes(e), "node_id").join(queries, "query_id")
     out = vector.rerank(every, F.round(similarity.cosine(F.col("query_vec"), F.col("vec")), 6), 0.2)
     return out.select("query_id", "kind", "node_id", "via_expansion", "rerank_score", "rank")
@@ -141,7 +142,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT d.query_id, CASE WHEN t.node_id IS NULL THEN 'absent' WHEN t.score < 0.25 THEN 'below threshold' ELSE 'found' END AS fate FROM (SELECT DISTINCT query_id FROM ({DUAL_SQL})) d LEFT JOIN ({DUAL_SQL}) t ON t.query_id = d.query_id AND t.node_id = d.query_id + 1"""
 )
 def target_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dual_domain(spark, sf_dir)
+    found = cut(dual_domain(spark, sf_dir), "found")
     targets = found.select("query_id").distinct().withColumn("node_id", F.col("query_id") + 1)
     fate = F.when(F.col("score").isNull(), "absent").when(F.col("score") < 0.25, "below threshold").otherwise("found")
     return targets.join(found.select("query_id", "node_id", "score"), ["query_id", "node_id"], "left").select("query_id", fate.alias("fate"))
@@ -274,9 +275,10 @@ SELECT n, recall_without, recall_with, round(CASE WHEN recall_without > 0 THEN (
 def expansion_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the chunk after a query chunk is found, by vectors alone and with
     what the graph adds to them, and the lift of the latter."""
-    found = dual_domain(spark, sf_dir).select("query_id", "node_id")
-    edges = _edges(spark, sf_dir)
-    wide = found.unionByName(graph_expansion(spark, sf_dir).select("query_id", "node_id")).distinct()
+    every = cut(dual_domain(spark, sf_dir), "found")
+    found, edges = every.select("query_id", "node_id"), _edges(spark, sf_dir)
+    wide = graph.expansion(every.where("kind = 'chunk'").select("query_id", "node_id", "ordinal"), edges, _links(spark, sf_dir))
+    wide = found.unionByName(wide.select("query_id", "node_id")).distinct()
     pairs = edges.where("src % 20 = 0").select(F.col("src").alias("query_id"), F.col("dst").alias("target"))
     hit = lambda ids, name: ids.select("query_id", F.col("node_id").alias("target"), F.lit(1).alias(name))
     both = pairs.join(hit(found, "without"), ["query_id", "target"], "left").join(hit(wide, "with"), ["query_id", "target"], "left")
