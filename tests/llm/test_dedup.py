@@ -365,3 +365,25 @@ def test_factors_judge_segments_of_equal_bytes(keep_first):
         assert got == {(b"one", False): [(0, 21)], (b"one", True): [(0, 61)]}
     else:
         assert got == {(b"one", False): [(0, 61)], (b"one", True): [(0, 61)], (b"two", False): [(40, 61)]}
+
+
+def test_long_texts_are_scanned_in_pieces(monkeypatch):
+    """Every window has its anchor, wherever a text is cut; memory does not grow with the text."""
+    import tracemalloc
+
+    def owned(chunk, text):
+        monkeypatch.setattr(lpf, "_CHUNK", chunk)
+        batch = pa.record_batch([pa.array([7]), pa.array([8]), pa.array([text], pa.binary())], names=["row", "row2", "raw"])
+        spans = [(h, *lpf._unpack(p)) for b in lpf._anchor_rows(200)(iter([batch])) for h, p in zip(b["h"].to_pylist(), b["pos"].to_pylist(), strict=True)]
+        return sorted((w, h) for h, first, last in spans for w in range(first, last + 1))
+
+    some = random.Random(3).randbytes(2_000)
+    text = some + b"ab" * 700 + some[300:] + some
+    assert owned(999, text) == owned(1 << 20, text) and len(owned(999, text)) == len(text) - 199
+    monkeypatch.undo()
+    tracemalloc.start()
+    for _ in lpf._anchor_rows(200)(iter([pa.record_batch([pa.array([7]), pa.array([8]), pa.array([random.Random(4).randbytes(5 << 20)], pa.binary())], names=["row", "row2", "raw"])])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20

@@ -37,8 +37,8 @@ MAX_WINDOWS = 1024
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 _ROWS = 1 << 14
-#: Texts are scanned together up to this many bytes.
-_CHUNK = 4 << 20
+#: Texts are scanned together up to this many bytes, longer ones in pieces; a scan takes about 60 times as much memory.
+_CHUNK = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -137,13 +137,17 @@ def _anchor_rows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (row, row2, h, pos), one per anchor."""
         for b in batches:
-            bodies = b.column(2).to_pylist()
-            row, row2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            # a piece has all windows that start in it; an anchor on both sides of a cut has a row on either
+            pieces = [(n, at, x[at : at + _CHUNK + least - 1]) for n, x in enumerate(b.column(2).to_pylist()) for at in range(0, max(1, len(x) - least + 1), _CHUNK)]
+            bodies = [x for _, _, x in pieces]
+            line, offset = (np.array([p[c] for p in pieces], np.int64) for c in range(2))
+            row, row2 = b.column(0).to_numpy()[line], b.column(1).to_numpy()[line]
             for i, j, text in _joined(bodies):
                 if len(text) < least:
                     continue
                 h, first, last, recurs, own = own_anchors(text, np.array([len(x) for x in bodies[i:j]]), least)
-                cols = (row[i:j][own], row2[i:j][own], h.view(np.int64), _pack(first, last, recurs))
+                at = offset[i:j][own]
+                cols = (row[i:j][own], row2[i:j][own], h.view(np.int64), _pack(first + at, last + at, recurs))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "row2", "h", "pos"])
 
     return run
