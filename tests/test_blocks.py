@@ -103,3 +103,16 @@ def test_scores_at_once_are_bounded(by):
     assert peak < 128 << 20
     best = np.round((vector._unit(rows) @ unit.T).max(axis=0), 6)
     assert all(max(s for s in (t for p, t in found if p == q)) == pytest.approx(best[q]) for q in (0, 777, len(unit) - 1))
+
+
+def test_equal_names_and_queries_are_met_once(spark, monkeypatch):
+    from tidemark.operators import graph
+
+    met = []
+    whole = graph.first_names
+    monkeypatch.setattr(graph, "first_names", lambda q, n: met.append((q.count(), n.count())) or whole(q, n))
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.element_at(F.array(F.lit("Hot"), F.lit("one HOT bolt please"), F.lit("zzz")), (F.col("id") % 3 + 1).cast("int")).alias("query"))
+    names = spark.range(500).select(F.element_at(F.array(F.lit("hot bolt"), F.lit("Hot ring"), F.lit("cold")), (F.col("id") % 3 + 1).cast("int")).alias("name"))
+    got = graph.lookup_by_name(asked.unionByName(spark.createDataFrame([(900, None)], "query_id long, query string")), names).collect()
+    assert sorted((r.query_id, r.query, r.name) for r in got) == [(i, ("Hot", "one HOT bolt please")[i % 3], "Hot ring" if i % 3 == 0 else "hot bolt") for i in range(300) if i % 3 < 2]
+    assert met == [(4, 3)]

@@ -234,10 +234,12 @@ def expansion(seeds: DataFrame, edges: DataFrame, links: DataFrame, per_seed: in
 def lookup_by_name(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, query, name): the first name, by length then alphabet, that
     contains the query or lies in it, letter case aside. ``queries`` is the
-    stated set, dealt out to every task; a task sends its first name a query."""
-    hit = first_names(queries.select("query_id", F.lower("query").alias("low")), names.select("name", F.lower("name").alias("low")))
-    best = hit.groupBy("query_id").agg(F.min(F.struct(F.length("name").alias("n"), "name")).alias("best"))
-    return queries.join(best, "query_id").select("query_id", "query", F.col("best.name").alias("name"))
+    stated set, dealt out to every task; a task sends its first name a query.
+    Equal queries are sought once and equal names looked at once."""
+    asked = queries.select(F.lower("query").alias("low")).distinct()
+    hit = first_names(asked.select(F.col("low").alias("query_id"), "low"), names.select("name").distinct().select("name", F.lower("name").alias("low")))
+    best = hit.groupBy(F.col("query_id").alias("low")).agg(F.min(F.struct(F.length("name").alias("n"), "name")).alias("best"))
+    return queries.withColumn("low", F.lower("query")).join(best, "low").select("query_id", "query", F.col("best.name").alias("name"))
 
 
 def list_items(items: DataFrame, category: str | None = None) -> DataFrame:

@@ -87,7 +87,7 @@ def first_names(queries: DataFrame, names: DataFrame) -> DataFrame:
                     found = found if empty is None or found is None else min(found, empty)
                     if found is not None:
                         best[q] = min(found, best.get(q, found))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in best]), pa.array([given[n][0] for n in best.values()], pa.string())], names=["query_id", "name"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in best], block["query_id"].type), pa.array([given[n][0] for n in best.values()], pa.string())], names=["query_id", "name"])
 
         return run
 
