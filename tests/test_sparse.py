@@ -76,3 +76,15 @@ def test_sharing_however_heavy_the_entities(spark, monkeypatch, heavy):
     monkeypatch.setattr(graph, "TILE_QUERIES", 5)
     got = graph.sharing(spark.createDataFrame(seeds, "query_id long, node_id long, ordinal int"), spark.createDataFrame(links, "chunk_id long, entity string"), heavy=heavy)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_words_are_not_shuffled(spark):
+    """Bags take one exchange, of texts; words that no query has do not reach the shards."""
+    rows = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "id long, text string")
+    made = sparse.bags(rows, "id", "text")
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.id, r.word, round(r.x, 6)) for r in made.collect()) == [(1, "a", 0.894427), (1, "b", 0.447214), (2, "b", 0.707107), (2, "c", 0.707107)]
+    asked = sparse.bags(spark.createDataFrame([(2, "b")], "query_id long, text string"), "query_id", "text")
+    for n in (None, 3, 5_000):
+        found = sparse.top_k(asked, made.withColumnRenamed("id", "node_id"), 2, n_rows=n).collect()
+        assert sorted((r.query_id, r.node_id, r.score) for r in found) == [(2, 1, 0.447214), (2, 2, 0.707107)]

@@ -26,11 +26,13 @@ DIGITS = 6
 def bags(rows: DataFrame, key: str, text: str | Column) -> DataFrame:
     """(key, word, x): each word of a row's text, in lower case, with its count
     over the norm of all counts. ``key`` tells rows apart. Null texts and texts
-    without words give none; time grows with the number of words."""
-    found = F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(r"(?U)\w+"), F.lit(0))
-    counts = rows.select(key, F.explode(found).alias("word")).groupBy(key, "word").agg(F.count("*").cast("double").alias("n"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, key).select(key, "word", (F.col("n") / F.col("norm")).alias("x"))
+    without words give none; time grows with the number of words. Texts are
+    shuffled once, by their key, and words not at all."""
+    said = rows.select(key, F.lower(F.col(text) if isinstance(text, str) else text).alias("_text")).repartition(key)
+    found = F.regexp_extract_all("_text", F.lit(r"(?U)\w+"), F.lit(0))
+    counts = said.select(key, F.explode(found).alias("word")).groupBy(key, "word").agg(F.count("*").cast("double").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counts.select(key, "word", (F.col("n") / norm).alias("x"))
 
 
 class Shard:
@@ -110,20 +112,24 @@ def _met(k: int):
     return run
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS, n_rows: int | None = None) -> DataFrame:
     """(query_id, node_id, score, rank): the k rows with the highest cosines above
     0 of each query, ties to the smaller node_id; scores are rounded to 6 digits.
 
     queries: (query_id, word, x), rows: (node_id, word, x), both as ``bags`` makes
     them. Ids are not null. Shards and tiles of queries meet pair by pair; only a
-    shard's k best a query are shuffled on. Empty sides give nothing.
+    shard's k best a query are shuffled on. Empty sides give nothing. ``n_rows``:
+    how many rows there are, where that is known; else all of ``rows`` is made
+    once more to count them. It only says how many shards there are.
     """
-    shards = max(1, -(-rows.agg(F.count_distinct("node_id")).first()[0] // shard_rows))
+    n_rows = rows.agg(F.count_distinct("node_id")).first()[0] if n_rows is None else n_rows
+    shards = max(1, -(-n_rows // shard_rows))
     tiles = max(1, -(-queries.agg(F.count_distinct("query_id")).first()[0] // TILE_QUERIES))
     dealt = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     asked = queries.select("query_id", "word", "x", dealt("query_id", tiles, "tile"), every(shards, "shard"))
-    held = rows.select("node_id", "word", "x", dealt("node_id", shards, "shard"), every(tiles, "tile"))
+    # words that no query has weigh nothing here
+    held = rows.join(queries.select("word").distinct(), "word", "left_semi").select("node_id", "word", "x", dealt("node_id", shards, "shard"), every(tiles, "tile"))
     kinds = [f"{c} {f.schema[c].dataType.simpleString()}" for f, c in ((queries, "query_id"), (rows, "node_id"))]
     found = asked.groupBy("shard", "tile").cogroup(held.groupBy("shard", "tile")).applyInArrow(_met(k), f"{', '.join(kinds)}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")

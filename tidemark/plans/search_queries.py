@@ -250,8 +250,9 @@ SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents nearest to each item by their words."""
     asked = sparse.bags(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
-    held = sparse.bags(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "node_id")
-    return sparse.top_k(asked, held, 5)
+    docs = table(spark, sf_dir, "documents")
+    held = sparse.bags(docs, "doc_id", "text").withColumnRenamed("doc_id", "node_id")
+    return sparse.top_k(asked, held, 5, n_rows=docs.count())
 
 
 @R.add("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40))")
