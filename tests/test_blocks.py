@@ -116,3 +116,25 @@ def test_equal_names_and_queries_are_met_once(spark, monkeypatch):
     got = graph.lookup_by_name(asked.unionByName(spark.createDataFrame([(900, None)], "query_id long, query string")), names).collect()
     assert sorted((r.query_id, r.query, r.name) for r in got) == [(i, ("Hot", "one HOT bolt please")[i % 3], "Hot ring" if i % 3 == 0 else "hot bolt") for i in range(300) if i % 3 < 2]
     assert met == [(4, 3)]
+
+
+def test_rows_that_earlier_batches_beat_are_not_sent():
+    """Of many batches of one task, each group's best so far bound what the later ones send; ties, zeros and
+    vectors with nan included."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    vecs = rng.integers(-2, 3, (4000, 6)).astype(float)  # many equal scores
+    vecs[17] = 0
+    vecs[::50] = np.nan
+    node, kind = rng.permutation(4000), np.where(np.arange(4000) % 3, "a", "b")
+    unit = vector._unit(rng.standard_normal((30, 6)))
+    table = pa.table({"node_id": node, "kind": kind, "vec": vecs.tolist()})
+    sent = [r for b in vector._best_of_batch(list(range(30)), unit, 4, 1, 6)(iter(table.to_batches(max_chunksize=100))) for r in b.to_pylist()]
+    scores = np.round(vector._unit(vecs) @ unit.T, 6)
+    for q in range(30):
+        for g in "ab":
+            want = sorted((-scores[i, q] + 0.0, int(node[i])) for i in range(4000) if kind[i] == g and not np.isnan(scores[i, q]))[:4]
+            got = sorted((-r["score"] + 0.0, r["node_id"]) for r in sent if (r["query_id"], r["kind"]) == (q, g))[:4]
+            assert got == want
+    assert len(sent) < 40 * 30 * 2 * 4 / 2

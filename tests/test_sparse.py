@@ -88,3 +88,32 @@ def test_words_are_not_shuffled(spark):
     for n in (None, 3, 5_000):
         found = sparse.top_k(asked, made.withColumnRenamed("id", "node_id"), 2, n_rows=n).collect()
         assert sorted((r.query_id, r.node_id, r.score) for r in found) == [(2, 1, 0.447214), (2, 2, 0.707107)]
+
+
+def test_a_part_of_a_hub_is_counted_in_bounded_memory():
+    """A full tile of queries against a full part of chunks, one query at a time, as by brute force."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, m = 16_384, 1_024
+    node = rng.permutation(n) * 3
+    has = [sorted({f"a{i % 5}", f"b{i % 7}"}) for i in node.tolist()]
+    links = pa.table({"node_id": np.repeat(node, [len(h) for h in has]), "entity": [e for h in has for e in h]})
+    asked = [(q, e, int(rng.choice(node)) if rng.random() < 0.5 else None, 3 + q % 20) for q in range(m) for e in rng.choice(["a0", "a3", "b1", "b2", "b6", "none"], 3, replace=False).tolist()]
+    asked = [asked[i] for i in rng.permutation(len(asked))]
+    table = pa.table(dict(zip(("query_id", "entity", "only_seed", "most"), map(list, zip(*asked)))), schema=pa.schema({"query_id": pa.int64(), "entity": pa.string(), "only_seed": pa.int64(), "most": pa.int64()}))
+    tracemalloc.start()
+    got = graph._best_sharing()(table, links)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    found = {}
+    for r in got.to_pylist():
+        found.setdefault(r["query_id"], []).append((-r["shared"], r["node_id"]))
+    for q in range(0, m, 100):
+        mine = [(e, only) for p, e, only, _ in asked if p == q]
+        count = [(-sum(e in h and only != c for e, only in mine), c) for c, h in zip(node.tolist(), has)]
+        assert sorted(found[q]) == sorted(x for x in count if x[0])[: 3 + q % 20]

@@ -133,44 +133,49 @@ def adjacent(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: Chunks that mention an entity beyond which it is not joined but counted where chunks lie; chunks and queries that
-#: meet at once.
+#: meet in one task, and how many entities each of them has there at most, taken over all.
 HEAVY = 512
-PART_CHUNKS = 4_096
-TILE_QUERIES = 256
+PART_CHUNKS = 16_384
+TILE_QUERIES = 1_024
+LINKS = 32
 
 
 def _best_sharing():
     """Of a part of the chunks the best of each query: how many of a query's
-    entities each chunk has, by one count matrix, queries by chunks."""
+    entities each chunk has, counted for one query at a time."""
 
     def run(asked: pa.Table, links: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        kinds = (asked.schema.field("query_id").type, links.schema.field("node_id").type, pa.int64())
+        out = [[pa.array([], t)] for t in kinds]
         if asked.num_rows and links.num_rows:
-            queries, chunks = (t[c].combine_chunks().dictionary_encode() for t, c in ((asked, "query_id"), (links, "node_id")))
+            ids, at = np.unique(links["node_id"].to_numpy(), return_inverse=True)
+            place = {c: i for i, c in enumerate(ids.tolist())}
             entities = pa.concat_tables([asked.select(["entity"]), links.select(["entity"])])["entity"].combine_chunks().dictionary_encode().indices.to_numpy()
             mine, theirs = entities[: asked.num_rows], entities[asked.num_rows :]
-            shared = np.zeros((len(queries.dictionary), len(chunks.dictionary)), np.int32)
-            order, at = np.argsort(theirs, kind="stable"), chunks.indices.to_numpy()
-            lo, hi = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
-            for q, a, b in zip(queries.indices.to_pylist(), lo.tolist(), hi.tolist(), strict=True):
-                shared[q, at[order[a:b]]] += 1
-            # an entity that only one seed has is not shared with that seed
-            place = {c: i for i, c in enumerate(chunks.dictionary.to_pylist())}
-            has = set(zip(at.tolist(), theirs.tolist(), strict=True))
-            for q, e, only in zip(queries.indices.to_pylist(), mine.tolist(), asked["only_seed"].to_pylist(), strict=True):
-                if only is not None and (place.get(only), e) in has:
-                    shared[q, place[only]] -= 1
-            ids = chunks.dictionary.to_numpy(zero_copy_only=False)
-            rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-            most = dict(zip(queries.indices.to_pylist(), asked["most"].to_pylist(), strict=True))
-            for q in range(len(shared)):
-                some = np.flatnonzero(shared[q])
-                some = some[np.lexsort((rank[some], -shared[q, some]))[: most[q]]]
-                out[0].extend([queries.dictionary[q].as_py()] * len(some))
-                out[1].extend(ids[some].tolist())
-                out[2].extend(shared[q, some].tolist())
-        kinds = (asked.schema.field("query_id").type, links.schema.field("node_id").type, pa.int64())
-        return pa.table([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "node_id", "shared"])
+            order = np.lexsort((at, theirs))
+            at, theirs = at[order], theirs[order]
+            lo, hi = (np.searchsorted(theirs, mine, side) for side in ("left", "right"))
+            queries = asked["query_id"].combine_chunks().dictionary_encode()
+            code, most, only = queries.indices.to_numpy(), asked["most"].to_numpy(), asked["only_seed"].to_pylist()
+            by_query = np.argsort(code, kind="stable")
+            for rows in np.split(by_query, np.flatnonzero(np.diff(code[by_query])) + 1):
+                shared = np.zeros(len(ids), np.int64)
+                for i in rows.tolist():
+                    has = at[lo[i] : hi[i]]
+                    shared[has] += 1
+                    if only[i] in place:  # an entity that only one seed has is not shared with that seed
+                        seed = place[only[i]]
+                        n = np.searchsorted(has, seed)
+                        shared[seed] -= n < len(has) and has[n] == seed
+                limit = most[rows[0]]
+                above = np.cumsum(np.bincount(shared)[:0:-1])[::-1]  # chunks that share 1 or more, 2 or more, ...
+                cut = max(1, int((above >= limit).sum()))
+                some = np.flatnonzero(shared > cut)
+                some = np.r_[some, np.flatnonzero(shared == cut)[: limit - len(some)]]
+                out[0].append(queries.dictionary.take(pa.array(np.full(len(some), code[rows[0]]))))
+                out[1].append(pa.array(ids[some], kinds[1]))
+                out[2].append(pa.array(shared[some]))
+        return pa.table([pa.chunked_array(o, t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "node_id", "shared"]).combine_chunks()
 
     return run
 
@@ -199,8 +204,8 @@ def sharing(seeds: DataFrame, links: DataFrame, per_seed: int = 3, heavy: int =
     rare = other.join(crowd, "node_id", "left_anti").join(hubs, "entity", "left_anti")
     met = mine.join(rare, "entity").where("only_seed is null or only_seed <> node_id").groupBy("query_id", "node_id").agg(F.count("*").alias("shared"))
 
-    parts = max(1, -(-crowd.count() // PART_CHUNKS))
-    tiles = max(1, -(-limits.count() // TILE_QUERIES))
+    parts = max(1, -(-crowd.count() // PART_CHUNKS), -(-other.count() // (PART_CHUNKS * LINKS)))
+    tiles = max(1, -(-limits.count() // TILE_QUERIES), -(-mine.count() // (TILE_QUERIES * LINKS)))
     dealt = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     asked = mine.join(limits, "query_id").select("query_id", "entity", "only_seed", "most", dealt("query_id", tiles, "tile"), every(parts, "part"))

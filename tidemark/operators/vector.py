@@ -33,8 +33,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: tuple[str,
     queries: (query_id, query_vec); corpus: (node_id, vec, *by). A zero vector
     has cosine 0, a null one is left out, one of another length raises. Corpus
     rows meet blocks of queries of bounded size, an Arrow batch at a time by one
-    matrix product, of at most CELLS scores at once, and only a batch's best k
-    rows a query and group are shuffled.
+    matrix product, of at most CELLS scores at once. Only a batch's best k rows a
+    query and group are shuffled, without those that k earlier ones of the task
+    beat, so only scores as good as the k-th so far are rounded and ordered.
     """
     kinds = ", ".join(f"{c} {t}" for c, t in corpus.select("node_id", *by).dtypes)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
@@ -55,43 +56,58 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _best_of_batch(ids: list, unit: np.ndarray, k: int, n_by: int, digits: int):
+    """A batch's best rows of each query and group, but for those that k rows of
+    earlier batches beat."""
     kind = pa.array(ids).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = {}  # of each group every query's k best scores so far, the least first
         for b in batches:
             if not b.num_rows or not ids:
                 continue
             vecs = b.column(n_by + 1)
             if vecs.flatten().null_count or set(np.asarray(pc.list_value_length(vecs)).tolist()) != {unit.shape[1]}:
                 raise ValueError(f"vectors must have {unit.shape[1]} elements, none of them null")
-            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows_ = _unit(flat.reshape(b.num_rows, -1))
-            node = b.column(0).to_numpy(zero_copy_only=False)
             group = np.zeros(b.num_rows, np.int64)
             for i in range(n_by):
                 codes = b.column(1 + i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 group = np.unique(group * (b.num_rows + 1) + codes + 1, return_inverse=True)[1]
-            groups = [np.flatnonzero(group == g) for g in np.unique(group)]
+            b = b.take(pa.array(np.argsort(group, kind="stable")))  # a group's rows lie together
+            ends = np.cumsum(np.bincount(group)).tolist()
+            groups = [(tuple(b.column(1 + i)[lo].as_py() for i in range(n_by)), lo, hi) for lo, hi in zip([0, *ends], ends)]
+            rows_ = _unit(b.column(n_by + 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
+            node = b.column(0).to_numpy(zero_copy_only=False)
             names = ["query_id", *b.schema.names[: n_by + 1], "score"]
             some = max(1, CELLS // b.num_rows)  # queries at once
-            for lo in range(0, len(ids), some):
-                scores = np.round(rows_ @ unit[lo : lo + some].T, digits)
-                scores += 0.0
-                rows, asked = [], []
-                for mine in groups:
-                    part = -scores[mine]
-                    least = part if len(mine) <= k else np.partition(part, k - 1, axis=0)[k - 1]
-                    r, q = np.nonzero(part <= least)  # ties with the k-th stay in until they are ordered
-                    rows.append(mine[r])
-                    asked.append(q)
-                row, q = np.concatenate(rows), np.concatenate(asked)
-                order = np.lexsort((node[row], -scores[row, q], group[row], q))
-                row, q = row[order], q[order]
-                start = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (group[row[1:]] != group[row[:-1]])])
-                nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-                row, q = row[nth < k], q[nth < k]
-                kept = [b.column(i).take(pa.array(row)) for i in range(n_by + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + i] for i in q.tolist()], kind), *kept, pa.array(scores[row, q])], names=names)
+            for at in range(0, len(ids), some):
+                scores = unit[at : at + some] @ rows_.T
+                for key, lo, hi in groups:
+                    part = scores[:, lo:hi]
+                    if key not in tops:
+                        if len(tops) * len(ids) * k > 4 * CELLS:
+                            tops.clear()  # of many groups, begun anew
+                        tops[key] = np.full((len(ids), k), -np.inf)
+                    top = tops[key][at : at + some]
+                    floor = top[:, 0] - 2 * 10.0**-digits  # of scores that are not rounded yet
+                    if hi - lo > k and np.isneginf(floor).any():
+                        least = -np.partition(-part, k - 1, axis=1)[:, k - 1] - 2 * 10.0**-digits
+                        floor = np.fmax(floor, least)
+                    q, row = np.divmod(np.flatnonzero(part >= floor[:, None]), hi - lo)  # ties with the k-th stay in until they are ordered
+                    score = np.round(part[q, row], digits) + 0.0
+                    row += lo
+                    order = np.lexsort((node[row], -score, q))
+                    row, q, score = row[order], q[order], score[order]
+                    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+                    nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+                    kept = (nth < k) & (score >= top[q, 0])
+                    row, q, score, nth = row[kept], q[kept], score[kept], nth[kept]
+                    if not len(q):
+                        continue
+                    new = np.full(top.shape, -np.inf)
+                    new[q, nth] = score
+                    top[:] = np.sort(np.concatenate([top, new], axis=1), axis=1)[:, k:]
+                    columns = [b.column(i).take(pa.array(row)) for i in range(n_by + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in q.tolist()], kind), *columns, pa.array(score)], names=names)
 
     return run
 
