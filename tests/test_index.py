@@ -69,3 +69,44 @@ def test_nothing_to_index(spark, tmp_path):
     nodes, _ = frames(spark, [None, None])
     with pytest.raises(ValueError):
         ivf.build(nodes, str(tmp_path / "ix"))
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_queries_are_dealt_in_bounded_batches(after):
+    """Queries that probe every list: never all of their copies in one batch."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    n, lists, dim = 500, 400, 64
+    asked = {"query_id": np.arange(n), "query_vec": rng.standard_normal((n, dim)).astype(np.float32).tolist(), "least": np.full(n, -1.0)}
+    batch = pa.table(asked).combine_chunks().to_batches()[0]
+    parts = np.where(np.arange(lists) % 9, 1, 3)
+    deal = ivf._probing(np.arange(lists), ivf._unit(rng.standard_normal((lists, dim))), np.full(lists, np.pi), parts, 0 if after else lists, after)
+    seen = 0
+    for b in deal(iter([batch])):
+        assert b.nbytes < 16 << 20
+        assert len(set(zip(*(b[c].to_pylist() for c in ("query_id", "list", "part"))))) == b.num_rows
+        seen += b.num_rows
+    assert seen == n * parts.sum()
+
+
+def test_a_part_meets_tiles_of_queries(spark, tmp_path, monkeypatch):
+    nodes, asked = frames(spark, clustered(), every=2)
+    index = ivf.build(nodes, str(tmp_path / "ix"), lists=6)
+    asked = asked.withColumn("query_vec", F.col("query_vec").cast("array<float>"))
+    whole = vector.top_k(asked, nodes)
+    monkeypatch.setattr(ivf, "DEALT_QUERIES", 40)
+    scored = ivf._scored
+
+    def few(*args):
+        run = scored(*args)
+
+        def checked(asked, rows):
+            assert asked.num_rows < 80
+            return run(asked, rows)
+
+        return checked
+
+    monkeypatch.setattr(ivf, "_scored", few)
+    assert rows(ivf.search(asked, index, probes=6)) == rows(whole)
+    assert rows(ivf.search(asked, index, exact=True)) == rows(whole)

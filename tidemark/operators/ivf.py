@@ -29,6 +29,8 @@ MOST_LISTS = 4096
 #: Rows of a part of a list, and queries that meet it at once.
 PART_ROWS = 8_192
 TILE_QUERIES = 1_024
+#: Queries that come to one task with a part, on the average, at most.
+DEALT_QUERIES = 16_384
 #: Rows that are asked for once at the building, and the recall among their neighbours that sets the number of probes.
 CALIBRATION = 256
 RECALL = 0.94
@@ -67,11 +69,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that have about CELLS elements in all, ``width`` a row."""
+    some = max(1, CELLS // max(1, width))
+    for b in batches:
+        for lo in range(0, b.num_rows, some):
+            yield b.slice(lo, some)
+
+
 def _assigned(centres: np.ndarray):
     """Each row's list, by the highest cosine, and its angle to the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, len(centres)):
             if b.num_rows:
                 alike = _unit(_matrix(b["vec"])) @ centres.T
                 at = alike.argmax(1)
@@ -138,12 +148,11 @@ def _enough(index: Index, kept: DataFrame, target: float) -> int:
 
 def _probing(lists: np.ndarray, centres: np.ndarray, angles: np.ndarray, parts: np.ndarray, probes: int, after: bool):
     """The lists that a query probes and their parts: the ``probes`` nearest or,
-    ``after`` those, all others in which a cosine of ``least`` is possible."""
+    ``after`` those, all others in which a cosine of ``least`` is possible. A query's
+    vector goes to each of them, so few queries are looked at together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _sliced(batches, int(parts.sum()) * (centres.shape[1] + 4)):
             alike = _unit(_matrix(b["query_vec"])) @ centres.T
             place = np.empty_like(alike, np.int64)
             np.put_along_axis(place, np.argsort(-alike, axis=1, kind="stable"), np.arange(len(lists))[None, :], 1)
@@ -203,17 +212,20 @@ def search(queries: DataFrame, index: Index, k: int = TOP_K, by: tuple[str, ...]
     smaller node_id. ``exact``: among all rows.
 
     Null query vectors find nothing. A query is dealt to the parts of its lists,
-    so a part meets its own queries only, in tiles; only a part's best k a query
-    are shuffled on. ``exact`` runs the first probe as a job of its own where no
+    so a part meets its own queries only, in tiles of bounded size; only a part's
+    best k a query are shuffled on. ``exact`` runs the first probe as a job of its own where no
     cache holds it, and is for one group (no ``by``).
     """
     if exact and by:
         raise ValueError("an exact search has no groups")
     lists, centres, angles, parts = index.centres()
     probes = probes or index.probes()
-    asked = queries.where("query_vec is not null").select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
+    narrow = queries.schema["query_vec"].dataType.simpleString() == "array<float>"
+    vectors = "array<float>" if narrow else "array<double>"
+    asked = queries.where("query_vec is not null").select("query_id", F.col("query_vec").cast(vectors).alias("query_vec"))
+    tiles = max(1, -(-asked.count() // DEALT_QUERIES))
     kind = asked.schema["query_id"].dataType.simpleString()
-    probed = f"query_id {kind}, query_vec array<double>, list int, part int"
+    probed = f"query_id {kind}, query_vec {vectors}, list int, part int"
     rows = index.rows().select("node_id", "vec", *by, "list", "part")
     out = ", ".join([f"query_id {kind}", *(f"{c} {t}" for c, t in rows.select("node_id", *by).dtypes), "score double"])
     order = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "node_id")
@@ -221,7 +233,9 @@ def search(queries: DataFrame, index: Index, k: int = TOP_K, by: tuple[str, ...]
 
     def meet(dealt: DataFrame) -> DataFrame:
         met = [r[0] for r in dealt.select("list").distinct().collect()]  # a number a list: only their folders are read
-        tile = dealt.groupBy("list", "part").cogroup(rows.where(F.col("list").isin(met)).groupBy("list", "part"))
+        dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("query_id"), F.lit(tiles)).cast("int"))
+        held = rows.where(F.col("list").isin(met)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+        tile = dealt.groupBy("list", "part", "tile").cogroup(held.groupBy("list", "part", "tile"))
         return tile.applyInArrow(_scored(k, by, digits), out)
 
     found = best(meet(asked.mapInArrow(_probing(lists, centres, angles, parts, probes, False), probed)))
