@@ -138,3 +138,27 @@ def test_rows_that_earlier_batches_beat_are_not_sent():
             got = sorted((-r["score"] + 0.0, r["node_id"]) for r in sent if (r["query_id"], r["kind"]) == (q, g))[:4]
             assert got == want
     assert len(sent) < 40 * 30 * 2 * 4 / 2
+
+
+@pytest.mark.parametrize("name", ["expansion_shared_entity", "expansion_recall", "target_lost", "precision_at_5", "dense_topk"])
+def test_queries_in_many_groups_as_in_sql(spark, monkeypatch, tmp_path, name):
+    """Blocks of 30 queries, tiles of 500 rows, parts of 100 chunks: on the given table a query set is one block.
+    A quarter of the vectors come a second time, so that many scores are equal."""
+    from oracle import TESTDATA, compare, connect
+
+    from tidemark.operators import graph
+    from tidemark.plans import search_queries
+
+    for module, limit, n in ((blocks, "TILE_ROWS", 500), (blocks, "BATCH_ROWS", 60), (graph, "PART_CHUNKS", 100), (graph, "TILE_QUERIES", 15)):
+        monkeypatch.setattr(module, limit, n)
+    monkeypatch.setattr(vector, "by_block", partial(blocks.by_block, size=30))
+    monkeypatch.setattr(graph, "sharing", partial(graph.sharing, heavy=20))
+    groups, pair, sharing = [], blocks._pair, graph._best_sharing
+    monkeypatch.setattr(blocks, "_pair", lambda *a: groups.append("vectors") or pair(*a))
+    monkeypatch.setattr(graph, "_best_sharing", lambda: groups.append("chunks") or sharing())
+    e = spark.read.parquet(f"{TESTDATA}/sf0.1/embeddings.parquet")
+    e.unionByName(e.where("vec_id < 500").withColumn("vec_id", F.col("vec_id") + 2000)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = connect(f"{TESTDATA}/sf0.01")
+    con.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    compare(search_queries.R.queries[name](spark, str(tmp_path)), con, search_queries.R.sql[name])
+    assert groups == ["vectors", "chunks"] if name.startswith("expansion") else groups == ["vectors"]
