@@ -140,6 +140,41 @@ def test_rows_that_earlier_batches_beat_are_not_sent():
     assert len(sent) < 40 * 30 * 2 * 4 / 2
 
 
+@pytest.mark.parametrize("by", [(), ("kind",)])
+def test_a_full_group_of_a_search_is_bounded(spark, monkeypatch, by):
+    """A whole block of queries against a whole tile of vectors, as one task of dense_topk (no kinds) and of the
+    queries over dual_domain meets them: what it takes beside the tile, in numpy and in Arrow."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    met = []
+    monkeypatch.setattr(vector, "by_block", lambda asked, rows, meet, out, **_: met.append(meet) or spark.createDataFrame([], out))
+    corpus = spark.createDataFrame([], ", ".join(["node_id long", *(f"{c} string" for c in by), "vec array<float>"]))
+    schema = vector.top_k(spark.createDataFrame([], "query_id long, query_vec array<float>"), corpus, by=by).drop("rank").toArrow().schema
+    n, wide, rng = blocks.TILE_BYTES // (8 * 64 + 16), 64, np.random.default_rng(9)
+    vecs = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), wide).cast(pa.list_(pa.float32()))
+    asked_m, held_m = (rng.standard_normal((m, wide), np.float32) for m in (blocks.QUERY_BLOCK, n))
+    kind = np.where(np.arange(n) % 3, "chunk", "menu")
+    asked = pa.table({"query_id": np.arange(len(asked_m)), "query_vec": vecs(asked_m)})
+    held = pa.table({"node_id": np.arange(n), **({"kind": kind} if by else {}), "vec": vecs(held_m)})
+    before, arrow = pa.total_allocated_bytes(), []
+    watched = lambda block: lambda batches: (arrow.append(pa.total_allocated_bytes()) or b for b in met[0](block)(batches))
+    run = blocks._pair(watched, asked.column_names, held.column_names, schema)
+    tracemalloc.start()
+    found = run(asked, held)
+    peak = tracemalloc.get_traced_memory()[1] + max(arrow) - before
+    tracemalloc.stop()
+    assert peak < 160 << 20
+    scores = np.round(vector._unit(held_m.astype(float)) @ vector._unit(asked_m[[0, 999, 1999]].astype(float)).T, 6)
+    for i, q in enumerate((0, 999, 1999)):
+        rows = found.filter(pa.compute.equal(found["query_id"], q)).to_pylist()
+        for g in ("chunk", "menu") if by else (None,):
+            mine = np.flatnonzero(kind == g) if by else np.arange(n)
+            want = sorted((-s, c) for s, c in zip(scores[mine, i].tolist(), mine.tolist()))[: vector.TOP_K]
+            assert sorted((-r["score"], r["node_id"]) for r in rows if not by or r["kind"] == g)[: vector.TOP_K] == want
+
+
 @pytest.mark.parametrize("name", ["expansion_shared_entity", "expansion_recall", "target_lost", "precision_at_5", "dense_topk"])
 def test_queries_in_many_groups_as_in_sql(spark, monkeypatch, tmp_path, name):
     """Blocks of 30 queries, tiles of 500 rows, parts of 100 chunks: on the given table a query set is one block.
